@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its distinct words, lower-cased (A-Z), with punctuation stripped from both ends, each
-hashed to one of ``dims`` terms.  The machine has a weight for each term and a vector for each term whose
+A text is the set of its distinct words, lower-cased, with punctuation stripped from both ends, and of the
+words' first three to eight letters (which carry over to unseen inflections and compounds), each hashed to one
+of ``dims`` terms.  The machine has a weight for each term and a vector for each term whose
 inner products weigh pairs, so a pair can count for more or less than the sum of its parts.  It is trained
 on the driver over at most ``max_train`` labelled rows (the first in the order of a hash of the id); all
 texts are then scored whole in the executors.  The model has at most ``max_terms`` terms, those that differ
@@ -14,42 +15,59 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import crc_bucket, free_name
-from .simhash import text_words
 
 #: What is stripped from the ends of a word.
-PUNCTUATION = b".,;:!?\"'()[]{}<>*#%$&-_~`|/\\+="
+PUNCTUATION = ".,;:!?\"'()[]{}<>*#%$&-_~`|/\\+="
+#: Lengths of the word beginnings that are terms too.
+BEGINNINGS = range(3, 9)
+DIMS = 1 << 20
 
 
-def terms(text: str | None, dims: int) -> np.ndarray:
+def hashed(word: str, dims: int) -> list[int]:
+    """The terms of a word; none for a word of punctuation."""
+    word = word.strip(PUNCTUATION)
+    found = [word] if word else []
+    found += [f"^{word[:k]}" for k in BEGINNINGS if k <= len(word)]
+    return [xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) % dims for t in found]
+
+
+def words_of(text: str | None) -> set[str]:
+    return set((text or "").lower().split())
+
+
+def terms(text: str | None, dims: int = DIMS) -> np.ndarray:
     """The sorted distinct hashed terms of the whole text."""
-    words = {w.strip(PUNCTUATION) for w in set(text_words(text))}
-    words.discard(b"")
-    return np.unique(np.array([xxhash.xxh32_intdigest(w) % dims for w in words], dtype=np.int32))
+    return np.unique(np.array([h for w in words_of(text) for h in hashed(w, dims)], dtype=np.int32))
 
 
 class FactorizationMachine:
     """score = sigmoid(bias + sum of weights + sum over pairs of inner products of factors)."""
 
-    def __init__(self, dims: int, factors: int = 8):
+    def __init__(self, dims: int = DIMS, factors: int = 8):
         self.dims, self.factors = dims, factors
         self.slot = np.full(dims, -1, np.int32)
+        self.known: dict[str, tuple[int, ...]] = {}
         self.bias, self.w, self.v = 0.0, np.zeros(0), np.zeros((0, factors))
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, max_terms: int = 1024, steps: int = 200, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
-        """Adam on the log loss over all rows; with one class or no rows the score is the base rate."""
+    def fit(self, flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, max_terms: int = 1024, steps: int = 200, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+        """Adam on the log loss over all rows; with one class or no rows the score is the base rate.
+
+        flat: the rows' terms, one row after the other; sizes: how many each row has.
+        """
         y = np.asarray(y, dtype=np.float64)
         ones = float(y.sum())
         self.bias = math.log((ones + 0.5) / (len(y) - ones + 0.5))
         if not 0 < ones < len(y):
             return self
-        flat = np.concatenate(rows)
-        doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        df, pos = np.bincount(flat, minlength=self.dims), np.bincount(flat, weights=y[doc], minlength=self.dims)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        df, pos = np.bincount(flat, minlength=self.dims), np.bincount(flat[(y > 0)[doc]], minlength=self.dims)
         rate_1 = ones / len(y)
         z = np.abs(pos - df * rate_1) / np.sqrt(np.maximum(df * rate_1 * (1 - rate_1) * (1 - df / len(y)), 0.5))
         z[df < 3] = 0
@@ -58,7 +76,7 @@ class FactorizationMachine:
         self.slot[chosen] = np.arange(len(chosen), dtype=np.int32)
         keep = self.slot[flat] >= 0
         col, doc = self.slot[flat][keep], doc[keep]
-        n, m, rng = len(rows), len(chosen), np.random.default_rng(seed)
+        n, m, rng = len(sizes), len(chosen), np.random.default_rng(seed)
         if not m:
             return self
         x = [np.array(self.bias), np.zeros(m), rng.normal(0, 0.05, (m, self.factors))]
@@ -80,15 +98,31 @@ class FactorizationMachine:
         self.bias, self.w, self.v = float(x[0]), x[1], x[2]
         return self
 
-    def score(self, found: np.ndarray) -> float:
-        at = self.slot[found]
-        at = at[at >= 0]
-        s = self.v[at].sum(0)
-        raw = self.bias + self.w[at].sum() + 0.5 * float((s * s - (self.v[at] ** 2).sum(0)).sum())
+    def active(self, text: str | None) -> list[int]:
+        """The model's terms that the whole text has; words seen before are looked up."""
+        found: set[int] = set()
+        for w in words_of(text):
+            at = self.known.get(w)
+            if at is None:
+                at = tuple(int(x) for x in self.slot[hashed(w, self.dims)] if x >= 0)
+                if len(w) <= 64:
+                    if len(self.known) >= 1 << 18:
+                        self.known.clear()
+                    self.known[w] = at
+            found.update(at)
+        return sorted(found)
+
+    def score(self, text: str | None) -> float:
+        at = self.active(text)
+        raw = self.bias
+        if at:
+            v = self.v[at]
+            s = v.sum(0)
+            raw += self.w[at].sum() + 0.5 * float((s * s - (v * v).sum(0)).sum())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, raw))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, mod: int = 3, held: int = 1, dims: int = 1 << 18, factors: int = 8) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, mod: int = 3, held: int = 1, dims: int = DIMS, factors: int = 8) -> FactorizationMachine:
     """Fits on at most ``max_train`` labelled rows whose crc32 of the id as text, modulo ``mod``, is not
     ``held``.  Null ids or labels are not used; an id labelled twice counts once, by its larger label."""
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_bucket(id_col, mod) != held))
@@ -100,20 +134,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     #: The sample has at most max_train rows of an id and a label.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select(F.xxhash64("id").alias("id"), F.col("y").cast("int"), "text")
-    got = rows.mapInArrow(run, "id bigint, y int, terms array<int>").toPandas().sort_values("id", kind="stable")
-    return FactorizationMachine(dims, factors).fit([np.asarray(t, np.int32) for t in got["terms"]], got["y"].to_numpy() > 0) if len(got) else FactorizationMachine(dims, factors)
+    got = rows.mapInArrow(run, "id bigint, y int, terms array<int>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
+    model = FactorizationMachine(dims, factors)
+    if not got.num_rows:
+        return model
+    each = pc.list_value_length(got["terms"]).to_numpy()
+    return model.fit(pc.list_flatten(got["terms"]).to_numpy(), each, got["y"].to_numpy() > 0)
 
 
 def with_score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with the score of the whole text (null text: empty)."""
-    from pyspark.sql.functions import pandas_udf
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("double")
     def score(text):
         m = shared.value
-        return text.map(lambda t: m.score(terms(t, m.dims)))
+        return text.map(m.score)
 
     return docs.withColumn(score_col, score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 

@@ -124,8 +124,10 @@ def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch:
     comps = scratch.save(connected_components(first, scratch))
 
     rows = variants(nodes.select(*cols).join(comps, "node", "left").select(*cols, F.coalesce("comp", "node").alias("comp")), size, segments)
-    mixed = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1").select("key", "big")
-    rows = rows.join(mixed, "key")
+    #: Dealt by key once; each bucket's largest component, and whether it has another.
+    bucket = Window.partitionBy("key")
+    rows = rows.repartition("key").withColumn("n", F.count("*").over(Window.partitionBy("key", "comp")))
+    rows = rows.withColumn("big", F.max(F.struct("n", "comp")).over(bucket)["comp"]).withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket)).filter("low < high").select("key", *cols, "comp", "big")
     own, other = rows.filter("comp <> big").alias("x"), rows.alias("y")
     apart = F.expr("x.comp <> y.comp and (y.comp = y.big or x.node < y.node)") & (distance("x.", "y.", size) <= max_distance)
     more = own.join(other, (F.col("x.key") == F.col("y.key")) & apart).select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()

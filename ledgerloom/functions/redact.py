@@ -126,10 +126,10 @@ def needs_deep_scan(text: Column) -> Column:
 
 def clamp_bytes(text: Column, most: int) -> Column:
     """The longest prefix of at most ``most`` UTF-8 bytes that ends between characters."""
-    raw = F.substring(F.encode(text, "UTF-8"), 1, most)
-    cut = F.octet_length(text) > most
-    #: A cut inside a character leaves a lead byte with too few followers; they are dropped by length.
-    return F.when(~cut, text).otherwise(F.left(text, F.length(F.regexp_replace(F.decode(raw, "UTF-8"), "�+$", ""))))
+    raw = F.encode(text, "UTF-8")
+    #: A character has four bytes at most, so one of these four cuts lies between characters.
+    cuts = [F.substring(raw, 1, max(most - back, 0)).cast("string") for back in range(4)]
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*(F.when(F.is_valid_utf8(c), c) for c in cuts)))
 
 
 def spliced(text: Column, spans: Column) -> Column:
@@ -156,11 +156,11 @@ def merged_spans(spans: Column) -> Column:
 
 
 def scrub_distinct(df: DataFrame, col: str, scrub, out: str = "scrubbed") -> DataFrame:
-    """Each distinct text scrubbed once by ``scrub`` (DataFrame (text) -> (text, scrubbed)) and joined back.
+    """Each distinct text scrubbed once by ``scrub`` (DataFrame (text_) -> (text_, scrubbed)) and joined back.
 
     Rows whose text the scrubber did not answer get null: they must be held, not passed on.
     """
-    answers = scrub(df.filter(F.col(col).isNotNull()).select(F.col(col).alias("text_")).distinct()).select(F.col("text_"), F.col("scrubbed").alias(out))
+    answers = scrub(df.filter(F.col(col).isNotNull()).select(F.col(col).alias("text_")).distinct()).select("text_", F.col("scrubbed").alias(out))
     return df.join(answers, F.col(col) == F.col("text_"), "left").drop("text_")
 
 

@@ -23,13 +23,20 @@ PR_CONFIDENCE, ISSUE_CONFIDENCE = 0.9, 0.8
 REF = "array<struct<kind:string,provider:string,host:string,slug:string,key:string,url:string,confidence:double,ambiguous:boolean>>"
 
 
+def _of_pattern(kind: str, provider: str, pattern: str, slug: tuple, key: int, host: str | None):
+    def ref(url: Column) -> Column:
+        name = F.concat_ws("/", *(F.regexp_extract(url, pattern, i) for i in slug)) if slug else F.lit(None).cast("string")
+        return F.struct(
+            F.lit(kind).alias("kind"), F.lit(provider).alias("provider"), F.lit(host).cast("string").alias("host"), name.alias("slug"), F.regexp_extract(url, pattern, key).alias("key"), url.alias("url"),
+            F.lit(PR_CONFIDENCE if kind == "pr" else ISSUE_CONFIDENCE).alias("confidence"), F.lit(False).alias("ambiguous"),
+        )
+
+    return ref
+
+
 def detect(text: Column, model_text: bool = False) -> Column:
     """All references of a text, pattern by pattern in their order; an empty list for null."""
-    found = []
-    for kind, provider, pattern, slug, key, host in PATTERNS:
-        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        slug_of = (lambda url, p=pattern, g=slug: F.concat_ws("/", *(F.regexp_extract(url, p, i) for i in g))) if slug else (lambda url: F.lit(None).cast("string"))
-        found.append(F.transform(whole, lambda u, k=kind, pr=provider, p=pattern, n=key, h=host, s=slug_of: F.struct(F.lit(k).alias("kind"), F.lit(pr).alias("provider"), F.lit(h).cast("string").alias("host"), s(u).alias("slug"), F.regexp_extract(u, p, n).alias("key"), u.alias("url"), F.lit(PR_CONFIDENCE if k == "pr" else ISSUE_CONFIDENCE).alias("confidence"), F.lit(False).alias("ambiguous"))))
+    found = [F.transform(F.regexp_extract_all(text, F.lit(p[2]), F.lit(0)), _of_pattern(*p)) for p in PATTERNS]
     short = F.regexp_extract_all(text, F.lit(SHORTHAND), F.lit(0))
     none = F.lit(None).cast("string")
     one = lambda provider, slug, key: F.struct(F.lit("issue").alias("kind"), F.lit(provider).alias("provider"), none.alias("host"), slug.alias("slug"), key.alias("key"), none.alias("url"), F.lit(ISSUE_CONFIDENCE).alias("confidence"), F.lit(True).alias("ambiguous"))

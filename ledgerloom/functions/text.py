@@ -25,16 +25,14 @@ def numeric_leaves(raw: Column, depth: int = 4) -> Column:
     Arrays are not entered.
     """
     def level(at: Column, prefix: Column | None, left: int) -> Column:
-        keys = F.coalesce(F.json_object_keys(at), F.array().cast("array<string>"))
-        name = lambda k: k if prefix is None else F.concat(prefix, F.lit("."), k)
-        value = lambda k: F.get_json_object(at, F.concat(F.lit("$['"), k, F.lit("']")))
-        own = F.transform(keys, lambda k: F.struct(name(k).alias("k"), F.when(value(k).rlike(r"^[0-9]{1,18}$"), value(k).cast("bigint")).alias("v")))
-        if left == 1:
-            return own
-        deeper = F.flatten(F.transform(keys, lambda k: level(value(k), name(k), left - 1)))
-        return F.concat(own, deeper)
-
-    return F.when(F.json_object_keys(raw).isNotNull(), F.map_from_entries(F.filter(level(raw, None, depth), lambda e: e["v"].isNotNull())))
+        entries = F.coalesce(F.map_entries(F.try_variant_get(at, "$", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+        name = lambda e: e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
+        number = lambda e: F.when(F.schema_of_variant(e["value"]) == "BIGINT", F.try_variant_get(e["value"], "$", "bigint"))
+        own = F.transform(entries, lambda e: F.struct(name(e).alias("k"), number(e).alias("v")))
+        return own if left == 1 else F.concat(own, F.flatten(F.transform(entries, lambda e: level(e["value"], name(e), left - 1))))
+
+    parsed = F.try_parse_json(raw)
+    return F.when(parsed.isNotNull(), F.map_from_entries(F.filter(level(parsed, None, depth), lambda e: e["v"] >= 0)))
 
 
 def usage_merge(older: dict[str, Column], newer: dict[str, Column]) -> dict[str, Column]:

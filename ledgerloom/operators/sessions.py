@@ -23,8 +23,8 @@ def stamp_gap(keys: list[str], ts_ms: str) -> Column:
 
 def active_time(df: DataFrame, keys: list[str], ts_ms: str, idle_ms: int = IDLE_MS) -> DataFrame:
     """(keys, active_ms): the idle limit once, plus each gap up to it; null stamps are not counted."""
-    rows = df.filter(F.col(ts_ms).isNotNull()).select(*keys, ts_ms).withColumn("gap_", F.least(stamp_gap(keys, ts_ms), F.lit(idle_ms)))
-    return rows.groupBy(*keys).agg((F.coalesce(F.sum("gap_"), F.lit(0)) + idle_ms).cast("bigint").alias("active_ms"))
+    rows = df.filter(F.col(ts_ms).isNotNull()).select(*keys, ts_ms).withColumn("gap_", stamp_gap(keys, ts_ms))
+    return rows.groupBy(*keys).agg((F.coalesce(F.sum(F.when(F.col("gap_") > idle_ms, idle_ms).otherwise(F.col("gap_"))), F.lit(0)) + idle_ms).cast("bigint").alias("active_ms"))
 
 
 def sittings(df: DataFrame, keys: list[str], ts_ms: str, gap_ms: int = SITTING_GAP_MS, ramp: int = SITTING_RAMP_MINUTES) -> DataFrame:

@@ -48,13 +48,12 @@ def path_leaves(values: Column) -> Column:
 def string_leaves(json: Column, depth: int = 3) -> Column:
     """String leaves of a JSON object in document order, ``depth`` levels deep."""
     def level(at: Column, left: int) -> Column:
-        keys = F.coalesce(F.json_object_keys(at), F.array().cast("array<string>"))
-        value = lambda k: F.get_json_object(at, F.concat(F.lit("$['"), k, F.lit("']")))
-        if left == 1:
-            return F.filter(F.transform(keys, value), lambda v: v.isNotNull())
-        return F.flatten(F.transform(keys, lambda k: F.when(F.json_object_keys(value(k)).isNotNull(), level(value(k), left - 1)).otherwise(F.filter(F.array(value(k)), lambda v: v.isNotNull()))))
+        entries = F.coalesce(F.map_entries(F.try_variant_get(at, "$", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+        is_text = lambda e: F.schema_of_variant(e["value"]) == "STRING"
+        own = lambda e: F.when(is_text(e), F.array(F.try_variant_get(e["value"], "$", "string"))).otherwise(F.array().cast("array<string>"))
+        return F.flatten(F.transform(entries, own if left == 1 else lambda e: F.when(is_text(e), own(e)).otherwise(level(e["value"], left - 1))))
 
-    return level(json, depth)
+    return level(F.try_parse_json(json), depth)
 
 
 def split_paired(df: DataFrame, value: str, format_: str) -> tuple[DataFrame, DataFrame]:

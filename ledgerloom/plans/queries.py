@@ -36,7 +36,7 @@ def r6(c) -> F.Column:
 EV = f"WITH {EVENTS_SQL} "
 CM = f"WITH {COMMITS_SQL} "
 WK = f"WITH {WORK_SQL} "
-ACTIVE = "SELECT session_id, (coalesce(sum(least(gap, 300000)), 0) + 300000)::BIGINT AS active_ms FROM (SELECT session_id, ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_ms) AS gap FROM ev) GROUP BY 1"
+ACTIVE = "SELECT session_id, (coalesce(sum(CASE WHEN gap > 300000 THEN 300000 ELSE gap END), 0) + 300000)::BIGINT AS active_ms FROM (SELECT session_id, ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_ms) AS gap FROM ev) GROUP BY 1"
 EQUIV = "(input * 1.0::DOUBLE + output * 5.0::DOUBLE + cache_creation * 1.25::DOUBLE + cache_read * 0.1::DOUBLE + reasoning * 5.0::DOUBLE)"
 SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in tokens.CLASSES)
 

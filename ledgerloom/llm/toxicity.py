@@ -2,11 +2,14 @@
 
 A text is the set of its distinct words, lower-cased, with punctuation stripped from both ends, and of the
 words' first three to eight letters (which carry over to unseen inflections and compounds), each hashed to one
-of ``dims`` terms.  The machine has a weight for each term and a vector for each term whose
-inner products weigh pairs, so a pair can count for more or less than the sum of its parts.  It is trained
-on the driver over at most ``max_train`` labelled rows (the first in the order of a hash of the id); all
-texts are then scored whole in the executors.  The model has at most ``max_terms`` terms, those that differ
-most between the classes, so its size does not depend on the corpus.
+of ``dims`` terms (a word by its first 16 letters and its length).  The machine has a weight for each term and
+a vector for each term whose inner products weigh pairs, so a pair can count for more or less than the sum of
+its parts.
+
+The model has at most ``max_terms`` terms: those that differ most between the classes, by counts that Spark sums.
+It is trained on the driver over at most ``max_train`` labelled rows (the first in the order of a hash of
+the id), of which the driver gets those terms only; so neither its memory nor its size depends on the corpus.
+All texts are then scored whole in the executors.
 """
 
 from __future__ import annotations
@@ -14,9 +17,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -30,12 +33,26 @@ BEGINNINGS = range(3, 9)
 DIMS = 1 << 20
 
 
-def hashed(word: str, dims: int) -> list[int]:
-    """The terms of a word; none for a word of punctuation."""
-    word = word.strip(PUNCTUATION)
-    found = [word] if word else []
-    found += [f"^{word[:k]}" for k in BEGINNINGS if k <= len(word)]
-    return [xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) % dims for t in found]
+def hashed(words: list[str], dims: int) -> np.ndarray:
+    """A row of terms for each word: the word, then its beginnings; -1 where it is too short."""
+    words = [w.strip(PUNCTUATION) for w in words]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.array(words, dtype="U16").view(np.uint32).reshape(len(words), 16) if words else np.zeros((0, 16), np.uint32)
+    out = np.full((len(words), 1 + len(BEGINNINGS)), -1, np.int32)
+
+    def term(h: np.ndarray, salt: int) -> np.ndarray:
+        h = (h ^ np.uint32(salt)) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        return ((h ^ (h >> np.uint32(16))) % np.uint32(dims)).astype(np.int32)
+
+    h = np.full(len(words), 2166136261, np.uint32)
+    for k in range(16):
+        h = (h ^ letters[:, k]) * np.uint32(16777619)
+        if k + 1 in BEGINNINGS:
+            at = 1 + BEGINNINGS.index(k + 1)
+            out[:, at] = np.where(size > k, term(h, k + 1), -1)
+    out[:, 0] = np.where(size > 0, term(h ^ size.astype(np.uint32), 99), -1)
+    return out
 
 
 def words_of(text: str | None) -> set[str]:
@@ -44,42 +61,33 @@ def words_of(text: str | None) -> set[str]:
 
 def terms(text: str | None, dims: int = DIMS) -> np.ndarray:
     """The sorted distinct hashed terms of the whole text."""
-    return np.unique(np.array([h for w in words_of(text) for h in hashed(w, dims)], dtype=np.int32))
+    found = np.unique(hashed(list(words_of(text)), dims))
+    return found[found >= 0]
 
 
 class FactorizationMachine:
     """score = sigmoid(bias + sum of weights + sum over pairs of inner products of factors)."""
 
-    def __init__(self, dims: int = DIMS, factors: int = 8):
-        self.dims, self.factors = dims, factors
-        self.slot = np.full(dims, -1, np.int32)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.bias, self.w, self.v = 0.0, np.zeros(0), np.zeros((0, factors))
+    def __init__(self, chosen: np.ndarray, dims: int = DIMS, factors: int = 8):
+        """chosen: the hashed terms that the model has."""
+        self.chosen, self.dims, self.factors = np.sort(np.asarray(chosen, np.int32)), dims, factors
+        self.bias, self.w, self.v = 0.0, np.zeros(len(chosen)), np.zeros((len(chosen), factors))
 
-    def fit(self, flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, max_terms: int = 1024, steps: int = 200, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("slot", "seen", "hot")}
+
+    def fit(self, flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
         """Adam on the log loss over all rows; with one class or no rows the score is the base rate.
 
-        flat: the rows' terms, one row after the other; sizes: how many each row has.
+        flat: positions in ``chosen``, one row's after the other's; sizes: how many each row has.
         """
         y = np.asarray(y, dtype=np.float64)
-        ones = float(y.sum())
-        self.bias = math.log((ones + 0.5) / (len(y) - ones + 0.5))
-        if not 0 < ones < len(y):
-            return self
-        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        df, pos = np.bincount(flat, minlength=self.dims), np.bincount(flat[(y > 0)[doc]], minlength=self.dims)
-        rate_1 = ones / len(y)
-        z = np.abs(pos - df * rate_1) / np.sqrt(np.maximum(df * rate_1 * (1 - rate_1) * (1 - df / len(y)), 0.5))
-        z[df < 3] = 0
-        chosen = np.sort(np.argsort(-z, kind="stable")[:max_terms])
-        chosen = chosen[z[chosen] > 2.5]
-        self.slot[chosen] = np.arange(len(chosen), dtype=np.int32)
-        keep = self.slot[flat] >= 0
-        col, doc = self.slot[flat][keep], doc[keep]
-        n, m, rng = len(sizes), len(chosen), np.random.default_rng(seed)
-        if not m:
+        ones, n, m = float(y.sum()), len(y), len(self.chosen)
+        self.bias = math.log((ones + 0.5) / (n - ones + 0.5))
+        if not 0 < ones < n or not m:
             return self
-        x = [np.array(self.bias), np.zeros(m), rng.normal(0, 0.05, (m, self.factors))]
+        col, doc = np.asarray(flat, np.int64), np.repeat(np.arange(n), sizes)
+        x = [np.array(self.bias), np.zeros(m), np.random.default_rng(seed).normal(0, 0.05, (m, self.factors))]
         m1, m2 = [np.zeros_like(p) for p in x], [np.zeros_like(p) for p in x]
 
         def gather(values: np.ndarray) -> np.ndarray:
@@ -98,48 +106,68 @@ class FactorizationMachine:
         self.bias, self.w, self.v = float(x[0]), x[1], x[2]
         return self
 
-    def active(self, text: str | None) -> list[int]:
-        """The model's terms that the whole text has; words seen before are looked up."""
-        found: set[int] = set()
-        for w in words_of(text):
-            at = self.known.get(w)
-            if at is None:
-                at = tuple(int(x) for x in self.slot[hashed(w, self.dims)] if x >= 0)
-                if len(w) <= 64:
-                    if len(self.known) >= 1 << 18:
-                        self.known.clear()
-                    self.known[w] = at
-            found.update(at)
-        return sorted(found)
-
-    def score(self, text: str | None) -> float:
-        at = self.active(text)
-        raw = self.bias
-        if at:
+    def active(self, texts: list) -> list[list[int]]:
+        """Positions of the model's terms that each whole text has; each new word is hashed once."""
+        if "slot" not in self.__dict__:
+            self.slot = np.full(self.dims + 1, -1, np.int32)  # the last one is for -1
+            self.slot[self.chosen] = np.arange(len(self.chosen), dtype=np.int32)
+            self.seen, self.hot = set(), {}
+        texts = [words_of(t) for t in texts]
+        if len(self.seen) > 1 << 19:
+            self.seen, self.hot = set(), {}
+        new = list(set().union(*texts) - self.seen)
+        at = self.slot[hashed(new, self.dims)]
+        for i in np.flatnonzero((at >= 0).any(1)):
+            self.hot[new[i]] = at[i][at[i] >= 0].tolist()
+        self.seen.update(w for w in new if len(w) <= 64)
+        out = [sorted({s for w in words if w in self.hot for s in self.hot[w]}) for words in texts]
+        return out
+
+    def scores(self, texts: list) -> list[float]:
+        out = []
+        for at in self.active(texts):
             v = self.v[at]
             s = v.sum(0)
-            raw += self.w[at].sum() + 0.5 * float((s * s - (v * v).sum(0)).sum())
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, raw))))
+            raw = self.bias + self.w[at].sum() + 0.5 * float((s * s - (v * v).sum(0)).sum())
+            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, raw)))))
+        return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, mod: int = 3, held: int = 1, dims: int = DIMS, factors: int = 8) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, mod: int = 3, held: int = 1, dims: int = DIMS, factors: int = 8, max_terms: int = 1024) -> FactorizationMachine:
     """Fits on at most ``max_train`` labelled rows whose crc32 of the id as text, modulo ``mod``, is not
     ``held``.  Null ids or labels are not used; an id labelled twice counts once, by its larger label."""
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_bucket(id_col, mod) != held))
     sample = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
+    #: The sample has at most max_train rows of an id and a label.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select(F.xxhash64("id").alias("id"), (F.col("y") > 0).cast("int").alias("y"), "text")
 
-    def run(batches):
+    def count(batches):
+        n = [np.zeros(dims + 2, np.int32), np.zeros(dims + 2, np.int32)]  # the last two hold the rows, at place dims
+        for b in batches:
+            for y, t in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                n[y][terms(t.as_py(), dims)] += 1
+                n[y][dims] += 1
+        at = np.flatnonzero(n[0] + n[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[0][at].astype(np.int64)), pa.array(n[1][at].astype(np.int64))], names=["term", "n0", "n1"])
+
+    counts = rows.mapInArrow(count, "term bigint, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    term, n0, n1 = (counts[c].to_numpy() for c in ("term", "n0", "n1"))
+    whole = term == dims
+    total0, total1 = float(n0[whole].sum()), float(n1[whole].sum())
+    df, base = n0 + n1, total1 / max(total0 + total1, 1)
+    z = np.abs(n1 - df * base) / np.sqrt(np.maximum(df * base * (1 - base) * (1 - df / max(total0 + total1, 1)), 0.5))
+    z[whole | (df < 3)] = 0
+    order = np.lexsort((term, -z))[:max_terms]
+    model = FactorizationMachine(term[order][z[order] > 2.5], dims, factors)
+
+    def find(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([terms(t.as_py(), dims) for t in b.column(2)], pa.list_(pa.int32()))], names=["id", "y", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.active(b.column(2).to_pylist()), pa.list_(pa.int32()))], names=["id", "y", "at"])
 
-    #: The sample has at most max_train rows of an id and a label.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select(F.xxhash64("id").alias("id"), F.col("y").cast("int"), "text")
-    got = rows.mapInArrow(run, "id bigint, y int, terms array<int>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
-    model = FactorizationMachine(dims, factors)
+    got = rows.mapInArrow(find, "id bigint, y int, at array<int>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
     if not got.num_rows:
         return model
-    each = pc.list_value_length(got["terms"]).to_numpy()
-    return model.fit(pc.list_flatten(got["terms"]).to_numpy(), each, got["y"].to_numpy() > 0)
+    return model.fit(pc.list_flatten(got["at"]).to_numpy(), pc.list_value_length(got["at"]).to_numpy(), got["y"].to_numpy())
 
 
 def with_score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -147,9 +175,11 @@ def with_score(docs: DataFrame, model: FactorizationMachine, text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("double")
-    def score(text):
-        m = shared.value
-        return text.map(m.score)
+    def score(text: pd.Series) -> pd.Series:
+        out = []
+        for low in range(0, len(text), 256):
+            out += shared.value.scores(text.iloc[low : low + 256].tolist())
+        return pd.Series(out, dtype="float64")
 
     return docs.withColumn(score_col, score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 

@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ.setdefault("PYTHONPATH", sys.path[0])
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

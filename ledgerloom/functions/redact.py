@@ -137,7 +137,7 @@ def spliced(text: Column, spans: Column) -> Column:
     done = F.aggregate(
         spans,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, s: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("[REDACTED:pf_"), s["type"], F.lit("]")).alias("out"), s["end"].alias("at")),
+        lambda a, s: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("[REDACTED:"), s["type"], F.lit("]")).alias("out"), s["end"].alias("at")),
     )
     return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
 
@@ -169,3 +169,40 @@ def count_merge(floor: Column, model: Column) -> Column:
     plain = F.transform_keys(F.coalesce(model, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))), lambda k, v: F.regexp_replace(k, "^pf_", ""))
     both = F.map_zip_with(F.coalesce(floor, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))), plain, lambda k, a, b: F.coalesce(a, F.lit(0).cast("bigint")) + F.coalesce(b, F.lit(0).cast("bigint")))
     return F.map_filter(both, lambda k, v: v > 0)
+
+
+LLM_MARKER = "[REDACTED:llm]"
+SHORTEST_CANDIDATE = 8
+
+
+def entity_spans(tokens: Column) -> Column:
+    """Spans (start, end, type) of tagged tokens (entity, start, end; B-, I-, E-, S- prefixes or none).
+
+    A token goes on with the span before it if it has its type and does not begin one; O and 0 are outside.
+    """
+    kind = "array<struct<start:int,end:int,type:string>>"
+    label = lambda t: F.upper(F.regexp_replace(t["entity"], "^[BIESbies]-", ""))
+    begins = lambda t: t["entity"].rlike("^[BSbs]-")
+    new = lambda t: F.array(F.struct(t["start"].cast("int").alias("start"), t["end"].cast("int").alias("end"), label(t).alias("type")))
+    grown = lambda acc, t: F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], t["end"].cast("int")).alias("end"), F.element_at(acc, -1)["type"].alias("type")))
+    inside = F.filter(tokens, lambda t: ~F.coalesce(t["entity"], F.lit("O")).isin("", "O", "0"))
+    return F.aggregate(inside, F.array().cast(kind), lambda acc, t: F.when((F.size(acc) > 0) & ~begins(t) & (F.try_element_at(acc, F.lit(-1))["type"] == label(t)), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown(acc, t))).otherwise(F.concat(acc, new(t))))
+
+
+def span_counts(spans: Column) -> Column:
+    """pf_ counts of the spans' types as an array of (name, n), by name."""
+    names = F.array_sort(F.array_distinct(F.transform(spans, lambda s: F.lower(s["type"]))))
+    return F.transform(names, lambda n: F.struct(F.concat(F.lit("pf_"), n).alias("name"), F.size(F.filter(spans, lambda s: F.lower(s["type"]) == n)).alias("n")))
+
+
+def reply_candidates(reply: Column, safe: list[str]) -> Column:
+    """Secret candidates of a reply's lines: quotes trimmed; NONE, short, safe, marked and repeated ones left out."""
+    lines = F.transform(F.split(reply, "\n"), lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), "^[\"'`]+", ""), "[\"'`]+$", ""))
+    return F.array_distinct(F.filter(lines, lambda x: (F.length(x) >= SHORTEST_CANDIDATE) & (F.upper(x) != "NONE") & ~F.lower(x).isin(safe or [""]) & ~x.startswith("[REDACTED")))
+
+
+def without_candidates(text: Column, candidates: Column) -> Column:
+    """(text, n): the candidates replaced, the longest first, and how many changed the text."""
+    ordered = F.transform(F.array_sort(F.transform(candidates, lambda c, i: F.struct((-F.length(c)).alias("n"), i.alias("i"), c.alias("c")))), lambda x: x["c"])
+    step = lambda a, c: F.struct(F.replace(a["text"], c, F.lit(LLM_MARKER)).alias("text"), (a["n"] + F.when(F.contains(a["text"], c), 1).otherwise(0)).alias("n"))
+    return F.aggregate(ordered, F.struct(text.alias("text"), F.lit(0).alias("n")), step)

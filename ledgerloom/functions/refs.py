@@ -110,3 +110,37 @@ def dedupe_references(refs: DataFrame) -> DataFrame:
         ),
     )
     return grouped.select("session_id", "kind", "slug", "key", fold.alias("f")).select("session_id", "kind", "slug", "key", "f.source", "f.url", "f.host", "f.confidence", "f.ambiguous")
+
+
+MOST_UNITS, MOST_EACH = 64_000, 24
+
+
+def _of_kind(found: Column, kind: str) -> Column:
+    return F.filter(found, lambda r: r["kind"] == kind)
+
+
+def event_references(text: Column, model_text: bool = False) -> Column:
+    """Distinct references of an event's text, 24 of each kind; null if there are none.
+
+    The text is cut to 64,000 UTF-16 units, an astral character counting two.
+    """
+    astral = F.length(F.regexp_replace(F.left(text, F.lit(MOST_UNITS)), r"[\x{0}-\x{FFFF}]", ""))
+    found = F.array_distinct(detect(F.left(text, F.lit(MOST_UNITS) - astral), model_text))
+    kept = F.concat(*(F.slice(_of_kind(found, k), 1, MOST_EACH) for k in ("pr", "issue")))
+    return F.when(F.size(kept) > 0, kept)
+
+
+def repo_of_git(slug: Column, branch: Column, slug_source: Column, remote_url: Column) -> Column:
+    """(slug, branches, source) of a git context: git if the slug is verified, git_guess if not; null without one."""
+    from .paths import verified_slug
+
+    return F.when(slug.isNotNull(), F.struct(slug.alias("slug"), F.filter(F.array(branch), lambda b: b.isNotNull()).alias("branches"), F.when(verified_slug(slug_source, remote_url), "git").otherwise("git_guess").alias("source")))
+
+
+def union_channels(channels: list[DataFrame]) -> DataFrame:
+    """The channels (session_id, kind, slug, key, ts, position, source, ..) with their rank, as one table."""
+    out = None
+    for rank, df in enumerate(channels):
+        df = df.withColumn("channel", F.lit(rank))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out

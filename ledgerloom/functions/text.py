@@ -131,3 +131,44 @@ def local_time(ts: Column, zone: Column | str) -> dict[str, Column]:
 
 def utc_day(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd")
+
+
+def turn_surface(kind: Column, agent: Column, model: Column, tools: Column, files: Column) -> Column:
+    """What a turn is embedded from: kind, agent, model, sorted tools, number of files.  tools: map; files: array."""
+    names = F.array_sort(F.map_keys(tools))
+    return F.concat_ws(" ", kind, agent, F.when(model != "", model), F.when(F.size(names) > 0, F.concat(F.lit("tools:"), F.array_join(names, ","))), F.when(F.size(files) > 0, F.concat(F.lit("files:"), F.size(files).cast("string"))))
+
+
+def prompt_facts(slug: Column, branch: Column, turns: Column, agent: Column, files: Column, tools: Column) -> Column:
+    """The facts line of a segment: repo, branch, turns, five files and five tools at most."""
+    names = F.slice(F.array_sort(F.map_keys(tools)), 1, 5)
+    return F.concat_ws(
+        "; ", F.concat(F.lit("repo "), slug), F.concat(F.lit("branch "), branch), F.concat(turns.cast("string"), F.lit(" turns on "), agent),
+        F.when(F.size(files) > 0, F.concat(F.lit("files touched: "), F.array_join(F.slice(files, 1, 5), ", "))), F.when(F.size(names) > 0, F.concat(F.lit("tool calls: "), F.array_join(names, ", "))),
+    )
+
+
+def segment_tags(agent: Column, provider: Column, model: Column, project: Column, verified: Column, components: Column, time_of_day: Column, cadence: Column) -> Column:
+    """Rooted tags (root_key, name, confidence) of a segment in their order; null names are left out."""
+    one = lambda root, name, c: F.struct(F.lit(root).alias("root_key"), name.alias("name"), c.alias("confidence"))
+    sure = F.lit(1.0)
+    tags = F.array(one("agents", agent, sure), one("providers", provider, sure), one("models", model, sure), one("projects", project, F.when(verified, 1.0).otherwise(0.5)))
+    parts = F.transform(components, lambda c: one("components", c, F.lit(0.6)))
+    when = F.array(one("time_of_day", time_of_day, sure), one("cadence", cadence, sure))
+    return F.filter(F.concat(tags, parts, when), lambda t: t["name"].isNotNull())
+
+
+def url_scalar(url: Column, patterns: list[str]) -> Column:
+    """The first group of the first pattern that finds something; null if none does."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in patterns))
+
+
+def completed_usage(role: Column, vendor: Column, input_: Column, output: Column, cache_read: Column, reasoning: Column, estimate: Column) -> dict[str, Column]:
+    """A chat message's usage: the role's count filled by the estimate where it is 0, and input and output made
+    disjoint for vendors that count parts inside them."""
+    zero = F.lit(0).cast("bigint")
+    i, o, c, r = (F.coalesce(x, zero) for x in (input_, output, cache_read, reasoning))
+    i = F.when((role == "user") & (i == 0), F.coalesce(estimate, zero)).otherwise(i)
+    o = F.when((role == "assistant") & (o == 0), F.coalesce(estimate, zero)).otherwise(o)
+    inside = vendor == "openai"
+    return {"input": F.when(inside, F.greatest(i - c, zero)).otherwise(i), "output": F.when(inside, F.greatest(o - r, zero)).otherwise(o), "cache_read": c, "reasoning": r}

@@ -121,3 +121,47 @@ def repository_of(events: DataFrame, roots: DataFrame) -> DataFrame:
 def upsert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """table with rows of ``new`` in place of those with their key; a replay changes nothing."""
     return table.join(new.select(key), key, "left_anti").unionByName(new.dropDuplicates([key]), allowMissingColumns=True)
+
+
+def calls_to_segments(calls: DataFrame, segments: DataFrame) -> DataFrame:
+    """calls with the segment that lists their event; the last segment to list it wins, none gives null."""
+    listed = segments.select("segment_id", "started_ms", F.explode("source_event_ids").alias("source_event_id")).groupBy("source_event_id").agg(F.max_by("segment_id", F.struct("started_ms", "segment_id")).alias("segment_id"))
+    return calls.drop("segment_id").join(listed, "source_event_id", "left")
+
+
+def script_summaries(calls: DataFrame, scripts: DataFrame) -> DataFrame:
+    """(external_call_id, summaries): of each script a call names, the content of its best candidate path.
+
+    calls: (external_call_id, command, roots array); scripts: (path, summary).
+    """
+    from ..functions.commands import script_candidates, script_refs
+
+    named = calls.select("external_call_id", "roots", F.posexplode(script_refs(F.col("command"))).alias("at", "script"))
+    tried = named.select("external_call_id", "at", F.posexplode(script_candidates(F.col("script"), F.col("roots"))).alias("rank", "path"))
+    best = tried.join(scripts, "path").groupBy("external_call_id", "at").agg(F.min_by("summary", "rank").alias("summary"))
+    return best.groupBy("external_call_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "summary"))), lambda x: x["summary"]).alias("summaries"))
+
+
+def session_files(sessions: DataFrame, commits: DataFrame, files: DataFrame, after_ms: int = 4 * 3_600_000) -> DataFrame:
+    """(session_id, repo, path): files changed in a session's repository from its start until ``after_ms`` past its
+    end, or until the next session there starts.
+
+    sessions: (session_id, repo, start_ms, end_ms); commits: (repo, sha, ts_ms); files: (sha, path).
+    """
+    following = Window.partitionBy("repo").orderBy("start_ms").rangeBetween(1, Window.unboundedFollowing)
+    later = sessions.withColumn("next_", F.min("start_ms").over(following)).withColumn("until_", F.least(F.col("end_ms") + after_ms, F.coalesce("next_", F.col("end_ms") + after_ms)))
+    day = 86_400_000
+    spread = later.withColumn("day", F.explode(F.sequence(F.expr(f"start_ms div {day}"), F.expr(f"until_ div {day}"))))
+    hit = spread.join(commits.withColumn("day", F.expr(f"ts_ms div {day}")), ["repo", "day"]).filter("ts_ms between start_ms and until_")
+    return hit.select("session_id", "repo", "sha").join(files, "sha").select("session_id", "repo", "path").distinct()
+
+
+def session_span(events: DataFrame, segments: DataFrame) -> DataFrame:
+    """(session_id, start_ms, end_ms) over events (ts_ms) and segments (started_ms, ended_ms)."""
+    both = events.select("session_id", F.col("ts_ms").alias("a"), F.col("ts_ms").alias("b")).unionByName(segments.select("session_id", F.col("started_ms").alias("a"), F.col("ended_ms").alias("b")))
+    return both.groupBy("session_id").agg(F.min("a").alias("start_ms"), F.max("b").alias("end_ms"))
+
+
+def chat_rollup(messages: DataFrame, classes: list[str]) -> DataFrame:
+    """One row a chat session: messages, class sums, first and last time, last model that is not null."""
+    return messages.groupBy("session_id").agg(F.count("*").alias("message_count"), *(F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in classes), F.min("ts_ms").alias("started_ms"), F.max("ts_ms").alias("ended_ms"), F.max_by("model", F.when(F.col("model").isNotNull(), F.struct("ts_ms", "model"))).alias("model"))

@@ -753,6 +753,63 @@ def f33_mean_pool(spark, sf):
     return pooled.select("label", F.posexplode("pooled").alias("i", "p")).select("label", (F.col("i") + 1).alias("i"), r6(F.col("p")).alias("p"))
 
 
+@query(f"{EV}, x AS (SELECT session_id, kind, max(model) FILTER (kind <> 'error') AS model, count(*) AS n FROM ev GROUP BY ALL), y AS (SELECT session_id, string_agg(kind, ',' ORDER BY kind) AS k FROM x GROUP BY 1) SELECT session_id, 'turn a1 tools:' || k AS surface FROM y")
+def f53_turn_surface(spark, sf):
+    n = events(spark, sf).groupBy("session_id", "kind").agg(F.count("*").alias("n")).groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("tools"))
+    return n.select("session_id", text.turn_surface(F.lit("turn"), F.lit("a1"), F.lit(""), F.col("tools"), F.array().cast("array<string>")).alias("surface"))
+
+
+@query(f"{EV}, x AS (SELECT session_id, any_value(repo) AS repo, count(*) AS n, string_agg(DISTINCT kind, ', ' ORDER BY kind) AS k FROM ev GROUP BY 1) SELECT session_id, 'repo ' || repo || '; ' || n || ' turns on a1; tool calls: ' || k AS facts FROM x")
+def f52_prompt_facts(spark, sf):
+    g = events(spark, sf).groupBy("session_id", "repo", "kind").agg(F.count("*").alias("n")).groupBy("session_id", "repo").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("tools"))
+    return g.select("session_id", text.prompt_facts(F.col("repo"), F.lit(None).cast("string"), F.col("n"), F.lit("a1"), F.array().cast("array<string>"), F.col("tools")).alias("facts"))
+
+
+@query(r"SELECT page_id, nullif(regexp_extract(url, '/en/([0-9]+)', 1), '') AS en, coalesce(nullif(regexp_extract(url, '/en/([0-9]+)', 1), ''), nullif(regexp_extract(url, '/[a-z]+/([0-9]+)', 1), '')) AS conversation FROM pages")
+def f56_url_scalar(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.url_scalar(F.col("url"), [r"/en/([0-9]+)"]).alias("en"), text.url_scalar(F.col("url"), [r"/en/([0-9]+)", r"/[a-z]+/([0-9]+)"]).alias("conversation"))
+
+
+@query("WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'A' THEN 'user' ELSE 'assistant' END AS role, l_linestatus = 'F' AS inside, CASE WHEN l_linenumber > 3 THEN l_partkey ELSE 0 END AS i, CASE WHEN l_linenumber < 3 THEN l_quantity::BIGINT ELSE 0 END AS o FROM lineitem), y AS (SELECT *, CASE WHEN role = 'user' AND i = 0 THEN 77 ELSE i END AS i2, CASE WHEN role = 'assistant' AND o = 0 THEN 77 ELSE o END AS o2 FROM x) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN inside THEN greatest(i2 - l_suppkey, 0) ELSE i2 END::BIGINT AS input, CASE WHEN inside THEN greatest(o2 - l_linenumber, 0) ELSE o2 END::BIGINT AS output FROM y")
+def f35_chat_usage(spark, sf):
+    li = table(spark, sf, "lineitem")
+    u = text.completed_usage(F.when(F.col("l_returnflag") == "A", "user").otherwise("assistant"), F.when(F.col("l_linestatus") == "F", "openai").otherwise("other"), F.when(F.col("l_linenumber") > 3, F.col("l_partkey")), F.when(F.col("l_linenumber") < 3, F.col("l_quantity").cast("bigint")), F.col("l_suppkey"), F.col("l_linenumber").cast("bigint"), F.lit(77).cast("bigint"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", u["input"].alias("input"), u["output"].alias("output"))
+
+
+@query(f"{EV} SELECT session_id, count(*) AS message_count, {SUMS}, min(ts_ms) AS started_ms, max(ts_ms) AS ended_ms, arg_max(CASE WHEN kind = 'click' THEN model END, CASE WHEN kind = 'click' THEN (ts_ms, model) END) AS model FROM ev GROUP BY 1")
+def a23_chat_rollup(spark, sf):
+    return history.chat_rollup(events(spark, sf).withColumn("model", F.when(F.col("kind") == "click", F.col("model"))), tokens.CLASSES)
+
+
+@query(f"{EV}, s AS (SELECT session_id, day, min(ts_ms) - 1000 AS a, max(ts_ms) + 1000 AS b FROM ev GROUP BY ALL) SELECT session_id, min(a) AS start_ms, max(b) AS end_ms FROM s GROUP BY 1")
+def a20_session_span(spark, sf):
+    e = events(spark, sf)
+    cut = e.groupBy("session_id", "day").agg((F.min("ts_ms") - 1000).alias("started_ms"), (F.max("ts_ms") + 1000).alias("ended_ms"))
+    return history.session_span(e, cut)
+
+
+@query(f"{EV} SELECT event_id AS source_event_id, CASE WHEN kind <> 'error' THEN session_id || '/' || day END AS segment_id FROM ev")
+def j2_calls_to_segments(spark, sf):
+    e = events(spark, sf).withColumn("source_event_id", F.col("event_id"))
+    cut = e.filter("kind <> 'error'").groupBy("session_id", "day").agg(F.collect_list("source_event_id").alias("source_event_ids"), F.min("ts_ms").alias("started_ms")).withColumn("segment_id", F.concat("session_id", F.lit("/"), "day"))
+    return history.calls_to_segments(e.select("source_event_id"), cut)
+
+
+@query(f"{WK}, nx AS (SELECT session_id, repo, start_ms, end_ms, (SELECT min(b.start_ms) FROM ss b WHERE b.repo = a.repo AND b.start_ms > a.start_ms) AS n FROM ss a), u AS (SELECT *, least(end_ms + 14400000, coalesce(n, end_ms + 14400000)) AS until FROM nx) SELECT DISTINCT session_id, u.repo, path FROM u JOIN (SELECT pr AS sha, repo, merged_ms FROM pr) c ON u.repo = c.repo AND c.merged_ms BETWEEN start_ms AND until JOIN fb ON fb.pr = c.sha")
+def j16_session_files(spark, sf):
+    w = work(spark, sf)
+    return history.session_files(w["sessions"], w["prs"].select("repo", F.col("pr").alias("sha"), F.col("merged_ms").alias("ts_ms")), w["pr_files"].select(F.col("pr").alias("sha"), "path"))
+
+
+@query("SELECT p_partkey AS external_call_id, 'S' || p_size AS summary FROM part WHERE p_size % 2 = 0")
+def j14_script_summaries(spark, sf):
+    p = table(spark, sf, "part")
+    calls = p.select(F.col("p_partkey").alias("external_call_id"), F.concat(F.lit("bash run"), F.col("p_size").cast("string"), F.lit(".sh")).alias("command"), F.array(F.lit("/w/repo")).alias("roots"))
+    scripts = p.filter("p_size % 2 = 0").select(F.concat(F.lit("/w/repo/run"), F.col("p_size").cast("string"), F.lit(".sh")).alias("path"), F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("summary")).distinct()
+    return history.script_summaries(calls, scripts).select("external_call_id", F.explode("summaries").alias("summary"))
+
+
 # -- streams, as batch runs of the same plans ------------------------------------------------------------------
 
 

@@ -94,6 +94,16 @@ def merged_messages(stream: DataFrame, late: str = "1 minute") -> DataFrame:
     return rows.groupBy("host", "message_id").applyInPandasWithState(step, "host string, message_id string, role string, text string, model string", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def with_scalars(messages: DataFrame, scalars: DataFrame, ts: str = "ts", late: str = "1 minute") -> DataFrame:
+    """Open messages with a model seen for their host up to the time limit before or after them.
+
+    messages: (host, message_id, ts, ..); scalars: (host, ts, value).  Both sides are kept as long as they can meet.
+    """
+    m = messages.withWatermark(ts, late).alias("m")
+    s = scalars.select(F.col("host").alias("host_"), F.col(ts).alias("ts_"), "value").withWatermark("ts_", late).alias("s")
+    return m.join(s, F.expr(f"host = host_ and ts_ between {ts} - interval 30 seconds and {ts} + interval 30 seconds"), "left").drop("host_", "ts_")
+
+
 def ship(stream: DataFrame, path: str, key: str, checkpoint: str, valid=None, dead_path: str | None = None):
     """Starts a query that merges each micro-batch into a table by key; rows that ``valid`` refuses go to a
     dead-letter table, so that a bad row never blocks the stream.  Returns the query."""

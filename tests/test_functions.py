@@ -68,7 +68,7 @@ def test_clamp(spark):
 
 def test_spans(spark):
     spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(t).alias("type")) for a, b, t in ((6, 9, "name"), (0, 3, "city"), (8, 12, "phone"))))
-    assert one(spark, redact.spliced(F.col("t"), redact.merged_spans(spans)), t="abcdefghijklmnop") == "[REDACTED:pf_city]def[REDACTED:pf_name]mnop"
+    assert one(spark, redact.spliced(F.col("t"), redact.merged_spans(spans)), t="abcdefghijklmnop") == "[REDACTED:city]def[REDACTED:name]mnop"
 
 
 @pytest.mark.parametrize(("path", "kind"), [
@@ -144,3 +144,21 @@ def test_range():
     assert bounds(now, "mtd")[0] == dt.datetime(2024, 3, 1) and bounds(now, "7d")[0] == dt.datetime(2024, 2, 27, 12) and bounds(now, "ytd", from_=now)[0] == now
     with pytest.raises(ValueError):
         bounds(now, "never")
+
+
+def test_entities_and_candidates(spark):
+    tok = lambda e, a, b: F.struct(F.lit(e).alias("entity"), F.lit(a).alias("start"), F.lit(b).alias("end"))
+    spans = redact.entity_spans(F.array(tok("B-name", 0, 2), tok("I-name", 3, 5), tok("O", 6, 7), tok("B-name", 8, 9), tok("city", 10, 12)))
+    assert [tuple(s) for s in one(spark, spans)] == [(0, 5, "NAME"), (8, 9, "NAME"), (10, 12, "CITY")]
+    assert [tuple(c) for c in one(spark, redact.span_counts(spans))] == [("pf_city", 1), ("pf_name", 2)]
+    found = one(spark, redact.reply_candidates(F.col("t"), ["password"]), t='"hunter2-hunter2"\nNONE\nshort\npassword\nhunter2-hunter2\n[REDACTED:x] y')
+    assert found == ["hunter2-hunter2"]
+    got = one(spark, redact.without_candidates(F.col("t"), F.array(F.lit("abcdefgh"), F.lit("abcdefghij"), F.lit("absent-one"))), t="x abcdefghij y")
+    assert tuple(got) == ("x [REDACTED:llm] y", 1)
+
+
+def test_event_references(spark):
+    many = " ".join(f"https://github.com/a/b/pull/{i}" for i in range(40))
+    assert len(one(spark, refs.event_references(F.col("t")), t=many + " " + many)) == 24
+    assert one(spark, refs.event_references(F.col("t")), t="nothing") is None
+    assert tuple(one(spark, refs.repo_of_git(F.lit("a/b"), F.lit("main"), F.lit("git_remote"), F.lit(None).cast("string")))) == ("a/b", ["main"], "git")

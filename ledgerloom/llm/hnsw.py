@@ -232,7 +232,7 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def embedding_near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, min_shards: int = 4, shard_rows: int = 1 << 16, block_rows: int = 2048, beam: int = 64, recall: float = 0.98) -> DataFrame:
+def embedding_near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, min_shards: int = 4, shard_rows: int = 1 << 16, block_rows: int = 2048, task_blocks: int = 4, beam: int = 64, recall: float = 0.98) -> DataFrame:
     """(id, n_links, component_id, kept) for each row of ``df``.
 
     n_links: how many other rows have a cosine of ``threshold`` or more with it; component_id: the smallest
@@ -249,7 +249,7 @@ def embedding_near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: st
     rows = scratch.save(rows)
     reps = rows.filter("ok").groupBy("vec").agg(F.count("*").alias("copies"), F.min("id").alias("label"))
     reps = scratch.save(reps.withColumn("rep", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")))
-    shards = reps.groupBy("dim").agg(F.greatest(F.lit(min_shards), F.ceil(F.count("*") / shard_rows)).alias("shards"), F.ceil(F.count("*") / block_rows).alias("blocks"))
+    shards = reps.groupBy("dim").agg(F.greatest(F.lit(min_shards), F.ceil(F.count("*") / shard_rows)).cast("bigint").alias("shards"), F.ceil(F.count("*") / block_rows).alias("blocks"))
     dealt = reps.join(shards, "dim")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -260,7 +260,11 @@ def embedding_near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: st
     graphs = dealt.select("dim", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shards")).alias("shard"), "rep", "vec", "copies").groupBy("dim", "shard").applyInPandas(build, "dim int, shard bigint, graph binary, vecs binary, reps binary, copies binary")
     graphs = scratch.save(graphs)
     blocks = dealt.select("dim", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).alias("block"), F.struct("rep", "vec").alias("x")).groupBy("dim", "block").agg(F.collect_list("x").alias("x")).select("dim", "block", F.col("x.rep").alias("q_reps"), F.flatten("x.vec").alias("q_vecs"))
-    tasks = blocks.join(graphs, "dim").repartition(F.col("block"), F.col("shard"))
+    #: Every block goes to every shard; a shard's graph goes to one task for each task_blocks of the blocks.
+    sizes = shards.withColumn("parts", F.ceil(F.col("blocks") / task_blocks))
+    asked = blocks.join(sizes, "dim").withColumn("part", F.pmod(F.col("block"), F.col("parts"))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)))
+    copies_of = graphs.join(sizes.select("dim", "parts"), "dim").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    tasks = asked.drop("parts", "shards", "blocks").join(copies_of.drop("parts"), ["dim", "shard", "part"])
 
     def ask(batches):
         for b in batches:

@@ -49,17 +49,20 @@ def spans(words: list[bytes], n: int) -> tuple[bytes, list[tuple[int, int]]]:
 
 
 def fingerprint(words: list[bytes], n: int, distinct: bool, size: int) -> list[int]:
-    """``size`` signed 64-bit parts; a bit is set where over half of the shingles' XXH64 have it."""
+    """``size`` (1 or 2) signed 64-bit parts; a bit is set where over half of the shingles' hashes have it.
+
+    One part takes XXH64, two take XXH3 with 128 bits, both with the seed 42, most significant bit first.
+    """
     joined, at = spans(words, n)
     shingles = [joined[a:b] for a, b in at]
     if distinct:
         shingles = list(set(shingles))
-    out = []
-    for part in range(size):
-        h = np.array([xxhash.xxh64_intdigest(s, SEED + part) for s in shingles], dtype=np.uint64)
-        ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)[0]))
-    return out
+    if not shingles:
+        return [0] * size
+    digests = [xxhash.xxh64_digest(s, SEED) for s in shingles] if size == 1 else [xxhash.xxh3_128_digest(s, SEED) for s in shingles]
+    bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(len(shingles), -1), axis=1)
+    ones = bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(shingles)).view(">i8").tolist()
 
 
 def with_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle_words: int, distinct: bool = False, size: int = 1) -> DataFrame:
@@ -121,6 +124,7 @@ def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch:
     pairs = best.select(F.col("node").alias("u"), F.explode(F.array_distinct(F.array("a.v", "b.v", "c"))).alias("v")).filter("v is not null")
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     first = scratch.save(verify(pairs) if verify else pairs)
+    scratch.release()
     comps = scratch.save(connected_components(first, scratch))
 
     rows = variants(nodes.select(*cols).join(comps, "node", "left").select(*cols, F.coalesce("comp", "node").alias("comp")), size, segments)
@@ -132,6 +136,7 @@ def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch:
     apart = F.expr("x.comp <> y.comp and (y.comp = y.big or x.node < y.node)") & (distance("x.", "y.", size) <= max_distance)
     more = own.join(other, (F.col("x.key") == F.col("y.key")) & apart).select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
     second = scratch.save(verify(more) if verify else more)
+    scratch.release()
     stars = comps.filter("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
     out = connected_components(stars.unionByName(second.select("u", "v")), scratch)
     return out
@@ -196,6 +201,7 @@ def simhash_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs)
+        scratch.release()
         used = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
         wanted = nodes.join(used, "node").select("node", F.col("label").alias("id"))
         found = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id").groupBy("node").agg(F.max("text").alias("text"))

@@ -101,12 +101,27 @@ def distance(a: str, b: str, size: int) -> F.Column:
     return sum((F.bit_count(F.col(f"{a}f{i}").bitwiseXOR(F.col(f"{b}f{i}"))) for i in range(size)), F.lit(0))
 
 
-def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch: Scratch, verify=None) -> DataFrame:
+def first_meeting(size: int, segments: int) -> F.Column:
+    """The number of the first variant that the fingerprints of x and y share, as variants() numbers them."""
+    found = []
+    for part in range(size):
+        for s, (at, width) in enumerate(cut(64, segments)):
+            apart = F.shiftrightunsigned(F.col(f"x.f{part}").bitwiseXOR(F.col(f"y.f{part}")), at).bitwiseAND(F.lit((1 << width) - 1))
+            tag = (part * segments + s) * 64
+            found.append(F.when(apart == 0, F.lit(tag)).when(F.bit_count(apart) == 1, F.bit_count(apart - 1) + tag))
+    return F.coalesce(*found)
+
+
+def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch: Scratch, verify=None, overlap=None, threshold: float = 0.0) -> DataFrame:
     """(node, comp) of the nodes that have a link: at most ``max_distance`` bits apart, and verified.
 
     nodes: (node bigint, f0 [, f1 ..]), one row a node.  verify takes and returns pairs (u, v); None: the
     bits decide.  Where the segments guarantee the meeting (max_distance < 2 * segments * size), no link
     between components is lost; beyond it the meeting is likely, not sure.
+
+    overlap takes the nodes (node) that are near another and returns (node, n, shared): the size of each
+    one's set, and how many of its members any other of these nodes has.  The second pass then leaves out
+    pairs whose similarity can't reach ``threshold``: their sets have at most the smaller ``shared`` in common.
     """
     parts = [f"f{i}" for i in range(size)]
     cols = ["node", *parts]
@@ -121,19 +136,30 @@ def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch:
     met = met.select("node", near("first").alias("a"), near("prev").alias("b")).filter("a is not null or b is not null")
     #: The nearest of the firsts and of the predecessors, and the smallest first: at most three pairs a node.
     best = met.groupBy("node").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("a.v").alias("c"))
+    best = scratch.save(best)
     pairs = best.select(F.col("node").alias("u"), F.explode(F.array_distinct(F.array("a.v", "b.v", "c"))).alias("v")).filter("v is not null")
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     first = scratch.save(verify(pairs) if verify else pairs)
     scratch.release()
     comps = scratch.save(connected_components(first, scratch))
 
-    rows = variants(nodes.select(*cols).join(comps, "node", "left").select(*cols, F.coalesce("comp", "node").alias("comp")), size, segments)
+    placed = nodes.select(*cols).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    if overlap:
+        near_nodes = best.select(F.explode(F.array("node", "a.v", "b.v")).alias("node")).filter("node is not null").distinct()
+        placed = placed.join(overlap(near_nodes).select("node", (F.col("n") * (1 << 31) + F.col("shared")).alias("sizes")), "node", "left")
+        cols = [*cols, "sizes"]
+    rows = variants(placed.select(*cols, "comp"), size, segments)
     #: Dealt by key once; each bucket's largest component, and whether it has another.
     bucket = Window.partitionBy("key")
     rows = rows.repartition("key").withColumn("n", F.count("*").over(Window.partitionBy("key", "comp")))
     rows = rows.withColumn("big", F.max(F.struct("n", "comp")).over(bucket)["comp"]).withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket)).filter("low < high").select("key", *cols, "comp", "big")
     own, other = rows.filter("comp <> big").alias("x"), rows.alias("y")
     apart = F.expr("x.comp <> y.comp and (y.comp = y.big or x.node < y.node)") & (distance("x.", "y.", size) <= max_distance)
+    apart = apart & (F.shiftright("x.key", 32) == first_meeting(size, segments))
+    if overlap:
+        n = F.shiftright("x.sizes", 31) + F.shiftright("y.sizes", 31)
+        common = F.least(F.col("x.sizes").bitwiseAND(F.lit((1 << 31) - 1)), F.col("y.sizes").bitwiseAND(F.lit((1 << 31) - 1)))
+        apart = apart & F.coalesce(common * (1 + threshold) >= n * threshold - 1e-6, F.lit(True))
     more = own.join(other, (F.col("x.key") == F.col("y.key")) & apart).select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
     second = scratch.save(verify(more) if verify else more)
     scratch.release()
@@ -184,6 +210,22 @@ def shingle_jaccard(pairs: DataFrame, texts: DataFrame, n: int, threshold: float
     return full.select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint")
 
 
+def shingle_overlap(texts: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """(node, n, shared) of texts (node, text): distinct n-word shingles, and those that another text has."""
+
+    def run(batches):
+        for b in batches:
+            sets = []
+            for t in b.column(1):
+                joined, at = spans(text_words(t.as_py()), n)
+                sets.append(list({xxhash.xxh64_intdigest(joined[p:q], 11) - (1 << 63) for p, q in at}))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    kept = scratch.save(texts.select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>"))
+    alone = kept.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    return kept.join(alone, "node", "left").select("node", F.size("hashes").cast("bigint").alias("n"), (F.size("hashes") - F.coalesce("alone", F.lit(0))).cast("bigint").alias("shared"))
+
+
 def simhash_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, size: int = 2, segments: int = 3, max_distance: int = 26) -> DataFrame:
     """(id, component_id) of every row with a non-null id: near-duplicate groups verified on shingles.
 
@@ -199,15 +241,19 @@ def simhash_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
     parts = [f"f{i}" for i in range(size)]
     nodes = scratch.save(rows.groupBy(F.col("tid").alias("node")).agg(F.min("id").alias("label"), *(F.first(p).alias(p) for p in parts)))
 
+    def texts_of(used: DataFrame) -> DataFrame:
+        wanted = nodes.join(used, "node").select("node", F.col("label").alias("id"))
+        return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id").groupBy("node").agg(F.max("text").alias("text"))
+
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs)
         scratch.release()
-        used = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        wanted = nodes.join(used, "node").select("node", F.col("label").alias("id"))
-        found = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id").groupBy("node").agg(F.max("text").alias("text"))
-        return shingle_jaccard(pairs, found, shingle_words, threshold)
+        return shingle_jaccard(pairs, texts_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()), shingle_words, threshold)
+
+    def overlap(near: DataFrame) -> DataFrame:
+        return scratch.save(shingle_overlap(texts_of(near), shingle_words, scratch))
 
-    comps = link(nodes, size, segments, max_distance, scratch, verify)
+    comps = link(nodes, size, segments, max_distance, scratch, verify, overlap, threshold)
     labelled = nodes.join(comps, "node", "left").select("node", "label", F.coalesce("comp", "node").alias("comp"))
     lowest = labelled.groupBy("comp").agg(F.min("label").alias("component_id"))
     by_node = labelled.join(lowest, "comp").select(F.col("node").alias("tid"), "component_id")

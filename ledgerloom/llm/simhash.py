@@ -125,28 +125,39 @@ def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch:
     """
     parts = [f"f{i}" for i in range(size)]
     cols = ["node", *parts]
-    by_key = Window.partitionBy("key").orderBy("node")
-    here = F.struct(*cols)
-    met = variants(nodes.select(*cols), size, segments).select(
-        *cols,
-        F.first(here).over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
-        F.lag(here).over(by_key).alias("prev"),
-    )
-    near = lambda x: F.when((F.col(f"{x}.node") != F.col("node")) & (distance("", f"{x}.", size) <= max_distance), F.struct(distance("", f"{x}.", size).alias("d"), F.col(f"{x}.node").alias("v")))
-    met = met.select("node", near("first").alias("a"), near("prev").alias("b")).filter("a is not null or b is not null")
-    #: The nearest of the firsts and of the predecessors, and the smallest first: at most three pairs a node.
-    best = met.groupBy("node").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("a.v").alias("c"))
-    best = scratch.save(best)
-    pairs = best.select(F.col("node").alias("u"), F.explode(F.array_distinct(F.array("a.v", "b.v", "c"))).alias("v")).filter("v is not null")
+
+    def walk(rows: DataFrame, order: list[str]) -> DataFrame:
+        """(node, a, b, c): each node's nearest bucket first, nearest predecessor and best bucket first."""
+        by_key = Window.partitionBy("key").orderBy(*order, "node")
+        here = F.struct(*order, *cols)
+        met = variants(rows.select(*order, *cols), size, segments).select(
+            *cols, F.first(here).over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"), F.lag(here).over(by_key).alias("prev")
+        )
+        is_near = lambda x: (F.col(f"{x}.node") != F.col("node")) & (distance("", f"{x}.", size) <= max_distance)
+        near = lambda x: F.when(is_near(x), F.struct(distance("", f"{x}.", size).alias("d"), F.col(f"{x}.node").alias("v")))
+        met = met.select("node", near("first").alias("a"), near("prev").alias("b"), F.when(is_near("first"), F.struct(*(f"first.{c}" for c in [*order, "node"]))).alias("c")).filter("a is not null or b is not null")
+        return scratch.save(met.groupBy("node").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("c").alias("c")).select("node", F.col("a.v").alias("a"), F.col("b.v").alias("b"), F.col("c.node").alias("c")))
+
+    def pairs_of(best: DataFrame) -> DataFrame:
+        """At most three pairs a node."""
+        return best.select(F.col("node").alias("u"), F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("v")).filter("v is not null")
+
+    best = walk(nodes, [])
+    pairs, sizes = pairs_of(best), None
+    if overlap:
+        near_nodes = best.select(F.explode(F.array("node", "a", "b")).alias("node")).filter("node is not null").distinct()
+        sizes = scratch.save(overlap(near_nodes))
+        #: Once more among the near ones, those with the fewest members of their own first: they are the hubs.
+        hubs = nodes.join(sizes, "node").withColumn("own", F.coalesce((F.col("n") - F.col("shared")) / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)))
+        pairs = pairs.unionByName(pairs_of(walk(hubs, ["own"])))
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     first = scratch.save(verify(pairs) if verify else pairs)
     scratch.release()
     comps = scratch.save(connected_components(first, scratch))
 
     placed = nodes.select(*cols).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    if overlap:
-        near_nodes = best.select(F.explode(F.array("node", "a.v", "b.v")).alias("node")).filter("node is not null").distinct()
-        placed = placed.join(overlap(near_nodes).select("node", (F.col("n") * (1 << 31) + F.col("shared")).alias("sizes")), "node", "left")
+    if sizes is not None:
+        placed = placed.join(sizes.select("node", (F.col("n") * (1 << 31) + F.col("shared")).alias("sizes")), "node", "left")
         cols = [*cols, "sizes"]
     rows = variants(placed.select(*cols, "comp"), size, segments)
     #: Dealt by key once; each bucket's largest component, and whether it has another.
@@ -251,7 +262,7 @@ def simhash_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
         return shingle_jaccard(pairs, texts_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()), shingle_words, threshold)
 
     def overlap(near: DataFrame) -> DataFrame:
-        return scratch.save(shingle_overlap(texts_of(near), shingle_words, scratch))
+        return shingle_overlap(texts_of(near), shingle_words, scratch)
 
     comps = link(nodes, size, segments, max_distance, scratch, verify, overlap, threshold)
     labelled = nodes.join(comps, "node", "left").select("node", "label", F.coalesce("comp", "node").alias("comp"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .packing import byte_bpe
+from .packing import byte_bpe, ids_of
 
 RULES = ("majority", "start", "split")
 UNASSIGNED = "(unassigned)"
@@ -97,7 +97,7 @@ def section_tokens(df: DataFrame, sections: Column, id_col: str = "doc_id", text
                 rows, cols = [], [[] for _ in range(6)]
                 for i in range(some.num_rows):
                     text = some.column(1)[i].as_py() or ""
-                    ids = bpe.encode_ordinary(text)
+                    ids = ids_of(bpe, text)
                     ends = np.cumsum(sizes[ids]) if ids else np.zeros(0, np.int64)
                     at = None  # where each character starts, in bytes, if that differs
                     if not text.isascii():

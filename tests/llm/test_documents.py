@@ -219,6 +219,21 @@ def test_packing_round_trip(spark, bpe, edge, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_added_token_in_text(spark):
+    """By the library's defaults a written-out added token is one token."""
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x <|endoftext|><|endoftext|>\n\n y  <|endoftext|>  ", "é<|endoftext|>日本 <|endoftext", "<|ENDOFTEXT|> it's", "a  \n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    want = {i: plain.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275]
+    assert {r["doc_id"]: list(r["ids"]) for r in packing.pack(df, with_ids=True).collect()} == {i: [*x, 1] for i, x in want.items()}
+    counts = Counter()
+    for r in tokencounts.section_tokens(df, tokencounts.head_body_tail("text")).collect():
+        counts[r["doc_id"]] += r["n_tokens"]
+        assert r["doc_tokens"] == len(want[r["doc_id"]])
+    assert counts == {i: len(x) for i, x in want.items()}
+
+
 # -- models --------------------------------------------------------------------------------------------
 
 

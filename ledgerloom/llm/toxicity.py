@@ -1,8 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its distinct words, lower-cased, with punctuation stripped from both ends, and of the
-words' first three to eight letters (which carry over to unseen inflections and compounds), each hashed to one
-of ``dims`` terms (a word by its first 16 letters and its length).  The machine has a weight for each term and
+A text is the set of its distinct words, lower-cased, with punctuation stripped from both ends, of the pieces
+between punctuation inside them, of one to four letters from each place in scripts without spaces, and of all
+these words' first three to eight letters (which carry over to unseen inflections and compounds), each hashed
+whole to one of ``dims`` terms.  The machine has a weight for each term and
 a vector for each term whose inner products weigh pairs, so a pair can count for more or less than the sum of
 its parts.
 
@@ -15,11 +16,14 @@ All texts are then scored whole in the executors.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -28,16 +32,21 @@ from .common import crc_bucket, free_name
 
 #: What is stripped from the ends of a word.
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#%$&-_~`|/\\+="
-#: Lengths of the word beginnings that are terms too.
-BEGINNINGS = range(3, 9)
+#: Lengths of the word beginnings that are terms too, and of the stretches of letters in scripts without spaces.
+BEGINNINGS, GRAMS = range(3, 9), range(1, 5)
 DIMS = 1 << 20
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han; and pictures, which are strung together too.
+UNSPACED = "\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001f000-\U0001faff\U00020000-\U0003ffff"
+#: Punctuation, mathematical, money and modifier signs of the basic plane; letters' marks are none of these.
+BREAKS = "".join(re.escape(chr(c)) for c in range(0x10000) if unicodedata.category(chr(c)) in ("Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sm", "Sc", "Sk"))
+INNER, STRETCH = re.compile(f"[{BREAKS}{UNSPACED}]+"), re.compile(f"[{UNSPACED}]+")
 
 
 def hashed(words: list[str], dims: int) -> np.ndarray:
-    """A row of terms for each word: the word, then its beginnings; -1 where it is too short."""
-    words = [w.strip(PUNCTUATION) for w in words]
+    """A row of terms for each word: the whole word, then its beginnings; -1 where it is too short."""
     size = np.fromiter(map(len, words), np.int64, len(words))
-    letters = np.array(words, dtype="U16").view(np.uint32).reshape(len(words), 16) if words else np.zeros((0, 16), np.uint32)
+    most = BEGINNINGS[-1]
+    letters = np.array(words, dtype=f"U{most}").view(np.uint32).reshape(len(words), most) if words else np.zeros((0, most), np.uint32)
     out = np.full((len(words), 1 + len(BEGINNINGS)), -1, np.int32)
 
     def term(h: np.ndarray, salt: int) -> np.ndarray:
@@ -46,23 +55,50 @@ def hashed(words: list[str], dims: int) -> np.ndarray:
         return ((h ^ (h >> np.uint32(16))) % np.uint32(dims)).astype(np.int32)
 
     h = np.full(len(words), 2166136261, np.uint32)
-    for k in range(16):
+    for k in range(most):
         h = (h ^ letters[:, k]) * np.uint32(16777619)
         if k + 1 in BEGINNINGS:
             at = 1 + BEGINNINGS.index(k + 1)
             out[:, at] = np.where(size > k, term(h, k + 1), -1)
-    out[:, 0] = np.where(size > 0, term(h ^ size.astype(np.uint32), 99), -1)
+    whole = np.fromiter((xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass"), 99) for w in words), np.uint32, len(words))
+    out[:, 0] = np.where(size > 0, whole % np.uint32(dims), -1)
     return out
 
 
+def parts(word: str) -> list[str]:
+    """What a run has inside: its pieces between punctuation, and 1 to 4 letters from each place of a stretch in an unspaced script."""
+    out = [p for p in INNER.split(word) if p and p != word]
+    for m in STRETCH.finditer(word):
+        t = m[0]
+        out += {t[i : i + n] for n in GRAMS for i in range(len(t) - n + 1)} - {word}
+    return out
+
+
+def found(runs: list[str], dims: int, most: int = 1 << 17):
+    """(run, term) arrays: the terms of each run and of its parts, about ``most`` words at a time."""
+    words, owner = [], []
+    for i, run in enumerate(runs):
+        word = run.strip(PUNCTUATION)
+        words.append(word)
+        owner.append(i)
+        if INNER.search(word):
+            more = parts(word)
+            words += more
+            owner += [i] * len(more)
+        if len(words) >= most or i + 1 == len(runs):
+            table = hashed(words, dims)
+            row, col = np.nonzero(table >= 0)
+            yield np.array(owner)[row], table[row, col]
+            words, owner = [], []
+
+
 def words_of(text: str | None) -> set[str]:
     return set((text or "").lower().split())
 
 
 def terms(text: str | None, dims: int = DIMS) -> np.ndarray:
     """The sorted distinct hashed terms of the whole text."""
-    found = np.unique(hashed(list(words_of(text)), dims))
-    return found[found >= 0]
+    return np.unique(np.concatenate([np.zeros(0, np.int32), *(t for _, t in found(list(words_of(text)), dims))]))
 
 
 class FactorizationMachine:
@@ -109,18 +145,23 @@ class FactorizationMachine:
     def active(self, texts: list) -> list[list[int]]:
         """Positions of the model's terms that each whole text has; each new word is hashed once."""
         if "slot" not in self.__dict__:
-            self.slot = np.full(self.dims + 1, -1, np.int32)  # the last one is for -1
+            self.slot = np.full(self.dims, -1, np.int32)
             self.slot[self.chosen] = np.arange(len(self.chosen), dtype=np.int32)
             self.seen, self.hot = set(), {}
         texts = [words_of(t) for t in texts]
         if len(self.seen) > 1 << 19:
             self.seen, self.hot = set(), {}
         new = list(set().union(*texts) - self.seen)
-        at = self.slot[hashed(new, self.dims)]
-        for i in np.flatnonzero((at >= 0).any(1)):
-            self.hot[new[i]] = at[i][at[i] >= 0].tolist()
-        self.seen.update(w for w in new if len(w) <= 64)
+        for run, term in found(new, self.dims):
+            at = self.slot[term]
+            for i, a in zip(run[at >= 0].tolist(), at[at >= 0].tolist(), strict=True):
+                self.hot.setdefault(new[i], set()).add(a)
         out = [sorted({s for w in words if w in self.hot for s in self.hot[w]}) for words in texts]
+        for w in new:
+            if len(w) <= 64:
+                self.seen.add(w)
+            else:  # rare and large: found again when met again
+                self.hot.pop(w, None)
         return out
 
     def scores(self, texts: list) -> list[float]:

@@ -250,6 +250,20 @@ def test_toxicity_held_out(spark, edge, empty):
     assert toxicity.drop_toxic(edge, labels).columns == edge.columns
 
 
+def test_toxicity_reads_whole_words(spark):
+    """What tells the classes apart stands after 16 letters, behind punctuation, or in a script without spaces."""
+    one = lambda t: set(toxicity.terms(t).tolist())
+    assert one("donaudampfschifffahrtskapitaen") != one("donaudampfschifffahrtsgesellen")
+    assert one("dreckskerl") <= one("guten,tag/dreckskerl") & one("see_you-dreckskerl!")
+    assert one("笨蛋") <= one("今天天气很好我们一起去公园散步然后回家吃饭你这个笨蛋请走开")
+    assert one("หมา") <= one("วันนี้อากาศดีมากเราไปเดินเล่นที่สวนกับหมาตัวใหญ่")
+    assert one("किताब") == one("«किताब»") & one("किताब") and one("") == set()
+    rows = [(i, "今天天气很好我们一起去公园散步然后" + chr(0x4E00 + i) + ("你这个笨蛋" if i % 2 else "你这个朋友"), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    got = toxicity.toxicity_scores(df, df.select("doc_id", "toxic")).filter("held_out").collect()
+    assert got and all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
 def test_pairs_matter():
     """An interaction that no additive model can learn: two terms that count only alone."""
     rng = np.random.default_rng(1)

@@ -1,7 +1,7 @@
 """Language ID by Bayesian fusion of text, declared language, address suffix and host.
 
 The text's likelihood comes from counts of hashed byte trigrams for each language over all labelled
-documents (a fixed table of 65,536 buckets a language).  A first guess from the text alone is then counted
+documents (a fixed table of 65,536 buckets a language; all languages count, a block of them at a time).  A first guess from the text alone is then counted
 by group: for each declared language and each address suffix how often each language has it, and for each
 host, its domain and the whole table how often each language occurs, the host smoothed by its domain and
 the domain by the whole.  The four logs are added and normalised.  A row's own first guess is taken out of
@@ -46,31 +46,52 @@ class TextModel:
         return out * weight
 
 
-def train_text(labelled: DataFrame, max_langs: int = 64) -> TextModel:
-    """labelled: (text, lang); null languages are not used.  All rows count, in partial sums a task.
+class TextModels:
+    """The text models of all languages.  Their counts (lang, bucket, n) are a table, of which ``block`` languages at a time are read."""
+
+    def __init__(self, langs: list[str], counts: DataFrame, block: int):
+        self.langs, self.counts, self.block = langs, counts, block
+
+    def blocks(self):
+        """The models of each block of languages, in their order; one without languages if there are none."""
+        for low in range(0, max(len(self.langs), 1), self.block):
+            some = self.langs[low : low + self.block]
+            counts = np.zeros((len(some), BUCKETS))
+            if some:
+                place = F.array_position(F.array(*map(F.lit, some)), F.col("lang")).cast("int")
+                got = self.counts.select(place.alias("at"), "bucket", "n").filter("at > 0").toArrow()
+                counts[got["at"].to_numpy() - 1, got["bucket"].to_numpy()] = got["n"].to_numpy()
+            yield TextModel(some, counts)
 
-    The ``max_langs`` most frequent languages are known (a model of more would not fit the tasks' memory).
-    """
-    langs = sorted(r["lang"] for r in labelled.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
+
+def train_text(labelled: DataFrame, scratch: Scratch, block: int = 32) -> TextModels:
+    """labelled: (text, lang); null languages are not used.  All rows and all languages count, in partial sums of at
+    most ``block`` languages a task."""
 
     def run(batches):
         sums = {}
+
+        def flush():
+            for lang, s in sums.items():
+                at = np.flatnonzero(s)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(s[at], pa.int64())], names=["lang", "bucket", "n"])
+            sums.clear()
+
         for b in batches:
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                if lang in langs:
-                    g = trigrams(text.as_py())
-                    if len(g):
-                        sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                        sums[lang] += np.bincount(g, minlength=BUCKETS)
-        for lang, s in sums.items():
-            at = np.flatnonzero(s)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(s[at], pa.int64())], names=["lang", "bucket", "n"])
-
-    counts = np.zeros((len(langs), BUCKETS))
-    got = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    if len(got):
-        counts[[langs.index(x) for x in got["lang"]], got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return TextModel(langs, counts)
+                g = trigrams(text.as_py())
+                if lang not in sums:
+                    if len(sums) >= block:
+                        yield from flush()
+                    sums[lang] = np.zeros(BUCKETS, np.int64)
+                if len(g):
+                    sums[lang] += np.bincount(g, minlength=BUCKETS)
+        yield from flush()
+
+    known = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null")
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    counts = scratch.save(known.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    return TextModels(langs, counts, block)
 
 
 def host_parts(url: F.Column) -> dict[str, F.Column]:
@@ -88,74 +109,105 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", text.alias("text"), F.nullif(declared, F.lit("")).alias("declared"), *(c.alias(n) for n, c in host_parts(F.col("url").cast("string")).items()))
 
 
-def fuse(rows: DataFrame, model: TextModel, scratch: Scratch, text_weight: float = 0.25, pull: float = 8.0) -> DataFrame:
+def spread(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A matrix of the counts in lists of (best, n), zero where a list is null, and which lists are not null."""
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    pairs = column.flatten()
+    out = np.zeros((len(column), k))
+    out[np.repeat(np.arange(len(column)), sizes), pairs.field("best").to_numpy(zero_copy_only=False)] = pairs.field("n").to_numpy(zero_copy_only=False)
+    return out, there
+
+
+def fuse(rows: DataFrame, models: TextModels, scratch: Scratch, text_weight: float = 0.25, pull: float = 8.0) -> DataFrame:
     """rows (row, text, declared, host, domain, suffix) -> (row, text_lang, lang, confidence, letters).
 
     declared, host, domain and suffix may be null: then that evidence says nothing.  ``pull`` is the number
     of rows that a group's parent counts for.  With no known language, lang is null and confidence 0.
+    The texts are read once for each block of languages.
     """
-    langs = model.langs
+    langs = models.langs
     k = len(langs)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        m = shared.value
-        for b in batches:
-            logs, best, letters = [], [], []
-            for t in b.column(1):
-                text = t.as_py() or ""
-                x = m.likelihood(text, text_weight)
-                known = bool(len(x)) and bool(x.any())
-                logs.append(x - x.max() if known else x)
-                best.append(int(x.argmax()) if known else None)
-                letters.append(any(map(str.isalpha, text)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(i) for i in range(2, 6)), pa.array(logs, pa.list_(pa.float64())), pa.array(best, pa.int32()), pa.array(letters, pa.bool_())], names=["row", "declared", "host", "domain", "suffix", "logs", "best", "letters"])
-
     kind = rows.schema["row"].dataType.simpleString()
-    first = scratch.save(rows.select("row", "text", "declared", "host", "domain", "suffix").mapInArrow(run, f"row {kind}, declared string, host string, domain string, suffix string, logs array<double>, best int, letters boolean"))
+    evidence = ["declared", "host", "domain", "suffix"]
+    kinds = f"row {kind}, declared string, host string, domain string, suffix string, logs array<double>"
+
+    def guess(shared, last: bool):
+        def run(batches):
+            m = shared.value
+            for b in batches:
+                logs, best, letters = [], [], []
+                for t, before in zip(b.column(6), b.column(5), strict=True):
+                    text = t.as_py() or ""
+                    x = np.concatenate([before.values.to_numpy(), m.likelihood(text, text_weight)])
+                    if last:
+                        known = bool(len(x)) and bool(x.any())
+                        x = x - x.max() if known else x
+                        best.append(int(x.argmax()) if known else None)
+                        letters.append(any(map(str.isalpha, text)))
+                    logs.append(x)
+                out = [*(b.column(i) for i in range(5)), pa.array(logs, pa.list_(pa.float64()))]
+                out += [pa.array(best, pa.int32()), pa.array(letters, pa.bool_())] if last else [b.column(6)]
+                yield pa.RecordBatch.from_arrays(out, names=["row", *evidence, "logs", *(["best", "letters"] if last else ["text"])])
+
+        return run
+
+    first, saved = rows.select("row", *evidence, F.array().cast("array<double>").alias("logs"), "text"), None
+    for low, model in zip(range(0, max(k, 1), models.block), models.blocks(), strict=True):
+        last = low + models.block >= k
+        shared = rows.sparkSession.sparkContext.broadcast(model)
+        first = scratch.save(first.mapInArrow(guess(shared, last), kinds + (", best int, letters boolean" if last else ", text string")))
+        shared.unpersist()
+        scratch.drop(saved)
+        saved = first
     if not k:
         return first.select("row", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), "letters")
 
-    each = range(k)
-    counts = lambda df: [F.count(F.when(F.col("best") == i, 1)).alias(f"n{i}") for i in each]
-    everywhere = first.agg(*counts(first)).first()
-    total = sum(everywhere)
-    whole = [(everywhere[i] + 1) / (total + k) for i in each]
-    arr = lambda cols: F.array(*cols)
+    everywhere = np.zeros(k)
+    for r in first.filter("best is not null").groupBy("best").count().collect():
+        everywhere[r["best"]] = r["count"]
+    whole = (everywhere + 1) / (everywhere.sum() + k)
+    sizes = first.agg(F.count_distinct("declared"), F.count_distinct("suffix")).first()
 
-    def likelihoods(key: str, known: int) -> DataFrame:
-        """log P(value of key | language), one count added for each of the values and an unseen one."""
-        t = first.filter(F.col(key).isNotNull()).groupBy(key).agg(*counts(first))
-        return t.select(key, arr([F.log((F.col(f"n{i}") + 1) / F.lit(float(everywhere[i] + known + 1))) for i in each]).alias(f"{key}_logs"))
+    def counted(key: str) -> DataFrame:
+        """(key, key_n): how often each language is the first guess of the key's rows, as a list of (best, n)."""
+        each = first.filter(F.col(key).isNotNull()).groupBy(key, "best").agg(F.count("*").alias("n"))
+        return each.groupBy(key).agg(F.collect_list(F.when(F.col("best").isNotNull(), F.struct("best", "n"))).alias(f"{key}_n"))
 
-    sizes = first.agg(F.count_distinct("declared"), F.count_distinct("suffix")).first()
-    own = [F.when(F.col("best") == i, 1).otherwise(0) for i in each]
-    domains = first.filter("domain is not null").groupBy("domain").agg(*counts(first)).select("domain", arr([F.col(f"n{i}") for i in each]).alias("domain_n"))
-    hosts = first.filter("host is not null").groupBy("host").agg(*counts(first)).select("host", arr([F.col(f"n{i}") for i in each]).alias("host_n"))
-    full = first.join(likelihoods("declared", sizes[0]), "declared", "left").join(likelihoods("suffix", sizes[1]), "suffix", "left").join(domains, "domain", "left").join(hosts, "host", "left")
-
-    def less_own(col: str) -> list:
-        return [F.coalesce(F.col(col)[i], F.lit(0)) - F.when(F.col(col).isNull(), 0).otherwise(own[i]) for i in each]
-
-    def smoothed(n: list, parent: list) -> list:
-        size = sum(n[1:], n[0])
-        return [(n[i] + pull * parent[i]) / (size + pull) for i in each]
-
-    prior = smoothed(less_own("host_n"), smoothed(less_own("domain_n"), [F.lit(p) for p in whole]))
-    full = full.withColumn("prior", arr(prior))
-    logs = arr([F.col("logs")[i] + F.log(F.col("prior")[i]) + F.coalesce(F.col("declared_logs")[i], F.lit(0.0)) + F.coalesce(F.col("suffix_logs")[i], F.lit(0.0)) for i in each])
-    full = full.withColumn("fused", logs).withColumn("top", F.array_max("fused"))
-    names = arr([F.lit(x) for x in langs])
-    return full.select(
-        "row",
-        F.when(F.col("best").isNotNull(), F.element_at(names, F.col("best") + 1)).alias("text_lang"),
-        F.element_at(names, F.array_position("fused", F.col("top")).cast("int")).alias("lang"),
-        (1 / sum((F.exp(F.col("fused")[i] - F.col("top")) for i in each), F.lit(0.0))).alias("confidence"),
-        "letters",
-    )
-
-
-def identify_pages(pages: DataFrame, labelled: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
+    full = first
+    for key in evidence:
+        full = full.join(counted(key), key, "left")
+
+    def run(batches):
+        for whole_batch in batches:
+            step = max(1, (1 << 18) // k)
+            for low in range(0, whole_batch.num_rows, step):
+                b = whole_batch.slice(low, step)
+                n = b.num_rows
+                fused = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, k)
+                best = b.column(2).fill_null(-1).to_numpy(zero_copy_only=False)
+                own = np.zeros((n, k))
+                own[np.flatnonzero(best >= 0), best[best >= 0]] = 1
+                prior = np.broadcast_to(whole, (n, k))
+                for i in (6, 5):  # domain, then host
+                    c, there = spread(b.column(i), k)
+                    c -= own * there[:, None]
+                    prior = (c + pull * prior) / (c.sum(1, keepdims=True) + pull)
+                fused = fused + np.log(prior)
+                for i, values in ((4, sizes[0]), (7, sizes[1])):  # log P(value | language), one count added for each of the values and an unseen one
+                    c, there = spread(b.column(i), k)
+                    fused += np.log((c + 1) / (everywhere + values + 1)) * there[:, None]
+                top = fused.argmax(1)
+                names = np.array(langs, dtype=object)
+                text_lang = [langs[x] if x >= 0 else None for x in best]
+                sure = 1 / np.exp(fused - fused.max(1, keepdims=True)).sum(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_lang, pa.string()), pa.array(names[top], pa.string()), pa.array(sure), b.column(3)], names=["row", "text_lang", "lang", "confidence", "letters"])
+
+    full = full.select("row", "logs", "best", "letters", "declared_n", "host_n", "domain_n", "suffix_n")
+    return full.mapInArrow(run, f"row {kind}, text_lang string, lang string, confidence double, letters boolean")
+
+
+def identify_pages(pages: DataFrame, labelled: DataFrame, threshold: float = 0.5, block: int = 32, **how) -> DataFrame:
     """A row for each page: page_id, declared, host, suffix, text_lang, lang, confidence, accepted.
 
     The text model learns from ``labelled`` (text, lang).  Null url or html leaves out that evidence;
@@ -164,11 +216,11 @@ def identify_pages(pages: DataFrame, labelled: DataFrame, threshold: float = 0.5
     """
     scratch = Scratch(pages.sparkSession)
     rows = scratch.save(page_evidence(pages).withColumn("row", F.monotonically_increasing_id()))
-    out = fuse(rows, train_text(labelled), scratch, **how)
+    out = fuse(rows, train_text(labelled, scratch, block), scratch, **how)
     return rows.select("row", "page_id", "declared", "host", "suffix").join(out, "row").select("page_id", "declared", "host", "suffix", "text_lang", "lang", "confidence", (F.col("letters") & (F.col("confidence") >= threshold)).alias("accepted"))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", threshold: float = 0.5, **how) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", threshold: float = 0.5, block: int = 32, **how) -> DataFrame:
     """docs without the rows whose language can't be told: no letters, or a fused confidence below ``threshold``.
 
     The declared language is ``lang_col``, the host ``source_col``; the text model learns from all rows with
@@ -179,7 +231,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text, lang = F.col(text_col).cast("string"), F.lower(F.col(lang_col).cast("string"))
     source = F.col(source_col).cast("string")
     rows = docs.select(F.col(id_col).alias("row"), text.alias("text"), lang.alias("declared"), source.alias("host"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("suffix"))
-    out = fuse(rows, train_text(docs.select(text.alias("text"), lang.alias("lang"))), scratch, **how)
+    out = fuse(rows, train_text(docs.select(text.alias("text"), lang.alias("lang")), scratch, block), scratch, **how)
     other = free_name(docs.columns, "row_id")
     good = F.coalesce(F.col("letters") & (F.col("confidence") >= threshold), F.lit(False))
     bad = out.groupBy("row").agg(F.max(good).alias("good")).filter("not good").select(F.col("row").alias(other))

@@ -346,6 +346,16 @@ def test_language(spark, edge, empty):
     assert langid.keep_identified(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [7, 32])
+def test_every_declared_language_is_known(spark, block):
+    """80 languages, the later the rarer."""
+    words = lambda i: " ".join(chr(0x3400 + 50 * i + j) * 3 for j in range(20))
+    labelled = spark.createDataFrame([(words(i), f"l{i:02d}") for i in range(80) for _ in range(1 + (i < 64))], "text string, lang string")
+    pages = spark.createDataFrame([(i, None, f"<p>{words(i)}</p>") for i in range(80)], "page_id bigint, url string, html string")
+    got = langid.identify_pages(pages, labelled, block=block).collect()
+    assert {r["page_id"]: (r["text_lang"], r["lang"]) for r in got} == {i: (f"l{i:02d}",) * 2 for i in range(80)}
+
+
 def test_host_prior_decides_without_text(spark):
     rows = [(i, "http://a.example.org/", "<p>der die das und nicht</p>") for i in range(30)] + [(99, "http://a.example.org/", "<p>zz</p>")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")

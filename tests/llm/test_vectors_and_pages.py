@@ -140,3 +140,21 @@ def test_pipeline_stages(spark, edge):
     plain = edge.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, plain, SF).count() > 0
+
+
+def test_audit_counts_queries_with_few_links():
+    """A hot cluster, answered exactly, does not hide that a narrow beam misses the links of the others."""
+    hot, rare = np.eye(32, dtype=np.float32)[[0] * 1000], np.eye(32, dtype=np.float32)[[1, 2, 3, 4, 5] * 2]
+
+    class Narrow:
+        x = np.concatenate([hot, rare])
+
+        def search(self, q, beam):
+            sims = q @ self.x.T
+            if beam < 128:
+                sims[:, len(hot):] = -1
+            ids = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
+            return ids, np.take_along_axis(sims, ids, 1)
+
+    u, v = hnsw.neighbours(Narrow(), np.concatenate([hot[:100], rare[:5]]), 0.95)
+    assert (v >= len(hot)).sum() == 10 and (v < len(hot)).sum() == 100 * len(hot)

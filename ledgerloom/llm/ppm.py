@@ -1,13 +1,18 @@
 """Scores by prediction by partial matching (PPM) over bytes, and the word model it is compared with.
 
-The trie of byte contexts is a table of (context, symbol, count) that Spark sums over all training texts.
-Its depth is the largest, up to ``order`` bytes, at which it has at most ``max_nodes`` leaves; two bytes always
-fit (there are fewer than 2^24 of them, which is the proven bound of what every task gets).  All leaves at that depth
-are kept, so every count covers the whole corpus.  Escapes are estimated by method D (half a count is taken
-from each distinct symbol of the context for what is new there), and the symbols of a longer context are excluded from the shorter ones, so
-the probabilities in each context sum to one.  The counts are fixed before scoring, and a text is scored by
-array reads: a hash probe for the longest context, and the chain of escapes for the few bytes that are new
-there.
+The trie of byte contexts is a Spark table of (code, n): a code is a context of ``order`` bytes and the symbol
+after it.  ``order`` is fixed; it does not change with the size of the corpus, and all codes of all training
+texts count.  The shorter contexts are sums over that table, so the trie is one table a level.
+
+Escapes are estimated by method D (half a count of each distinct symbol of a context goes to what is new
+there), and the symbols of a longer context are excluded from the next shorter one, so the probabilities in
+each context sum to one.  The code length of a code needs its own level and what its suffix found one level
+below: a join from each level to the next, whose fan-out is at most 256, and a window over a context, which
+has at most 257 rows.  Neither has a hot key at any size of the corpus.
+
+No task and not the driver holds the trie.  Texts are packed into blocks of about ``block_bytes``; each block
+lists its distinct codes, gets their code lengths back by a join, and is scored from that list, which is
+no longer than the block's own text.
 """
 
 from __future__ import annotations
@@ -16,7 +21,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, crc_bucket
@@ -28,6 +34,10 @@ SYMBOLS, END, BITS = 257, 256, 9
 END_WORD = "\n"
 
 
+def utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
 def stream(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all symbols of the texts in their contexts of ``order`` bytes (zero bytes stand before a
     text), and where each text's symbols start."""
@@ -69,224 +79,203 @@ def merge(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return code[first], np.add.reduceat(count, first)
 
 
-def count_contexts(texts: DataFrame, order: int) -> DataFrame:
-    """(code, n) of every context of ``order`` bytes and symbol.  texts: (text)."""
+def packed_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, docs): the rows (id, held_out, text) in runs of about ``block_bytes`` of text, compressed."""
 
     def run(batches):
-        codes, counts = [], []
+        part, made, kept, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, kept[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for b in kept:
+                    w.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
+
         for b in batches:
-            for part in chunks([(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(0)]):
-                code, count = np.unique(stream(part, order)[0], return_counts=True)
-                codes.append(code)
-                counts.append(count)
-                if len(codes) >= 16:
-                    code, count = merge(codes, counts)
-                    codes, counts = [code], [count]
-        if codes:
-            code, count = merge(codes, counts)
-            for i in range(0, len(code), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(code[i : i + 100_000]), pa.array(count[i : i + 100_000].astype(np.int64))], names=["code", "n"])
-
-    return texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def starts(code: np.ndarray) -> np.ndarray:
-    """Where the codes of each context start, in ascending codes."""
-    new = np.ones(len(code), bool)
-    new[1:] = (code[1:] ^ code[:-1]) >> BITS != 0
-    return np.flatnonzero(new)
-
-
-def log10(x: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(x, 1e-300)).astype(np.float32)
-
-
-class Ppm:
-    """log10 probabilities from the leaves (code, n) of a trie of contexts of ``order`` bytes."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray, order: int):
-        """code: ascending.  Temporary arrays are kept few and small, as this runs beside the driver's JVM."""
-        self.order = order
-        #: By order: codes; logs of probability and of count; contexts; logs of the escape, and, for who
-        #: comes from this context to the next shorter one, of the count it divides by and of the escape there.
-        self.code, self.p, self.n, self.context, self.escape, self.divide, self.onward = ([None] * (order + 1) for _ in range(7))
-        counts: list = [None] * (order + 1)
-        self.code[order], counts[order] = code, n
-        for j in reversed(range(order)):
-            self.code[j], counts[j] = merge([self.code[j + 1] & ((1 << (8 * j + BITS)) - 1)], [counts[j + 1]]) if len(code) else (code, n)
-        total = size = np.zeros(0, np.int64)
-        for j in range(order + 1):
-            own, count = self.code[j], counts[j]
-            first = starts(own)
-            longer_total, longer_size = total, size
-            context, size = own[first] >> BITS, np.diff(np.append(first, len(own)))
-            total = np.add.reduceat(count, first, dtype=np.int64) if len(own) else np.zeros(0, np.int64)
-            self.context[j], self.n[j] = context, log10(count - np.float32(0.5))
-            self.p[j] = self.n[j] - np.repeat(log10(total), size)
-            self.escape[j] = log10(size / 2 / np.maximum(total, 1))
-            if j and len(own):
-                up = np.searchsorted(self.context[j - 1], context & ((1 << (8 * (j - 1))) - 1))
-                same = np.empty(len(own), np.int64)
-                for low in range(0, len(own), 1 << 18):
-                    some = own[low : low + (1 << 18)] & ((1 << (8 * (j - 1) + BITS)) - 1)
-                    same[low : low + (1 << 18)] = counts[j - 1][np.searchsorted(self.code[j - 1], some)]
-                left = longer_total[up] - np.add.reduceat(same, first)
-                fresh = longer_size[up] - size
-                self.divide[j] = log10(left)
-                self.onward[j] = np.where(fresh > 0, log10(fresh / 2 / np.maximum(left, 1)), np.float32(0))
-                del same
-            elif j:
-                self.divide[j] = self.onward[j] = np.zeros(0, np.float32)
-        self.floor = np.float32(-np.log10(max(SYMBOLS - len(self.code[0]), 1)))
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("slots", "values")}
-
-    def probe(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of the codes at the longest context; positive where the trie hasn't the code."""
-        if "slots" not in self.__dict__:
-            self.shift = 64 - max(4, int(2 * len(self.code[-1])).bit_length())
-            self.slots = np.full(1 << (64 - self.shift), -1, np.int64)
-            self.values = np.ones(len(self.slots), np.float32)
-            keys, at = self.code[-1], self.slot(self.code[-1])
-            values = self.p[-1]
-            while len(keys):
-                free = self.slots[at] < 0
-                self.slots[at[free]] = keys[free]  # of several keys for a slot the last one stays
-                placed = self.slots[at] == keys
-                self.values[at[placed]] = values[placed]
-                keys, values, at = keys[~placed], values[~placed], (at[~placed] + 1) & (len(self.slots) - 1)
-        at = self.slot(code)
-        there = self.slots[at]
-        out = np.where(there == code, self.values[at], np.float32(1))
-        todo = np.flatnonzero((there != code) & (there >= 0))
-        while len(todo):
-            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
-            there = self.slots[at[todo]]
-            hit = there == code[todo]
-            out[todo[hit]] = self.values[at[todo[hit]]]
-            todo = todo[~hit & (there >= 0)]
-        return out
+            sizes = np.array([len(t.as_buffer() or b"") for t in b.column(2)], dtype=np.int64)
+            low = 0
+            while low < b.num_rows:
+                fits = int(np.searchsorted(np.cumsum(sizes[low:]), block_bytes - size)) + 1
+                some = b.slice(low, fits)
+                kept.append(some)
+                size += int(sizes[low : low + some.num_rows].sum())
+                low += some.num_rows
+                if size >= block_bytes:
+                    yield flush()
+                    made, kept, size = made + 1, [], 0
+        if kept:
+            yield flush()
 
-    def slot(self, code: np.ndarray) -> np.ndarray:
-        return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+    return rows.select("id", "held_out", "text").mapInArrow(run, "block bigint, docs binary")
 
-    def logs(self, code: np.ndarray) -> np.ndarray:
-        out = self.probe(code) if len(self.code[-1]) else np.ones(len(code), np.float32)
-        new = np.flatnonzero(out > 0)
-        if not len(new):
-            return out
-        code, res = code[new], np.zeros(len(new), np.float32)
-        live = np.arange(len(new))
-        came = np.full(len(new), -1)  # the longer context that was escaped from
-        for j in range(self.order, -1, -1):
-            c = code[live] & ((1 << (8 * j + BITS)) - 1)
-            if j < self.order:
-                node, hit = find(self.code[j], c)
-                of, from_ = live[hit], came[live[hit]]
-                if len(of):
-                    res[of] += np.where(from_ >= 0, self.n[j][node[hit]] - self.divide[j + 1][np.maximum(from_, 0)] if len(self.divide[j + 1]) else 0, self.p[j][node[hit]])
-                live, c = live[~hit], c[~hit]
-                from_ = came[live]
-                if len(self.onward[j + 1]):
-                    res[live] += np.where(from_ >= 0, self.onward[j + 1][np.maximum(from_, 0)], 0)
-            else:
-                from_ = came[live]
-            at, known = find(self.context[j], c >> BITS)
-            if len(self.escape[j]):
-                res[live] += np.where(known & (from_ < 0), self.escape[j][at], 0)
-            came[live] = np.where(known, at, -1)
-        res[live] += self.floor
-        out[new] = res
-        return out
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        out = []
-        for part in chunks(texts):
-            code, starts = stream(part, self.order)
-            out.append(np.add.reduceat(self.logs(code).astype(np.float64), starts))
-        return np.concatenate(out) if out else np.zeros(0)
 
+def unpacked(docs: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(docs.as_buffer()).read_all()
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each wanted number is among the sorted keys, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
 
+def block_codes(blocks: DataFrame, order: int) -> DataFrame:
+    """(block, code, n) of all codes of each block; n counts its training texts only and can be 0."""
 
-def fit(texts: DataFrame, scratch: Scratch, order: int = 5, max_nodes: int = 3 << 20) -> Ppm:
-    """The model of all ``texts`` (text).  What reaches the driver has at most ``max_nodes`` rows, or, at
-    two bytes, 2^16 * 257."""
-    trie = scratch.save(count_contexts(texts, order))
-    while order > 2 and trie.count() > max_nodes:
-        order -= 1
-        trie = scratch.save(trie.groupBy((F.col("code").bitwiseAND(F.lit((1 << (8 * order + BITS)) - 1))).alias("code")).agg(F.sum("n").alias("n")))
-    got = trie.select("code", "n").toArrow()
-    code, n = got["code"].to_numpy(), got["n"].to_numpy()
-    del got
-    at = np.argsort(code)
-    return Ppm(code[at], n[at], order)
+    def run(batches):
+        for b in batches:
+            for block, docs in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                t, codes, counts = unpacked(docs), [], []
+                for held in (False, True):
+                    some = t.column("text").filter(t.column("held_out") if held else pa.compute.invert(t.column("held_out")))
+                    for part in chunks([utf8(x.as_py()) for x in some]):
+                        code, count = np.unique(stream(part, order)[0], return_counts=True)
+                        codes.append(code)
+                        counts.append(count * (not held))
+                        if len(codes) >= 16:
+                            code, count = merge(codes, counts)
+                            codes, counts = [code], [count]
+                code, count = merge(codes, counts)
+                for i in range(0, len(code), 100_000):
+                    c = code[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), block)), pa.array(c), pa.array(count[i : i + 100_000].astype(np.int64))], names=["block", "code", "n"])
+
+    return blocks.mapInArrow(run, "block bigint, code bigint, n bigint")
+
+
+def code_logs(counts: DataFrame, order: int, scratch: Scratch) -> DataFrame:
+    """(code, log): log10 of each code's probability.
+
+    counts (code, n): a row for each code of ``order`` bytes whose probability is wanted or that trains;
+    codes with n = 0 are wanted only.  With no training at all the symbols are equally likely.
+    """
+    suffix = lambda j: F.col("code").bitwiseAND(F.lit((1 << (8 * j + BITS)) - 1))
+    levels = {order: scratch.save(counts)}
+    for j in reversed(range(order)):
+        levels[j] = scratch.save(levels[j + 1].groupBy(suffix(j).alias("code")).agg(F.sum("n").alias("n")))
+    context, known, done = Window.partitionBy("context"), F.col("n") > 0, None
+    for j in range(order + 1):
+        rows = levels[j].withColumn("context", F.shiftright("code", BITS))
+        rows = rows.withColumn("total", F.sum("n").over(context)).withColumn("size", F.count(F.when(known, 1)).over(context))
+        if done is None:  # below all contexts, what is new is one of the symbols that never occurred
+            rows = rows.withColumn("next", -F.log10(F.greatest(F.lit(SYMBOLS) - F.col("size"), F.lit(1)))).withColumn("lower_log", F.col("next"))
+        else:
+            lower = done.select(F.col("code").alias("below"), *(F.col(c).alias(f"lower_{c}") for c in ("n", "total", "size", "next", "log")))
+            rows = rows.withColumn("below", suffix(j - 1)).join(lower, "below")
+            rows = rows.withColumn("left", F.col("lower_total") - F.coalesce(F.sum(F.when(known, F.col("lower_n"))).over(context), F.lit(0)))
+            fresh = F.col("lower_size") - F.col("size")
+            escape = F.when(fresh > 0, F.log10(fresh / 2 / F.col("left"))).otherwise(0.0)
+            #: What follows on an escape from this context.
+            rows = rows.withColumn("next", F.when(F.col("lower_n") > 0, F.log10(F.col("lower_n") - 0.5) - F.log10("left")).otherwise(escape + F.col("lower_next")))
+        log = F.when(known, F.log10((F.col("n") - 0.5) / F.col("total"))).when(F.col("total") > 0, F.log10(F.col("size") / 2 / F.col("total")) + F.col("next")).otherwise(F.col("lower_log"))
+        done = scratch.save(rows.select("code", "n", "total", "size", "next", log.alias("log")))
+        scratch.drop(levels[j])
+    return done.select("code", "log")
+
+
+class Lookup:
+    """Numbers by code, as a hash table in arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = 64 - max(4, int(2 * len(keys)).bit_length())
+        self.slots = np.full(1 << (64 - self.shift), -1, np.int64)
+        self.values = np.zeros(len(self.slots))
+        at = self.slot(keys)
+        while len(keys):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = keys[free]  # of several keys for a slot the last one stays
+            placed = self.slots[at] == keys
+            self.values[at[placed]] = values[placed]
+            keys, values, at = keys[~placed], values[~placed], (at[~placed] + 1) & (len(self.slots) - 1)
 
+    def slot(self, code: np.ndarray) -> np.ndarray:
+        return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        """The values of the codes, all of which the table has."""
+        at = self.slot(code)
+        todo = np.flatnonzero(self.slots[at] != code)
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
+            there = self.slots[at[todo]]
+            if (there < 0).any():
+                raise KeyError("a code without a code length")
+            todo = todo[there != code[todo]]
+        return self.values[at]
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n) of all words of the texts (text) and of their ends, each text having one."""
+
+def text_logs(texts: list[bytes], order: int, logs: Lookup) -> np.ndarray:
+    out = []
+    for part in chunks(texts):
+        code, starts = stream(part, order)
+        out.append(np.add.reduceat(logs.of(code), starts))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def count_words(blocks: DataFrame) -> DataFrame:
+    """(word, n, times) of all words of the texts and of their ends, of which each text has one: in training
+    texts and in all."""
 
     def run(batches):
         for b in batches:
-            found: Counter = Counter()
-            for t in b.column(0):
-                found.update(text_words(t.as_py()))
-            found[END_WORD.encode()] = b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+            for docs in b.column(1):
+                t = unpacked(docs)
+                train, held = Counter(), Counter()
+                for text, out in zip(t.column("text"), t.column("held_out").to_pylist(), strict=True):
+                    (held if out else train).update([*text_words(text.as_py()), END_WORD.encode()])
+                for found, n in ((train, 1), (held, 0)):
+                    times = pa.array(list(found.values()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.binary()).cast(pa.string()), pa.compute.multiply(times, n), times], names=["word", "n", "times"])
 
-    return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return blocks.mapInArrow(run, "word string, n bigint, times bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2, frequent: int = 1 << 16, order: int = 5, max_nodes: int = 3 << 20) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2, frequent: int = 1 << 18, order: int = 5, block_bytes: int = 1 << 24) -> DataFrame:
     """A row for each row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32 of the id as text, modulo ``mod``, is ``held`` are held out; all others train both
     models.  base_score is the add-one word model's log10 probability, score that of the byte model.  Null
     text counts as empty; a null id trains.  Repeated rows count each.  With no training rows both models
-    are uniform.  Counts of the ``frequent`` most frequent words go to every task; all other words of a
-    document are joined with the counts, so that no frequent word makes a hot key, and none is left out.
-    Other columns are not read.
+    are uniform.  Counts of the ``frequent`` most frequent words of all texts go to every task; all other
+    words of a document are joined with the counts, so that no frequent word makes a hot key, and none is
+    left out.  Other columns are not read.
     """
+    if not 1 <= order <= 6:
+        raise ValueError("order must be from 1 to 6")
     spark = df.sparkSession
     scratch = Scratch(spark)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(crc_bucket(id_col, mod) == held, F.lit(False)).alias("held_out"))
-    train = rows.filter("not held_out").select("text")
-    words = scratch.save(count_words(train))
-    n_all, n_distinct = (int(x or 0) for x in words.agg(F.sum("n"), F.count("*")).first())
-    top = {r["word"].encode("utf-8", "surrogatepass"): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(frequent).filter(F.length("word") <= 256).toLocalIterator()}
-    model = spark.sparkContext.broadcast((top, fit(train, scratch, order, max_nodes)))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(crc_bucket(id_col, mod) == held, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    blocks = scratch.save(packed_blocks(rows, block_bytes))
+    words = scratch.save(count_words(blocks))
+    n_all, n_distinct = (int(x or 0) for x in words.filter("n > 0").agg(F.sum("n"), F.count("*")).first())
+    top = words.orderBy(F.col("word") != END_WORD, F.desc("times"), "word").limit(frequent + 1).filter(F.length("word") <= 256).select("word", "n").toArrow()
+    top = spark.sparkContext.broadcast({utf8(w): n for w, n in zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)})
+    codes = scratch.save(block_codes(blocks, order))
+    logs = code_logs(codes.groupBy("code").agg(F.sum("n").alias("n")), order, scratch)
+    wanted = codes.select("block", "code").join(logs, "code")
     kind = df.schema[id_col].dataType.simpleString()
+    end = END_WORD.encode()
 
-    def run(batches):
-        known, ppm = model.value
-        of, end = known.get, known.get(END_WORD.encode(), 0)
-        for b in batches:
-            for low in range(0, b.num_rows, 512):
-                some = b.slice(low, 512)
-                texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in some.column(1)]
-                tokens, hits, logs, rare, times = [], [], [], [], []
-                for t in texts:
-                    split = t.lower().split()
-                    c = np.array([of(w, 0) for w in split] + [end], dtype=np.float64)
-                    others = Counter(w for w, x in zip(split, c, strict=False) if not x)
-                    tokens.append(len(split) + 1)
-                    hits.append(int((c > 0).sum()))
-                    logs.append(float(np.log10(c + 1).sum()))
-                    rare.append([w.decode("utf-8", "surrogatepass") for w in others])
-                    times.append(list(others.values()))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(logs, pa.float64()), pa.array(ppm.score(texts), pa.float64()), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))], names=["id", "held_out", "n_tokens", "hits", "logs", "score", "rare", "times"])
-
-    scored = rows.select("id", "text", "held_out").mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, hits bigint, logs double, score double, rare array<string>, times array<bigint>")
+    def score(docs: pa.Table, found: pa.Table) -> pa.Table:
+        of = top.value.get
+        length_of = Lookup(found.column("code").to_numpy(), found.column("log").to_numpy())
+        out = []
+        for packed in docs.column("docs"):
+            t = unpacked(packed)
+            texts = [utf8(x.as_py()) for x in t.column("text")]
+            tokens, hits, logs, rare, times = [], [], [], [], []
+            for text in texts:
+                split = text.lower().split()
+                c = np.array([*(of(w, -1) for w in split), of(end, 0)], dtype=np.float64)
+                others = Counter(w for w, x in zip(split, c, strict=False) if x < 0)
+                tokens.append(len(split) + 1)
+                hits.append(int((c > 0).sum()))
+                logs.append(float(np.log10(np.maximum(c, 0) + 1).sum()))
+                rare.append([w.decode("utf-8", "surrogatepass") for w in others])
+                times.append(list(others.values()))
+            out.append(pa.table({"id": t.column("id"), "held_out": t.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "hits": pa.array(hits, pa.int64()), "logs": pa.array(logs, pa.float64()), "score": pa.array(text_logs(texts, order, length_of), pa.float64()), "rare": pa.array(rare, pa.list_(pa.string())), "times": pa.array(times, pa.list_(pa.int64()))}))
+        return pa.concat_tables(out)
+
+    scored = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(score, f"id {kind}, held_out boolean, n_tokens bigint, hits bigint, logs double, score double, rare array<string>, times array<bigint>")
     scored = scratch.save(scored.withColumn("row", F.monotonically_increasing_id()))
+    scratch.drop(codes, blocks)
     each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    found = each.join(words, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("more_logs"))
+    found = each.join(words.filter("n > 0").select("word", "n"), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("more_logs"))
     full = scored.drop("rare", "times").join(found, "row", "left")
     return full.select(
         F.col("id").alias(id_col), "held_out", "n_tokens",

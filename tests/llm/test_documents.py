@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import langid, mixing, packing, ppm, queries, simhash, tokencounts, toxicity
+from ledgerloom.llm import common, langid, mixing, packing, ppm, queries, simhash, tokencounts, toxicity
 
 SF = "/root/testdata/sf0.001"
 SF2 = "/root/testdata/sf0.01"
@@ -279,7 +279,7 @@ def brute_ppm(code_counts, order, context, symbol):
     p, excluded = 1.0, set()
     for j in range(order, -1, -1):
         c = context[len(context) - j :]
-        seen = {s: n for (k, s), n in code_counts[j].items() if k == c}
+        seen = code_counts[j].get(c)
         if not seen:
             continue
         left = {s: n for s, n in seen.items() if s not in excluded}
@@ -292,31 +292,55 @@ def brute_ppm(code_counts, order, context, symbol):
     return p / (257 - len(excluded))
 
 
-def test_ppm_by_hand():
-    texts, order = [b"abracadabra", b"abc", b""], 3
-    codes = np.concatenate([ppm.stream([t], order)[0] for t in texts])
-    code, n = np.unique(codes, return_counts=True)
-    model = ppm.Ppm(code, n, order)
-    counts = [Counter() for _ in range(order + 1)]
+def contexts(texts, order):
+    counts = [{} for _ in range(order + 1)]
     for t in texts:
         padded = b"\0" * order + t
         for i in range(order, len(padded) + 1):
-            s = padded[i] if i < len(padded) else 256
             for j in range(order + 1):
-                counts[j][padded[i - j : i], s] += 1
-    for t in (b"abra", b"zzz", b"cab\xff", b"", b"dabracada"):
-        padded, want = b"\0" * order + t, 0.0
-        for i in range(order, len(padded) + 1):
-            want += math.log10(brute_ppm(counts, order, padded[i - order : i], padded[i] if i < len(padded) else 256))
-        assert abs(model.score([t])[0] - want) < 1e-4
-    both = model.score([b"abra", b"", b"zzz"])
-    assert np.allclose(both, [model.score([t])[0] for t in (b"abra", b"", b"zzz")])
-    every = (np.int64(int.from_bytes(b"abr", "big")) << 9) | np.arange(257)
-    assert abs((10.0 ** model.logs(every)).sum() - 1) < 1e-5
+                counts[j].setdefault(padded[i - j : i], Counter())[padded[i] if i < len(padded) else 256] += 1
+    return counts
+
+
+def brute_score(counts, order, text):
+    padded = b"\0" * order + text
+    return sum(math.log10(brute_ppm(counts, order, padded[i - order : i], padded[i] if i < len(padded) else 256)) for i in range(order, len(padded) + 1))
+
+
+def test_ppm_by_hand(spark, tmp_path):
+    """Document scores by the escape chain, symbol by symbol; a context's probabilities sum to one."""
+    texts, order = ["abracadabra", "abc", "", None, "zzz", "cabÿ", "dabracada", "日本語のabra"] * 2, 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    bytes_of = [(t or "").encode() for t in texts]
+    train = [t for i, t in enumerate(bytes_of) if zlib.crc32(str(i).encode()) % 2 != 1]
+    counts = contexts(train, order)
+    for block_bytes in (16, 1 << 24):
+        got = {r["doc_id"]: r["score"] for r in ppm.lm_scores(df, mod=2, held=1, order=order, block_bytes=block_bytes).collect()}
+        assert all(abs(got[i] - brute_score(counts, order, t)) < 1e-9 for i, t in enumerate(bytes_of)) and len(got) == len(texts)
+    code, n = np.unique(np.concatenate([ppm.stream([t], order)[0] for t in train]), return_counts=True)
+    known = dict(zip(code.tolist(), n.tolist(), strict=True))
+    for context in (b"abr", b"xab", b"zzq"):
+        every = {(int.from_bytes(context, "big") << 9) | s: 0 for s in range(257)}
+        rows = spark.createDataFrame([(int(c), int(x)) for c, x in (every | known).items()], "code bigint, n bigint")
+        logs = dict(map(tuple, ppm.code_logs(rows, order, common.Scratch(spark)).collect()))
+        assert abs(sum(10.0 ** logs[c] for c in every) - 1) < 1e-9
+
+
+def test_lm_does_not_depend_on_size(spark):
+    """The depth stays: ten times the same training texts give each text the scores of ten times the counts."""
+    base = [(i, r["text"]) for i, r in enumerate(docs(spark).limit(40).collect())]
+    train = [t for i, t in base if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = contexts([t.encode() for t in train], 5)
+    few = {r["doc_id"]: r["score"] for r in ppm.lm_scores(spark.createDataFrame(base, "doc_id bigint, text string")).collect()}
+    short = sorted((i for i, t in base if len(t) < 3000), key=lambda i: (zlib.crc32(str(i).encode()) % 7 != 2, i))[:4]
+    assert all(abs(few[i] - brute_score(counts, 5, dict(base)[i].encode())) < 1e-6 for i in short)
+    many = spark.createDataFrame([*base, *((1000 * k + i, t) for k in range(1, 4) for i, t in base if zlib.crc32(str(i).encode()) % 7 != 2 and zlib.crc32(str(1000 * k + i).encode()) % 7 != 2)], "doc_id bigint, text string")
+    again = {r["doc_id"]: r["score"] for r in ppm.lm_scores(many, block_bytes=1 << 14).collect()}
+    assert all(again[i] > few[i] for i, t in base if zlib.crc32(str(i).encode()) % 7 != 2)
 
 
 def test_lm_scores(spark, edge, empty):
-    for df, frequent in ((docs(spark), 50), (edge, 1 << 16)):
+    for df, frequent in ((docs(spark), 50), (edge, 1 << 16), (edge, 0)):
         rows = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [b"\n"]) for r in df.collect()]
         train = [w for i, w in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
         c = Counter(x for w in train for x in w)

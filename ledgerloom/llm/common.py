@@ -44,11 +44,6 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
-    def release(self) -> None:
-        """Lets Spark's cleaner delete the shuffle files of finished steps now, not at the driver's next garbage
-        collection, which may come after many steps."""
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables of this scratch that no later plan reads."""
         for t in tables:

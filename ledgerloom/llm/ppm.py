@@ -163,7 +163,7 @@ def code_logs(counts: DataFrame, order: int, scratch: Scratch) -> DataFrame:
             #: What follows on an escape from this context.
             rows = rows.withColumn("next", F.when(F.col("lower_n") > 0, F.log10(F.col("lower_n") - 0.5) - F.log10("left")).otherwise(escape + F.col("lower_next")))
         log = F.when(known, F.log10((F.col("n") - 0.5) / F.col("total"))).when(F.col("total") > 0, F.log10(F.col("size") / 2 / F.col("total")) + F.col("next")).otherwise(F.col("lower_log"))
-        done = scratch.save(rows.select("code", "n", "total", "size", "next", log.alias("log")))
+        done = scratch.save(rows.select("code", "n", "total", "size", "next", log.cast("float").alias("log") if j == order else log.alias("log")))
         scratch.drop(levels[j])
     return done.select("code", "log")
 
@@ -225,7 +225,7 @@ def count_words(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "word string, n bigint, times bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2, frequent: int = 1 << 18, order: int = 5, block_bytes: int = 1 << 24) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2, frequent: int = 1 << 18, order: int = 5, block_bytes: int = 1 << 25) -> DataFrame:
     """A row for each row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32 of the id as text, modulo ``mod``, is ``held`` are held out; all others train both

@@ -5,6 +5,12 @@ segment differs by at most one bit.  Each segment is indexed once for each of it
 wiped out (a one-wildcard variant); fingerprints that share a variant meet in an equality join and are
 verified on all bits.
 
+Near-duplicates on shingles (``simhash_near_duplicates``) need more than bits: where one stretch of a text
+is new, a fifth of its word pairs differ at similarity 0.8 and some 15 % of the bits, too many for a segment.
+But all of the text before or after the stretch is untouched.  Each text is therefore also cut at its word
+pairs with the smallest hashes, which near copies mostly have in common, and the parts before and after each
+cut are keys of their own (``part_keys``), if they are a third of the text or more.
+
 Dense groups.  Rows with one fingerprint are one node.  A first pass walks every bucket in order and
 compares a row with the bucket's first and with the row before it, which joins nearly all of a dense group
 in linear work.  A second pass compares, in each bucket that still mixes components, every row outside the
@@ -48,45 +54,80 @@ def spans(words: list[bytes], n: int) -> tuple[bytes, list[tuple[int, int]]]:
     return joined, list(zip([0, *ends[:-n]], [e - 1 for e in ends[n - 1 :]], strict=True))
 
 
-def fingerprint(words: list[bytes], n: int, distinct: bool, size: int) -> list[int]:
-    """``size`` (1 or 2) signed 64-bit parts; a bit is set where over half of the shingles' hashes have it.
+def bits_of(digests: np.ndarray) -> list[int]:
+    """Signed 64-bit parts; a bit is set where over half of the digests (a row of bytes each) have it."""
+    ones = np.unpackbits(digests, axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(digests)).view(">i8").tolist()
 
-    One part takes XXH64, two take XXH3 with 128 bits, both with the seed 42, most significant bit first.
-    """
+
+def fingerprint(words: list[bytes], n: int) -> int:
+    """The SimHash of all shingles' XXH64 with seed 42, most significant bit first; no words: zero."""
+    joined, at = spans(words, n)
+    if not at:
+        return 0
+    return bits_of(np.frombuffer(b"".join(xxhash.xxh64_digest(joined[a:b], SEED) for a, b in at), np.uint8).reshape(len(at), -1))[0]
+
+
+def wide_fingerprint(words: list[bytes], n: int, cuts: int) -> tuple[list[int], list[int]]:
+    """The SimHash of the distinct shingles' XXH3 with 128 bits and seed 42 as two parts, and the text's part keys."""
     joined, at = spans(words, n)
-    shingles = [joined[a:b] for a, b in at]
-    if distinct:
-        shingles = list(set(shingles))
-    if not shingles:
-        return [0] * size
-    digests = [xxhash.xxh64_digest(s, SEED) for s in shingles] if size == 1 else [xxhash.xxh3_128_digest(s, SEED) for s in shingles]
-    bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(len(shingles), -1), axis=1)
-    ones = bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > len(shingles)).view(">i8").tolist()
+    if not at:
+        return [0, 0], []
+    first = {joined[a:b]: (a, b) for a, b in reversed(at)}
+    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s, SEED) for s in first), np.uint8).reshape(len(first), -1)
+    return bits_of(digests), part_keys(joined, list(first.values()), digests, cuts)
 
 
-def with_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle_words: int, distinct: bool = False, size: int = 1) -> DataFrame:
-    """(id, tid, f0 [, f1 ..]): tid is a 64-bit hash of the word sequence, f* the fingerprint's parts.
+def part_keys(joined: bytes, at: list[tuple[int, int]], digests: np.ndarray, cuts: int) -> list[int]:
+    """Negative hashes of what ends, and of what starts, with one of the ``cuts`` shingles of the smallest hashes.
 
-    Null and empty texts have no words: fingerprint zero.
+    Parts of less than a third of the text give no key: what they share is too little for a near copy.
     """
+    order = digests[:, :8].copy().view(">u8")[:, 0]
+    lowest = np.argpartition(order, cuts)[:cuts] if len(order) > cuts else np.arange(len(order))
+    found = set()
+    for a, b in (at[i] for i in lowest.tolist()):
+        for part, seed in ((joined[:b], 1), (joined[a:], 2)):
+            if 3 * len(part) >= len(joined) and len(part) < len(joined):
+                found.add((xxhash.xxh64_intdigest(part, seed) >> 1) - (1 << 63))
+    return list(found)
+
+
+def with_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """(id, f0).  Null and empty texts have no words: fingerprint zero."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            f0 = [fingerprint(text_words(t.as_py()), shingle_words) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f0, pa.int64())], names=["id", "f0"])
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, f0 bigint")
+
+
+def with_wide_fingerprints(df: DataFrame, id_col: str, text_col: str, shingle_words: int, cuts: int) -> DataFrame:
+    """(id, tid, f0, f1, parts): tid is a 64-bit hash of the word sequence, parts the part keys."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            tid, parts = [], [[] for _ in range(size)]
+            cols = [[] for _ in range(4)]
             for text in b.column(1):
                 words = text_words(text.as_py())
-                tid.append(xxhash.xxh64_intdigest(b" ".join(words), 7) - (1 << 63))
-                for p, f in zip(parts, fingerprint(words, shingle_words, distinct, size), strict=True):
-                    p.append(f)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tid, pa.int64()), *(pa.array(p, pa.int64()) for p in parts)], names=["id", "tid", *(f"f{i}" for i in range(size))])
+                bits, parts = wide_fingerprint(words, shingle_words, cuts)
+                for c, v in zip(cols, (xxhash.xxh64_intdigest(b" ".join(words), 7) - (1 << 63), *bits, parts), strict=True):
+                    c.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols, kinds)], names=["id", "tid", "f0", "f1", "parts"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, tid bigint, " + ", ".join(f"f{i} bigint" for i in range(size)))
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, tid bigint, f0 bigint, f1 bigint, parts array<bigint>")
 
 
 def variants(nodes: DataFrame, size: int, segments: int) -> DataFrame:
-    """nodes with a row for each one-wildcard variant of each segment of each part; key holds both."""
+    """nodes with a row for each one-wildcard variant of each segment of each part; key holds both.
+
+    Where nodes have part keys (parts), each of these is a key too; they are negative, the others are not.
+    """
     keys = []
     for part in range(size):
         for s, (at, width) in enumerate(cut(64, segments)):
@@ -94,6 +135,8 @@ def variants(nodes: DataFrame, size: int, segments: int) -> DataFrame:
             for j in range(width):
                 tag = ((part * segments + s) * 64 + j) << 32
                 keys.append(segment.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << j))).bitwiseOR(F.lit(tag)))
+    if "parts" in nodes.columns:
+        return nodes.withColumn("key", F.explode(F.concat(F.array(*keys), F.coalesce("parts", F.array().cast("array<bigint>"))))).drop("parts")
     return nodes.withColumn("key", F.explode(F.array(*keys)))
 
 
@@ -112,10 +155,11 @@ def first_meeting(size: int, segments: int) -> F.Column:
     return F.coalesce(*found)
 
 
-def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch: Scratch, verify=None, overlap=None, threshold: float = 0.0) -> DataFrame:
+def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch: Scratch, verify=None, overlap=None, threshold: float = 0.0, part_distance: int = 0) -> DataFrame:
     """(node, comp) of the nodes that have a link: at most ``max_distance`` bits apart, and verified.
 
-    nodes: (node bigint, f0 [, f1 ..]), one row a node.  verify takes and returns pairs (u, v); None: the
+    nodes: (node bigint, f0 [, f1 ..] [, parts]), one row a node; nodes that share a part key may be up to
+    ``part_distance`` bits apart.  verify takes and returns pairs (u, v); None: the
     bits decide.  Where the segments guarantee the meeting (max_distance < 2 * segments * size), no link
     between components is lost; beyond it the meeting is likely, not sure.
 
@@ -123,17 +167,18 @@ def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch:
     one's set, and how many of its members any other of these nodes has.  The second pass then leaves out
     pairs whose similarity can't reach ``threshold``: their sets have at most the smaller ``shared`` in common.
     """
-    parts = [f"f{i}" for i in range(size)]
-    cols = ["node", *parts]
+    cols = ["node", *(f"f{i}" for i in range(size))]
+    indexed = [c for c in nodes.columns if c == "parts"]
+    within = F.when(F.col("key") < 0, part_distance).otherwise(max_distance)
 
     def walk(rows: DataFrame, order: list[str]) -> DataFrame:
         """(node, a, b, c): each node's nearest bucket first, nearest predecessor and best bucket first."""
         by_key = Window.partitionBy("key").orderBy(*order, "node")
         here = F.struct(*order, *cols)
-        met = variants(rows.select(*order, *cols), size, segments).select(
-            *cols, F.first(here).over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"), F.lag(here).over(by_key).alias("prev")
+        met = variants(rows.select(*order, *cols, *indexed), size, segments).select(
+            *cols, "key", F.first(here).over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"), F.lag(here).over(by_key).alias("prev")
         )
-        is_near = lambda x: (F.col(f"{x}.node") != F.col("node")) & (distance("", f"{x}.", size) <= max_distance)
+        is_near = lambda x: (F.col(f"{x}.node") != F.col("node")) & (distance("", f"{x}.", size) <= within)
         near = lambda x: F.when(is_near(x), F.struct(distance("", f"{x}.", size).alias("d"), F.col(f"{x}.node").alias("v")))
         met = met.select("node", near("first").alias("a"), near("prev").alias("b"), F.when(is_near("first"), F.struct(*(f"first.{c}" for c in [*order, "node"]))).alias("c")).filter("a is not null or b is not null")
         return scratch.save(met.groupBy("node").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("c").alias("c")).select("node", F.col("a.v").alias("a"), F.col("b.v").alias("b"), F.col("c.node").alias("c")))
@@ -152,28 +197,27 @@ def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch:
         pairs = pairs.unionByName(pairs_of(walk(hubs, ["own"])))
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     first = scratch.save(verify(pairs) if verify else pairs)
-    scratch.release()
     comps = scratch.save(connected_components(first, scratch))
 
-    placed = nodes.select(*cols).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = nodes.select(*cols, *indexed).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     if sizes is not None:
         placed = placed.join(sizes.select("node", (F.col("n") * (1 << 31) + F.col("shared")).alias("sizes")), "node", "left")
         cols = [*cols, "sizes"]
-    rows = variants(placed.select(*cols, "comp"), size, segments)
+    rows = variants(placed.select(*cols, *indexed, "comp"), size, segments)
     #: Dealt by key once; each bucket's largest component, and whether it has another.
     bucket = Window.partitionBy("key")
     rows = rows.repartition("key").withColumn("n", F.count("*").over(Window.partitionBy("key", "comp")))
     rows = rows.withColumn("big", F.max(F.struct("n", "comp")).over(bucket)["comp"]).withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket)).filter("low < high").select("key", *cols, "comp", "big")
     own, other = rows.filter("comp <> big").alias("x"), rows.alias("y")
-    apart = F.expr("x.comp <> y.comp and (y.comp = y.big or x.node < y.node)") & (distance("x.", "y.", size) <= max_distance)
-    apart = apart & (F.shiftright("x.key", 32) == first_meeting(size, segments))
+    apart = F.expr("x.comp <> y.comp and (y.comp = y.big or x.node < y.node)") & (distance("x.", "y.", size) <= F.when(F.col("x.key") < 0, part_distance).otherwise(max_distance))
+    meeting = first_meeting(size, segments)
+    apart = apart & F.when(F.col("x.key") < 0, meeting.isNull() | (distance("x.", "y.", size) > max_distance)).otherwise(F.shiftright("x.key", 32) == meeting)
     if overlap:
         n = F.shiftright("x.sizes", 31) + F.shiftright("y.sizes", 31)
         common = F.least(F.col("x.sizes").bitwiseAND(F.lit((1 << 31) - 1)), F.col("y.sizes").bitwiseAND(F.lit((1 << 31) - 1)))
         apart = apart & F.coalesce(common * (1 + threshold) >= n * threshold - 1e-6, F.lit(True))
     more = own.join(other, (F.col("x.key") == F.col("y.key")) & apart).select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
     second = scratch.save(verify(more) if verify else more)
-    scratch.release()
     stars = comps.filter("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
     out = connected_components(stars.unionByName(second.select("u", "v")), scratch)
     return out
@@ -202,7 +246,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.join(by_node, "f0").select(F.col("id").alias(id_col), hex16().alias("fingerprint"), "component_id")
 
 
-def shingle_jaccard(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+def shingle_jaccard(pairs: DataFrame, texts: DataFrame, n: int, threshold: float, scratch: Scratch, hub: int = 256) -> DataFrame:
     """Those of the pairs (u, v) whose texts' n-word shingle sets have a Jaccard similarity of ``threshold`` or more.
 
     texts: (node, text), one row a node.  A pair is one row, so a text with
@@ -217,8 +261,13 @@ def shingle_jaccard(pairs: DataFrame, texts: DataFrame, n: int, threshold: float
                 keep.append(both >= threshold * (len(a) + len(c) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    full = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
-    return full.select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint")
+    def with_text(rows: DataFrame, end: str, other: str) -> DataFrame:
+        hubs = scratch.save(rows.groupBy(end).count().filter(F.col("count") > hub).select(F.col(end).alias("node"), F.ceil(F.col("count") / hub).alias("copies")))
+        copied = texts.join(hubs, "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("copies", F.lit(1)) - 1)))
+        salted = rows.join(hubs.withColumnRenamed("node", end), end, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1)))).drop("copies")
+        return salted.join(copied.select(F.col("node").alias(end), "salt", F.col("text").alias(f"t{end}")), [end, "salt"]).drop("salt")
+
+    return with_text(with_text(pairs, "u", "v"), "v", "u").select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint")
 
 
 def shingle_overlap(texts: DataFrame, n: int, scratch: Scratch) -> DataFrame:
@@ -237,20 +286,19 @@ def shingle_overlap(texts: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     return kept.join(alone, "node", "left").select("node", F.size("hashes").cast("bigint").alias("n"), (F.size("hashes") - F.coalesce("alone", F.lit(0))).cast("bigint").alias("shared"))
 
 
-def simhash_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, size: int = 2, segments: int = 3, max_distance: int = 26) -> DataFrame:
+def simhash_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, segments: int = 3, max_distance: int = 26, cuts: int = 8, part_distance: int = 36) -> DataFrame:
     """(id, component_id) of every row with a non-null id: near-duplicate groups verified on shingles.
 
     Two texts are linked where the Jaccard similarity of their sets of ``shingle_words``-word shingles is
-    ``threshold`` or more.  Candidates come from SimHash fingerprints of ``size`` x 64 bits over the set of
-    word pairs: at similarity 0.8 a bit differs with probability about 0.1, so 6 segments of 21 or 22 bits,
-    each with one wildcard, meet with probability above 0.95, and nearer texts nearly always.  Texts with
-    equal word sequences are one node.  Texts without words are copies of each other.  Rows that share an
-    id are one document.
+    ``threshold`` or more.  Candidates share a one-wildcard variant of one of 2 x ``segments`` segments of
+    128-bit SimHash fingerprints over the set of word pairs, or the part of the text before or after one of
+    its ``cuts`` word pairs with the smallest hashes.  The first finds edits scattered over a text, the second
+    edits in one stretch.  Texts with equal word sequences are one node.  Texts without words are copies of
+    each other.  Rows that share an id are one document.
     """
     scratch = Scratch(df.sparkSession)
-    rows = scratch.save(with_fingerprints(df.filter(F.col(id_col).isNotNull()), id_col, text_col, 2, True, size))
-    parts = [f"f{i}" for i in range(size)]
-    nodes = scratch.save(rows.groupBy(F.col("tid").alias("node")).agg(F.min("id").alias("label"), *(F.first(p).alias(p) for p in parts)))
+    rows = scratch.save(with_wide_fingerprints(df.filter(F.col(id_col).isNotNull()), id_col, text_col, 2, cuts))
+    nodes = scratch.save(rows.groupBy(F.col("tid").alias("node")).agg(F.min("id").alias("label"), *(F.first(p).alias(p) for p in ("f0", "f1", "parts"))))
 
     def texts_of(used: DataFrame) -> DataFrame:
         wanted = nodes.join(used, "node").select("node", F.col("label").alias("id"))
@@ -258,17 +306,16 @@ def simhash_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs)
-        scratch.release()
-        return shingle_jaccard(pairs, texts_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()), shingle_words, threshold)
+        return shingle_jaccard(pairs, texts_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()), shingle_words, threshold, scratch)
 
     def overlap(near: DataFrame) -> DataFrame:
         return shingle_overlap(texts_of(near), shingle_words, scratch)
 
-    comps = link(nodes, size, segments, max_distance, scratch, verify, overlap, threshold)
+    comps = link(nodes, 2, segments, max_distance, scratch, verify, overlap, threshold, part_distance)
     labelled = nodes.join(comps, "node", "left").select("node", "label", F.coalesce("comp", "node").alias("comp"))
     lowest = labelled.groupBy("comp").agg(F.min("label").alias("component_id"))
     by_node = labelled.join(lowest, "comp").select(F.col("node").alias("tid"), "component_id")
-    return scratch.save(rows.join(by_node, "tid").groupBy(F.col("id").alias(id_col)).agg(F.min("component_id").alias("component_id")))
+    return scratch.save(rows.select("id", "tid").join(by_node, "tid").groupBy(F.col("id").alias(id_col)).agg(F.min("component_id").alias("component_id")))
 
 
 def simhash_keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

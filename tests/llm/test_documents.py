@@ -159,6 +159,33 @@ def test_keep_one_finds_similar_shingles(spark):
     assert all(want[i] == want[got[i]] for i in got)  # no false link
 
 
+@pytest.mark.parametrize("kind", ["appended", "cut off", "replaced", "inserted", "scattered"])
+def test_near_copies_just_above_the_threshold_meet(spark, kind):
+    """Pairs at a similarity of 0.80 to 0.85, whatever the kind of edit; texts of 60 to 1,500 words."""
+    import random
+
+    rng = random.Random(kind)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows, pairs = [], 0
+    while pairs < 150:
+        n = rng.choice([60, 150, 400, 1500])
+        a = [word() for _ in range(n)]
+        k = {"appended": 0.22, "cut off": 0.18, "replaced": 0.1, "inserted": 0.22, "scattered": 0.021}[kind] * n * rng.uniform(0.75, 1)
+        at, k = rng.randrange(int(n * 0.7)), max(1, int(k))
+        b = {"appended": [*a, *(word() for _ in range(k))], "cut off": a[: n - k], "replaced": [*a[:at], *(word() for _ in range(k)), *a[at + k :]], "inserted": [*a[:at], *(word() for _ in range(k)), *a[at:]], "scattered": list(a)}[kind]
+        if kind == "scattered":
+            for i in rng.sample(range(n), k):
+                b[i] = word()
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+            rows += [(2 * pairs, " ".join(a)), (2 * pairs + 1, " ".join(b))]
+            pairs += 1
+    got = dict(map(tuple, simhash.simhash_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()))
+    found = sum(got[2 * i + 1] == 2 * i for i in range(pairs)) / pairs
+    print(kind, found)
+    assert found >= (0.9 if kind == "scattered" else 0.97)
+
+
 # -- tokens --------------------------------------------------------------------------------------------
 
 

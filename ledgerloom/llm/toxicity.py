@@ -7,10 +7,11 @@ whole to one of ``dims`` terms.  The machine has a weight for each term and
 a vector for each term whose inner products weigh pairs, so a pair can count for more or less than the sum of
 its parts.
 
-The model has at most ``max_terms`` terms: those that differ most between the classes, by counts that Spark sums.
-It is trained on the driver over at most ``max_train`` labelled rows (the first in the order of a hash of
-the id), of which the driver gets those terms only; so neither its memory nor its size depends on the corpus.
-All texts are then scored whole in the executors.
+The machine is trained on the driver over at most ``max_train`` labelled rows (the first in the order of a hash
+of the id).  It has every term that tells the classes apart in these rows, by counts that Spark sums over them:
+a term that is more frequent in one class, and both words of a pair of near words that is, even if neither word
+tells anything alone.  There is no cap on the number of terms; it follows the sample, not the corpus.  All
+texts are then scored whole in the executors.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import crc_bucket, free_name
+from .common import Scratch, crc_bucket, free_name
 
 #: What is stripped from the ends of a word.
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#%$&-_~`|/\\+="
@@ -101,6 +102,32 @@ def terms(text: str | None, dims: int = DIMS) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.int32), *(t for _, t in found(list(words_of(text)), dims))]))
 
 
+def near_pairs(text: str | None, seen: dict[str, int], dims: int, reach: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, first, second): hashes of all pairs of different words up to ``reach`` words apart, and both words' terms.
+
+    The order of the two does not matter.  seen: terms of words met before, at most 2^19 of them.
+    """
+    words = [w.strip(PUNCTUATION) for w in (text or "").lower().split()]
+    if len(seen) > 1 << 19:
+        seen.clear()
+    new = sorted(set(words) - seen.keys())
+    seen.update(zip(new, hashed(new, dims)[:, 0].tolist(), strict=True))
+    at = np.array([seen[w] for w in words], np.int64)
+    a, b = (np.concatenate(x) for x in zip(*((at[:-k], at[k:]) for k in range(1, reach + 1) if k < len(at)), strict=True)) if len(at) > 1 else (at[:0], at[:0])
+    keep = (a != b) & (a >= 0) & (b >= 0)
+    low, high = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+    mixed = (low * 0x9E3779B1 + high * 0x85EBCA77) & 0x7FFFFFFFFFFF
+    return (mixed ^ (mixed >> 21)) % dims, low, high
+
+
+def apart(n0: np.ndarray, n1: np.ndarray, total0: float, total1: float, least: int) -> np.ndarray:
+    """By how many standard errors each term's share of rows of class 1 differs from the base rate; zero where
+    fewer than ``least`` rows have it."""
+    n, base = n0 + n1, total1 / max(total0 + total1, 1)
+    z = np.abs(n1 - n * base) / np.sqrt(np.maximum(n * base * (1 - base) * (1 - n / max(total0 + total1, 1)), 0.5))
+    return np.where(n < least, 0, z)
+
+
 class FactorizationMachine:
     """score = sigmoid(bias + sum of weights + sum over pairs of inner products of factors)."""
 
@@ -122,20 +149,35 @@ class FactorizationMachine:
         self.bias = math.log((ones + 0.5) / (n - ones + 0.5))
         if not 0 < ones < n or not m:
             return self
-        col, doc = np.asarray(flat, np.int64), np.repeat(np.arange(n), sizes)
+        #: Row order and term order of the same entries; sums over either run over slices, a factor at a time, so
+        #: that no step holds more than a number an entry.
+        col, sizes = np.asarray(flat, np.int64), np.asarray(sizes, np.int64)
+        doc = np.repeat(np.arange(n), sizes)
+        full, by_term = np.flatnonzero(sizes), np.argsort(col, kind="stable")
+        doc_of, used, at = doc[by_term], *np.unique(col[by_term], return_index=True)
+        row_at = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
+
+        def over_terms(values: np.ndarray) -> np.ndarray:
+            out = np.zeros(n)
+            if len(full):
+                out[full] = np.add.reduceat(values[col], row_at)
+            return out
+
+        def over_rows(values: np.ndarray) -> np.ndarray:
+            out = np.zeros(m)
+            if len(used):
+                out[used] = np.add.reduceat(values[doc_of], at)
+            return out
+
         x = [np.array(self.bias), np.zeros(m), np.random.default_rng(seed).normal(0, 0.05, (m, self.factors))]
         m1, m2 = [np.zeros_like(p) for p in x], [np.zeros_like(p) for p in x]
-
-        def gather(values: np.ndarray) -> np.ndarray:
-            return np.stack([np.bincount(doc, weights=values[:, f], minlength=n) for f in range(values.shape[1])], axis=1)
-
         for step in range(1, steps + 1):
-            s = gather(x[2][col])
-            raw = x[0] + np.bincount(doc, weights=x[1][col], minlength=n) + 0.5 * (s * s - gather(x[2][col] ** 2)).sum(1)
+            s = np.stack([over_terms(x[2][:, f]) for f in range(self.factors)], axis=1)
+            raw = x[0] + over_terms(x[1] - 0.5 * (x[2] ** 2).sum(1)) + 0.5 * (s * s).sum(1)
             g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / n
-            pull = g[doc][:, None] * (s[doc] - x[2][col])
-            grads = [g.sum(), np.bincount(col, weights=g[doc], minlength=m) + l2 * x[1], np.stack([np.bincount(col, weights=pull[:, f], minlength=m) for f in range(self.factors)], axis=1) + l2 * x[2]]
-            for i, d in enumerate(grads):
+            each = over_rows(g)
+            pull = np.stack([over_rows(g * s[:, f]) for f in range(self.factors)], axis=1) - x[2] * each[:, None]
+            for i, d in enumerate([g.sum(), each + l2 * x[1], pull + l2 * x[2]]):
                 m1[i] = 0.9 * m1[i] + 0.1 * d
                 m2[i] = 0.999 * m2[i] + 0.001 * d * d
                 x[i] = x[i] - rate * (m1[i] / (1 - 0.9**step)) / (np.sqrt(m2[i] / (1 - 0.999**step)) + 1e-8)
@@ -174,38 +216,57 @@ class FactorizationMachine:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, mod: int = 3, held: int = 1, dims: int = DIMS, factors: int = 8, max_terms: int = 1024) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, mod: int = 3, held: int = 1, dims: int = DIMS, factors: int = 8, least_z: float = 2.5, least_pair_z: float = 5.5) -> FactorizationMachine:
     """Fits on at most ``max_train`` labelled rows whose crc32 of the id as text, modulo ``mod``, is not
-    ``held``.  Null ids or labels are not used; an id labelled twice counts once, by its larger label."""
+    ``held``.  Null ids or labels are not used; an id labelled twice counts once, by its larger label.
+
+    Terms are chosen from ``least_z`` standard errors, pairs, of which there are many more, from ``least_pair_z``.
+    """
+    scratch = Scratch(docs.sparkSession)
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_bucket(id_col, mod) != held))
     sample = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
     #: The sample has at most max_train rows of an id and a label.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select(F.xxhash64("id").alias("id"), (F.col("y") > 0).cast("int").alias("y"), "text")
+    rows = scratch.save(rows)
 
     def count(batches):
-        n = [np.zeros(dims + 2, np.int32), np.zeros(dims + 2, np.int32)]  # the last two hold the rows, at place dims
+        n = np.zeros((2, 2 * dims + 1), np.int32)  # terms, then pairs, and the rows in the last place
+        seen: dict[str, int] = {}
         for b in batches:
             for y, t in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 n[y][terms(t.as_py(), dims)] += 1
-                n[y][dims] += 1
-        at = np.flatnonzero(n[0] + n[1])
+                n[y][dims + np.unique(near_pairs(t.as_py(), seen, dims)[0])] += 1
+                n[y][2 * dims] += 1
+        at = np.flatnonzero(n.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[0][at].astype(np.int64)), pa.array(n[1][at].astype(np.int64))], names=["term", "n0", "n1"])
 
-    counts = rows.mapInArrow(count, "term bigint, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    term, n0, n1 = (counts[c].to_numpy() for c in ("term", "n0", "n1"))
-    whole = term == dims
-    total0, total1 = float(n0[whole].sum()), float(n1[whole].sum())
-    df, base = n0 + n1, total1 / max(total0 + total1, 1)
-    z = np.abs(n1 - df * base) / np.sqrt(np.maximum(df * base * (1 - base) * (1 - df / max(total0 + total1, 1)), 0.5))
-    z[whole | (df < 3)] = 0
-    order = np.lexsort((term, -z))[:max_terms]
-    model = FactorizationMachine(term[order][z[order] > 2.5], dims, factors)
+    summed = rows.mapInArrow(count, "term bigint, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(f"n0 + n1 >= 3 or term = {2 * dims}").toArrow()
+    term, n0, n1 = (summed[c].to_numpy() for c in ("term", "n0", "n1"))
+    total0, total1 = (float(n[term == 2 * dims].sum()) for n in (n0, n1))
+    z = np.where(term < dims, apart(n0, n1, total0, total1, 3), 0)
+    telling = term[(term >= dims) & (term < 2 * dims) & (apart(n0, n1, total0, total1, 5) > least_pair_z)] - dims
+    chosen = term[z > least_z]
+
+    def members(batches):
+        seen: dict[str, int] = {}
+        found = [np.zeros(0, np.int64)]
+        for b in batches:
+            for t in b.column(2):
+                pair, low, high = near_pairs(t.as_py(), seen, dims)
+                hit = np.isin(pair, telling)
+                found = [np.unique(np.concatenate([*found, low[hit], high[hit]]))]
+        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64())], names=["term"])
+
+    if len(telling):
+        chosen = np.union1d(chosen, rows.mapInArrow(members, "term bigint").distinct().toArrow()["term"].to_numpy())
+    model = FactorizationMachine(chosen, dims, factors)
 
     def find(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.active(b.column(2).to_pylist()), pa.list_(pa.int32()))], names=["id", "y", "at"])
 
     got = rows.mapInArrow(find, "id bigint, y int, at array<int>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
+    scratch.drop(rows)
     if not got.num_rows:
         return model
     return model.fit(pc.list_flatten(got["at"]).to_numpy(), pc.list_value_length(got["at"]).to_numpy(), got["y"].to_numpy())

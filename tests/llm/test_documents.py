@@ -291,6 +291,38 @@ def test_toxicity_reads_whole_words(spark):
     assert got and all(r["predicted"] == r["doc_id"] % 2 for r in got)
 
 
+def test_toxicity_learns_a_label_that_only_a_pair_tells(spark):
+    """Both words are as frequent in clean as in toxic texts; only side by side they make a text toxic."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for i in range(1200):
+        words = [f"w{rng.randrange(300)}" for _ in range(30)]
+        kind = i % 4
+        if kind in (0, 1):
+            words[4] = "kratz"
+        if kind in (0, 2):
+            words[5] = "folk"
+        rows.append((i, " ".join(words), int(kind in (0, 3))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    got = toxicity.toxicity_scores(df, df.select("doc_id", "toxic"), threshold=0.5).filter("held_out").collect()
+    assert sum(r["predicted"] == rows[r["doc_id"]][2] for r in got) > 0.9 * len(got)
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Document scores recomputed from the model, term by term and pair by pair."""
+    labels = spark.read.parquet(f"{SF2}/labels.parquet")
+    d = docs(spark, SF2)
+    model = toxicity.train(d, labels)
+    assert len(model.chosen) > 50
+    place = {int(t): i for i, t in enumerate(model.chosen)}
+    got = {r["doc_id"]: r["score"] for r in toxicity.with_score(d.limit(80), model).collect()}
+    for r in d.limit(80).collect():
+        at = sorted({place[t] for t in toxicity.terms(r["text"]).tolist() if t in place})
+        raw = model.bias + sum(model.w[i] for i in at) + sum(float(model.v[i] @ model.v[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+        assert abs(got[r["doc_id"]] - 1 / (1 + math.exp(-max(-30.0, min(30.0, raw))))) < 1e-9
+
+
 def test_pairs_matter():
     """An interaction that no additive model can learn: two terms that count only alone."""
     rng = np.random.default_rng(1)

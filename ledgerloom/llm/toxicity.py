@@ -216,11 +216,12 @@ class FactorizationMachine:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, mod: int = 3, held: int = 1, dims: int = DIMS, factors: int = 8, least_z: float = 2.5, least_pair_z: float = 5.5) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, mod: int = 3, held: int = 1, dims: int = DIMS, factors: int = 8, least_z: float = 2.5, least_pair_z: float = 5.5, least_pair_rows: int = 8) -> FactorizationMachine:
     """Fits on at most ``max_train`` labelled rows whose crc32 of the id as text, modulo ``mod``, is not
     ``held``.  Null ids or labels are not used; an id labelled twice counts once, by its larger label.
 
-    Terms are chosen from ``least_z`` standard errors, pairs, of which there are many more, from ``least_pair_z``.
+    Terms are chosen from ``least_z`` standard errors; pairs, of which there are many more, from
+    ``least_pair_z`` in ``least_pair_rows`` rows or more, by what they tell beyond each of the words.
     """
     scratch = Scratch(docs.sparkSession)
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_bucket(id_col, mod) != held))
@@ -244,21 +245,36 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     term, n0, n1 = (summed[c].to_numpy() for c in ("term", "n0", "n1"))
     total0, total1 = (float(n[term == 2 * dims].sum()) for n in (n0, n1))
     z = np.where(term < dims, apart(n0, n1, total0, total1, 3), 0)
-    telling = term[(term >= dims) & (term < 2 * dims) & (apart(n0, n1, total0, total1, 5) > least_pair_z)] - dims
     chosen = term[z > least_z]
+    #: Buckets of pairs first, then the pairs themselves in those that may hold a telling one.
+    open_ = np.zeros(dims, bool)
+    open_[term[(term >= dims) & (term < 2 * dims) & (apart(n0, n1, total0, total1, least_pair_rows) > least_z)] - dims] = True
 
-    def members(batches):
+    def exact_pairs(batches):
         seen: dict[str, int] = {}
-        found = [np.zeros(0, np.int64)]
         for b in batches:
-            for t in b.column(2):
+            rows_of, lows, highs = [], [], []
+            for i, t in enumerate(b.column(2)):
                 pair, low, high = near_pairs(t.as_py(), seen, dims)
-                hit = np.isin(pair, telling)
-                found = [np.unique(np.concatenate([*found, low[hit], high[hit]]))]
-        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64())], names=["term"])
-
-    if len(telling):
-        chosen = np.union1d(chosen, rows.mapInArrow(members, "term bigint").distinct().toArrow()["term"].to_numpy())
+                both = np.unique((low * dims + high)[open_[pair]])
+                rows_of.append(np.full(len(both), i))
+                lows.append(both // dims)
+                highs.append(both % dims)
+            if rows_of:
+                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(np.concatenate(rows_of))), pa.array(np.concatenate(lows)), pa.array(np.concatenate(highs))], names=["y", "low", "high"])
+
+    if open_.any():
+        share = total1 / (total0 + total1)
+        pairs = rows.mapInArrow(exact_pairs, "y int, low bigint, high bigint").groupBy("low", "high").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
+        pairs = pairs.filter(f"n0 + n1 >= {least_pair_rows} and pow(n1 - (n0 + n1) * {share!r}D, 2) > {least_pair_z**2!r}D * (n0 + n1) * {share * (1 - share)!r}D").toArrow()
+        low, high, p0, p1 = (pairs[c].to_numpy() for c in ("low", "high", "n0", "n1"))
+        ones, all_ = np.zeros(dims), np.zeros(dims)
+        ones[term[term < dims]], all_[term[term < dims]] = n1[term < dims], (n0 + n1)[term < dims]
+        beyond = np.ones(len(low), bool)  # more than either word tells by itself
+        for word in (low, high):
+            own = (ones[word] + share) / (all_[word] + 1)
+            beyond &= (p1 - (p0 + p1) * own) ** 2 > least_pair_z**2 * (p0 + p1) * own * (1 - own)
+        chosen = np.union1d(chosen, np.concatenate([low[beyond], high[beyond]]))
     model = FactorizationMachine(chosen, dims, factors)
 
     def find(batches):

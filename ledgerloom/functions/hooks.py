@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +13,18 @@ SPANS = "array<struct<start:int,end:int,type:string>>"
 
 
 def with_model(df: DataFrame, text: str, out: str, schema: str, answer: Callable[[list[str]], list]) -> DataFrame:
-    """df with a model's answer to each row's text, in Arrow batches; None means it could not answer."""
+    """df with a model's answer to each row's text, in Arrow batches; None means it could not answer.
+
+    A null text is not asked and has no answer.
+    """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(answer(s.fillna("").tolist()), dtype=object)
+            there = s.notna().to_numpy()
+            out = np.full(len(s), None, dtype=object)
+            for i, a in zip(np.flatnonzero(there), answer(s[there].tolist()) if there.any() else [], strict=True):
+                out[i] = a
+            yield pd.Series(out, dtype=object)
 
     return df.withColumn(out, F.pandas_udf(run, schema)(F.col(text)))
 

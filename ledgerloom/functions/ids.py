@@ -23,10 +23,13 @@ def djb2(texts: pd.Series) -> pd.Series:
     """base36 of djb2-64 (h * 33 xor unit from 5381) over UTF-16 units, a column of units at a time."""
     units = [np.frombuffer((t or "").encode("utf-16-le", "surrogatepass"), "<u2") for t in texts]
     h = np.full(len(units), 5381, np.uint64)
-    sizes = np.array([len(u) for u in units])
-    for i in range(int(sizes.max(initial=0))):
-        live = np.flatnonzero(sizes > i)
-        h[live] = (h[live] * np.uint64(33)) ^ np.array([units[k][i] for k in live], np.uint64)
+    sizes = np.array([len(u) for u in units], np.int64)
+    every, starts = np.concatenate([*units, np.zeros(0, "<u2")]).astype(np.uint64), np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")  # the longest first: those left at a place are a prefix
+    longer = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(int(sizes.max(initial=0))), "right")
+    for i, n in enumerate(longer.tolist()):
+        live = order[:n]
+        h[live] = (h[live] * np.uint64(33)) ^ every[starts[live] + i]
     return pd.Series([base36(int(x)) if t is not None else None for x, t in zip(h, texts, strict=True)], dtype=object)
 
 
@@ -76,11 +79,17 @@ def content_hash(*parts: Column) -> Column:
     return F.left(F.sha2(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary"), 256), F.lit(32))
 
 
+def compact_json(json: Column) -> Column:
+    """JSON without white space between its parts; strings and the order of keys stay."""
+    return F.regexp_replace(json, r'("(?:[^"\\]++|\\.)*+")|\s+', "$1")
+
+
 def argument_hashes(json: Column) -> dict[str, Column]:
-    """Hash of the text, hash of its sorted top-level keys (or none), and its bytes."""
+    """Hash of the compact JSON, hash of its sorted top-level keys (or none), and its bytes; null has neither."""
+    compact = F.nullif(compact_json(F.coalesce(json, F.lit("null"))), F.lit("null"))
     keys = F.array_join(F.array_sort(F.json_object_keys(json)), ",")
     return {
-        "args_hash": F.sha2(json.cast("binary"), 256),
+        "args_hash": F.coalesce(F.sha2(compact.cast("binary"), 256), F.lit("")),
         "signature_hash": F.when(F.coalesce(keys, F.lit("")) == "", "none").otherwise(F.sha2(keys.cast("binary"), 256)),
-        "args_bytes": F.octet_length(json),
+        "args_bytes": F.coalesce(F.octet_length(compact), F.lit(0)),
     }

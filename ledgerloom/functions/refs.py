@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kind, provider, pattern, groups of the slug (joined by /), group of the number or key.
@@ -63,20 +63,26 @@ def pr_number(subject: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), F.nullif(last, F.lit(""))).try_cast("bigint")
 
 
-def valid_reference(kind: Column, slug: Column, number: Column, url: Column, host: Column) -> Column:
-    """Length limits of the wire: host 80, slug 1 to 200, number from 1, url 400."""
-    ok = F.coalesce(F.length(host) <= 80, F.lit(True)) & F.coalesce(F.length(url) <= 400, F.lit(True))
-    return ok & F.when(kind == "issue", F.coalesce(F.length(slug).between(1, 200), F.lit(True))).otherwise(F.coalesce(F.length(slug).between(1, 200), F.lit(False))) & F.coalesce(number >= 1, kind == "issue")
+def valid_reference(kind: Column, slug: Column, number: Column, url: Column, host: Column, provider: Column | None = None, key: Column | None = None) -> Column:
+    """Length limits of the wire: host 80, slug 200, url 400, provider 40, key 1 to 80, number from 1.
+
+    A repository needs a slug; a pull request or an issue does not.
+    """
+    within = lambda c, most: F.coalesce(F.length(c) <= most, F.lit(True))
+    ok = within(host, 80) & within(url, 400) & within(slug, 200)
+    issue = (within(provider, 40) if provider is not None else F.lit(True)) & (F.coalesce(F.length(key).between(1, 80), F.lit(False)) if key is not None else F.lit(True))
+    return ok & F.when(kind == "repo", F.coalesce(slug != "", F.lit(False))).when(kind == "pr", F.coalesce(number >= 1, F.lit(False))).otherwise(issue)
 
 
 def merge_commit_of(commits: DataFrame, prs: DataFrame) -> DataFrame:
     """prs (slug, number) with the first commit of the log (slug, position, sha, committed_at, subject) whose
-    subject holds #number, and whether a later body reverts it."""
-    cited = commits.withColumn("number", F.explode(F.array_distinct(F.regexp_extract_all("subject", F.lit(r"(?<![0-9A-Za-z])#([0-9]+)(?![0-9])"), F.lit(1))))).withColumn("number", F.col("number").try_cast("bigint"))
+    subject holds #number between other characters than digits, and whether a body says that it reverts the
+    commit, by its first seven characters."""
+    cited = commits.withColumn("number", F.explode(F.array_distinct(F.regexp_extract_all("subject", F.lit(r"(?<![0-9])#([0-9]+)"), F.lit(1))))).withColumn("number", F.col("number").try_cast("bigint"))
     first = cited.groupBy("slug", "number").agg(F.min_by(F.struct("sha", "committed_at", "subject"), "position").alias("m"))
-    undone = commits.select("slug", F.explode(F.regexp_extract_all("body", F.lit(r"This reverts commit ([0-9a-f]{7,40})"), F.lit(1))).alias("cited")).select("slug", F.left("cited", F.lit(7)).alias("short"), "cited").distinct()
+    undone = commits.select("slug", F.explode(F.regexp_extract_all("body", F.lit(r"This reverts commit ([0-9A-Za-z]{7})"), F.lit(1))).alias("short")).distinct()
     out = prs.join(first, ["slug", "number"], "left").select("slug", "number", F.col("m.sha").alias("merge_sha"), F.col("m.committed_at").alias("merged_at"), F.col("m.subject").alias("subject"))
-    hit = out.join(undone, (out.slug == undone.slug) & (F.left(out.merge_sha, F.lit(7)) == undone.short) & (F.col("merge_sha").startswith(F.col("cited")) | (F.length("cited") == 7)), "left_semi").select("slug", "number").distinct().withColumn("hit", F.lit(True))
+    hit = out.join(undone, (out.slug == undone.slug) & (F.left(out.merge_sha, F.lit(7)) == undone.short), "left_semi").select("slug", "number").distinct().withColumn("hit", F.lit(True))
     return out.join(hit, ["slug", "number"], "left").withColumn("merged", F.col("merge_sha").isNotNull()).withColumn("reverted", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
@@ -86,48 +92,89 @@ def drop_issues_that_are_prs(issues: DataFrame, prs: DataFrame) -> DataFrame:
     return issues.join(known, (issues.session_id == known.session_id) & (F.lower(issues.slug) == known.low) & (issues.key == known.n) & (issues.provider == "github"), "left_anti")
 
 
-def dedupe_references(refs: DataFrame) -> DataFrame:
-    """One row for each (session, kind, slug, key): an ordered fold over its references.
+#: How many repositories, pull requests and issues a session keeps, branches a repository keeps.
+MOST_REPOS, MOST_PRS, MOST_ISSUES, MOST_BRANCHES = 50, 100, 100, 50
 
-    The winner has the larger rank * 2 + confidence, an earlier one in ties; fields it lacks come from the
-    others in order; confidence is the largest; ambiguous only if all are.  Order: channel, ts, position.
-    """
-    from .tokens import source_rank
 
-    item = F.struct("channel", "ts", "position", (source_rank(F.col("source")) * 2 + F.col("confidence")).alias("score"), "source", "url", "host", "confidence", "ambiguous")
-    grouped = refs.groupBy("session_id", "kind", F.lower("slug").alias("slug_key"), "key").agg(F.array_sort(F.collect_list(item)).alias("x"), F.min_by("slug", F.struct("channel", "ts", "position")).alias("slug"))
-    fold = F.aggregate(
-        F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0))),
-        F.element_at("x", 1),
-        lambda a, b: F.struct(
-            a["channel"].alias("channel"), a["ts"].alias("ts"), a["position"].alias("position"),
-            F.greatest(a["score"], b["score"]).alias("score"),
-            F.when(b["score"] > a["score"], b["source"]).otherwise(a["source"]).alias("source"),
-            F.when(b["score"] > a["score"], F.coalesce(b["url"], a["url"])).otherwise(F.coalesce(a["url"], b["url"])).alias("url"),
-            F.when(b["score"] > a["score"], F.coalesce(b["host"], a["host"])).otherwise(F.coalesce(a["host"], b["host"])).alias("host"),
-            F.greatest(a["confidence"], b["confidence"]).alias("confidence"),
-            (a["ambiguous"] & b["ambiguous"]).alias("ambiguous"),
-        ),
-    )
-    return grouped.select("session_id", "kind", "slug", "key", fold.alias("f")).select("session_id", "kind", "slug", "key", "f.source", "f.url", "f.host", "f.confidence", "f.ambiguous")
+def dedupe_references(refs: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
+    """One row for each natural key of a session: an ordered fold over its references.
 
+    The keys, in lower case: a repository's slug, a pull request's slug and number, an issue's provider, slug and
+    key.  Of two references the one of the larger rank * 2 + confidence wins, the earlier one in ties; fields it
+    lacks come from the other; confidence is the larger; ambiguous only if both are.  A repository takes the
+    name of the higher rank and unites the branches.  Issues on GitHub that are one of the session's pull
+    requests go.  ``most``: rows kept of each kind, in the order of first sight.  Order: channel, ts, position.
 
-MOST_UNITS, MOST_EACH = 64_000, 24
-
+    refs: (session_id, kind repo/pr/issue, slug, key, channel, ts, position, source, url, host, confidence,
+    ambiguous [, provider, branches]).  Equal references are counted once before the fold, so that a
+    reference that is met very often makes no large group.
+    """
+    from .tokens import source_rank
 
-def _of_kind(found: Column, kind: str) -> Column:
-    return F.filter(found, lambda r: r["kind"] == kind)
+    limits = {"repo": MOST_REPOS, "pr": MOST_PRS, "issue": MOST_ISSUES, **(most or {})}
+    missing = {"provider": F.lit(None).cast("string"), "branches": F.array().cast("array<string>")}
+    rows = refs.withColumns({c: v for c, v in missing.items() if c not in refs.columns}).withColumn("branches", F.coalesce("branches", missing["branches"]))
+    low = F.lower(F.coalesce("slug", F.lit("")))
+    natural = F.when(F.col("kind") == "repo", low).when(F.col("kind") == "pr", F.concat(low, F.lit("#"), F.col("key"))).otherwise(F.concat(F.coalesce("provider", F.lit("")), F.lit(":"), low, F.lit("#"), F.lower("key")))
+    fields = ["slug", "key", "provider", "source", "url", "host", "confidence", "ambiguous", "branches"]
+    once = rows.withColumn("natural", natural).groupBy("session_id", "kind", "natural", *fields).agg(F.min(F.struct("channel", "ts", "position")).alias("at"))
+    item = F.struct("at", source_rank(F.col("source")).alias("rank"), *fields)
+    grouped = once.groupBy("session_id", "kind", "natural").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    score = lambda r: r["rank"] * 2 + r["confidence"]
+
+    def merged(a: Column, b: Column) -> Column:
+        repo = F.col("kind") == "repo"
+        newer = F.when(repo, b["rank"] > a["rank"]).otherwise(score(b) > score(a))
+        win = lambda c: F.when(newer, b[c]).otherwise(a[c]).alias(c)
+        filled = lambda c: F.when(newer, F.coalesce(b[c], a[c])).otherwise(F.coalesce(a[c], b[c])).alias(c)
+        branches = F.slice(F.array_union(a["branches"], b["branches"]), 1, MOST_BRANCHES).alias("branches")
+        return F.struct(a["at"].alias("at"), win("rank"), filled("slug"), win("key"), win("provider"), win("source"), filled("url"), filled("host"), F.greatest(a["confidence"], b["confidence"]).alias("confidence"), (a["ambiguous"] & b["ambiguous"]).alias("ambiguous"), branches)
+
+    fold = F.aggregate(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(1))), F.element_at("x", 1), merged)
+    found = grouped.withColumn("f", fold).select("session_id", "kind", "f.*").filter(valid_reference(F.col("kind"), F.col("slug"), F.col("key").try_cast("bigint"), F.col("url"), F.col("host"), F.col("provider"), F.col("key")))
+
+    def first(kind: str, of: DataFrame) -> DataFrame:
+        by = Window.partitionBy("session_id").orderBy("at")
+        return of.filter(F.col("kind") == kind).withColumn("n_", F.row_number().over(by)).filter(F.col("n_") <= limits[kind]).drop("n_")
+
+    prs = first("pr", found)
+    known = prs.select("session_id", F.lower(F.coalesce("slug", F.lit(""))).alias("low_"), F.col("key").alias("number_"))
+    issues = found.filter("kind = 'issue'").join(known.withColumnRenamed("session_id", "of_"), (F.col("session_id") == F.col("of_")) & (F.col("provider") == "github") & (F.lower(F.coalesce("slug", F.lit(""))) == F.col("low_")) & (F.col("key") == F.col("number_")), "left_anti")
+    out = first("repo", found).unionByName(prs).unionByName(first("issue", issues))
+    return out.select("session_id", "kind", "provider", "slug", "key", "source", "url", "host", "confidence", "ambiguous", "branches")
+
+
+#: The text of an event that is read, in UTF-16 units, and the references of a kind it keeps.
+MOST_UNITS, MOST_EACH = 64_000, 24
 
 
 def event_references(text: Column, model_text: bool = False) -> Column:
-    """Distinct references of an event's text, 24 of each kind; null if there are none.
+    """(repos, pull_requests, issues) of an event's text, 24 of each at most; null if there are none.
 
-    The text is cut to 64,000 UTF-16 units, an astral character counting two.
+    Each is folded by its natural key as in :func:`dedupe_references`; all have the same source and order, so the
+    first of a key stays.  The text is cut to 64,000 UTF-16 units, an astral character counting two.
     """
     astral = F.length(F.regexp_replace(F.left(text, F.lit(MOST_UNITS)), r"[\x{0}-\x{FFFF}]", ""))
-    found = F.array_distinct(detect(F.left(text, F.lit(MOST_UNITS) - astral), model_text))
-    kept = F.concat(*(F.slice(_of_kind(found, k), 1, MOST_EACH) for k in ("pr", "issue")))
-    return F.when(F.size(kept) > 0, kept)
+    found = detect(F.left(text, F.lit(MOST_UNITS) - astral), model_text)
+    low = lambda r: F.lower(F.coalesce(r["slug"], F.lit("")))
+    pr_key = lambda r: F.concat(low(r), F.lit("#"), r["key"])
+    issue_key = lambda r: F.concat(r["provider"], F.lit(":"), low(r), F.lit("#"), F.lower(r["key"]))
+
+    def firsts(rows: Column, key) -> Column:
+        keys = F.transform(rows, key)
+        return F.filter(rows, lambda r, i: F.array_position(keys, key(r)) == i + 1)
+
+    prs, issues = F.filter(found, lambda r: r["kind"] == "pr"), F.filter(found, lambda r: r["kind"] == "issue")
+    valid = lambda rows: F.filter(rows, lambda r: valid_reference(r["kind"], r["slug"], r["key"].try_cast("bigint"), r["url"], r["host"], r["provider"], r["key"]))
+    prs = valid(firsts(prs, pr_key))
+    pr_keys = F.transform(prs, pr_key)
+    sure = F.transform(F.filter(issues, lambda r: ~r["ambiguous"]), issue_key)
+    issues = F.filter(firsts(issues, issue_key), lambda r: ~((r["provider"] == "github") & F.array_contains(pr_keys, pr_key(r))))
+    issues = F.transform(issues, lambda r: r.withField("ambiguous", r["ambiguous"] & ~F.array_contains(sure, issue_key(r))))
+    repos = F.transform(firsts(F.filter(found, lambda r: r["host"].isNotNull()), low), lambda r: F.struct(r["host"].alias("host"), r["slug"].alias("slug")))
+    repos = F.filter(repos, lambda r: (r["slug"] != "") & (F.length(r["slug"]) <= 200))
+    kept = [F.slice(x, 1, MOST_EACH) for x in (repos, prs, valid(issues))]
+    return F.when(F.size(kept[0]) + F.size(kept[1]) + F.size(kept[2]) > 0, F.struct(*(x.alias(n) for x, n in zip(kept, ("repos", "pull_requests", "issues"), strict=True))))
 
 
 def repo_of_git(slug: Column, branch: Column, slug_source: Column, remote_url: Column) -> Column:

@@ -9,9 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Greetings that open no abstract, and filler that is cut from its start.
-GREETING = r"(?i)^(hi|hello|hey|thanks|thank you|ok|okay|yes|no|sure)\b[.!, ]*$"
-FILLER = r"(?i)^(please|can you|could you|would you|i want you to|i need you to|let's|lets|now|ok|okay|so)[, ]+"
+#: Openings that carry no task, and lead-ins that are cut from its start.
+GREETING = r"(?i)^(hi|hey|hello|thanks?|thank you|ok(ay)?|yes|no|sure|please|cool|great|nice)\b[\s!.,]*"
+FILLER = r"(?i)^(can you|could you|could we|can we|please|i(?:'d| would)? (?:like|want)(?: you)? to|i need(?: you)? to|let'?s|help me|i'?m trying to|i am trying to|now|so|ok(?:ay)?)\s+"
+#: Fixed value: characters of an abstract.
+ABSTRACT_CHARS = 400
 
 
 def json_path(col: Column, path: str) -> Column:
@@ -19,20 +21,45 @@ def json_path(col: Column, path: str) -> Column:
     return F.get_json_object(col, path)
 
 
-def numeric_leaves(raw: Column, depth: int = 4) -> Column:
-    """Dotted path to non-negative integer of an object's leaves, ``depth`` levels deep; null if it is no JSON.
+def _walk(value, path: tuple, found: list, arrays: bool) -> None:
+    """(path, leaf) of every leaf at any depth, in document order."""
+    todo = [(path, value)]
+    while todo:
+        at, v = todo.pop()
+        if isinstance(v, dict):
+            todo += [((*at, k), x) for k, x in reversed(list(v.items()))]
+        elif isinstance(v, list):
+            todo += [(at, x) for x in reversed(v)] if arrays else []
+        else:
+            found.append((at, v))
+
+
+def _leaves(raw: str | None, arrays: bool) -> list | None:
+    """The leaves of a JSON text; null if it is none."""
+    try:
+        value = json.loads(raw)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    found: list = []
+    _walk(value, (), found, arrays)
+    return found
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.LongType()))
+def numeric_leaves(raw: pd.Series) -> pd.Series:
+    """Dotted path to non-negative integer of an object's leaves at any depth; null if it is no JSON.
 
     Arrays are not entered.
     """
-    def level(at: Column, prefix: Column | None, left: int) -> Column:
-        entries = F.coalesce(F.map_entries(F.try_variant_get(at, "$", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
-        name = lambda e: e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
-        number = lambda e: F.when(F.schema_of_variant(e["value"]) == "BIGINT", F.try_variant_get(e["value"], "$", "bigint"))
-        own = F.transform(entries, lambda e: F.struct(name(e).alias("k"), number(e).alias("v")))
-        return own if left == 1 else F.concat(own, F.flatten(F.transform(entries, lambda e: level(e["value"], name(e), left - 1))))
+    whole = lambda v: isinstance(v, int) and not isinstance(v, bool) and 0 <= v < 1 << 63
+    found = [_leaves(r, False) for r in raw]
+    return pd.Series([None if x is None else {".".join(p): v for p, v in x if p and whole(v)} for x in found], dtype=object)
 
-    parsed = F.try_parse_json(raw)
-    return F.when(parsed.isNotNull(), F.map_from_entries(F.filter(level(parsed, None, depth), lambda e: e["v"] >= 0)))
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def string_leaves(raw: pd.Series) -> pd.Series:
+    """String leaves of a JSON text at any depth and in arrays, in document order; none if it is no JSON."""
+    return pd.Series([[v for _, v in _leaves(r, True) or [] if isinstance(v, str)] for r in raw], dtype=object)
 
 
 def usage_merge(older: dict[str, Column], newer: dict[str, Column]) -> dict[str, Column]:
@@ -84,14 +111,32 @@ def first_sentence(text: Column) -> Column:
     return F.regexp_extract(text, r"^\s*([^.!?\n]+)", 1)
 
 
-def rule_abstract(text: Column, words: int = 400) -> Column:
-    """The first of five leading lines of 16 characters or more that is no greeting, else the longest line;
-    filler cut, first letter large, at most ``words`` words."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    good = F.filter(F.slice(lines, 1, 5), lambda x: (F.length(x) >= 16) & ~x.rlike(GREETING))
-    longest = F.try_element_at(F.array_sort(F.transform(lines, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))), F.lit(1))["x"]
-    picked = F.regexp_replace(F.coalesce(F.try_element_at(good, F.lit(1)), longest), FILLER, "")
-    return F.array_join(F.slice(F.split(F.concat(F.upper(F.left(picked, F.lit(1))), F.substring(picked, 2, 1 << 30)), r"\s+"), 1, words), " ")
+def clamped_words(text: Column, most: int) -> Column:
+    """White space as single blanks; a longer text is cut under ``most`` characters, at its last blank if that
+    is not before six tenths of it, and ends in an ellipsis."""
+    tidy = F.trim(F.regexp_replace(text, r"\s+", " "))
+    cut = F.left(tidy, F.lit(most - 1))
+    blank = F.length(cut) - F.instr(F.reverse(cut), " ")  # characters before the last blank
+    whole = F.when((F.instr(cut, " ") > 0) & (blank > most * 0.6), F.left(cut, blank)).otherwise(cut)
+    return F.when(F.length(tidy) <= most, tidy).otherwise(F.concat(F.rtrim(whole), F.lit("…")))
+
+
+def rule_abstract(excerpts: Column, facts: Column | None = None, most: int = ABSTRACT_CHARS) -> Column:
+    """An abstract by rule of excerpts (array) in their order, with the facts in brackets.
+
+    It leads with the first of five excerpts of 16 characters or more that opens with no greeting, else with the
+    longest of the five, its greeting and one lead-in cut, the first letter large.
+    """
+    tidy = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    early = F.slice(F.filter(F.transform(F.coalesce(excerpts, F.array().cast("array<string>")), tidy), lambda x: x != ""), 1, 5)
+    good = F.filter(early, lambda x: (F.length(x) >= 16) & ~x.rlike(GREETING))
+    longest = F.try_element_at(F.array_sort(F.transform(early, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))), F.lit(1))["x"]
+    picked = F.coalesce(F.try_element_at(good, F.lit(1)), longest)
+    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(picked, GREETING, "")), FILLER, ""))
+    lead = F.when(bare == "", picked).otherwise(bare)
+    lead = F.coalesce(F.concat(F.upper(F.left(lead, F.lit(1))), F.substring(lead, 2, 1 << 30)), F.lit("AI coding session"))
+    told = F.nullif(tidy(facts), F.lit("")) if facts is not None else F.lit(None).cast("string")
+    return clamped_words(F.when(told.isNotNull(), F.concat(lead, F.lit(" ["), told, F.lit("]"))).otherwise(lead), most)
 
 
 def excerpt(prompt: Column, completion: Column, most: int = 320) -> Column:
@@ -148,14 +193,30 @@ def prompt_facts(slug: Column, branch: Column, turns: Column, agent: Column, fil
     )
 
 
-def segment_tags(agent: Column, provider: Column, model: Column, project: Column, verified: Column, components: Column, time_of_day: Column, cadence: Column) -> Column:
-    """Rooted tags (root_key, name, confidence) of a segment in their order; null names are left out."""
-    one = lambda root, name, c: F.struct(F.lit(root).alias("root_key"), name.alias("name"), c.alias("confidence"))
+def segment_tags(agent: Column, provider: Column, model: Column, project: Column, verified: Column, components: Column, time_of_day: Column, cadence: Column, slug_source: Column | None = None, emotions: Column | None = None, mind: Column | None = None, posture: Column | None = None, tools: Column | None = None) -> Column:
+    """Rooted tags (root_key, name, confidence, reason) of a segment in their order; null names are left out.
+
+    emotions, mind, posture: arrays, of which the first counts; tools: map of calls, of which the eight most
+    frequent count by their share.  reason is the source of the project's slug.
+    """
+    none = F.lit(None).cast("string")
+    one = lambda root, name, c, why=none: F.struct(F.lit(root).alias("root_key"), name.alias("name"), c.cast("double").alias("confidence"), why.alias("reason"))
     sure = F.lit(1.0)
-    tags = F.array(one("agents", agent, sure), one("providers", provider, sure), one("models", model, sure), one("projects", project, F.when(verified, 1.0).otherwise(0.5)))
+    why = slug_source if slug_source is not None else none
+    tags = F.array(one("agents", agent, sure), one("providers", provider, sure), one("models", model, sure), one("projects", project, F.when(verified, 1.0).otherwise(0.5), why))
     parts = F.transform(components, lambda c: one("components", c, F.lit(0.6)))
     when = F.array(one("time_of_day", time_of_day, sure), one("cadence", cadence, sure))
-    return F.filter(F.concat(tags, parts, when), lambda t: t["name"].isNotNull())
+    primary = lambda x: F.try_element_at(x, F.lit(1)) if x is not None else none
+    large = lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.substring(x, 2, 1 << 30))
+    felt = F.array(*(one(root, large(primary(x)), F.lit(0.7)) for root, x in (("mood", emotions), ("mind", mind), ("posture", posture))))
+    every = [tags, parts, when, felt]
+    if tools is not None:
+        used = F.filter(F.map_entries(tools), lambda e: e["value"] > 0)
+        total = F.aggregate(used, F.lit(0).cast("bigint"), lambda s, e: s + e["value"])
+        ranked = F.array_sort(F.transform(F.filter(used, lambda e: F.length(e["key"]) <= 120), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("k"))))
+        share = lambda e: F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.round(-e["n"] / total, 2)))
+        every.append(F.transform(F.slice(F.coalesce(ranked, F.array().cast("array<struct<n:bigint,k:string>>")), 1, 8), lambda e: one("tool_calls", e["k"], share(e))))
+    return F.filter(F.concat(*every), lambda t: t["name"].isNotNull())
 
 
 def url_scalar(url: Column, patterns: list[str]) -> Column:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tokens import CLASSES
+
 RANGES = ["today", "7d", "30d", "90d", "mtd", "ytd"]
 
 
@@ -32,12 +35,25 @@ def overview(events: DataFrame) -> DataFrame:
     return events.agg(money(F.sum("cost")).alias("cost"), money(F.sum("list_cost")).alias("list_cost"), money(F.sum("list_cost") - F.sum("cost")).alias("savings"), F.sum("tokens").alias("tokens"), F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("repo").alias("repos"))
 
 
-def explore(events: DataFrame, group_by: str, stack_by: str | None, metric: str, top: int = 50) -> DataFrame:
+#: Metrics of explore and the column that each sums (events are counted, sessions counted once).
+METRICS = {"cost": "cost", "list": "list_cost", "tokens": "tokens", "events": None, "sessions": "session_id", "tokens_input": "input", "tokens_output": "output", "tokens_cache_read": "cache_read", "tokens_cache_creation": "cache_creation", "tokens_reasoning": "reasoning"}
+
+
+def filtered(events: DataFrame, filters: dict[str, list] | None) -> DataFrame:
+    """events whose columns have one of the values given for each of them."""
+    for column, values in (filters or {}).items():
+        events = events.filter(F.col(column).isin(list(values)))
+    return events
+
+
+def explore(events: DataFrame, group_by: str, stack_by: str | None, metric: str, top: int = 50, filters: dict[str, list] | None = None) -> DataFrame:
     """(level, grp, stack, metric): the cells of the ``top`` groups by their total, those totals, and the total
-    of the whole set.  metric: events, sessions, cost or tokens.  Ties of groups go by name."""
-    value = {"events": F.count("*"), "sessions": F.count_distinct("session_id"), "cost": F.sum("cost"), "tokens": F.sum("tokens")}[metric].alias(metric)
+    of the whole set.  Any column groups or stacks, a taxonomy node too; ties of groups go by name."""
+    source = METRICS[metric]
+    value = {"events": F.count("*"), "sessions": F.count_distinct("session_id")}.get(metric, F.sum(source) if source else None).alias(metric)
+    events = filtered(events, filters)
     g, s = F.col(group_by).cast("string").alias("grp"), (F.col(stack_by) if stack_by else F.lit(None)).cast("string").alias("stack")
-    rows = events.select(g, s, *[c for c in ("session_id", "cost", "tokens") if c in events.columns])
+    rows = events.select(g, s, *([source] if source else []))
     sets = rows.groupingSets([[F.col("grp"), F.col("stack")], [F.col("grp")], []], F.col("grp"), F.col("stack")).agg(F.grouping_id().alias("gid_"), value)
     level = F.when(F.col("gid_") == 0, "cell").when(F.col("gid_") == 1, "group").otherwise("all")
     out = sets.withColumn("level", level).drop("gid_")
@@ -63,13 +79,14 @@ def live_sessions(events: DataFrame, ts_ms: str = "ts_ms", within_ms: int = 15 *
 
 def subtree(edges: DataFrame, ids: list) -> DataFrame:
     """(node): the ids and all their descendants, by a recursive query over (id, parent_id)."""
-    edges.createOrReplaceTempView("taxonomy_edges_")
+    view = f"taxonomy_{uuid.uuid4().hex}"  # a name of its own: calls at the same time have their own edges
+    edges.createOrReplaceTempView(view)
     wanted = ", ".join(repr(str(i)) for i in ids)
     return edges.sparkSession.sql(f"""
         WITH RECURSIVE down(node) AS (
-          SELECT CAST(id AS STRING) FROM taxonomy_edges_ WHERE CAST(id AS STRING) IN ({wanted})
+          SELECT CAST(id AS STRING) FROM {view} WHERE CAST(id AS STRING) IN ({wanted})
           UNION ALL
-          SELECT CAST(e.id AS STRING) FROM taxonomy_edges_ e JOIN down d ON CAST(e.parent_id AS STRING) = d.node)
+          SELECT CAST(e.id AS STRING) FROM {view} e JOIN down d ON CAST(e.parent_id AS STRING) = d.node)
         SELECT DISTINCT node FROM down""")
 
 
@@ -94,9 +111,9 @@ def missing_ids(requested: DataFrame, present: DataFrame, key: str) -> DataFrame
 
 
 def insights(requested: DataFrame, events: DataFrame, segments: DataFrame) -> DataFrame:
-    """A row for each requested session: tokens, cost, segments, pending ones, and status ready, analyzing or
-    not_ingested."""
-    own = events.join(requested, "session_id", "left_semi").groupBy("session_id").agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.array_sort(F.collect_set("node")).alias("nodes"))
+    """A row for each requested session: tokens and their five classes, cost, segments, pending ones, and status
+    ready, analyzing or not_ingested."""
+    own = events.join(requested, "session_id", "left_semi").groupBy("session_id").agg(F.sum("tokens").alias("tokens"), *(F.sum(c).alias(c) for c in CLASSES), F.sum("cost").alias("cost"), F.array_sort(F.collect_set("node")).alias("nodes"))
     cut = segments.join(requested, "session_id", "left_semi").groupBy("session_id").agg(F.count("*").alias("segment_count"), F.count(F.when(F.col("pending"), 1)).alias("segments_pending"))
     out = requested.select("session_id").distinct().join(own, "session_id", "left").join(cut, "session_id", "left")
     status = F.when(F.col("tokens").isNull(), "not_ingested").when(F.coalesce("segments_pending", F.lit(0)) > 0, "analyzing").otherwise("ready")
@@ -124,3 +141,9 @@ def report_json(rows: DataFrame) -> DataFrame:
 
 def top_kinds(df: DataFrame, kind: str, most: int = 20) -> DataFrame:
     return df.groupBy(kind).agg(F.count("*").alias("n")).orderBy(F.desc("n"), kind).limit(most)
+
+
+def limited(rows: DataFrame, measure: str, name: str, sums: list[str], most: int) -> DataFrame:
+    """The ``most`` rows of a rollup by a measure (nulls last, ties by name) and a row (total) over all of them."""
+    top = rows.orderBy(F.col(measure).desc_nulls_last(), name).limit(most).select(F.lit("row").alias("level"), F.col(name).cast("string").alias(name), *sums)
+    return top.unionByName(rows.agg(*(F.sum(c).alias(c) for c in sums)).select(F.lit("total").alias("level"), F.lit(None).cast("string").alias(name), *sums))

@@ -158,9 +158,32 @@ def value_islands(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFr
     return runs.withColumn("latest", F.col("island_") == F.max("island_").over(Window.partitionBy(*keys))).drop("island_")
 
 
-def packed_batches(df: DataFrame, keys: list[str], order: list[str], events: int = 1000) -> DataFrame:
-    """df with ``batch``: runs of ``events`` rows of each group in order."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / events).cast("bigint"))
+def packed_batches(df: DataFrame, keys: list[str], order: list[str], events: int = 1000, calls: str | None = None, most_calls: int = 20_000) -> DataFrame:
+    """df with ``batch``: runs of at most ``events`` rows of each group in order and, with ``calls`` (a count a
+    row), of at most ``most_calls`` calls; a single row of more calls is a batch of its own.
+
+    With calls the limits restart at every batch, so rows are dealt by group and walked in order, an Arrow
+    batch at a time.
+    """
+    if calls is None:
+        return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / events).cast("bigint"))
+    cols = df.columns
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, number, rows, total = None, 0, 0, 0
+        for pdf in batches:
+            out = np.empty(len(pdf), np.int64)
+            for i, (k, c) in enumerate(zip(zip(*(pdf[x] for x in keys), strict=True), pdf[calls].fillna(0), strict=True)):
+                if k != key:
+                    key, number, rows, total = k, 0, 0, 0
+                elif rows >= events or total + c > most_calls:
+                    number, rows, total = number + 1, 0, 0
+                rows, total = rows + 1, total + c
+                out[i] = number
+            yield pdf[cols].assign(batch=out)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", batch bigint"
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
 
 
 def windows_of(length: Column, size: int, overlap: int) -> Column:

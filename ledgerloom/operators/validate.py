@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import bare_file
 from ..functions.redact import clamp_bytes
+from ..functions.text import string_leaves
 from ..functions.tokens import CLASSES
 
 #: Tool call states and the modelled event kinds.
@@ -41,19 +42,14 @@ def without_local_paths(df: DataFrame) -> DataFrame:
 
 
 def path_leaves(values: Column) -> Column:
-    """Distinct strings of an array in first-seen order that look like paths: a separator, no scheme, no blank."""
-    return F.array_distinct(F.filter(values, lambda v: v.rlike(r"[/\\]") & ~v.contains("://") & ~v.rlike(r"\s")))
+    """Distinct strings of an array, trimmed, in first-seen order that look like paths: a separator, no scheme,
+    no blank."""
+    return F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.rlike(r"[/\\]") & ~v.contains("://") & ~v.rlike(r"\s")))
 
 
-def string_leaves(json: Column, depth: int = 3) -> Column:
-    """String leaves of a JSON object in document order, ``depth`` levels deep."""
-    def level(at: Column, left: int) -> Column:
-        entries = F.coalesce(F.map_entries(F.try_variant_get(at, "$", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
-        is_text = lambda e: F.schema_of_variant(e["value"]) == "STRING"
-        own = lambda e: F.when(is_text(e), F.array(F.try_variant_get(e["value"], "$", "string"))).otherwise(F.array().cast("array<string>"))
-        return F.flatten(F.transform(entries, own if left == 1 else lambda e: F.when(is_text(e), own(e)).otherwise(level(e["value"], left - 1))))
-
-    return level(F.try_parse_json(json), depth)
+def argument_paths(json: Column) -> Column:
+    """The path-shaped strings of a call's arguments, at any depth and in arrays."""
+    return path_leaves(string_leaves(json))
 
 
 def split_paired(df: DataFrame, value: str, format_: str) -> tuple[DataFrame, DataFrame]:

@@ -264,7 +264,7 @@ def a7_anchors(spark, sf):
     return history.anchors(commits(spark, sf), 10)
 
 
-@query(rf"{CM}, p AS (SELECT DISTINCT repo AS slug, pr_key AS number FROM cm), c AS (SELECT repo AS slug, position, sha, committed_at, subject, unnest(list_distinct(regexp_extract_all(subject, '#([0-9]+)', 1)))::BIGINT AS number FROM cm), f AS (SELECT slug, number, arg_min(sha, position) AS sha, arg_min(committed_at, position) AS at, arg_min(subject, position) AS s FROM c GROUP BY ALL), u AS (SELECT DISTINCT repo AS slug, unnest(regexp_extract_all(body, 'This reverts commit ([0-9a-f]+)', 1)) AS cited FROM cm) SELECT p.slug, p.number, f.sha AS merge_sha, f.at AS merged_at, f.s AS subject, f.sha IS NOT NULL AS merged, coalesce(f.sha IN (SELECT cited FROM u WHERE u.slug = p.slug), false) AS reverted FROM p LEFT JOIN f ON p.slug = f.slug AND p.number = f.number")
+@query(rf"{CM}, p AS (SELECT DISTINCT repo AS slug, pr_key AS number FROM cm), c AS (SELECT repo AS slug, position, sha, committed_at, subject, unnest(list_distinct(regexp_extract_all(subject, '(?:^|[^0-9])#([0-9]+)', 1)))::BIGINT AS number FROM cm), f AS (SELECT slug, number, arg_min(sha, position) AS sha, arg_min(committed_at, position) AS at, arg_min(subject, position) AS s FROM c GROUP BY ALL), u AS (SELECT DISTINCT repo AS slug, unnest(regexp_extract_all(body, 'This reverts commit ([0-9a-f]{{7}})', 1)) AS cited FROM cm) SELECT p.slug, p.number, f.sha AS merge_sha, f.at AS merged_at, f.s AS subject, f.sha IS NOT NULL AS merged, coalesce(left(f.sha, 7) IN (SELECT cited FROM u WHERE u.slug = p.slug), false) AS reverted FROM p LEFT JOIN f ON p.slug = f.slug AND p.number = f.number")
 def j10_merge_and_revert(spark, sf):
     """J10 and J11: the merge commit of each PR and whether it was reverted."""
     c = commits(spark, sf).withColumnRenamed("repo", "slug")
@@ -369,10 +369,10 @@ def a18_kind_ledger(spark, sf):
     return report.top_kinds(events(spark, sf).select(F.concat("kind", F.lit("/"), "model").alias("kind")), "kind")
 
 
-@query(f"{EV} SELECT session_id, kind, max(provider) AS provider, min(ts_ms) AS oldest_ms FROM ev GROUP BY ALL HAVING count(DISTINCT provider) = 1")
+@query(f"{EV} SELECT session_id, kind, day, max(provider) AS provider, min(ts_ms) AS oldest_ms FROM ev GROUP BY ALL HAVING count(DISTINCT provider) = 1")
 def a19_single_account(spark, sf):
-    e = events(spark, sf).withColumn("pair", F.struct("session_id", "kind"))
-    return history.single_account(e, "pair", "provider", "ts_ms").select("pair.session_id", "pair.kind", "provider", "oldest_ms")
+    e = events(spark, sf).withColumn("part", F.struct("session_id", "kind", "day"))
+    return history.single_account(e, "part", "provider", "ts_ms").select("part.session_id", "part.kind", "part.day", "provider", "oldest_ms")
 
 
 @query(f"{EV}, a AS (SELECT provider, 'acct-' || provider AS account, min(ts_ms) + 86400000 AS observed_since FROM ev GROUP BY 1), s AS (SELECT session_id, provider, min(ts_ms) AS oldest_ms FROM ev GROUP BY ALL) SELECT session_id, s.provider, oldest_ms, CASE WHEN oldest_ms >= observed_since THEN account END AS account FROM s JOIN a ON s.provider = a.provider")
@@ -429,6 +429,16 @@ def a25_explore_model_tool(spark, sf):
     return report.explore(events(spark, sf), "model", "kind", "tokens", 3)
 
 
+@query(explore_sql("provider", "model", "sum(input)::BIGINT", "tokens_input", 2).replace("FROM ev)", "FROM ev WHERE device IN ('d1', 'd2', 'd3') AND kind <> 'error')"))
+def a25_explore_filtered(spark, sf):
+    return report.explore(events(spark, sf), "provider", "model", "tokens_input", 2, {"device": ["d1", "d2", "d3"], "kind": ["view", "click", "signup", "purchase"]})
+
+
+@query(explore_sql("device", None, "sum(list_cost)::BIGINT", "list", 5))
+def a25_explore_list_cost(spark, sf):
+    return report.explore(events(spark, sf), "device", None, "list", 5)
+
+
 @query(explore_sql("day", None, "count(DISTINCT session_id)", "sessions", 20))
 def a25_explore_day_sessions(spark, sf):
     return report.explore(events(spark, sf), "day", None, "sessions", 20)
@@ -445,7 +455,7 @@ def a26_find_projects(spark, sf):
     return report.find_named(rows, "node", "R1", 50)
 
 
-@query(f"{EV}, q AS (SELECT DISTINCT (c_custkey % 400)::VARCHAR AS session_id FROM customer), o AS (SELECT session_id, sum(tokens)::BIGINT AS tokens, sum(cost)::BIGINT AS cost, string_agg(DISTINCT repo, ',' ORDER BY repo) AS nodes FROM ev GROUP BY 1), s AS (SELECT session_id, count(DISTINCT day) AS n, count(DISTINCT day) FILTER (day >= '2024-01-30') AS p FROM ev GROUP BY 1) SELECT q.session_id, tokens, cost, nodes, coalesce(n, 0) AS segment_count, coalesce(p, 0) AS segments_pending, CASE WHEN tokens IS NULL THEN 'not_ingested' WHEN coalesce(p, 0) > 0 THEN 'analyzing' ELSE 'ready' END AS status FROM q LEFT JOIN o USING (session_id) LEFT JOIN s USING (session_id)")
+@query(f"{EV}, q AS (SELECT DISTINCT (c_custkey % 400)::VARCHAR AS session_id FROM customer), o AS (SELECT session_id, sum(tokens)::BIGINT AS tokens, {SUMS}, sum(cost)::BIGINT AS cost, string_agg(DISTINCT repo, ',' ORDER BY repo) AS nodes FROM ev GROUP BY 1), s AS (SELECT session_id, count(DISTINCT day) AS n, count(DISTINCT day) FILTER (day >= '2024-01-30') AS p FROM ev GROUP BY 1) SELECT q.session_id, tokens, input, output, cache_creation, cache_read, reasoning, cost, nodes, coalesce(n, 0) AS segment_count, coalesce(p, 0) AS segments_pending, CASE WHEN tokens IS NULL THEN 'not_ingested' WHEN coalesce(p, 0) > 0 THEN 'analyzing' ELSE 'ready' END AS status FROM q LEFT JOIN o USING (session_id) LEFT JOIN s USING (session_id)")
 def a27_session_insights(spark, sf):
     e = events(spark, sf)
     asked = table(spark, sf, "customer").select((F.col("c_custkey") % 400).cast("string").alias("session_id")).distinct()
@@ -595,18 +605,29 @@ def f11_references(spark, sf):
     return d.select("c_custkey", "r.kind", "r.provider", "r.slug", "r.key", "r.ambiguous")
 
 
-@query("SELECT c_custkey, 'ABC-' || c_custkey AS ticket FROM customer")
+@query("WITH x AS (SELECT c_custkey, 'feature/ABC-' || c_custkey || '-retry' AS b FROM customer) SELECT c_custkey, unnest(list_distinct(regexp_extract_all(b, '\\b([A-Z][A-Z0-9]{1,9}-[0-9]{1,6})\\b', 1))) AS ticket FROM x")
 def f13_branch_tickets(spark, sf):
     branch = F.concat(F.lit("feature/ABC-"), F.col("c_custkey").cast("string"), F.lit("-retry"))
     return table(spark, sf, "customer").select("c_custkey", F.explode(refs.branch_tickets(branch)).alias("ticket"))
 
 
-@query()
+A13_SQL = """WITH x AS (SELECT c_nationkey AS session_id, 'acme/' || lower(replace(n_name, '_', '-')) AS slug, c_custkey AS n, c_custkey % 2 = 0 AS git FROM customer JOIN nation ON c_nationkey = n_nationkey),
+r AS (SELECT session_id, n AS ts, 0 AS pos, 'pr' AS kind, 'github' AS provider, slug, n::VARCHAR AS key, git, 'https://github.com/' || slug || '/pull/' || n AS url, 'github.com' AS host, 0.9 AS confidence, false AS ambiguous FROM x
+  UNION ALL SELECT session_id, n, 1, 'issue', 'linear', NULL, 'ENG-' || session_id, git, 'https://linear.app/acme/issue/ENG-' || session_id, NULL, 0.8, false FROM x
+  UNION ALL SELECT session_id, n, 2, 'issue', 'github', 'acme/web', n::VARCHAR, git, NULL, NULL, 0.8, true FROM x
+  UNION ALL SELECT session_id, n, 3, 'issue', 'other', NULL, 'ENG-' || session_id, git, NULL, NULL, 0.8, true FROM x
+  UNION ALL SELECT session_id, n, 4, 'issue', 'other', NULL, 'ABC-' || n, git, NULL, NULL, 0.8, true FROM x),
+g AS (SELECT session_id, kind, provider, slug, key, CASE WHEN bool_or(git) THEN 'git' ELSE 'content' END AS source, max(url) AS url, max(host) AS host, max(confidence)::DOUBLE AS confidence, bool_and(ambiguous) AS ambiguous, min(ts * 10 + pos) AS first FROM r GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY session_id, kind ORDER BY first) AS rn FROM g WHERE kind = 'issue' OR key <> '0')
+SELECT session_id, kind, provider, slug, key, source, url, host, confidence, ambiguous FROM k WHERE rn <= 100"""
+
+
+@query(A13_SQL)
 def a13_reference_dedupe(spark, sf):
-    """An ordered fold; tests hold it against a Python fold."""
+    """Each session's references; tests hold the fold's ties and backfills."""
     d = mentions(spark, sf).select("c_custkey", "c_nationkey", F.posexplode(refs.detect(F.col("text"), True)).alias("position", "r"))
-    rows = d.select(F.col("c_nationkey").alias("session_id"), F.lit(1).alias("channel"), F.col("c_custkey").alias("ts"), "position", "r.kind", "r.slug", "r.key", F.when(F.col("c_custkey") % 2 == 0, "git").otherwise("content").alias("source"), "r.url", "r.host", "r.confidence", "r.ambiguous")
-    return refs.dedupe_references(rows)
+    rows = d.select(F.col("c_nationkey").alias("session_id"), F.lit(1).alias("channel"), F.col("c_custkey").alias("ts"), "position", "r.kind", "r.provider", "r.slug", "r.key", F.when(F.col("c_custkey") % 2 == 0, "git").otherwise("content").alias("source"), "r.url", "r.host", "r.confidence", "r.ambiguous")
+    return refs.dedupe_references(rows).drop("branches")
 
 
 @query(r"WITH x AS (SELECT page_id, regexp_extract(url, '^https?://(?:[^/@]*@)?([^/:]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+(/.*)?$', 1) AS p FROM pages) SELECT page_id, host, CASE WHEN regexp_matches(p, '^/([^/]+)/([^/]+?)(?:\.git)?/?$') THEN regexp_extract(p, '^/([^/]+)/([^/]+?)(?:\.git)?/?$', 1) || '/' || regexp_extract(p, '^/([^/]+)/([^/]+?)(?:\.git)?/?$', 2) END AS slug FROM x")
@@ -629,7 +650,7 @@ def f20_programs(spark, sf):
     return table(spark, sf, "part").select("p_partkey", commands.program_of(line).alias("program"))
 
 
-@query("SELECT p_partkey, '§ --size=§ -n §' AS shape FROM part")
+@query("SELECT p_partkey, list_transform(string_split(trim(regexp_replace(string_split(p_name, ' ')[1] || '  --size=' || p_size || ' -n ' || p_brand, '\\s+', ' ', 'g')), ' '), lambda w: CASE WHEN starts_with(w, '--') AND contains(w, '=') THEN string_split(w, '=')[1] || '=§' WHEN starts_with(w, '-') THEN w ELSE '§' END).array_to_string(' ') AS shape FROM part")
 def f21_argument_shape(spark, sf):
     args = F.concat(F.split("p_name", " ")[0], F.lit("  --size="), F.col("p_size").cast("string"), F.lit(" -n "), F.col("p_brand"))
     return table(spark, sf, "part").select("p_partkey", commands.argument_shape(args).alias("shape"))
@@ -664,9 +685,14 @@ def f26_disjoint_usage(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", u["input"].alias("input"), u["output"].alias("output"), u["cache_read"].alias("cache_read"), u["reasoning"].alias("reasoning"))
 
 
-@query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+@query("SELECT event_id, 'a.b.c.d.e.' || CASE WHEN event_id % 2 = 0 THEN 'k' ELSE 'n' END AS path, (props->>'k')::BIGINT AS value FROM events WHERE event_id % 3 > 0 UNION ALL SELECT event_id, 'top', event_id FROM events WHERE event_id % 3 > 0")
 def f27_numeric_leaves(spark, sf):
-    return table(spark, sf, "events").select("event_id", text.numeric_leaves(F.col("props"), 2)["k"].alias("k"))
+    """Leaves six levels deep; negative numbers, texts, arrays and bad JSON give none."""
+    e = table(spark, sf, "events")
+    name = F.when(F.col("event_id") % 2 == 0, "k").otherwise("n")
+    value = F.get_json_object("props", "$.k")
+    raw = F.concat(F.lit('{"a":{"b":{"c":{"d":{"e":{"'), name, F.lit('":'), value, F.lit(',"x":-1,"y":"7","z":[1,2]}}}}},"top":'), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 > 0, "}").otherwise(""))
+    return e.select("event_id", F.explode(text.numeric_leaves(raw)).alias("path", "value"))
 
 
 @query("SELECT event_id, props->>'k' AS k FROM events")
@@ -699,9 +725,11 @@ def f39_compact_numbers(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", tokens.compact_tokens(F.floor(F.col("o_totalprice") * 7)).alias("short"))
 
 
-@query("SELECT event_id, sha256(props) AS args_hash, sha256('k') AS signature_hash, strlen(props)::INTEGER AS args_bytes FROM events")
+@query("""WITH x AS (SELECT event_id, '{"q":"a  b: {c}","k":' || (props->>'k') || '}' AS j FROM events) SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE sha256(j) END AS args_hash, CASE WHEN event_id % 5 = 0 THEN 'none' ELSE sha256('k,q') END AS signature_hash, CASE WHEN event_id % 5 = 0 THEN 0 ELSE strlen(j) END::INTEGER AS args_bytes FROM x""")
 def f43_argument_hashes(spark, sf):
-    h = ids.argument_hashes(F.col("props"))
+    """Blanks between the parts don't count, those in texts do; null has no hash."""
+    spaced = F.concat(F.lit('{ "q" : "a  b: {c}",\n "k": '), F.get_json_object("props", "$.k"), F.lit(" }"))
+    h = ids.argument_hashes(F.when(F.col("event_id") % 5 == 0, "null").otherwise(spaced))
     return table(spark, sf, "events").select("event_id", *(v.alias(k) for k, v in h.items()))
 
 
@@ -734,9 +762,21 @@ def f50_titles(spark, sf):
     return turns(spark, sf).filter("trim(split(text, '\\n')[0]) <> ''").select("conv_id", "turn", text.title(F.col("text")).alias("title"))
 
 
-@query()
+ABSTRACT_SQL = r"""WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 0 THEN 'Hello, can you ' || text WHEN turn % 4 = 1 THEN 'please ' || text WHEN turn % 4 = 2 THEN 'ok' ELSE text END AS text FROM conversations),
+x AS (SELECT conv_id, turn, role, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> '')[1:5] AS early FROM t),
+y AS (SELECT *, list_filter(early, lambda s: length(s) >= 16 AND NOT regexp_matches(s, '{g}'))[1] AS good, list_filter(early, lambda s: length(s) = list_max(list_transform(early, lambda u: length(u))))[1] AS long FROM x),
+z AS (SELECT *, coalesce(good, long) AS p FROM y),
+b AS (SELECT *, trim(regexp_replace(trim(regexp_replace(p, '{g}', '')), '{f}', '')) AS q FROM z),
+l AS (SELECT *, CASE WHEN q = '' THEN p ELSE q END AS r FROM b),
+m AS (SELECT conv_id, turn, coalesce(upper(left(r, 1)) || substr(r, 2), 'AI coding session') || ' [role ' || role || ']' AS s FROM l),
+n AS (SELECT *, left(s, 119) AS c, 119 - instr(reverse(left(s, 119)), ' ') AS cut_at FROM m)
+SELECT conv_id, turn, CASE WHEN length(s) <= 120 THEN s ELSE rtrim(CASE WHEN instr(c, ' ') > 0 AND cut_at > 72 THEN left(c, cut_at) ELSE c END) || '…' END AS abstract FROM n"""
+
+
+@query(ABSTRACT_SQL.replace("{g}", text.GREETING.replace("'", "''")).replace("{f}", text.FILLER.replace("'", "''")))
 def f51_rule_abstract(spark, sf):
-    return turns(spark, sf).select("conv_id", "turn", text.rule_abstract(F.col("text")).alias("abstract"))
+    opened = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Hello, can you "), "text")).when(F.col("turn") % 4 == 1, F.concat(F.lit("please "), "text")).when(F.col("turn") % 4 == 2, "ok").otherwise(F.col("text"))
+    return turns(spark, sf).select("conv_id", "turn", text.rule_abstract(F.split(opened, "\n"), F.concat(F.lit("role "), "role"), 120).alias("abstract"))
 
 
 @query("WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) SELECT vec_id, round(1 - list_inner_product(e, p) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(p, p))), 6) AS distance FROM v WHERE p IS NOT NULL")
@@ -822,8 +862,12 @@ def t1_session_debounce(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from . import records  # noqa: F401  (its queries register themselves)
+
     return dict(FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import records  # noqa: F401
+
     return dict(SQL)

@@ -52,8 +52,9 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = o.withColumn("ts_ms", ms(o, "o_orderdate"))
     number = F.col("o_custkey").cast("string")
     p = F.left("o_orderpriority", F.lit(1))
-    subject = F.when(p == "1", F.concat(F.lit("Merge pull request #"), number, F.lit(" from topic"))).when(p == "2", F.concat(F.lit("Speed up scan (#"), number, F.lit(")"))).when(p == "3", F.concat(F.lit("Fix bug reported in #"), number)).otherwise(F.concat(F.lit("Tidy "), number))
-    body = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Details\n\nCo-Authored-By: Claude <bot@example.com>"))).when(F.col("o_orderstatus") == "P", F.concat(F.lit("This reverts commit "), F.left(F.md5(F.concat(F.lit("sha"), (F.col("o_orderkey") - 1).cast("string")).cast("binary")), F.lit(40)), F.lit("."))).otherwise("We talked about codex at length")
+    subject = F.when(p == "1", F.concat(F.lit("Merge pull request #"), number, F.lit(" from topic"))).when(p == "2", F.concat(F.lit("Speed up scan (#"), number, F.lit(")"))).when(p == "3", F.concat(F.lit("Fix bug reported in #"), number)).when(p == "4", F.concat(F.lit("Tidy, closes GH#"), number)).otherwise(F.concat(F.lit("Tidy "), number))
+    undone = F.md5(F.concat(F.lit("sha"), (F.col("o_orderkey") - 1).cast("string")).cast("binary"))
+    body = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Details\n\nCo-Authored-By: Claude <bot@example.com>"))).when(F.col("o_orderstatus") == "P", F.concat(F.lit("This reverts commit "), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.left(undone, F.lit(7)), F.lit("fffffff"))).otherwise(undone), F.lit("."))).otherwise("We talked about codex at length")
     return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select(
         F.concat(F.lit("team/"), F.lower("n_name")).alias("repo"), F.md5(F.concat(F.lit("sha"), F.col("o_orderkey").cast("string")).cast("binary")).alias("sha"), F.col("o_orderkey").alias("position"),
         "ts_ms", F.col("ts_ms").alias("committed_at"), subject.alias("subject"), body.alias("body"), F.col("o_custkey").alias("pr_key"),
@@ -61,8 +62,8 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMMITS_SQL = """cm AS (SELECT 'team/' || lower(n_name) AS repo, md5('sha' || o_orderkey) AS sha, o_orderkey AS position, (epoch_us(o_orderdate) // 1000) AS ts_ms, (epoch_us(o_orderdate) // 1000) AS committed_at,
-  CASE left(o_orderpriority, 1) WHEN '1' THEN 'Merge pull request #' || o_custkey || ' from topic' WHEN '2' THEN 'Speed up scan (#' || o_custkey || ')' WHEN '3' THEN 'Fix bug reported in #' || o_custkey ELSE 'Tidy ' || o_custkey END AS subject,
-  CASE o_orderstatus WHEN 'F' THEN 'Details' || chr(10) || chr(10) || 'Co-Authored-By: Claude <bot@example.com>' WHEN 'P' THEN 'This reverts commit ' || md5('sha' || (o_orderkey - 1)) || '.' ELSE 'We talked about codex at length' END AS body, o_custkey AS pr_key
+  CASE left(o_orderpriority, 1) WHEN '1' THEN 'Merge pull request #' || o_custkey || ' from topic' WHEN '2' THEN 'Speed up scan (#' || o_custkey || ')' WHEN '3' THEN 'Fix bug reported in #' || o_custkey WHEN '4' THEN 'Tidy, closes GH#' || o_custkey ELSE 'Tidy ' || o_custkey END AS subject,
+  CASE o_orderstatus WHEN 'F' THEN 'Details' || chr(10) || chr(10) || 'Co-Authored-By: Claude <bot@example.com>' WHEN 'P' THEN 'This reverts commit ' || CASE WHEN o_orderkey % 2 = 0 THEN left(md5('sha' || (o_orderkey - 1)), 7) || 'fffffff' ELSE md5('sha' || (o_orderkey - 1)) END || '.' ELSE 'We talked about codex at length' END AS body, o_custkey AS pr_key
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 

@@ -13,7 +13,12 @@ FIELD, RECORD = "\x1f", "\x1e"
 
 def commit_log(spark: SparkSession, path: str) -> DataFrame:
     """(file, position, sha, committed_at, subject, body) of exported logs; a body keeps its separators."""
-    raw = spark.read.option("lineSep", RECORD).text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position"), F.split(F.trim(F.regexp_replace("value", r"^\s+", "")), FIELD, 4).alias("x"))
+    return commits_of(spark.read.option("lineSep", RECORD).text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position"), "value"))
+
+
+def commits_of(records: DataFrame) -> DataFrame:
+    """:func:`commit_log` of records (file, position, value) that are read already."""
+    raw = records.select("file", "position", F.split(F.trim(F.regexp_replace("value", r"^\s+", "")), FIELD, 4).alias("x"))
     return raw.filter(F.size("x") >= 3).select("file", "position", F.col("x")[0].alias("sha"), F.col("x")[1].alias("committed_at"), F.col("x")[2].alias("subject"), F.coalesce(F.get("x", F.lit(3)), F.lit("")).alias("body"))
 
 
@@ -26,7 +31,11 @@ def numstat(rows: DataFrame, value: str = "value") -> DataFrame:
 
 def sdk_batches(spark: SparkSession, path: str, streaming: bool = False) -> tuple[DataFrame, DataFrame]:
     """(events, tool calls with their event) of SDK batches in JSON."""
-    raw = (spark.readStream if streaming else spark.read).schema(schema.SDK_BATCH).json(path)
+    return batches_of((spark.readStream if streaming else spark.read).schema(schema.SDK_BATCH).json(path), streaming)
+
+
+def batches_of(raw: DataFrame, streaming: bool = False) -> tuple[DataFrame, DataFrame]:
+    """:func:`sdk_batches` of batches that are read already."""
     events = raw.select(F.explode("events").alias("e")).select("e.*")
     calls = raw.select(F.explode("tool_calls").alias("c")).select("c.*")
     if streaming:

@@ -15,15 +15,27 @@ from ..operators.sessions import carried, drop_repeats, ordinal, turn_index
 def lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """(file, seq, byte_offset, value): all physical lines of the files, numbered from 1 in file order.
 
-    A file is one row while it is cut into lines; very large logs should be rotated before.
+    A file is one row while it is cut into lines, so a file of 2 GB or more must be rotated before.
     """
     reader = spark.readStream.schema("value string") if streaming else spark.read
-    raw = reader.option("wholetext", "true").format("text").load(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("x"))
-    sized = raw.select("file", "x", F.transform("x", lambda v: F.octet_length(v) + 1).alias("n"))
-    #: Running byte offsets: prefix sums as an array, one entry a line.
-    offsets = F.aggregate("n", F.struct(F.array(F.lit(0).cast("bigint")).alias("a"), F.lit(0).cast("bigint").alias("s")), lambda acc, n: F.struct(F.concat(acc["a"], F.array(acc["s"] + n)).alias("a"), (acc["s"] + n).alias("s")))["a"]
-    rows = sized.select("file", F.posexplode(F.arrays_zip(F.col("x").alias("value"), F.slice(offsets, F.lit(1), F.size("x")).alias("byte_offset"))).alias("pos", "l"))
-    return rows.select("file", (F.col("pos") + 1).cast("bigint").alias("seq"), F.col("l.byte_offset").alias("byte_offset"), F.col("l.value").alias("value"))
+    return lines_of(reader.option("wholetext", "true").format("text").load(path).select(F.col("_metadata.file_path").alias("file"), "value"), streaming)
+
+
+def lines_of(files: DataFrame, streaming: bool = False) -> DataFrame:
+    """:func:`lines` of files (file, value) that are read already.
+
+    Offsets are running sums of the lines' bytes: a window over a file's lines, linear in them.  A stream
+    knows no such window; there a file's offsets are summed up inside its row.
+    """
+    cut = F.split("value", "\n")
+    if streaming:
+        sizes = F.transform(cut, lambda v: (F.octet_length(v) + 1).cast("bigint"))
+        offset = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("bigint"), lambda s, n: s + n)
+        rows = files.select("file", F.explode(F.transform(cut, lambda v, i: F.struct((i + 1).cast("bigint").alias("seq"), offset(i).alias("byte_offset"), v.alias("value")))).alias("l"))
+        return rows.select("file", "l.*")
+    rows = files.select("file", F.posexplode(cut).alias("pos", "value"))
+    before = F.sum((F.octet_length("value") + 1).cast("bigint")).over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("file", (F.col("pos") + 1).cast("bigint").alias("seq"), F.coalesce(before, F.lit(0).cast("bigint")).alias("byte_offset"), "value")
 
 
 def parsed(rows: DataFrame, ddl: str) -> DataFrame:

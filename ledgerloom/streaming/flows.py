@@ -20,7 +20,9 @@ FINAL_AGE_MS, QUIET_MS = 30_000, 2_000
 
 
 def deduped(stream: DataFrame, key: str = "source_event_id", ts: str = "ts", keep: str = KEEP) -> DataFrame:
-    """Rows whose key was not seen within ``keep``."""
+    """Rows whose key was not seen within ``keep``; of a table, which has an end, one row a key."""
+    if not stream.isStreaming:
+        return stream.dropDuplicates([key])
     return stream.withWatermark(ts, keep).dropDuplicatesWithinWatermark([key])
 
 

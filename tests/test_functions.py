@@ -108,7 +108,15 @@ def test_reference_fold(spark):
     rows = [(1, "pr", "A/b", "7", 0, 1, 0, "content", None, "h1", 0.9, True), (1, "pr", "a/B", "7", 1, 0, 0, "git", "u2", None, 0.5, False), (1, "pr", "a/b", "7", 2, 0, 0, "git", "u3", "h3", 0.4, True)]
     df = spark.createDataFrame(rows, "session_id int, kind string, slug string, key string, channel int, ts int, position int, source string, url string, host string, confidence double, ambiguous boolean")
     r = refs.dedupe_references(df).collect()
-    assert [tuple(x) for x in r] == [(1, "pr", "A/b", "7", "git", "u2", "h1", 0.9, False)]
+    assert [tuple(x) for x in r] == [(1, "pr", None, "a/B", "7", "git", "u2", "h1", 0.9, False, [])]
+    cols = "session_id int, kind string, provider string, slug string, key string, channel int, ts int, position int, source string, url string, host string, confidence double, ambiguous boolean, branches array<string>"
+    issue = lambda provider, key, pos, **x: (1, "issue", provider, x.get("slug"), key, 0, pos, 0, "content", x.get("url"), None, 0.8, x.get("ambiguous", False), None)
+    repo = lambda slug, pos, source, branches, host=None: (1, "repo", None, slug, None, 1, pos, 0, source, None, host, 0.9, False, branches)
+    rows = [issue("linear", "ENG-1", 0, url="u1"), issue("jira", "ENG-1", 1, url="u2"), issue("linear", "eng-1", 2), issue("github", "7", 3, slug="A/B", ambiguous=True), (1, "pr", "github", "a/b", "7", 2, 0, 0, "content", None, None, 0.9, False, None)]
+    rows += [repo("acme/api", 0, "git_guess", ["wip"]), repo("Acme/API", 1, "git", ["main", "wip"], "github.com"), repo("x/y", 2, "content", None)]
+    got = sorted((r["kind"], r["provider"] or "", r["slug"] or "", r["key"] or "", r["url"], r["branches"]) for r in refs.dedupe_references(spark.createDataFrame(rows, cols)).collect())
+    assert got == [("issue", "jira", "", "ENG-1", "u2", []), ("issue", "linear", "", "ENG-1", "u1", []), ("pr", "github", "a/b", "7", None, []), ("repo", "", "Acme/API", "", None, ["wip", "main"]), ("repo", "", "x/y", "", None, [])]
+    assert refs.dedupe_references(spark.createDataFrame(rows, cols), {"repo": 1}).filter("kind = 'repo'").count() == 1
 
 
 def test_tokens(spark):
@@ -159,6 +167,7 @@ def test_entities_and_candidates(spark):
 
 def test_event_references(spark):
     many = " ".join(f"https://github.com/a/b/pull/{i}" for i in range(40))
-    assert len(one(spark, refs.event_references(F.col("t")), t=many + " " + many)) == 24
+    found = one(spark, refs.event_references(F.col("t")), t=many + " " + many)
+    assert max(len(found[k]) for k in ("repos", "pull_requests", "issues")) == 24
     assert one(spark, refs.event_references(F.col("t")), t="nothing") is None
     assert tuple(one(spark, refs.repo_of_git(F.lit("a/b"), F.lit("main"), F.lit("git_remote"), F.lit(None).cast("string")))) == ("a/b", ["main"], "git")

@@ -92,7 +92,7 @@ def test_validation(spark):
     ok, bad = validate.split_paired(df, "v", "f")
     assert (ok.count(), bad.count()) == (2, 2)
     assert validate.flag_vocabulary(df, "v", ["a"], "known").filter("known").count() == 1
-    leaf = spark.createDataFrame([('{"a":{"p":"x/y"},"b":"http://z/q","c":"d e/f","e":"C:\\\\w"}',)], "j string").select(validate.path_leaves(validate.string_leaves(F.col("j"))).alias("r")).first()["r"]
+    leaf = spark.createDataFrame([('{"a":{"p":"x/y"},"b":"http://z/q","c":"d e/f","e":"C:\\\\w"}',)], "j string").select(validate.argument_paths(F.col("j")).alias("r")).first()["r"]
     assert sorted(leaf) == ["C:\\w", "x/y"]
 
 

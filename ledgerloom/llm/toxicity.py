@@ -102,30 +102,54 @@ def terms(text: str | None, dims: int = DIMS) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.int32), *(t for _, t in found(list(words_of(text)), dims))]))
 
 
-def near_pairs(text: str | None, seen: dict[str, int], dims: int, reach: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, first, second): hashes of all pairs of different words up to ``reach`` words apart, and both words' terms.
-
-    The order of the two does not matter.  seen: terms of words met before, at most 2^19 of them.
+def doc_terms(texts: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, term) of the distinct terms of each text; each word of all of them is hashed once."""
+    vocabulary: dict[str, int] = {}
+    owners, words = [], []
+    for i, t in enumerate(texts):
+        at = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)]
+        words += at
+        owners += [i] * len(at)
+    run, term = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int32)), *found(list(vocabulary), dims), strict=True))
+    term, n = term[np.argsort(run, kind="stable")].astype(np.int64), np.bincount(run, minlength=len(vocabulary))
+    first, word = np.cumsum(n) - n, np.array(words, np.int64)
+    many = n[word]
+    place = np.arange(int(many.sum())) + np.repeat(first[word] - (np.cumsum(many) - many), many)
+    each = np.unique(np.repeat(np.array(owners, np.int64), many) * dims + term[place])
+    return each // dims, each % dims
+
+
+def doc_pairs(texts: list, dims: int, reach: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, low, high) of the distinct pairs of different words' terms up to ``reach`` words apart in each text.
+
+    The order of the two words does not matter.
     """
-    words = [w.strip(PUNCTUATION) for w in (text or "").lower().split()]
-    if len(seen) > 1 << 19:
-        seen.clear()
-    new = sorted(set(words) - seen.keys())
-    seen.update(zip(new, hashed(new, dims)[:, 0].tolist(), strict=True))
-    at = np.array([seen[w] for w in words], np.int64)
-    a, b = (np.concatenate(x) for x in zip(*((at[:-k], at[k:]) for k in range(1, reach + 1) if k < len(at)), strict=True)) if len(at) > 1 else (at[:0], at[:0])
-    keep = (a != b) & (a >= 0) & (b >= 0)
-    low, high = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+    vocabulary: dict[str, int] = {}
+    size, words = [], []
+    for t in texts:
+        at = [vocabulary.setdefault(w, len(vocabulary)) for w in (t or "").lower().split()]
+        size.append(len(at))
+        words += at
+    term = hashed([w.strip(PUNCTUATION) for w in vocabulary], dims)[:, 0].astype(np.int64)[np.array(words, np.int64)]
+    owner = np.repeat(np.arange(len(texts)), size)
+    found_ = [np.zeros(0, np.int64)]
+    for k in range(1, reach + 1):
+        a, b = term[:-k], term[k:]
+        keep = (owner[:-k] == owner[k:]) & (a != b) & (a >= 0) & (b >= 0)
+        found_.append(np.unique((owner[k:][keep] * dims + np.minimum(a, b)[keep]) * dims + np.maximum(a, b)[keep]))
+    each = np.unique(np.concatenate(found_))
+    return each // dims // dims, each // dims % dims, each % dims
+
+
+def pair_bucket(low: np.ndarray, high: np.ndarray, dims: int) -> np.ndarray:
     mixed = (low * 0x9E3779B1 + high * 0x85EBCA77) & 0x7FFFFFFFFFFF
-    return (mixed ^ (mixed >> 21)) % dims, low, high
+    return (mixed ^ (mixed >> 21)) % dims
 
 
-def apart(n0: np.ndarray, n1: np.ndarray, total0: float, total1: float, least: int) -> np.ndarray:
-    """By how many standard errors each term's share of rows of class 1 differs from the base rate; zero where
-    fewer than ``least`` rows have it."""
-    n, base = n0 + n1, total1 / max(total0 + total1, 1)
-    z = np.abs(n1 - n * base) / np.sqrt(np.maximum(n * base * (1 - base) * (1 - n / max(total0 + total1, 1)), 0.5))
-    return np.where(n < least, 0, z)
+def apart(n0: str, n1: str, share: str, most: float) -> F.Column:
+    """Whether the share of class 1 among n0 + n1 rows is more than ``most`` standard errors from ``share``."""
+    n = f"({n0} + {n1})"
+    return F.expr(f"pow({n1} - {n} * {share}, 2) > {most**2!r}D * greatest({n} * {share} * (1 - {share}), 0.5D)")
 
 
 class FactorizationMachine:
@@ -151,10 +175,13 @@ class FactorizationMachine:
             return self
         #: Row order and term order of the same entries; sums over either run over slices, a factor at a time, so
         #: that no step holds more than a number an entry.
-        col, sizes = np.asarray(flat, np.int64), np.asarray(sizes, np.int64)
-        doc = np.repeat(np.arange(n), sizes)
+        col, sizes = np.asarray(flat, np.int32), np.asarray(sizes, np.int64)
         full, by_term = np.flatnonzero(sizes), np.argsort(col, kind="stable")
-        doc_of, used, at = doc[by_term], *np.unique(col[by_term], return_index=True)
+        doc_of = np.repeat(np.arange(n, dtype=np.int32), sizes)[by_term]
+        in_model = np.bincount(col, minlength=m)
+        used = np.flatnonzero(in_model)
+        at = (np.cumsum(in_model) - in_model)[used]
+        del by_term
         row_at = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
 
         def over_terms(values: np.ndarray) -> np.ndarray:
@@ -230,62 +257,59 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select(F.xxhash64("id").alias("id"), (F.col("y") > 0).cast("int").alias("y"), "text")
     rows = scratch.save(rows)
 
-    def count(batches):
-        n = np.zeros((2, 2 * dims + 1), np.int32)  # terms, then pairs, and the rows in the last place
-        seen: dict[str, int] = {}
+    def chunks(batches, most: int = 256):
         for b in batches:
-            for y, t in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                n[y][terms(t.as_py(), dims)] += 1
-                n[y][dims + np.unique(near_pairs(t.as_py(), seen, dims)[0])] += 1
-                n[y][2 * dims] += 1
-        at = np.flatnonzero(n.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[0][at].astype(np.int64)), pa.array(n[1][at].astype(np.int64))], names=["term", "n0", "n1"])
+            for low in range(0, b.num_rows, most):
+                some = b.slice(low, most)
+                yield some.column(1).to_numpy(zero_copy_only=False), some.column(2).to_pylist()
 
-    summed = rows.mapInArrow(count, "term bigint, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(f"n0 + n1 >= 3 or term = {2 * dims}").toArrow()
-    term, n0, n1 = (summed[c].to_numpy() for c in ("term", "n0", "n1"))
-    total0, total1 = (float(n[term == 2 * dims].sum()) for n in (n0, n1))
-    z = np.where(term < dims, apart(n0, n1, total0, total1, 3), 0)
-    chosen = term[z > least_z]
+    def count(batches):
+        n = np.zeros((2, 2 * dims + 1), np.int64)  # terms, then pairs by bucket, and the rows in the last place
+        for y, texts in chunks(batches):
+            doc, term = doc_terms(texts, dims)
+            pair_doc, low, high = doc_pairs(texts, dims)
+            bucket = dims + pair_bucket(low, high, dims)
+            for k in (0, 1):
+                n[k] += np.bincount(np.concatenate([term[y[doc] == k], bucket[y[pair_doc] == k]]), minlength=2 * dims + 1)
+                n[k][2 * dims] += (y == k).sum()
+        at = np.flatnonzero(n.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0][at]), pa.array(n[1][at])], names=["term", "n0", "n1"])
+
+    counts = scratch.save(rows.mapInArrow(count, "term bigint, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    totals = counts.filter(f"term = {2 * dims}").first()
+    share = (totals["n1"] / (totals["n0"] + totals["n1"])) if totals else 0.0
+    if not 0 < share < 1:
+        return FactorizationMachine(np.zeros(0, np.int32), dims, factors).fit(np.zeros(0), np.zeros(totals["n0"] + totals["n1"] if totals else 0, np.int64), np.full(totals["n0"] + totals["n1"] if totals else 0, share))
+    numbers = lambda df: df.toArrow().column(0).to_numpy()
+    chosen = numbers(counts.filter(f"term < {dims} and n0 + n1 >= 3").filter(apart("n0", "n1", f"{share!r}D", least_z)).select("term"))
     #: Buckets of pairs first, then the pairs themselves in those that may hold a telling one.
     open_ = np.zeros(dims, bool)
-    open_[term[(term >= dims) & (term < 2 * dims) & (apart(n0, n1, total0, total1, least_pair_rows) > least_z)] - dims] = True
+    open_[numbers(counts.filter(f"term >= {dims} and term < {2 * dims} and n0 + n1 >= {least_pair_rows}").filter(apart("n0", "n1", f"{share!r}D", least_z)).select("term")) - dims] = True
 
     def exact_pairs(batches):
-        seen: dict[str, int] = {}
-        for b in batches:
-            rows_of, lows, highs = [], [], []
-            for i, t in enumerate(b.column(2)):
-                pair, low, high = near_pairs(t.as_py(), seen, dims)
-                both = np.unique((low * dims + high)[open_[pair]])
-                rows_of.append(np.full(len(both), i))
-                lows.append(both // dims)
-                highs.append(both % dims)
-            if rows_of:
-                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(np.concatenate(rows_of))), pa.array(np.concatenate(lows)), pa.array(np.concatenate(highs))], names=["y", "low", "high"])
+        for y, texts in chunks(batches):
+            doc, low, high = doc_pairs(texts, dims)
+            keep = open_[pair_bucket(low, high, dims)]
+            yield pa.RecordBatch.from_arrays([pa.array(y[doc[keep]].astype(np.int32)), pa.array(low[keep]), pa.array(high[keep])], names=["y", "low", "high"])
 
     if open_.any():
-        share = total1 / (total0 + total1)
         pairs = rows.mapInArrow(exact_pairs, "y int, low bigint, high bigint").groupBy("low", "high").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
-        pairs = pairs.filter(f"n0 + n1 >= {least_pair_rows} and pow(n1 - (n0 + n1) * {share!r}D, 2) > {least_pair_z**2!r}D * (n0 + n1) * {share * (1 - share)!r}D").toArrow()
-        low, high, p0, p1 = (pairs[c].to_numpy() for c in ("low", "high", "n0", "n1"))
-        ones, all_ = np.zeros(dims), np.zeros(dims)
-        ones[term[term < dims]], all_[term[term < dims]] = n1[term < dims], (n0 + n1)[term < dims]
-        beyond = np.ones(len(low), bool)  # more than either word tells by itself
-        for word in (low, high):
-            own = (ones[word] + share) / (all_[word] + 1)
-            beyond &= (p1 - (p0 + p1) * own) ** 2 > least_pair_z**2 * (p0 + p1) * own * (1 - own)
-        chosen = np.union1d(chosen, np.concatenate([low[beyond], high[beyond]]))
+        pairs = scratch.save(pairs.filter(f"n0 + n1 >= {least_pair_rows}").filter(apart("n0", "n1", f"{share!r}D", least_pair_z)))
+        for word in ("low", "high"):  # more than either word tells by itself
+            own = counts.select(F.col("term").alias(word), ((F.col("n1") + share) / (F.col("n0") + F.col("n1") + 1)).alias("own"))
+            pairs = pairs.join(own, word).filter(apart("n0", "n1", "own", least_pair_z)).drop("own")
+        chosen = np.union1d(chosen, numbers(pairs.select(F.explode(F.array("low", "high"))).distinct()))
     model = FactorizationMachine(chosen, dims, factors)
 
     def find(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.active(b.column(2).to_pylist()), pa.list_(pa.int32()))], names=["id", "y", "at"])
 
-    got = rows.mapInArrow(find, "id bigint, y int, at array<int>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
-    scratch.drop(rows)
-    if not got.num_rows:
-        return model
-    return model.fit(pc.list_flatten(got["at"]).to_numpy(), pc.list_value_length(got["at"]).to_numpy(), got["y"].to_numpy())
+    got = rows.mapInArrow(find, "id bigint, y int, at array<int>").orderBy("id", "y").toArrow()
+    scratch.drop(rows, counts)
+    flat, sizes, y = pc.list_flatten(got["at"]).to_numpy(), pc.list_value_length(got["at"]).to_numpy(), got["y"].to_numpy()
+    del got
+    return model.fit(flat, sizes, y)
 
 
 def with_score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", score_col: str = "score") -> DataFrame:

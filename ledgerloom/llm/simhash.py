@@ -286,7 +286,7 @@ def shingle_overlap(texts: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     return kept.join(alone, "node", "left").select("node", F.size("hashes").cast("bigint").alias("n"), (F.size("hashes") - F.coalesce("alone", F.lit(0))).cast("bigint").alias("shared"))
 
 
-def simhash_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, segments: int = 3, max_distance: int = 26, cuts: int = 8, part_distance: int = 36) -> DataFrame:
+def simhash_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, segments: int = 3, max_distance: int = 26, cuts: int = 8, part_distance: int = 30) -> DataFrame:
     """(id, component_id) of every row with a non-null id: near-duplicate groups verified on shingles.
 
     Two texts are linked where the Jaccard similarity of their sets of ``shingle_words``-word shingles is

@@ -1,11 +1,13 @@
 """Language ID by Bayesian fusion of text, declared language, address suffix and host.
 
 The text's likelihood comes from counts of hashed byte trigrams for each language over all labelled
-documents (a fixed table of 65,536 buckets a language; all languages count, a block of them at a time).  A first guess from the text alone is then counted
+documents (a fixed table of 65,536 buckets a language; all languages count, a block of them at a time).  A
+class "other", under which all buckets are equally likely, stands for what none of them explains: an unknown
+language or random letters.  A first guess from the text alone (none, where other is likelier) is then counted
 by group: for each declared language and each address suffix how often each language has it, and for each
 host, its domain and the whole table how often each language occurs, the host smoothed by its domain and
-the domain by the whole.  The four logs are added and normalised.  A row's own first guess is taken out of
-its host's and its domain's counts, so a row does not vouch for itself.
+the domain by the whole.  The four logs are added and normalised, other included.  A row's own first guess is
+taken out of all these counts, so a row does not vouch for itself.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, free_name
 
 BUCKETS = 1 << 16
+#: ASCII that is no letter says nothing about the language (numbers, keys, markup): each such byte is a space.
+LETTERS_ONLY = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def trigrams(text: str | None) -> np.ndarray:
-    """Hashed trigrams of the whole text's bytes, A-Z lower-cased, runs of white space as one space."""
-    raw = np.frombuffer(b" " + b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()) + b" ", dtype=np.uint8)
+    """Hashed trigrams of the whole text's bytes, A-Z lower-cased, runs of ASCII other than letters as one space."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LETTERS_ONLY).lower().split()
+    raw = np.frombuffer(b" " + b" ".join(words) + b" " if words else b"", dtype=np.uint8)
     if len(raw) < 3:
         return np.zeros(0, np.int64)
     a = raw.astype(np.int64)
@@ -37,15 +42,19 @@ class TextModel:
         smooth = counts + 0.5
         self.logs = np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32).copy() if langs else np.zeros((BUCKETS, 0), np.float32)
 
-    def likelihood(self, text: str | None, weight: float) -> np.ndarray:
-        """Tempered log-likelihood of each language; zeros for a text without trigrams."""
-        g = trigrams(text)
+    def likelihood(self, g: np.ndarray, weight: float) -> np.ndarray:
+        """Tempered log-likelihood of each language for a text's trigrams; zeros without any."""
         out = np.zeros(len(self.langs))
         for i in range(0, len(g), 1 << 16):
             out += self.logs[g[i : i + (1 << 16)]].sum(0, dtype=np.float64)
         return out * weight
 
 
+def other_likelihood(trigrams_: int, weight: float) -> float:
+    """The same of the class "other" for a number of trigrams."""
+    return -trigrams_ * np.log(BUCKETS) * weight
+
+
 class TextModels:
     """The text models of all languages.  Their counts (lang, bucket, n) are a table, of which ``block`` languages at a time are read."""
 
@@ -123,8 +132,8 @@ def fuse(rows: DataFrame, models: TextModels, scratch: Scratch, text_weight: flo
     """rows (row, text, declared, host, domain, suffix) -> (row, text_lang, lang, confidence, letters).
 
     declared, host, domain and suffix may be null: then that evidence says nothing.  ``pull`` is the number
-    of rows that a group's parent counts for.  With no known language, lang is null and confidence 0.
-    The texts are read once for each block of languages.
+    of rows that a group's parent counts for.  With no known language, lang is null and confidence 0; lang is
+    the likeliest known one otherwise, its confidence low if other is likelier.  The texts are read once for each block of languages.
     """
     langs = models.langs
     k = len(langs)
@@ -136,19 +145,21 @@ def fuse(rows: DataFrame, models: TextModels, scratch: Scratch, text_weight: flo
         def run(batches):
             m = shared.value
             for b in batches:
-                logs, best, letters = [], [], []
+                logs, best, letters, other = [], [], [], []
                 for t, before in zip(b.column(6), b.column(5), strict=True):
                     text = t.as_py() or ""
-                    x = np.concatenate([before.values.to_numpy(), m.likelihood(text, text_weight)])
+                    g = trigrams(text)
+                    x = np.concatenate([before.values.to_numpy(), m.likelihood(g, text_weight)])
                     if last:
-                        known = bool(len(x)) and bool(x.any())
-                        x = x - x.max() if known else x
-                        best.append(int(x.argmax()) if known else None)
+                        most = x.max(initial=-np.inf) if len(g) and len(x) else 0.0
+                        x = x - most
+                        other.append(other_likelihood(len(g), text_weight) - most)
+                        best.append(int(x.argmax()) if len(g) and len(x) and other[-1] <= 0 else None)
                         letters.append(any(map(str.isalpha, text)))
                     logs.append(x)
                 out = [*(b.column(i) for i in range(5)), pa.array(logs, pa.list_(pa.float64()))]
-                out += [pa.array(best, pa.int32()), pa.array(letters, pa.bool_())] if last else [b.column(6)]
-                yield pa.RecordBatch.from_arrays(out, names=["row", *evidence, "logs", *(["best", "letters"] if last else ["text"])])
+                out += [pa.array(best, pa.int32()), pa.array(letters, pa.bool_()), pa.array(other, pa.float64())] if last else [b.column(6)]
+                yield pa.RecordBatch.from_arrays(out, names=["row", *evidence, "logs", *(["best", "letters", "other"] if last else ["text"])])
 
         return run
 
@@ -156,7 +167,7 @@ def fuse(rows: DataFrame, models: TextModels, scratch: Scratch, text_weight: flo
     for low, model in zip(range(0, max(k, 1), models.block), models.blocks(), strict=True):
         last = low + models.block >= k
         shared = rows.sparkSession.sparkContext.broadcast(model)
-        first = scratch.save(first.mapInArrow(guess(shared, last), kinds + (", best int, letters boolean" if last else ", text string")))
+        first = scratch.save(first.mapInArrow(guess(shared, last), kinds + (", best int, letters boolean, other double" if last else ", text string")))
         shared.unpersist()
         scratch.drop(saved)
         saved = first
@@ -166,7 +177,6 @@ def fuse(rows: DataFrame, models: TextModels, scratch: Scratch, text_weight: flo
     everywhere = np.zeros(k)
     for r in first.filter("best is not null").groupBy("best").count().collect():
         everywhere[r["best"]] = r["count"]
-    whole = (everywhere + 1) / (everywhere.sum() + k)
     sizes = first.agg(F.count_distinct("declared"), F.count_distinct("suffix")).first()
 
     def counted(key: str) -> DataFrame:
@@ -188,7 +198,9 @@ def fuse(rows: DataFrame, models: TextModels, scratch: Scratch, text_weight: flo
                 best = b.column(2).fill_null(-1).to_numpy(zero_copy_only=False)
                 own = np.zeros((n, k))
                 own[np.flatnonzero(best >= 0), best[best >= 0]] = 1
-                prior = np.broadcast_to(whole, (n, k))
+                rest = everywhere - own
+                prior = (rest + 1) / (rest.sum(1, keepdims=True) + k + 1)
+                other = b.column(8).to_numpy(zero_copy_only=False) - np.log(rest.sum(1) + k + 1)
                 for i in (6, 5):  # domain, then host
                     c, there = spread(b.column(i), k)
                     c -= own * there[:, None]
@@ -196,14 +208,17 @@ def fuse(rows: DataFrame, models: TextModels, scratch: Scratch, text_weight: flo
                 fused = fused + np.log(prior)
                 for i, values in ((4, sizes[0]), (7, sizes[1])):  # log P(value | language), one count added for each of the values and an unseen one
                     c, there = spread(b.column(i), k)
-                    fused += np.log((c + 1) / (everywhere + values + 1)) * there[:, None]
+                    c -= own * there[:, None]
+                    fused += np.log((c + 1) / (rest + values + 1)) * there[:, None]
+                    other -= np.log(values + 1) * there
                 top = fused.argmax(1)
                 names = np.array(langs, dtype=object)
                 text_lang = [langs[x] if x >= 0 else None for x in best]
-                sure = 1 / np.exp(fused - fused.max(1, keepdims=True)).sum(1)
+                with np.errstate(over="ignore"):
+                    sure = 1 / (np.exp(fused - fused.max(1, keepdims=True)).sum(1) + np.exp(other - fused.max(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_lang, pa.string()), pa.array(names[top], pa.string()), pa.array(sure), b.column(3)], names=["row", "text_lang", "lang", "confidence", "letters"])
 
-    full = full.select("row", "logs", "best", "letters", "declared_n", "host_n", "domain_n", "suffix_n")
+    full = full.select("row", "logs", "best", "letters", "declared_n", "host_n", "domain_n", "suffix_n", "other")
     return full.mapInArrow(run, f"row {kind}, text_lang string, lang string, confidence double, letters boolean")
 
 
@@ -221,7 +236,8 @@ def identify_pages(pages: DataFrame, labelled: DataFrame, threshold: float = 0.5
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", threshold: float = 0.5, block: int = 32, **how) -> DataFrame:
-    """docs without the rows whose language can't be told: no letters, or a fused confidence below ``threshold``.
+    """docs without the rows whose language can't be told: no letters, or a fused confidence below ``threshold``, as in texts
+    of a language that no row declares or of random letters.
 
     The declared language is ``lang_col``, the host ``source_col``; the text model learns from all rows with
     a declared language.  Rows that share an id, null ids too, are judged as one: they stay if one of them

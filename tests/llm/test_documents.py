@@ -444,3 +444,81 @@ def test_host_prior_decides_without_text(spark):
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {r["page_id"]: r["lang"] for r in langid.identify_pages(df, docs(spark).select("text", "lang"), text_weight=0.01).collect()}
     assert got[99] == "de"
+
+
+def language_by_brute_force(rows, labelled, weight=0.25, pull=8.0):
+    """{row: (text_lang, lang, confidence)} of (row, text, declared, host, domain, suffix), one row at a time."""
+    langs = sorted({x for _, x in labelled if x is not None})
+    model = {x: Counter() for x in langs}
+    for text, x in labelled:
+        if x is not None:
+            model[x].update(langid.trigrams(text).tolist())
+    log_p = {x: (lambda b, c=c, n=sum(c.values()): math.log((c[b] + 0.5) / (n + 0.5 * 65536))) for x, c in model.items()}
+    logs, other, best = {}, {}, {}
+    for row, text, *_ in rows:
+        g = langid.trigrams(text).tolist()
+        logs[row] = {x: weight * sum(map(log_p[x], g)) for x in langs}
+        other[row] = -weight * len(g) * math.log(65536)
+        top = max(langs, key=lambda x: logs[row][x])
+        best[row] = top if g and other[row] <= logs[row][top] else None
+    values = [len({r[i] for r in rows} - {None}) for i in (2, 5)]
+    out = {}
+    for row, _, *evidence in rows:
+        rest = [(best[r[0]], *r[2:]) for r in rows if r[0] != row and best[r[0]]]
+        all_n = Counter(b for b, *_ in rest)
+        prior = {x: (all_n[x] + 1) / (len(rest) + len(langs) + 1) for x in langs}
+        for i in (2, 1):
+            if evidence[i] is not None:
+                n = Counter(r[0] for r in rest if r[1 + i] == evidence[i])
+                prior = {x: (n[x] + pull * prior[x]) / (sum(n.values()) + pull) for x in langs}
+        fused = {x: logs[row][x] + math.log(prior[x]) for x in langs}
+        left = other[row] - math.log(len(rest) + len(langs) + 1)
+        for i, v in ((0, values[0]), (3, values[1])):
+            if evidence[i] is not None:
+                n = Counter(r[0] for r in rest if r[1 + i] == evidence[i])
+                fused = {x: f + math.log((n[x] + 1) / (all_n[x] + v + 1)) for x, f in fused.items()}
+                left -= math.log(v + 1)
+        top = max(langs, key=lambda x: fused[x])
+        out[row] = best[row], top, 1 / (sum(math.exp(f - fused[top]) for f in fused.values()) + math.exp(min(left - fused[top], 700)))
+    return out
+
+
+@pytest.mark.parametrize("weight", [0.25, 0.005])
+def test_language_by_brute_force(spark, weight):
+    """All evidence over pages, some with a declaration, an address or a text of their own taken away, or none of a known language."""
+    some = spark.read.parquet(f"{SF}/pages.parquet").union(
+        spark.createDataFrame([(901, "http://a.example.org/x", None), (902, None, "<p>qzx vqk jxw zzq</p>"), (903, "http://a.example.org/y", "<html lang=de>!!</html>")], "page_id bigint, url string, html string")
+    )
+    labelled = docs(spark).select("text", F.lower("lang").alias("lang"))
+    rows = langid.page_evidence(some).withColumnRenamed("page_id", "row").cache()
+    rows = rows.withColumn("declared", F.when(F.col("row") % 3 != 0, F.col("declared"))).withColumn("host", F.when(F.col("row") % 5 != 0, F.col("host")))
+    got = langid.fuse(rows, langid.train_text(labelled, common.Scratch(spark)), common.Scratch(spark), text_weight=weight).collect()
+    want = language_by_brute_force([(r["row"], r["text"], r["declared"], r["host"], r["domain"], r["suffix"]) for r in rows.collect()], [tuple(r) for r in labelled.collect()], weight)
+    assert len(got) == len(want) == some.count()
+    for r in got:
+        text_lang, lang, sure = want[r["row"]]
+        assert (r["text_lang"], r["lang"]) == (text_lang, lang) and abs(r["confidence"] - sure) < 2e-3, r
+
+
+def test_language_is_told_without_the_declaration(spark):
+    """Pages are judged by the text alone or with the host; what they declare is hidden and only compared."""
+    pages = spark.read.parquet(f"{SF2}/pages.parquet")
+    rows = langid.page_evidence(pages).withColumnRenamed("page_id", "row")
+    models = langid.train_text(docs(spark, SF2).select("text", F.lower("lang").alias("lang")), common.Scratch(spark))
+    hidden = rows.withColumns({c: F.lit(None).cast("string") for c in ("declared", "suffix")})
+    for some in (hidden, hidden.withColumns({c: F.lit(None).cast("string") for c in ("host", "domain")})):
+        t = langid.fuse(some, models, common.Scratch(spark)).join(rows.select("row", "declared"), "row").filter("declared is not null")
+        right, n = t.agg(F.sum((F.col("lang") == F.col("declared")).cast("int")), F.count("*")).first()
+        assert n > 0 and right / n > 0.9
+
+
+def test_unknown_languages_and_random_letters_are_rejected(spark):
+    rng = np.random.default_rng(2)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    noise = [" ".join("".join(rng.choice(letters, rng.integers(3, 9))) for _ in range(60)) for _ in range(20)]
+    other = ["это совсем другой язык и здесь его никто не знает " * 3, "अन्य भाषा में लिखा गया एक पाठ " * 3]
+    known = docs(spark, SF2)
+    more = spark.createDataFrame([(10**9 + i, t, x, "src0", len(t)) for i, t in enumerate([*noise, *other]) for x in [None]], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = langid.keep_identified(known.select(*more.columns).union(more))
+    assert kept.filter(f"doc_id >= {10**9}").count() == 0
+    assert kept.count() == known.filter("text rlike '[A-Za-z]'").count()

@@ -22,9 +22,9 @@ from .common import Scratch
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """(id, v): floor(scale * x) of each component; null ids, and vectors that are null, empty or hold null
-    or non-finite components, are left out."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("x")).filter("id is not null and x is not null").filter(F.size("x") > 0)
+    """(id, v): floor(scale * x) of each component; null ids, and vectors that are null or hold null
+    or non-finite components, are left out; an empty vector stays, its products are 0."""
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("x")).filter("id is not null and x is not null")
     finite = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
     return rows.filter(finite).select("id", F.transform("x", lambda e: F.floor(F.lit(float(scale)) * e.cast("double"))).alias("v"))
 
@@ -39,12 +39,13 @@ def matrix(lists: list, width: int) -> np.ndarray:
     return out.astype(np.float64) if most * most * max(width, 1) < 2**52 else out.astype(object)
 
 
-def exact_top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, every: int = 50, scale: float = 256.0, pivots: int = 32, ring_width: float = 16.0, slice_rows: int = 1024, query_rows: int = 256) -> DataFrame:
+def exact_top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, every: int = 50, scale: float = 256.0, pivots: int = 32, ring_width: float = 16.0, slice_rows: int = 1024, query_rows: int = 256, read: dict[str, int] | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query, ties to the smaller id.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but the query's own
     (by row, so a repeated id can find its twin).  Shorter vectors count as padded with zeros.  With fewer
-    candidates than k all are returned; an empty table gives no rows.
+    candidates than k all are returned; an empty table gives no rows.  ``read``, if given, gets the number of
+    (query, slice) pairs that are scanned after the first ring, and the number of all.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -124,6 +125,8 @@ def exact_top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     bound = (F.col("q2") + F.lit(top2) - gap * gap) / 2
     reach = opened.join(rings, "pivot").filter(bound >= F.col("least") - 1e-6 * (F.abs(bound) + F.col("q2") + top2) - 1)
     wanted = scratch.save(reach.select("q", "query_id", "qv", "least", "pivot", "ring", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")))
+    if read is not None:
+        read["scanned"], read["all"] = wanted.count(), asked.count() * packed.count()
     return ranked(scanned(wanted)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

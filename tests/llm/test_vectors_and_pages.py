@@ -72,7 +72,7 @@ def test_empty_vectors(spark):
 
 
 def brute_top(rows, k=5):
-    v = [(i, np.floor(256.0 * np.array(e, np.float64)).astype(np.int64)) for i, e in rows if i is not None and e is not None and len(e) and all(x is not None and np.isfinite(x) for x in e)]
+    v = [(i, np.floor(256.0 * np.array(e, np.float64)).astype(np.int64)) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     width = max(len(e) for _, e in v)
     m = np.zeros((len(v), width), np.int64)
     for j, (_, e) in enumerate(v):
@@ -105,7 +105,17 @@ def test_rings_are_skipped(spark):
     rng = np.random.default_rng(5)
     x = np.repeat(rng.normal(size=(20, 16)) * 4, 100, axis=0) + rng.normal(size=(2000, 16)) * 0.01
     df = vectors(spark, x)
-    assert sorted(map(tuple, topk.exact_top_k(df).collect())) == brute_top([(r["vec_id"], r["embedding"]) for r in df.collect()])
+    read = {}
+    assert sorted(map(tuple, topk.exact_top_k(df, read=read).collect())) == brute_top([(r["vec_id"], r["embedding"]) for r in df.collect()])
+    assert read["scanned"] < 0.3 * read["all"]
+
+
+def test_top_k_of_empty_vectors(spark):
+    """An empty vector takes part as query and as candidate, with the score 0 to all."""
+    df = spark.createDataFrame([(0, []), (1, [1.0, 2.0]), (50, [-1.0, 0.0]), (51, None)], "vec_id bigint, embedding array<float>")
+    assert sorted(map(tuple, topk.exact_top_k(df).collect())) == [(0, 1, 1, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 1, -65536)]
+    none = topk.exact_top_k(df.filter("vec_id = 0").union(df.filter("vec_id = 0")))
+    assert sorted(map(tuple, none.collect())) == [(0, 1, 0, 0), (0, 1, 0, 0)]
 
 
 def test_warc_records(spark, tmp_path):

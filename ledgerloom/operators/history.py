@@ -119,8 +119,9 @@ def repository_of(events: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """table with rows of ``new`` in place of those with their key; a replay changes nothing."""
-    return table.join(new.select(key), key, "left_anti").unionByName(new.dropDuplicates([key]), allowMissingColumns=True)
+    """table with rows of ``new`` in place of those with their key (null is a key); a replay changes nothing."""
+    other = new.select(F.col(key).alias("upsert_key_"))
+    return table.join(other, F.col(key).eqNullSafe(F.col("upsert_key_")), "left_anti").unionByName(new.dropDuplicates([key]), allowMissingColumns=True)
 
 
 def calls_to_segments(calls: DataFrame, segments: DataFrame) -> DataFrame:

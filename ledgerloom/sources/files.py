@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,28 +92,88 @@ def newest_first(listing: DataFrame, most: int) -> tuple[DataFrame, Column]:
     return picked, listing.agg((F.count("*") > most).alias("more_pending"))
 
 
-def merge_into(spark: SparkSession, new: DataFrame, path: str, key: str) -> None:
+BUCKET = "bucket_"
+
+
+def merge_into(spark: SparkSession, new: DataFrame, path: str, key: str, buckets: int = 64) -> None:
     """Replaces rows of a parquet table by key; writing the same rows again changes nothing.
 
-    The new state goes to a fresh folder named in a pointer file, so readers never see half a write.
+    Rows are dealt to ``buckets`` (fixed by the first write) by a hash of their key; only buckets that ``new`` has
+    rows for are read and written again, so choose as many as one task can hold one of.  A manifest names the
+    folder of each bucket; readers see a write once its manifest is whole, and the folders of the state before
+    stay until the next write.  One writer at a time.  A null key is a key like others; of rows with equal keys in
+    ``new`` one stays; a ``new`` without rows writes nothing.
     """
-    import uuid
-
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    root = fs_path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = current(spark, path)
-    name = uuid.uuid4().hex
-    (upsert(old, new, key) if old is not None else new.dropDuplicates([key])).write.parquet(f"{path}/{name}")
-    spark.createDataFrame([(name,)], "version string").coalesce(1).write.mode("overwrite").text(f"{path}/_pointer")
-    for entry in fs.listStatus(root):
-        if entry.getPath().getName() not in (name, "_pointer"):
-            fs.delete(entry.getPath(), True)
+    kept = _manifest(spark, path)
+    buckets = next(iter(kept.values()))[0] if kept else buckets
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
+    touched = [r[0] for r in new.select(bucket.alias(BUCKET)).distinct().collect()]
+    if not touched:
+        return
+    held = [f"{path}/{kept[b][1]}" for b in touched if b in kept]
+    rows = upsert(_read(spark, held), new, key) if held else new.dropDuplicates([key])
+    folder = f"data/{uuid.uuid4().hex}"
+    rows.withColumn(BUCKET, bucket).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/{folder}")
+    _commit(spark, path, kept | {b: (buckets, f"{folder}/{BUCKET}={b}") for b in touched})
+
+
+def replace(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Makes ``rows`` the whole table, by the same manifests as :func:`merge_into`; ``rows`` may be made of the old state."""
+    folder = f"data/{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{folder}")
+    _commit(spark, path, {0: (1, folder)})
 
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table that :func:`merge_into` last wrote; None before the first write."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_pointer")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return None
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/_pointer').first()[0]}")
+    """The table that :func:`merge_into` or :func:`replace` last wrote; None before the first write."""
+    kept = _manifest(spark, path)
+    return _read(spark, [f"{path}/{folder}" for _, folder in kept.values()]) if kept else None
+
+
+def _read(spark: SparkSession, folders: list[str]) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").parquet(*folders)
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder that may be absent."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()) if fs.exists(at) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _whole_manifests(spark: SparkSession, path: str) -> list[str]:
+    done = lambda n: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests/{n}/_SUCCESS")
+    conf = spark._jsc.hadoopConfiguration()
+    return [n for n in _children(spark, f"{path}/_manifests") if done(n).getFileSystem(conf).exists(done(n))]
+
+
+def _manifest(spark: SparkSession, path: str, back: int = 1) -> dict[int, tuple[int, str]]:
+    """{bucket: (number of buckets, folder)} of the last state, or of one before it; empty if there is none."""
+    names = _whole_manifests(spark, path)
+    if len(names) < back:
+        return {}
+    rows = spark.read.csv(f"{path}/_manifests/{names[-back]}", schema="bucket bigint, buckets bigint, folder string").collect()
+    return {r["bucket"]: (r["buckets"], r["folder"]) for r in rows}
+
+
+def _commit(spark: SparkSession, path: str, parts: dict[int, tuple[int, str]]) -> None:
+    """Writes the next manifest, then deletes what neither it nor the one before names."""
+    names = _whole_manifests(spark, path)
+    name = f"{int(names[-1]) + 1 if names else 1:012d}"
+    rows = [(b, n, folder) for b, (n, folder) in sorted(parts.items())]
+    spark.createDataFrame(rows, "bucket bigint, buckets bigint, folder string").coalesce(1).write.mode("overwrite").csv(f"{path}/_manifests/{name}")
+    used = {folder for back in (1, 2) for _, folder in _manifest(spark, path, back).values()}
+    for write in _children(spark, f"{path}/data"):
+        if f"data/{write}" in used:
+            continue
+        inside = [f"data/{write}/{b}" for b in _children(spark, f"{path}/data/{write}")]
+        gone = [f for f in inside if f not in used]
+        for folder in gone if len(gone) < len(inside) else [f"data/{write}"]:
+            _delete(spark, f"{path}/{folder}")
+    for old in names[:-1]:
+        _delete(spark, f"{path}/_manifests/{old}")

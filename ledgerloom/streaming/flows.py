@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.report import live_sessions
-from ..sources.files import merge_into
+from ..sources.files import current, merge_into, replace
 
 DEBOUNCE = "7 seconds"
 FORCE = 200
@@ -108,24 +109,34 @@ def with_scalars(messages: DataFrame, scalars: DataFrame, ts: str = "ts", late:
 
 def ship(stream: DataFrame, path: str, key: str, checkpoint: str, valid=None, dead_path: str | None = None):
     """Starts a query that merges each micro-batch into a table by key; rows that ``valid`` refuses go to a
-    dead-letter table, so that a bad row never blocks the stream.  Returns the query."""
+    dead-letter table, so that a bad row never blocks the stream; they have a folder for each checkpoint and
+    batch, so a batch that runs again does not repeat them.  Returns the query."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
         good = batch.filter(valid) if valid is not None else batch
         merge_into(batch.sparkSession, good, path, key)
         if valid is not None and dead_path:
-            batch.filter(~F.coalesce(valid, F.lit(False))).write.mode("append").parquet(dead_path)
+            of = f"{zlib.crc32(checkpoint.encode()):08x}-{epoch}"
+            batch.filter(~F.coalesce(valid, F.lit(False))).write.mode("overwrite").parquet(f"{dead_path}/batch={of}")
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def live_board(stream: DataFrame, path: str, checkpoint: str):
-    """Starts a query that keeps the live sessions of a stream (session_id, ts_ms) in a small table."""
-    last = stream.groupBy("session_id").agg(F.max("ts_ms").alias("ts_ms"))
+    """Starts a query that keeps the live sessions of a stream (session_id, ts_ms) in a small table, read by
+    :func:`current`.
+
+    The board after a batch is made of the board before and the batch alone: a session that fell off it comes back
+    only by an event of its own.  So the stream keeps no state, and a batch that runs again changes nothing.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        live_sessions(batch).coalesce(1).write.mode("overwrite").parquet(path)
+        spark = batch.sparkSession
+        before, rows = current(spark, path), batch.select("session_id", "ts_ms")
+        if before is not None:
+            rows = rows.unionByName(before.select("session_id", F.col("last_ms").alias("ts_ms")))
+        replace(spark, live_sessions(rows).coalesce(1), path)
 
-    return last.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -171,6 +171,36 @@ def test_incremental(spark, tmp_path):
     assert sorted(tuple(r) for r in files.current(spark, path).collect()) == [("a", 1), ("b", 3)]
 
 
+def test_merge_writes_touched_buckets_only(spark, tmp_path):
+    """A write leaves other buckets' files alone; a reader of the state before can still read it; null keys merge."""
+    path, ddl = str(tmp_path / "t"), "id bigint, v int"
+    files.merge_into(spark, spark.createDataFrame([(i, 0) for i in range(200)] + [(None, 0)], ddl), path, "id", buckets=16)
+    first = {b: f for b, (_, f) in files._manifest(spark, path).items()}
+    before = files.current(spark, path)
+    new = spark.createDataFrame([(7, 1), (7, 1), (None, 5)], ddl)
+    for again in range(2):
+        files.merge_into(spark, new, path, "id")
+        got = {r["id"]: r["v"] for r in files.current(spark, path).collect()}
+        assert len(got) == files.current(spark, path).count() == 201 and got[7] == 1 and got[None] == 5 and got[8] == 0
+        assert again or before.agg(F.sum("v")).first()[0] == 0
+    second = {b: f for b, (_, f) in files._manifest(spark, path).items()}
+    assert len(first) == 16 and 1 <= sum(first[b] != second[b] for b in first) <= 2
+    files.merge_into(spark, new.limit(0), path, "id")
+    assert {b: f for b, (_, f) in files._manifest(spark, path).items()} == second
+    files.merge_into(spark, spark.createDataFrame([(300, 1, "x")], ddl + ", more string"), path, "id")
+    assert files.current(spark, path).filter("more is null").count() == 201
+    assert len(files._whole_manifests(spark, path)) == 2 and len(list((tmp_path / "t" / "data").iterdir())) <= 4
+
+
+def test_board_over_batches(spark, tmp_path):
+    board, minute = str(tmp_path / "board"), 60_000
+    for i, rows in enumerate([[("a", 0), ("b", 10 * minute)], [("c", 20 * minute)], [("a", 21 * minute), ("d", 1)]]):
+        path = str(tmp_path / f"in{i}")
+        spark.createDataFrame(rows, "session_id string, ts_ms bigint").write.parquet(path)
+        flows.live_board(spark.readStream.schema("session_id string, ts_ms bigint").parquet(path), board, str(tmp_path / f"cp{i}")).awaitTermination(120)
+    assert {r["session_id"]: r["last_ms"] for r in files.current(spark, board).collect()} == {"a": 21 * minute, "b": 10 * minute, "c": 20 * minute}
+
+
 def stream_of(spark, tmp_path, rows, schema):
     path = str(tmp_path / "in")
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
@@ -223,7 +253,7 @@ def test_ship_and_board(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "dead")).count() == 2
     board = spark.readStream.schema("id string, v int").parquet(path).select(F.col("id").alias("session_id"), F.col("v").cast("bigint").alias("ts_ms"))
     flows.live_board(board, str(tmp_path / "board"), str(tmp_path / "cpb")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "board")).count() == 2
+    assert {r["session_id"] for r in files.current(spark, str(tmp_path / "board")).collect()} == {"a", "b"}
 
 
 @pytest.mark.parametrize("rows", [[], [("s", None)]])

@@ -90,33 +90,38 @@ def segments(df: DataFrame, session: str, ts_ms: str, order: list[str], chars: s
     """df with ``segment``, from 0 in each session; a one-row segment joins the one before (the first stays).
 
     A boundary stands before a turn if the gap or the topic distance to the turn before is over its limit, or the run
-    has reached its limit of turns, time or characters.  Turns are dealt by session and walked in order, a
-    batch at a time, so a session of any length needs the memory of one batch.
+    has reached its limit of turns, time or characters.  A gap over its limit starts everything anew, so the stretches
+    between such gaps are dealt apart, which spreads a long session over tasks; a stretch is walked in order, a
+    batch at a time, and needs the memory of one batch.
     """
     lim = {**LIMITS, **(limits or {})}
     cols = df.columns
     rows = df.withColumn("t_", F.col(ts_ms).cast("bigint")).withColumn("c_", F.coalesce(F.col(chars), F.lit(0)).cast("bigint") if chars else F.lit(0).cast("bigint"))
     rows = rows.withColumn("v_", F.col(vector).cast("array<float>") if vector else F.lit(None).cast("array<float>"))
 
+    in_order = Window.partitionBy(session).orderBy(*order)
+    pause = F.coalesce(F.col("t_") - F.lag("t_").over(in_order) >= lim["gap_ms"], F.lit(False))
+    rows = rows.withColumn("pause_", pause.cast("bigint")).withColumn("island_", F.sum("pause_").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, number, start, last, turns, size, vec = None, 0, 0, 0, 0, 0, None
         for pdf in batches:
             out = np.empty(len(pdf), np.int64)
-            for i, (s, t, c, v) in enumerate(zip(pdf[session], pdf["t_"], pdf["c_"], pdf["v_"], strict=True)):
-                if s != key or i == 0 and key is None:
-                    key, number, start, turns, size = s, 0, t, 0, 0
-                elif t - last >= lim["gap_ms"] or turns >= lim["turns"] or t - start >= lim["duration_ms"] or size >= lim["chars"] or _far(vec, v, lim["topic"]):
+            for i, (s, k, t, c, v) in enumerate(zip(pdf[session], pdf["island_"], pdf["t_"], pdf["c_"], pdf["v_"], strict=True)):
+                if (s, k) != key:
+                    key, number, start, turns, size = (s, k), 0, t, 0, 0
+                elif turns >= lim["turns"] or t - start >= lim["duration_ms"] or size >= lim["chars"] or _far(vec, v, lim["topic"]):
                     number, start, turns, size = number + 1, t, 0, 0
                 turns, size, last, vec = turns + 1, size + c, t, v
                 out[i] = number
-            yield pdf[cols].assign(raw_=out)
+            yield pdf[[*cols, "island_"]].assign(raw_=out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", raw_ bigint"
-    cut = rows.repartition(session).sortWithinPartitions(session, *order).mapInPandas(walk, schema)
-    own = Window.partitionBy(session, "raw_")
-    by = Window.partitionBy(session).orderBy("raw_").rangeBetween(Window.unboundedPreceding, 0)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", island_ bigint, raw_ bigint"
+    cut = rows.repartition(session, "island_").sortWithinPartitions(session, "island_", *order).mapInPandas(walk, schema)
+    own = Window.partitionBy(session, "island_", "raw_")
+    by = Window.partitionBy(session).orderBy("island_", "raw_").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cut = cut.withColumn("n_", F.count("*").over(own)).withColumn("lead_", F.row_number().over(own.orderBy(*order)))
-    opens = F.when((F.col("lead_") == 1) & ((F.col("n_") > 1) | (F.col("raw_") == 0)), 1).otherwise(0)
+    opens = F.when((F.col("lead_") == 1) & ((F.col("n_") > 1) | ((F.col("island_") == 0) & (F.col("raw_") == 0))), 1).otherwise(0)
     return cut.withColumn("opens_", opens).withColumn("segment", (F.sum("opens_").over(by) - 1).cast("bigint")).select(*cols, "segment")
 
 

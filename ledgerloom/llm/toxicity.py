@@ -163,52 +163,45 @@ class FactorizationMachine:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("slot", "seen", "hot")}
 
-    def fit(self, flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
-        """Adam on the log loss over all rows; with one class or no rows the score is the base rate.
+    def fit(self, flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = 12, steps: int = 600, batch: int = 256, rate: float = 0.02, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+        """Adam on the log loss, over batches of rows in a seeded order, with a rate that falls to zero; with one
+        class or no rows the score is the base rate.
 
-        flat: positions in ``chosen``, one row's after the other's; sizes: how many each row has.
+        flat: positions in ``chosen``, one row's after the other's; sizes: how many each row has.  Few rows are
+        gone over more often, for ``steps`` steps at least.
         """
         y = np.asarray(y, dtype=np.float64)
         ones, n, m = float(y.sum()), len(y), len(self.chosen)
         self.bias = math.log((ones + 0.5) / (n - ones + 0.5))
         if not 0 < ones < n or not m:
             return self
-        #: Row order and term order of the same entries; sums over either run over slices, a factor at a time, so
-        #: that no step holds more than a number an entry.
-        col, sizes = np.asarray(flat, np.int32), np.asarray(sizes, np.int64)
-        full, by_term = np.flatnonzero(sizes), np.argsort(col, kind="stable")
-        doc_of = np.repeat(np.arange(n, dtype=np.int32), sizes)[by_term]
-        in_model = np.bincount(col, minlength=m)
-        used = np.flatnonzero(in_model)
-        at = (np.cumsum(in_model) - in_model)[used]
-        del by_term
-        row_at = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
-
-        def over_terms(values: np.ndarray) -> np.ndarray:
-            out = np.zeros(n)
-            if len(full):
-                out[full] = np.add.reduceat(values[col], row_at)
-            return out
-
-        def over_rows(values: np.ndarray) -> np.ndarray:
-            out = np.zeros(m)
-            if len(used):
-                out[used] = np.add.reduceat(values[doc_of], at)
-            return out
-
-        x = [np.array(self.bias), np.zeros(m), np.random.default_rng(seed).normal(0, 0.05, (m, self.factors))]
+        col, sizes = np.asarray(flat, np.int64), np.asarray(sizes, np.int64)
+        first, rng = np.cumsum(sizes) - sizes, np.random.default_rng(seed)
+        #: The weight of each term, then its factors; the bias by itself.
+        x = [np.array(self.bias), np.concatenate([np.zeros((m, 1)), rng.normal(0, 0.05, (m, self.factors))], axis=1)]
         m1, m2 = [np.zeros_like(p) for p in x], [np.zeros_like(p) for p in x]
-        for step in range(1, steps + 1):
-            s = np.stack([over_terms(x[2][:, f]) for f in range(self.factors)], axis=1)
-            raw = x[0] + over_terms(x[1] - 0.5 * (x[2] ** 2).sum(1)) + 0.5 * (s * s).sum(1)
-            g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / n
-            each = over_rows(g)
-            pull = np.stack([over_rows(g * s[:, f]) for f in range(self.factors)], axis=1) - x[2] * each[:, None]
-            for i, d in enumerate([g.sum(), each + l2 * x[1], pull + l2 * x[2]]):
+        batches = -(-n // batch)
+        steps = batches * max(epochs, -(-steps // batches))
+        for step in range(steps):
+            if step % batches == 0:
+                order = rng.permutation(n)
+            rows = order[step % batches * batch :][:batch]
+            many = sizes[rows]
+            doc = np.repeat(np.arange(len(rows)), many)
+            at = col[np.arange(len(doc)) + np.repeat(first[rows] - (np.cumsum(many) - many), many)]
+            each = x[1][at]
+            s = np.stack([np.bincount(doc, each[:, f], len(rows)) for f in range(1 + self.factors)], axis=1)
+            squares = np.bincount(doc, (each[:, 1:] ** 2).sum(1), len(rows))
+            raw = x[0] + s[:, 0] + 0.5 * ((s[:, 1:] ** 2).sum(1) - squares)
+            g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[rows]) / len(rows)
+            s[:, 0] = 1
+            pull = np.stack([np.bincount(at, (g * s[:, f])[doc], m) for f in range(1 + self.factors)], axis=1)
+            pull[:, 1:] -= x[1][:, 1:] * pull[:, :1]
+            for i, d in enumerate([g.sum(), pull + l2 * x[1]]):
                 m1[i] = 0.9 * m1[i] + 0.1 * d
                 m2[i] = 0.999 * m2[i] + 0.001 * d * d
-                x[i] = x[i] - rate * (m1[i] / (1 - 0.9**step)) / (np.sqrt(m2[i] / (1 - 0.999**step)) + 1e-8)
-        self.bias, self.w, self.v = float(x[0]), x[1], x[2]
+                x[i] = x[i] - rate * (1 - step / steps) * (m1[i] / (1 - 0.9 ** (step + 1))) / (np.sqrt(m2[i] / (1 - 0.999 ** (step + 1))) + 1e-8)
+        self.bias, self.w, self.v = float(x[0]), x[1][:, 0].copy(), x[1][:, 1:].copy()
         return self
 
     def active(self, texts: list) -> list[list[int]]:

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters, and their SQL."""
+"""The registered queries of the operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, mixing, packing, ppm, simhash, tokencounts, topk, toxicity, warc
+from . import hnsw, langid, mixing, packing, ppm, repeats, simhash, spelling, tokencounts, topk, toxicity, warc, whitening
 from .common import table
 
 
@@ -53,12 +53,25 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_mix_sources, op2_simhash_near_dedup, op3_token_counts, op4_toxicity, op5_lm_scoring,
             op6_embedding_near_dedup, op7_exact_top_k, op8_language_id, op9_packing, op10_warc_derivatives,
+            op11_embedding_whitening, op12_spelling_variants, op13_suffix_dedup,
         )
     }
 

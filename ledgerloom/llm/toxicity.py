@@ -238,7 +238,8 @@ class FactorizationMachine:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, mod: int = 3, held: int = 1, dims: int = DIMS, factors: int = 8, least_z: float = 2.5, least_pair_z: float = 5.5, least_pair_rows: int = 8) -> FactorizationMachine:
     """Fits on at most ``max_train`` labelled rows whose crc32 of the id as text, modulo ``mod``, is not
-    ``held``.  Null ids or labels are not used; an id labelled twice counts once, by its larger label.
+    ``held``.  Null ids or labels are not used; an id labelled twice counts once, by its larger label, and
+    an id with several texts by its smallest text, so repeated rows never make the sample larger.
 
     Terms are chosen from ``least_z`` standard errors; pairs, of which there are many more, from
     ``least_pair_z`` in ``least_pair_rows`` rows or more, by what they tell beyond each of the words.
@@ -246,9 +247,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scratch = Scratch(docs.sparkSession)
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_bucket(id_col, mod) != held))
     sample = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
-    #: The sample has at most max_train rows of an id and a label.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select(F.xxhash64("id").alias("id"), (F.col("y") > 0).cast("int").alias("y"), "text")
-    rows = scratch.save(rows)
+    #: The sample has at most max_train rows of an id and a label.  Rows that share an id are one: that of the smallest text.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+    rows = scratch.save(rows.select(F.xxhash64("id").alias("id"), (F.col("y") > 0).cast("int").alias("y"), "text"))
 
     def chunks(batches, most: int = 256):
         for b in batches:

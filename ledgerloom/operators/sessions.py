@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import runs
+
 IDLE_MS = 300_000
 SITTING_GAP_MS = 90 * 60_000
 SITTING_RAMP_MINUTES = 30
@@ -33,8 +33,8 @@ def sittings(df: DataFrame, keys: list[str], ts_ms: str, gap_ms: int = SITTING_G
     order = Window.partitionBy(*keys).orderBy(ts_ms)
     rows = df.filter(F.col(ts_ms).isNotNull()).select(*keys, ts_ms).withColumn("new_", F.when(F.col(ts_ms) - F.lag(ts_ms).over(order) > gap_ms, 1).otherwise(0))
     rows = rows.withColumn("island_", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy(*keys, "island_").agg(F.count("*").alias("n_"), F.expr(f"(max({ts_ms}) - min({ts_ms})) div 60000").alias("m_"))
-    return runs.groupBy(*keys).agg(F.when(F.sum("n_") >= 2, F.sum("m_") + F.count("*") * ramp).cast("bigint").alias("active_minutes"))
+    islands = rows.groupBy(*keys, "island_").agg(F.count("*").alias("n_"), F.expr(f"(max({ts_ms}) - min({ts_ms})) div 60000").alias("m_"))
+    return islands.groupBy(*keys).agg(F.when(F.sum("n_") >= 2, F.sum("m_") + F.count("*") * ramp).cast("bigint").alias("active_minutes"))
 
 
 def turn_index(keys: list[str], order: list[str], is_prompt: Column) -> Column:
@@ -86,52 +86,56 @@ def calibrated(given: dict[str, float]) -> dict[str, float]:
     return out
 
 
-def segments(df: DataFrame, session: str, ts_ms: str, order: list[str], chars: str | None = None, vector: str | None = None, limits: dict[str, float] | None = None) -> DataFrame:
+def segments(df: DataFrame, session: str, ts_ms: str, order: list[str], chars: str | None = None, vector: str | None = None, limits: dict[str, float] | None = None, chunk_rows: int = 1 << 16) -> DataFrame:
     """df with ``segment``, from 0 in each session; a one-row segment joins the one before (the first stays).
 
     A boundary stands before a turn if the gap or the topic distance to the turn before is over its limit, or the run
-    has reached its limit of turns, time or characters.  A gap over its limit starts everything anew, so the stretches
-    between such gaps are dealt apart, which spreads a long session over tasks; a stretch is walked in order, a
-    batch at a time, and needs the memory of one batch.
+    has reached its limit of turns, time or characters.  A null stamp makes no gap and ends no run by time; null
+    and negative characters count as none.  Runs are cut by ``cut_runs``, so a long session is many tasks.
     """
     lim = {**LIMITS, **(limits or {})}
-    cols = df.columns
-    rows = df.withColumn("t_", F.col(ts_ms).cast("bigint")).withColumn("c_", F.coalesce(F.col(chars), F.lit(0)).cast("bigint") if chars else F.lit(0).cast("bigint"))
-    rows = rows.withColumn("v_", F.col(vector).cast("array<float>") if vector else F.lit(None).cast("array<float>"))
-
-    in_order = Window.partitionBy(session).orderBy(*order)
-    pause = F.coalesce(F.col("t_") - F.lag("t_").over(in_order) >= lim["gap_ms"], F.lit(False))
-    rows = rows.withColumn("pause_", pause.cast("bigint")).withColumn("island_", F.sum("pause_").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, number, start, last, turns, size, vec = None, 0, 0, 0, 0, 0, None
-        for pdf in batches:
-            out = np.empty(len(pdf), np.int64)
-            for i, (s, k, t, c, v) in enumerate(zip(pdf[session], pdf["island_"], pdf["t_"], pdf["c_"], pdf["v_"], strict=True)):
-                if (s, k) != key:
-                    key, number, start, turns, size = (s, k), 0, t, 0, 0
-                elif turns >= lim["turns"] or t - start >= lim["duration_ms"] or size >= lim["chars"] or _far(vec, v, lim["topic"]):
-                    number, start, turns, size = number + 1, t, 0, 0
-                turns, size, last, vec = turns + 1, size + c, t, v
-                out[i] = number
-            yield pdf[[*cols, "island_"]].assign(raw_=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", island_ bigint, raw_ bigint"
-    cut = rows.repartition(session, "island_").sortWithinPartitions(session, "island_", *order).mapInPandas(walk, schema)
-    own = Window.partitionBy(session, "island_", "raw_")
-    by = Window.partitionBy(session).orderBy("island_", "raw_").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = cut.withColumn("n_", F.count("*").over(own)).withColumn("lead_", F.row_number().over(own.orderBy(*order)))
-    opens = F.when((F.col("lead_") == 1) & ((F.col("n_") > 1) | ((F.col("island_") == 0) & (F.col("raw_") == 0))), 1).otherwise(0)
-    return cut.withColumn("opens_", opens).withColumn("segment", (F.sum("opens_").over(by) - 1).cast("bigint")).select(*cols, "segment")
-
-
-def _far(a, b, most: float) -> bool:
-    if a is None or b is None or not len(a) or not len(b):
-        return False
-    n = min(len(a), len(b))
-    x, y = np.asarray(a[:n], float), np.asarray(b[:n], float)
-    norm = np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())
-    return (1 - (x @ y) / norm if norm else 1.0) > most
+    has_vectors = vector is not None
+    inputs = {"t": F.col(ts_ms).cast("bigint"), "c": (F.greatest(F.coalesce(F.col(chars), F.lit(0)), F.lit(0)) if chars else F.lit(0)).cast("bigint")}
+    if vector:
+        inputs["v"] = F.col(vector).cast("array<double>")
+
+    def link(x: dict[str, pa.Array], ends: np.ndarray) -> np.ndarray:
+        n, at = len(ends), np.arange(len(ends))
+        t = x["t"].to_numpy(zero_copy_only=False).astype(np.float64)
+        gap = np.diff(t, prepend=np.nan) >= lim["gap_ms"]
+        if has_vectors:
+            gap |= far_from_last(x["v"], lim["topic"])
+        gap[np.concatenate([[True], ends[1:] != ends[:-1]])] = False
+        breaks = np.append(np.flatnonzero(gap), n)
+        out = np.minimum(np.minimum(breaks[np.searchsorted(breaks, at, side="right")], at + int(lim["turns"])), ends)
+        before = np.cumsum(np.concatenate([[0], x["c"].to_numpy()]))[:-1]
+        out = np.minimum(out, runs.first_at_least(before, before + max(lim["chars"], 1), ends))
+        clock = runs.over_groups(t, ends)
+        if clock is not None:
+            return np.minimum(out, runs.first_at_least(clock, clock + lim["duration_ms"], ends))
+        for k in range(int(lim["turns"]) - 1, 0, -1):  # stamps that go back or are missing: look at each row in reach
+            late = np.zeros(n, bool)
+            late[: n - k] = t[k:] - t[: n - k] >= lim["duration_ms"]
+            out = np.where(late & (at + k < out), at + k, out)
+        return out
+
+    return runs.cut_runs(df, [session], order, inputs, link, int(lim["turns"]), "segment", absorb_single=True, chunk_rows=chunk_rows)
+
+
+def far_from_last(v: pa.Array, most: float) -> np.ndarray:
+    """Whether a vector's cosine distance to the one before, over their common length, is over ``most``; without one of
+    them, no; a vector of zeros is at distance 1."""
+    v = v.fill_null([])
+    sizes, begin = np.diff(v.offsets.to_numpy()), v.offsets.to_numpy()[:-1] - v.offsets[0].as_py()
+    flat = np.nan_to_num(v.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    common = np.minimum(sizes[1:], sizes[:-1]).astype(np.int64)
+    pair = np.repeat(np.arange(len(common)), common)
+    step = np.arange(int(common.sum())) - np.repeat(np.cumsum(common) - common, common)
+    a, b = flat[begin[:-1][pair] + step], flat[begin[1:][pair] + step]
+    dot, aa, bb = (np.bincount(pair, w, len(common)) for w in (a * b, a * a, b * b))
+    norm = np.sqrt(aa) * np.sqrt(bb)
+    far = np.where(norm > 0, 1 - dot / np.where(norm > 0, norm, 1), 1.0) > most
+    return np.concatenate([[False], far & (common > 0)])
 
 
 def sampled(df: DataFrame, keys: list[str], order: list[str], text: str, most: int = 200) -> DataFrame:
@@ -159,36 +163,24 @@ def value_islands(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFr
     """(keys, value, observed_since, last_seen, latest): unbroken runs of a value; latest marks the present one."""
     w = Window.partitionBy(*keys).orderBy(ts)
     rows = df.filter(F.col(value).isNotNull()).withColumn("new_", F.when(F.col(value).eqNullSafe(F.lag(value).over(w)), 0).otherwise(1)).withColumn("island_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy(*keys, "island_", value).agg(F.min(ts).alias("observed_since"), F.max(ts).alias("last_seen"))
-    return runs.withColumn("latest", F.col("island_") == F.max("island_").over(Window.partitionBy(*keys))).drop("island_")
+    islands = rows.groupBy(*keys, "island_", value).agg(F.min(ts).alias("observed_since"), F.max(ts).alias("last_seen"))
+    return islands.withColumn("latest", F.col("island_") == F.max("island_").over(Window.partitionBy(*keys))).drop("island_")
 
 
-def packed_batches(df: DataFrame, keys: list[str], order: list[str], events: int = 1000, calls: str | None = None, most_calls: int = 20_000) -> DataFrame:
+def packed_batches(df: DataFrame, keys: list[str], order: list[str], events: int = 1000, calls: str | None = None, most_calls: int = 20_000, chunk_rows: int = 1 << 16) -> DataFrame:
     """df with ``batch``: runs of at most ``events`` rows of each group in order and, with ``calls`` (a count a
-    row), of at most ``most_calls`` calls; a single row of more calls is a batch of its own.
-
-    With calls the limits restart at every batch, so rows are dealt by group and walked in order, an Arrow
-    batch at a time.
+    row), of at most ``most_calls`` calls; a single row of more calls is a batch of its own.  Null and negative counts are
+    none.  With calls the limits restart at every batch, so runs are cut by ``cut_runs``: a long group is many tasks.
     """
     if calls is None:
-        return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / events).cast("bigint"))
-    cols = df.columns
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, number, rows, total = None, 0, 0, 0
-        for pdf in batches:
-            out = np.empty(len(pdf), np.int64)
-            for i, (k, c) in enumerate(zip(zip(*(pdf[x] for x in keys), strict=True), pdf[calls].fillna(0), strict=True)):
-                if k != key:
-                    key, number, rows, total = k, 0, 0, 0
-                elif rows >= events or total + c > most_calls:
-                    number, rows, total = number + 1, 0, 0
-                rows, total = rows + 1, total + c
-                out[i] = number
-            yield pdf[cols].assign(batch=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", batch bigint"
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
+        return runs.numbered(df, keys, order).withColumn("batch", F.floor(F.col("rn_") / events).cast("bigint")).drop("rn_")
+
+    def link(x: dict[str, pa.Array], ends: np.ndarray) -> np.ndarray:
+        at, through = np.arange(len(ends)), np.cumsum(x["c"].to_numpy())
+        over = np.searchsorted(through, through - x["c"].to_numpy() + most_calls, side="right")  # the first row that passes the limit
+        return np.minimum(np.minimum(np.maximum(over, at + 1), at + events), ends)
+
+    return runs.cut_runs(df, keys, order, {"c": F.greatest(F.coalesce(F.col(calls), F.lit(0)), F.lit(0)).cast("bigint")}, link, events, "batch", chunk_rows=chunk_rows)
 
 
 def windows_of(length: Column, size: int, overlap: int) -> Column:

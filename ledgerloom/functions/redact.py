@@ -103,20 +103,102 @@ def checked_policy(rules: list[tuple]) -> list[tuple[str, str]]:
     return out
 
 
+#: What a text must hold for a rule to hit: one of these strings, and a run without white space of so many characters.
+#: Every match of a rule holds both, so a text without them is not searched.
+ANCHORS = {
+    "anthropic_key": (("sk-ant-",), 27),
+    "openai_key": (("sk-",), 23),
+    "google_api_key": (("AIza",), 39),
+    "aws_access_key": (("AKIA", "ASIA"), 20),
+    "github_pat": (("ghp_",), 40),
+    "github_oauth": (("gho_",), 40),
+    "github_app": (("ghs_", "ghu_", "ghr_"), 40),
+    "slack_token": (("xox",), 15),
+    "stripe_live_key": (("_live_",), 32),
+    "stripe_test_key": (("_test_",), 32),
+    "discord_token": ((".",), 59),
+    "jwt": (("eyJ",), 35),
+    "private_key_header": (("-----BEGIN ",), 0),
+    "device_secret": (("ds_live_",), 40),
+    "env_secret": (("TOKEN", "KEY", "SECRET", "PASSWORD", "PASSWD", "PASSPHRASE", "CREDENTIAL", "API"), 12),
+    "bearer_header": (("Bearer",), 20),
+    "db_url_with_password": (("://",), 0),
+    "aws_secret_key": ((), 40),
+}
+HOME_ANCHORS = ["/Users/", "/home/", ":\\Users\\", "%USERPROFILE%", "\\\\"]
+
+
+def _compiled(pattern: str) -> re.Pattern:
+    """As Spark reads it: classes and case are those of ASCII."""
+    return re.compile(pattern, re.ASCII)
+
+
+def floor_text(text: str) -> tuple[str, int]:
+    """The text after the ordered floor, and the hits."""
+    longest, found = max(map(len, text.split()), default=0), 0
+    for name, pattern in FLOOR:
+        anchors, run = ANCHORS[name]
+        if longest >= run and (not anchors or any(a in text for a in anchors)):
+            text, n = _FLOOR[name].subn(f"[REDACTED:{name}]", text)
+            found += n
+    return text, found
+
+
+def personal_text(text: str, repo_root: str | None) -> tuple[str, int, int, int]:
+    """The text after entropy, e-mail and home paths, and the hits of each."""
+    n_tokens = n_mails = n_paths = 0
+    if max(map(len, text.split()), default=0) >= 32:
+        text, n_tokens = entropy_text(text)
+    if "@" in text:
+        text, n_mails = _EMAIL.subn("[REDACTED:email]", text)
+    for anchor, pattern, compiled in zip(HOME_ANCHORS, HOME, _HOME, strict=True):
+        if anchor in text:
+            if repo_root:
+                text = _compiled(rf"(?={pattern}){re.escape(repo_root)}[/\\]*(?=[^\s\"'`)])").sub("./", text)
+            text, n = compiled.subn("[REDACTED:abs-path]", text)
+            n_paths += n
+    return text, n_tokens, n_mails, n_paths
+
+
+_FLOOR, _EMAIL, _HOME = {name: _compiled(p) for name, p in FLOOR}, _compiled(EMAIL), [_compiled(p) for p in HOME]
+
+
 def redact(df: DataFrame, col: str, out: str = "redacted", repo_root: str | None = None, policy: list[tuple] | None = None) -> DataFrame:
     """The whole pass: floor, policy, entropy, e-mail, home paths; with secrets_found, emails_redacted and
-    paths_redacted.  A path under ``repo_root`` becomes relative and is not counted."""
-    rows = redact_floor(df, col, out, "secrets_found", policy)
-    rows = rows.withColumn("entropy_", F.when(F.col(out).rlike(CANDIDATE), entropy_pass(F.col(out))))
-    rows = rows.withColumn("secrets_found", F.col("secrets_found") + F.coalesce("entropy_.n", F.lit(0))).withColumn(out, F.coalesce("entropy_.text", out)).drop("entropy_")
-    rows = rows.withColumn("emails_redacted", F.coalesce(F.regexp_count(F.col(out), F.lit(EMAIL)), F.lit(0))).withColumn(out, F.regexp_replace(out, EMAIL, "[REDACTED:email]"))
-    rows = rows.withColumn("paths_redacted", F.lit(0))
-    for pattern in HOME:
-        if repo_root:
-            inside = re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", repo_root)
-            rows = rows.withColumn(out, F.regexp_replace(out, f"(?={pattern}){inside}[/\\\\]*(?=[^\\s\"'`)])", "./"))
-        rows = rows.withColumn("paths_redacted", F.col("paths_redacted") + F.coalesce(F.regexp_count(F.col(out), F.lit(pattern)), F.lit(0))).withColumn(out, F.regexp_replace(out, pattern, "[REDACTED:abs-path]"))
-    return rows
+    paths_redacted.  A path under ``repo_root`` becomes relative and is not counted.  A null text stays null, with 0 hits.
+
+    A text is searched by the rules alone whose anchors it holds, all rules in one pass over an Arrow batch.
+    """
+    kind = T.StructType([T.StructField("text", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("secrets", "mails", "paths")])
+
+    def passed(text: pd.Series, floor: bool, personal: bool) -> pd.DataFrame:
+        found = []
+        for t in text:
+            if t is None:
+                found.append((None, 0, 0, 0))
+                continue
+            t, secrets = floor_text(t) if floor else (t, 0)
+            t, tokens, mails, paths = personal_text(t, repo_root) if personal else (t, 0, 0, 0)
+            found.append((t, secrets + tokens, mails, paths))
+        return pd.DataFrame(found, columns=kind.fieldNames())
+
+    def step(rows: DataFrame, floor: bool, personal: bool) -> DataFrame:
+        @F.pandas_udf(kind)
+        def run(text: pd.Series) -> pd.DataFrame:
+            return passed(text, floor, personal)
+
+        done = rows.withColumn("pass_", run(F.col(out).cast("string")))
+        counts = {"secrets_found": "secrets", "emails_redacted": "mails", "paths_redacted": "paths"}
+        return done.withColumns({out: F.col("pass_.text"), **{c: F.col(c) + F.col(f"pass_.{x}").cast("int") for c, x in counts.items()}}).drop("pass_")
+
+    rows = df.withColumn(out, F.col(col)).withColumns({c: F.lit(0) for c in ("secrets_found", "emails_redacted", "paths_redacted")})
+    rules = checked_policy(policy or [])
+    if not rules:
+        return step(rows, True, True)
+    rows = step(rows, True, False)
+    for name, pattern in rules:
+        rows = rows.withColumn("secrets_found", F.col("secrets_found") + F.coalesce(F.regexp_count(F.col(out), F.lit(pattern)), F.lit(0))).withColumn(out, F.regexp_replace(out, pattern, f"[REDACTED:{name}]"))
+    return step(rows, False, True)
 
 
 def needs_deep_scan(text: Column) -> Column:
@@ -143,18 +225,76 @@ def spliced(text: Column, spans: Column) -> Column:
 
 
 def merged_spans(spans: Column) -> Column:
-    """Spans (start, end, type) sorted, those that overlap united; the first type stays."""
+    """Spans (start, end, type) sorted, those that overlap or touch united; the type of the first stays."""
     kind = "array<struct<start:int,end:int,type:string>>"
+    placed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("place"), s["type"].alias("type")))
     return F.aggregate(
-        F.array_sort(spans),
+        F.array_sort(placed),
         F.array().cast(kind),
         lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"), F.element_at(acc, -1)["type"].alias("type")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type")))))
+            (F.size(acc) > 0) & (s["start"] <= F.try_element_at(acc, F.lit(-1))["end"]),
+            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"), F.try_element_at(acc, F.lit(-1))["type"].alias("type")))),
+        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"))))),
     )
 
 
+def snapped_spans(text: Column, spans: Column) -> Column:
+    """Spans widened until neither edge lies between two letters or digits, so that no piece of a word stays."""
+    word = r"[\p{IsAlphabetic}\p{N}]*"
+
+    def wide(s: Column) -> Column:
+        end = F.least(s["end"], F.length(text))
+        start = F.least(s["start"], end)
+        left = F.length(F.regexp_extract(F.substring(text, F.lit(1), start), word + "$", 0))
+        right = F.length(F.regexp_extract(F.substring(text, end + 1, F.length(text)), "^" + word, 0))
+        return F.struct((start - left).alias("start"), (end + right).alias("end"), s["type"].alias("type"))
+
+    return F.transform(spans, wide)
+
+
+def surface_of(words: list[str]) -> str:
+    """Word pieces put together: what begins with ## goes on, all else stands after a space."""
+    return "".join(w[2:] if w.startswith("##") else f" {w}" for w in words).strip()
+
+
+def without_surfaces(text: str, spans: list[tuple[str, str]]) -> tuple[str, dict[str, int]]:
+    """The text without the (surface, type) that stand in it as whole words, the longest first, and pf_ counts."""
+    kinds = dict(reversed([(s, t) for s, t in spans if s]))
+    counts: dict[str, int] = {}
+    for surface in sorted(dict.fromkeys(s for s, _ in spans if s), key=len, reverse=True):
+        marker = f"[REDACTED:{kinds[surface]}]"
+        text, n = re.subn(rf"(?<![^\W_]){re.escape(surface)}(?![^\W_])", lambda _, m=marker: m, text)
+        if n:
+            name = f"pf_{kinds[surface].lower()}"
+            counts[name] = counts.get(name, 0) + n
+    return text, counts
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("counts", T.MapType(T.StringType(), T.LongType()))]))
+def surface_pass(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    """without_surfaces over an Arrow batch; null spans: not asked."""
+    out = []
+    for t, found in zip(text, spans, strict=True):
+        done = (None, None) if t is None or found is None else without_surfaces(t, [(surface_of(list(s["words"])), s["type"]) for s in found])
+        out.append(done)
+    return pd.DataFrame(out, columns=["text", "counts"])
+
+
+def redact_entities(text: Column, tokens: Column) -> Column:
+    """(text, counts): the entities of tagged tokens (entity, word, start, end) cut out, and pf_ counts by type.
+
+    Where every token has its place, spans are widened to whole words and those that meet are one.  Otherwise each
+    entity's word pieces are put together and cut out wherever they stand as whole words, the longest first.  Null
+    tokens mean that the model did not answer: the text is null, to be held.
+    """
+    spans, inside = entity_spans(tokens), entity_tokens(tokens)
+    placed = (F.size(spans) > 0) & F.forall(inside, lambda t: F.coalesce(t["end"] > t["start"], F.lit(False)))
+    merged = merged_spans(snapped_spans(text, spans))
+    counts = F.map_from_entries(F.transform(span_counts(merged), lambda c: F.struct(c["name"].alias("key"), c["n"].cast("bigint").alias("value"))))
+    by_surface = surface_pass(text, F.when(placed, F.lit(None)).otherwise(F.transform(spans, lambda s: F.struct(s["words"].alias("words"), s["type"].alias("type")))))
+    return F.when(tokens.isNotNull() & placed, F.struct(spliced(text, merged).alias("text"), counts.alias("counts"))).when(tokens.isNotNull(), by_surface)
+
+
 def scrub_distinct(df: DataFrame, col: str, scrub, out: str = "scrubbed") -> DataFrame:
     """Each distinct text scrubbed once by ``scrub`` (DataFrame (text_) -> (text_, scrubbed)) and joined back.
 
@@ -175,18 +315,23 @@ LLM_MARKER = "[REDACTED:llm]"
 SHORTEST_CANDIDATE = 8
 
 
+def entity_tokens(tokens: Column) -> Column:
+    """The tokens that name an entity; O, 0 and empty ones are outside."""
+    return F.filter(tokens, lambda t: ~F.coalesce(t["entity"], F.lit("O")).isin("", "O", "0"))
+
+
 def entity_spans(tokens: Column) -> Column:
-    """Spans (start, end, type) of tagged tokens (entity, start, end; B-, I-, E-, S- prefixes or none).
+    """Spans (start, end, type, words) of tagged tokens (entity, word, start, end; B-, I-, L-, U-, E-, S- prefixes or none).
 
-    A token goes on with the span before it if it has its type and does not begin one; O and 0 are outside.
+    A token goes on with the span before it if it has its type and does not begin one.
     """
-    kind = "array<struct<start:int,end:int,type:string>>"
-    label = lambda t: F.upper(F.regexp_replace(t["entity"], "^[BIESbies]-", ""))
+    kind = "array<struct<start:int,end:int,type:string,words:array<string>>>"
+    label = lambda t: F.upper(F.regexp_replace(t["entity"], "^[BILUES]-", ""))
     begins = lambda t: t["entity"].rlike("^[BSbs]-")
-    new = lambda t: F.array(F.struct(t["start"].cast("int").alias("start"), t["end"].cast("int").alias("end"), label(t).alias("type")))
-    grown = lambda acc, t: F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], t["end"].cast("int")).alias("end"), F.element_at(acc, -1)["type"].alias("type")))
-    inside = F.filter(tokens, lambda t: ~F.coalesce(t["entity"], F.lit("O")).isin("", "O", "0"))
-    return F.aggregate(inside, F.array().cast(kind), lambda acc, t: F.when((F.size(acc) > 0) & ~begins(t) & (F.try_element_at(acc, F.lit(-1))["type"] == label(t)), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown(acc, t))).otherwise(F.concat(acc, new(t))))
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    new = lambda t: F.array(F.struct(t["start"].cast("int").alias("start"), t["end"].cast("int").alias("end"), label(t).alias("type"), F.array(t["word"]).alias("words")))
+    grown = lambda acc, t: F.array(F.struct(F.least(last(acc)["start"], t["start"].cast("int")).alias("start"), F.greatest(last(acc)["end"], t["end"].cast("int")).alias("end"), last(acc)["type"].alias("type"), F.concat(last(acc)["words"], F.array(t["word"])).alias("words")))
+    return F.aggregate(entity_tokens(tokens), F.array().cast(kind), lambda acc, t: F.when((F.size(acc) > 0) & ~begins(t) & (last(acc)["type"] == label(t)), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown(acc, t))).otherwise(F.concat(acc, new(t))))
 
 
 def span_counts(spans: Column) -> Column:

@@ -266,11 +266,37 @@ def f7_sdk_templates(spark, sf):
     return redact.redact_floor(table(spark, sf, "customer").select("c_custkey", t.alias("t")), "t", "redacted", "n", sdk=True).select("c_custkey", "redacted", "n")
 
 
-@query("SELECT conv_id, turn, left(text, 3) || '[REDACTED:PERSON]' || substr(text, 8, 4) || '[REDACTED:CITY]' || substr(text, 16) AS spliced FROM conversations WHERE length(text) > 20")
+F8_SQL = r"""WITH t AS (SELECT conv_id, turn, text, 3 + turn % 4 AS a, 12 + conv_id % 5 AS b FROM conversations WHERE length(text) > 20),
+s AS (SELECT *, a - length(regexp_extract(left(text, a), '[\p{L}\p{N}]*$')) AS s1, a + 3 + length(regexp_extract(substr(text, a + 4), '^[\p{L}\p{N}]*')) AS e1,
+ b - length(regexp_extract(left(text, b), '[\p{L}\p{N}]*$')) AS s2, b + 1 + length(regexp_extract(substr(text, b + 2), '^[\p{L}\p{N}]*')) AS e2 FROM t)
+SELECT conv_id, turn, CASE WHEN s2 <= e1 THEN left(text, s1) || '[REDACTED:PER]' || substr(text, greatest(e1, e2) + 1)
+ ELSE left(text, s1) || '[REDACTED:PER]' || substr(text, e1 + 1, s2 - e1) || '[REDACTED:ORG]' || substr(text, e2 + 1) END AS spliced,
+ 1::BIGINT AS people, CASE WHEN s2 <= e1 THEN 0 ELSE 1 END::BIGINT AS groups FROM s"""
+
+
+def tagged(*tokens) -> F.Column:
+    return F.array(*(F.struct(F.lit(e).alias("entity"), (w if w is not None else F.lit("x")).alias("word"), a.cast("int").alias("start"), b.cast("int").alias("end")) for e, w, a, b in tokens))
+
+
+@query(F8_SQL)
 def f8_entity_spans(spark, sf):
-    """Spans that overlap are united before they are cut out."""
-    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(t).alias("type")) for a, b, t in ((11, 15, "CITY"), (3, 6, "PERSON"), (5, 7, "NAME"))))
-    return turns(spark, sf).filter(F.length("text") > 20).select("conv_id", "turn", redact.spliced(F.col("text"), redact.merged_spans(spans)).alias("spliced"))
+    """Tokens on parts of words, at places that follow the row: whole words go, and spans that meet are one."""
+    t = turns(spark, sf).filter(F.length("text") > 20).withColumn("a", 3 + F.col("turn") % 4).withColumn("b", 12 + F.col("conv_id") % 5)
+    a, b = F.col("a"), F.col("b")
+    x = t.withColumn("x", redact.redact_entities(F.col("text"), tagged(("B-PER", None, a, a + 2), ("I-PER", None, a + 2, a + 3), ("S-org", None, b, b + 1), ("O", None, a, b))))
+    count = lambda k: F.coalesce(F.col("x.counts")[k], F.lit(0)).cast("bigint")
+    return x.select("conv_id", "turn", F.col("x.text").alias("spliced"), count("pf_per").alias("people"), count("pf_org").alias("groups"))
+
+
+@query("SELECT c_custkey, '[REDACTED:PER], (' || c_mktsegment || 's) of [REDACTED:ORG] and [REDACTED:UNIT]-x' AS redacted, 1::BIGINT AS people, 1::BIGINT AS groups, 1::BIGINT AS units FROM customer WHERE length(c_name) >= 8")
+def f8_entity_surfaces(spark, sf):
+    """Tokens without places: word pieces are put together, longer names go first, pieces of longer words stay."""
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    text = F.concat(name, F.lit(", ("), segment, F.lit("s) of "), segment, F.lit(" desk and "), segment, F.lit("-x"))
+    none = F.lit(None)
+    words = [("B-PER", F.left(name, F.lit(4)), none, none), ("I-PER", F.concat(F.lit("##"), F.substring(name, F.lit(5), F.length(name))), none, none), ("B-UNIT", segment, none, none), ("B-ORG", segment, none, none), ("I-ORG", F.lit("desk"), none, none)]
+    x = table(spark, sf, "customer").filter(F.length("c_name") >= 8).withColumn("x", redact.redact_entities(text, tagged(*words)))
+    return x.select("c_custkey", F.col("x.text").alias("redacted"), *(F.col("x.counts")[k].alias(c) for k, c in (("pf_per", "people"), ("pf_org", "groups"), ("pf_unit", "units"))))
 
 
 @query("SELECT c_custkey, 'key [REDACTED:llm] for ' || c_mktsegment || ' and [REDACTED:llm]' AS redacted, 2 AS n FROM customer WHERE length(c_name) >= 8")

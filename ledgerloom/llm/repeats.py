@@ -11,9 +11,9 @@ some pair of places less than v bytes in are both on D, and from there at least
    the cover place, and neighbours' common lengths give the strings that occur again.  Buckets are dealt to tasks, and
    a task sorts some at a time, so what it holds is bounded by ``bucket_rows`` suffixes, whatever the corpus.
 3. A bucket of more than ``bucket_rows`` (a passage that very many texts have) is never brought together.  Its range
-   of shifts is cut into some sqrt(v) pieces; all strings of a piece share more bytes, which make a longer rank.  Ranks
-   are counted, those that occur once end, the pieces that are small enough are sorted as in step 2, and of the others
-   each whole string is a rank of its own.
+   of shifts is cut into pieces; all strings of a piece share more bytes, which make a longer rank.  Ranks are counted, those
+   that occur once end, the pieces that are small enough are sorted as in step 2, and the others are cut again, in
+   the end to whole strings that are ranks of their own.
 
 Texts are compared once however many copies they have: equal texts are one text with a count.
 """
@@ -21,7 +21,6 @@ Texts are compared once however many copies they have: equal texts are one text
 from __future__ import annotations
 
 import hashlib
-import math
 from contextlib import contextmanager
 
 import numpy as np
@@ -302,52 +301,48 @@ def sorted_buckets(rows: DataFrame, v: int, run_rows: int) -> DataFrame:
 
 
 def shift_rows(rows: DataFrame, v: int, width: int) -> DataFrame:
-    """(rank, block, at, low, high) of the ends of each suffix's range of shifts (whole strings: low = high) and of the pieces
-    of ``width`` shifts between them; the rank is given by all bytes that the strings of the piece have in common."""
+    """(rank, block, at, of_low, of_high, low, high) of the ends of each suffix's range of shifts (whole strings: low =
+    high) and of the pieces of ``width`` shifts between them; the rank is given by all bytes that the strings of the
+    piece have in common."""
+    names = ["rank", "block", "at", "of_low", "of_high", "low", "high"]
 
     def run(batches):
         for b in batches:
             for start in range(0, b.num_rows, 1000):
-                out = [[] for _ in range(5)]
+                out = [[] for _ in names]
                 for r in b.slice(start, 1000).to_pylist():
                     i, j, before, after = r["low"], r["high"], r["before"], r["after"]
                     for p, q in dict.fromkeys([(i, i), (j, j), *((p, min(p + width, j) - 1) for p in range(i + 1, j, width))]):
                         if len(before) >= p and len(after) >= v - 1 - q:
                             shared = b"%s|%d|%d|%s|%s" % (r["rank"], p, q, before[len(before) - p :], after[: v - 1 - q])
-                            for c, x in zip(out, (xxhash.xxh3_128_digest(shared), r["block"], r["at"], p, q), strict=True):
+                            for c, x in zip(out, (xxhash.xxh3_128_digest(shared), r["block"], r["at"], i, j, p, q), strict=True):
                                 c.append(x)
-                kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["rank", "block", "at", "low", "high"])
+                kinds = (pa.binary(), pa.int64(), *[pa.int32()] * 5)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    return rows.select("rank", "block", "at", "before", "after", "low", "high").mapInArrow(run, "rank binary, block bigint, at int, low int, high int")
-
-
-def occurring_again(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows whose rank others have too, with how many (n)."""
-    rows = scratch.save(rows)
-    out = scratch.save(rows.join(rows.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1"), "rank"))
-    scratch.drop(rows)
-    return out
+    return rows.select("rank", "block", "at", "before", "after", "low", "high").mapInArrow(run, "rank binary, block bigint, at int, of_low int, of_high int, low int, high int")
 
 
 def repeated_shifts(blocks: DataFrame, live: DataFrame, v: int, m: int, bucket_rows: int, run_rows: int, scratch: Scratch) -> DataFrame:
     """(block, at, least, most), as ``sorted_buckets``; buckets of more than ``bucket_rows`` by pieces of their range.
     live: (block, at, n)."""
-    found = [sorted_buckets(suffix_rows(blocks, live.filter(F.col("n") <= bucket_rows), v, m), v, run_rows)]
+    found = [scratch.save(sorted_buckets(suffix_rows(blocks, live.filter(F.col("n") <= bucket_rows), v, m), v, run_rows))]
     large = live.filter(F.col("n") > bucket_rows)
     if not large.isEmpty():
-        large = scratch.save(suffix_rows(blocks, large, v, m))
-        whole = lambda x: x.filter("low = high").select("block", "at", F.col("low").alias("least"), F.col("high").alias("most"))
-        again = occurring_again(shift_rows(large, v, max(2, math.isqrt(v))), scratch)
-        #: Only the smallest and the largest shift count: a suffix that has both ends of its range is done, and a piece where all are.
-        done = whole(again).filter(F.col("least").isin(0, v - 1)).groupBy("block", "at").agg(F.count("*").alias("k")).filter("k = 2")
-        pieces = again.filter("low < high")
-        wanted = pieces.join(done.select("block", "at"), ["block", "at"], "left_anti").select("rank").distinct()
-        open_ = pieces.join(wanted, "rank", "left_semi")
-        open_ = scratch.save(open_.join(large.select("block", "at", "before", "after"), ["block", "at"]))
-        single = occurring_again(shift_rows(open_.filter(F.col("n") > bucket_rows), v, 1), scratch)
-        found += [whole(again), sorted_buckets(open_.filter(F.col("n") <= bucket_rows), v, run_rows), whole(single)]
-    out = scratch.save(found[0])
+        large = context = scratch.save(suffix_rows(blocks, large, v, m))
+        for width in (max(2, v // 7), 5, 1):
+            parts = shift_rows(large, v, width)
+            again = scratch.save(parts.join(parts.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1"), "rank"))
+            found.append(again.filter("low = high").select("block", "at", F.col("low").alias("least"), F.col("high").alias("most")))
+            #: Only the smallest and the largest shift count: a range with both ends is done, and so is a piece of such ranges alone.
+            key = ["block", "at", "of_low", "of_high"]
+            done = again.filter("low = high and (low = of_low or low = of_high)").groupBy(*key).agg(F.count("*").alias("k")).filter("k = 2").select(*key)
+            pieces = again.filter("low < high")
+            pieces = pieces.join(pieces.join(done, key, "left_anti").select("rank").distinct(), "rank", "left_semi")
+            open_ = scratch.save(pieces.select("rank", "block", "at", "low", "high", "n").join(context.select("block", "at", "before", "after"), ["block", "at"]))
+            found.append(scratch.save(sorted_buckets(open_.filter(F.col("n") <= bucket_rows), v, run_rows)))
+            large = open_.filter(F.col("n") > bucket_rows)
+    out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out
@@ -384,7 +379,7 @@ def cut_texts(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     return blocks.join(dealt, "block").select("docs", "low", "high").mapInArrow(run, "key string, n_removed bigint, n_spans bigint, kept string")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, block_bytes: int = 1 << 24, bucket_rows: int = 4096, run_rows: int = 50_000) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, block_bytes: int = 1 << 23, bucket_rows: int = 1 << 16, run_rows: int = 20_000) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``df``.
 
     Removed is every byte that a string of ``width`` bytes covers which starts anywhere else too, in its own text or

@@ -110,3 +110,23 @@ def largest_remainder(df, total: str, weight: str, keys: list[str], order: list[
     rows = rows.withColumn("rn_", F.row_number().over(group.orderBy((F.col("exact_") - F.col("floor_")).desc(), *order)))
     extra = F.expr("rest_ div n_") + F.when(F.col("rn_") <= F.expr("rest_ % n_"), 1).otherwise(0)
     return rows.withColumn(out, (F.col("floor_") + extra).cast("bigint")).drop("w_", "sum_", "exact_", "floor_", "rest_", "n_", "rn_")
+
+
+def split_arrays(df, totals: list[str], weights: str, out: dict[str, str]):
+    """As ``largest_remainder`` for several totals at once, where the weights of a group are one array in the order that
+    ties go by: df with an array of parts for each total, named by ``out``."""
+    add = lambda a, x: a + x
+    w = F.transform(weights, lambda x: F.when(x.isNull() | F.isnan(x.cast("double")) | (x <= 0), F.lit(0.0)).otherwise(x.cast("double")))
+    rows = df.withColumn("w_", w).withColumn("w_", F.when(F.aggregate("w_", F.lit(0.0), add) > 0, F.col("w_")).otherwise(F.transform("w_", lambda x: F.lit(1.0))))
+    rows = rows.withColumn("sum_", F.aggregate("w_", F.lit(0.0), add)).withColumn("n_", F.size("w_"))
+
+    def exact(t: str):
+        return F.transform("w_", lambda x: F.col(t) * (x / F.col("sum_")))
+
+    rows = rows.withColumns({f"exact_{t}": exact(t) for t in totals})
+    rows = rows.withColumns({f"floor_{t}": F.transform(f"exact_{t}", lambda e: F.floor(e)) for t in totals})
+    order = lambda t: F.transform(F.array_sort(F.transform(f"exact_{t}", lambda e, i: F.struct((F.floor(e) - e).alias("less"), i.alias("i")))), lambda x: x["i"])
+    rows = rows.withColumns({f"order_{t}": order(t) for t in totals} | {f"rest_{t}": F.col(t) - F.aggregate(f"floor_{t}", F.lit(0).cast("bigint"), add) for t in totals})
+    part = lambda t: F.transform(f"floor_{t}", lambda f, i: (f + F.expr(f"rest_{t} div n_") + F.when(F.array_position(f"order_{t}", i) <= F.expr(f"rest_{t} % n_"), 1).otherwise(0)).cast("bigint"))
+    rows = rows.withColumns({out[t]: part(t) for t in totals})
+    return rows.drop("w_", "sum_", "n_", *(f"{x}_{t}" for x in ("exact", "floor", "order", "rest") for t in totals))

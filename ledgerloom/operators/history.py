@@ -46,10 +46,73 @@ def single_account(events: DataFrame, session: str, provider: str, ts_ms: str) -
     return events.groupBy(session).agg(F.count_distinct(provider).alias("n_"), F.max(provider).alias(provider), F.bool_and(F.col(ts_ms).isNotNull()).alias("ok_"), F.min(ts_ms).alias("oldest_ms")).filter("n_ = 1 and ok_").drop("n_", "ok_")
 
 
-def account_at(sessions: DataFrame, accounts: DataFrame, provider: str = "provider") -> DataFrame:
-    """sessions with the account of their provider if it was observed at or before their oldest event."""
-    seen = accounts.select(F.col(provider).alias("p_"), F.col("account").alias("a_"), F.col("observed_since").alias("since_"))
-    return sessions.join(seen, (F.col(provider) == F.col("p_")) & (F.col("oldest_ms") >= F.col("since_")), "left").withColumn("account", F.col("a_")).drop("p_", "a_", "since_")
+def account_at(sessions: DataFrame, accounts: DataFrame, keys: tuple[str, ...] = ("device", "provider"), oldest: str = "oldest_ms") -> DataFrame:
+    """sessions with the account of their device and provider that was observed at or before their oldest event.
+
+    Of several the one observed last counts (ties: the smaller name), so a session stays one row.  The accounts of a
+    device and provider, which are few, are one list.
+    """
+    known = accounts.filter(F.col("observed_since").isNotNull()).groupBy(*keys, "observed_since").agg(F.min("account").alias("a_"))
+    lists = known.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("observed_since", "a_"))).alias("seen_"))
+    before = F.filter("seen_", lambda x: x["observed_since"] <= F.col(oldest))
+    return sessions.join(lists, list(keys), "left").withColumn("account", F.try_element_at(before, F.lit(-1))["a_"]).select(*sessions.columns, "account")
+
+
+#: A day is compared when it is this old; first wait, and the longest, between two tries.
+SETTLE_MS, RETRY_MS, RETRY_MOST_MS = 6 * 3_600_000, 30 * 60_000, 24 * 3_600_000
+
+
+def digests(rows: DataFrame, levels: list[list[str]], identity: list[str]) -> list[DataFrame]:
+    """Mergeable digests of the rows by each of ``levels``, the coarsest first: count and sum of row hashes.
+
+    A level is the sum of the next finer one, so rows are read once.
+    """
+    finest = rows.withColumn("h_", F.xxhash64(*identity).cast("decimal(38,0)")).groupBy(*levels[-1]).agg(F.count("*").alias("rows"), F.sum("h_").alias("digest"))
+    out = [finest]
+    for keys in reversed(levels[:-1]):
+        out.insert(0, out[0].groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sum("digest").alias("digest")))
+    return out
+
+
+def differing(local: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, here, there): groups whose count or hash sum differs between two digests."""
+    a = local.select(*keys, F.col("rows").alias("here"), F.col("digest").alias("digest_"))
+    b = stored.select(*keys, F.col("rows").alias("there"), F.col("digest").alias("stored_"))
+    both = a.join(b, keys, "full")
+    return both.filter(~F.col("digest_").eqNullSafe(F.col("stored_")) | ~F.col("here").eqNullSafe(F.col("there"))).select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("here", "there")))
+
+
+def reconcile(local: DataFrame, stored: DataFrame, tries: DataFrame, now_ms: int, identity: list[str], ignore: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(short, files, tries): what the store lacks of the local rows, found from the top of a digest tree.
+
+    local: (day, session_id, file, and the identity's columns); stored: the same without file; tries: (day, session_id,
+    attempts, last_ms) from the pass before.  Months are compared first, then the days of differing months,
+    then the sessions of differing days, so the rows of what agrees are not compared again.  A day that ends within the
+    last six hours waits.  A session is short by ``missing`` rows if that is over ``ignore``, or if it has as many
+    rows as the store but others (``missing`` 0).  One that was sent before waits 30 minutes, doubled with each try, a
+    day at most.  files: those that hold rows of the sessions that are due; the third table is the state to keep:
+    due sessions with one try more, waiting ones as they were, sessions in step dropped.  A store that has more than is
+    here lacks nothing: the device only adds.
+    """
+    month = F.substring("day", 1, 7).alias("month")
+    levels = [["month"], ["month", "day"], ["month", "day", "session_id"]]
+    here = digests(local.select(month, "day", "session_id", *[c for c in identity if c not in ("day", "session_id")]), levels, identity)
+    there = digests(stored.select(month, "day", "session_id", *[c for c in identity if c not in ("day", "session_id")]), levels, identity)
+    open_ = differing(here[0], there[0], levels[0]).select("month")
+    for k in (1, 2):
+        at = [x.join(open_, levels[k - 1], "left_semi") for x in (here[k], there[k])]
+        open_ = differing(*at, levels[k]).select(*levels[k], "here", "there")
+        open_ = open_ if k == 2 else open_.select(*levels[k])
+    #: Days are compared when they are over: strictly older than the day of six hours ago.
+    settled = open_.filter(F.col("day") < F.date_format(F.timestamp_millis(F.lit(now_ms - SETTLE_MS)), "yyyy-MM-dd"))
+    missing = F.col("here") - F.col("there")
+    short = settled.withColumn("missing", missing).filter((missing > ignore) | (missing == 0)).select("day", "session_id", "missing")
+    known = short.join(tries.select("day", "session_id", "attempts", "last_ms"), ["day", "session_id"], "left")
+    known = known.withColumn("due", backoff_over(F.col("attempts"), F.col("last_ms"), F.lit(now_ms), RETRY_MS, RETRY_MOST_MS))
+    due = known.filter("due").select("day", "session_id", "missing")
+    files = local.join(due, ["day", "session_id"], "left_semi").select("file").distinct()
+    state = known.select("day", "session_id", F.when(F.col("due"), F.coalesce("attempts", F.lit(0)) + 1).otherwise(F.col("attempts")).cast("int").alias("attempts"), F.when(F.col("due"), F.lit(now_ms)).otherwise(F.col("last_ms")).cast("bigint").alias("last_ms"))
+    return due, files, state
 
 
 def shortfalls(local: DataFrame, stored: DataFrame, ignore: int = 2) -> DataFrame:

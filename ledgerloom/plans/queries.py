@@ -198,6 +198,13 @@ def a2_spend_per_pr(spark, sf):
     return attribution.spend_per_pr(attribution.shares(m, w["sessions"])).withColumn("confidence", r6(F.col("confidence"))).withColumn("equiv_tokens", r6(F.col("equiv_tokens")))
 
 
+@query(f"{WK} SELECT session_id, {', '.join([*tokens.CLASSES, 'active_ms'])}, n AS prs FROM ss JOIN (SELECT session_id, count(*) AS n FROM la GROUP BY 1) USING (session_id)")
+def a2_split_sums(spark, sf):
+    """The shares of a session add up to what it spent, in every class."""
+    w, m = matched(spark, sf)
+    return attribution.shares(m, w["sessions"]).groupBy("session_id").agg(*(F.sum(c).alias(c) for c in [*tokens.CLASSES, "active_ms"]), F.count("*").alias("prs"))
+
+
 @query(f"{WK}, h AS (SELECT DISTINCT session_id FROM la), u AS (SELECT ss.*, h.session_id IS NULL AS free FROM ss LEFT JOIN h USING (session_id)) SELECT {', '.join(f'coalesce(sum({c}) FILTER (free), 0)::BIGINT AS {c}' for c in [*tokens.CLASSES, 'active_ms'])}, count(*) FILTER (free) AS sessions, count(*) AS sessions_scanned FROM u")
 def a2_unattributed(spark, sf):
     w, m = matched(spark, sf)
@@ -375,11 +382,19 @@ def a19_single_account(spark, sf):
     return history.single_account(e, "part", "provider", "ts_ms").select("part.session_id", "part.kind", "part.day", "provider", "oldest_ms")
 
 
-@query(f"{EV}, a AS (SELECT provider, 'acct-' || provider AS account, min(ts_ms) + 86400000 AS observed_since FROM ev GROUP BY 1), s AS (SELECT session_id, provider, min(ts_ms) AS oldest_ms FROM ev GROUP BY ALL) SELECT session_id, s.provider, oldest_ms, CASE WHEN oldest_ms >= observed_since THEN account END AS account FROM s JOIN a ON s.provider = a.provider")
+J7_SQL = f"""{EV}, m AS (SELECT device, provider, min(ts_ms) AS t FROM ev GROUP BY ALL),
+a AS (SELECT device, provider, 'acct-' || provider || '-' || k AS account, t + k * 5 * 86400000 AS observed_since FROM m, (VALUES (0), (1), (2)) AS v(k) WHERE k > 0 OR device <> 'd3'),
+s AS (SELECT session_id, device, provider, min(ts_ms) AS oldest_ms FROM ev GROUP BY ALL)
+SELECT session_id, s.device, s.provider, oldest_ms, max_by(account, observed_since) AS account FROM s LEFT JOIN a ON s.device = a.device AND s.provider = a.provider AND oldest_ms >= observed_since GROUP BY ALL"""
+
+
+@query(J7_SQL)
 def j7_account_validity(spark, sf):
+    """A device's accounts change twice; one device has none observed at first."""
     e = events(spark, sf)
-    accounts = e.groupBy("provider").agg((F.min("ts_ms") + 86_400_000).alias("observed_since")).withColumn("account", F.concat(F.lit("acct-"), "provider"))
-    return history.account_at(e.groupBy("session_id", "provider").agg(F.min("ts_ms").alias("oldest_ms")), accounts)
+    first = e.groupBy("device", "provider").agg(F.min("ts_ms").alias("t")).withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).filter("k > 0 or device <> 'd3'")
+    accounts = first.select("device", "provider", (F.col("t") + F.col("k") * 5 * 86_400_000).alias("observed_since"), F.concat(F.lit("acct-"), "provider", F.lit("-"), F.col("k").cast("string")).alias("account"))
+    return history.account_at(e.groupBy("session_id", "device", "provider").agg(F.min("ts_ms").alias("oldest_ms")), accounts)
 
 
 @query(f"{EV}, a AS (SELECT day, device AS session_id, count(*) AS h FROM ev GROUP BY ALL), b AS (SELECT day, device AS session_id, count(*) AS t FROM ev WHERE tokens % 7 <> 0 GROUP BY ALL) SELECT day, session_id, h - coalesce(t, 0) AS missing FROM a LEFT JOIN b USING (day, session_id) WHERE h - coalesce(t, 0) > 2")
@@ -388,6 +403,42 @@ def j8_shortfalls(spark, sf):
     return history.shortfalls(e, e.filter("tokens % 7 <> 0"))
 
 
+#: The store lacks some rows of some days, and has others in their place on further days.
+J8_SQL = f"""{EV}, l AS (SELECT event_id, day, device AS session_id, 'f' || user_id % 30 AS file, tokens, CASE WHEN day_ % 3 = 0 AND tokens % 7 = 0 THEN 0 WHEN day_ % 3 = 1 AND event_id % 11 = 0 THEN 2 ELSE 1 END AS kept FROM (SELECT *, right(day, 2)::INT AS day_ FROM ev)),
+c AS (SELECT day, session_id, count(*) AS here, count(*) FILTER (kept > 0) AS there, count(*) FILTER (kept = 2) AS other FROM l GROUP BY ALL),
+n AS (SELECT max(ts_ms) AS now FROM ev),
+t AS (SELECT day, session_id, right(day, 1)::INT % 3 AS attempts, now - 3000000 AS last_ms FROM c, n WHERE right(session_id, 1)::INT % 2 = 0),
+s AS (SELECT day, session_id, here - there AS missing FROM c, n WHERE (here - there > 2 OR here = there AND other > 0) AND day < strftime(make_timestamp((now - 21600000) * 1000), '%Y-%m-%d')),
+d AS (SELECT s.*, coalesce(attempts, 0) AS attempts, attempts IS NULL OR attempts = 0 OR now - last_ms >= least(86400000, 1800000 * 2 ** (attempts - 1)) AS due FROM s CROSS JOIN n LEFT JOIN t USING (day, session_id))
+"""
+
+
+def reconciled(spark, sf):
+    e = events(spark, sf).withColumn("d_", F.right("day", F.lit(2)).cast("int"))
+    kept = F.when((F.col("d_") % 3 == 0) & (F.col("tokens") % 7 == 0), 0).when((F.col("d_") % 3 == 1) & (F.col("event_id") % 11 == 0), 2).otherwise(1)
+    local = e.select("event_id", "day", F.col("device").alias("session_id"), F.concat(F.lit("f"), F.col("user_id") % 30).alias("file"), kept.alias("kept"))
+    stored = local.filter("kept > 0").withColumn("event_id", F.when(F.col("kept") == 2, -1 - F.col("event_id")).otherwise(F.col("event_id")))
+    now = e.agg(F.max("ts_ms")).first()[0] or 0
+    tries = local.select("day", "session_id").distinct().filter("cast(right(session_id, 1) as int) % 2 = 0").select("day", "session_id", F.expr("cast(right(day, 1) as int) % 3").alias("attempts"), F.lit(now - 3_000_000).alias("last_ms"))
+    return history.reconcile(local, stored, tries, now, ["event_id"])
+
+
+@query(J8_SQL + "SELECT day, session_id, missing FROM d WHERE due")
+def j8_sessions_due(spark, sf):
+    """Sessions that lack rows, or have as many but others, on days that have settled and whose wait is over."""
+    return reconciled(spark, sf)[0]
+
+
+@query(J8_SQL + "SELECT DISTINCT file FROM l JOIN d USING (day, session_id) WHERE due")
+def j8_files_to_send(spark, sf):
+    return reconciled(spark, sf)[1]
+
+
+@query(J8_SQL + "SELECT day, session_id, (attempts + CASE WHEN due THEN 1 ELSE 0 END)::INTEGER AS attempts, CASE WHEN due THEN now ELSE now - 3000000 END AS last_ms FROM d, n")
+def j8_tries(spark, sf):
+    return reconciled(spark, sf)[2]
+
+
 @query(f"{EV} SELECT day, session_id, device, count(*) AS n FROM ev GROUP BY ALL")
 def a22_local_digest(spark, sf):
     return events(spark, sf).groupBy("day", "session_id", "device").agg(F.count("*").alias("n"))

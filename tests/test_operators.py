@@ -262,3 +262,50 @@ def test_empty_tables(spark, rows):
     assert sessions.active_time(df, ["session_id"], "ts_ms").count() == 0
     assert report.live_sessions(df).count() == 0
     assert isinstance(report.session_page(df.withColumnRenamed("ts_ms", "last_ms"), 5).toPandas(), pd.DataFrame)
+
+
+def test_account_at(spark):
+    """A session stays one row, with the account that its device had last before its oldest event."""
+    s = spark.createDataFrame([(1, "d", "p", 100), (2, "d", "p", 5), (3, "e", "p", 100), (4, "d", None, 100), (5, "d", "p", None), (6, "d", "p", 50)], "session_id int, device string, provider string, oldest_ms bigint")
+    a = spark.createDataFrame([("d", "p", 10, "first"), ("d", "p", 50, "b"), ("d", "p", 50, "a"), ("d", "p", 101, "late"), ("x", "p", 1, "other"), ("d", "p", None, "never")], "device string, provider string, observed_since bigint, account string")
+    assert {r["session_id"]: r["account"] for r in history.account_at(s, a).collect()} == {1: "a", 2: None, 3: None, 4: None, 5: None, 6: "a"}
+
+
+def test_reconcile(spark):
+    """Short, changed, settled, unsettled, waiting and in-step sessions; the state carries on."""
+    day, now = 86_400_000, 10 * 86_400_000 + 3_600_000  # 01:00 of the 11th: the 10th has not settled
+    rows = lambda d, s, n, f="f": [(f"1970-01-{d:02}", s, f"{f}{i % 2}", f"{d}{s}{i}") for i in range(n)]
+    local = [*rows(1, "short", 9), *rows(1, "few", 9), *rows(1, "same", 4), *rows(2, "other", 5, "g"), *rows(10, "fresh", 9), *rows(3, "wait", 9, "w"), *rows(4, "again", 9, "h")]
+    stored = [r for r in local if not (r[1] in ("short", "wait", "again") and int(r[3][-1]) > 4) and not (r[1] == "few" and r[3][-1] in "78") and r[1] != "fresh"]
+    stored = [(r[0], r[1], "", r[3] + "x") if r[1] == "other" and r[3][-1] == "0" else r for r in stored] + [("1970-01-05", "more", "", "z1")]
+    schema = "day string, session_id string, file string, id string"
+    a, b = spark.createDataFrame(local, schema), spark.createDataFrame(stored, schema).drop("file")
+    tries = spark.createDataFrame([("1970-01-03", "wait", 3, now - 100 * 60_000), ("1970-01-04", "again", 2, now - 61 * 60_000), ("1970-01-01", "same", 1, 5)], "day string, session_id string, attempts int, last_ms bigint")
+    due, files_, state = history.reconcile(a, b, tries, now, ["id"])
+    assert {(r["session_id"], r["missing"]) for r in due.collect()} == {("short", 4), ("other", 0), ("again", 4)}
+    assert {r["file"] for r in files_.collect()} == {"f0", "f1", "g0", "g1", "h0", "h1"}
+    assert {(r["session_id"], r["attempts"], r["last_ms"]) for r in state.collect()} == {("short", 1, now), ("other", 1, now), ("again", 3, now), ("wait", 3, now - 100 * 60_000)}
+    due, _, _ = history.reconcile(a, b, state, now + 90 * 60_000, ["id"])
+    assert {r["session_id"] for r in due.collect()} == {"short", "other", "wait"}  # 90 minutes are over for all but the third try
+    due, _, state = history.reconcile(a, a.drop("file"), state, now + day, ["id"])
+    assert due.collect() == [] and state.collect() == []
+
+
+def test_overlap_of_long_lists(spark):
+    """Pairs with more files than a list holds are joined on paths, with the same result."""
+    rng = __import__("random").Random(1)
+    s = spark.createDataFrame([(i, f"p{rng.randint(0, 30)}") for i in range(12) for _ in range(rng.randint(1, 40))], "session_id int, path string")
+    p = spark.createDataFrame([(f"r{i}", f"p{rng.randint(0, 30)}") for i in range(9) for _ in range(rng.randint(1, 40))], "pr string, path string")
+    pairs = s.select("session_id").distinct().crossJoin(p.select("pr").distinct()).withColumn("gap_ms", F.lit(0))
+    got = [sorted(map(tuple, attribution.overlap(pairs, s, p, most_listed=n).collect())) for n in (0, 8, 4096)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 20
+
+
+def test_split_arrays_are_those_of_the_windows(spark):
+    rng = __import__("random").Random(2)
+    rows = [(k, i, rng.choice([None, float("nan"), -1.0, 0.0, 0.1, 0.3, 1.0, 7.0]), 10 ** (k % 7) + k, 5 - k % 6) for k in range(60) for i in range(k % 9 + 1)]
+    df = spark.createDataFrame(rows, "k int, i int, w double, t bigint, u bigint")
+    want = tokens.largest_remainder(tokens.largest_remainder(df, "t", "w", ["k"], ["i"], "a"), "u", "w", ["k"], ["i"], "b")
+    lists = df.groupBy("k", "t", "u").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("x")).withColumn("w", F.col("x.w"))
+    got = tokens.split_arrays(lists, ["t", "u"], "w", {"t": "a", "u": "b"}).select("k", F.explode(F.arrays_zip(F.col("x.i").alias("i"), "a", "b")).alias("x")).select("k", "x.*")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("k", "i", "a", "b").collect()))

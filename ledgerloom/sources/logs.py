@@ -15,10 +15,51 @@ from ..operators.sessions import carried, drop_repeats, ordinal, turn_index
 def lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """(file, seq, byte_offset, value): all physical lines of the files, numbered from 1 in file order.
 
-    A file is one row while it is cut into lines, so a file of 2 GB or more must be rotated before.
+    A large file is read by byte ranges, each a task that starts at the first line that begins there; its lines are
+    numbered and their bytes summed up in the range, and the ranges before it, of which a file has few, are added.  A
+    line's offset counts the bytes before it and the line ends between.  An empty piece after the last line end is no
+    line.  A stream cannot sum up over ranges, so there a file is one row while it is cut.
     """
-    reader = spark.readStream.schema("value string") if streaming else spark.read
-    return lines_of(reader.option("wholetext", "true").format("text").load(path).select(F.col("_metadata.file_path").alias("file"), "value"), streaming)
+    if streaming:
+        return lines_of(spark.readStream.schema("value string").option("wholetext", "true").format("text").load(path).select(F.col("_metadata.file_path").alias("file"), "value"), True)
+    own = Window.partitionBy("file", "range_").orderBy("at_")
+    bytes_ = (F.octet_length("value") + 1).cast("bigint")
+    rows = ranged(spark, path).withColumn("n_", F.row_number().over(own)).withColumn("before_", F.coalesce(F.sum(bytes_).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sizes = ranged(spark, path).groupBy("file", "range_").agg(F.count("*").alias("lines_"), F.sum(bytes_).alias("bytes_"))
+    earlier = Window.partitionBy("file").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("file", "range_", F.coalesce(F.sum("lines_").over(earlier), F.lit(0)).alias("lines_"), F.coalesce(F.sum("bytes_").over(earlier), F.lit(0)).alias("bytes_"))
+    return rows.join(base, ["file", "range_"]).select("file", (F.col("n_") + F.col("lines_")).cast("bigint").alias("seq"), (F.col("before_") + F.col("bytes_")).cast("bigint").alias("byte_offset"), "value")
+
+
+def ranged(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, range_, at_, value): lines with the start of the byte range that read them, in order by at_."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    m = F.col("_metadata")
+    return raw.select(m["file_path"].alias("file"), m["file_size"].alias("size"), m["file_block_start"].alias("range_"), F.monotonically_increasing_id().alias("at_"), "value")
+
+
+TAIL_BYTES = 4096
+
+
+def file_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, tail_hash) of the files with a line: the size, and 16 hex digits of the SHA-1 of the last 4,096 bytes.
+
+    Each byte range gives the end of what it read, at most 4,096 bytes, so the lines stay where they are.
+    """
+    size = F.col("size")
+    part = ranged(spark, path).withColumn("bytes_", (F.octet_length("value") + 1).cast("bigint"))
+    after = F.coalesce(F.sum("bytes_").over(Window.partitionBy("file", "range_").orderBy(F.desc("at_")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = part.withColumn("after_", after).filter(F.col("after_") < TAIL_BYTES)
+    ends = last.groupBy("file", "size", "range_").agg(F.array_sort(F.collect_list(F.struct("at_", F.expr(f"substring(cast(value as binary), -{TAIL_BYTES})").alias("v")))).alias("x"))
+    joined = F.aggregate("x", F.lit(b""), lambda a, x: F.concat(a, x["v"], F.lit(b"\n")))
+    ends = ends.select("file", "size", "range_", joined.alias("end_"))
+    total = part.groupBy("file").agg(F.sum("bytes_").alias("bytes_"))
+    nth = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("range_")))
+    few = ends.withColumn("nth_", nth).filter(f"nth_ <= {TAIL_BYTES}").groupBy("file", "size").agg(F.array_sort(F.collect_list(F.struct("range_", "end_"))).alias("x"))
+    whole = F.aggregate("x", F.lit(b""), lambda a, x: F.concat(a, x["end_"]))
+    #: A file without a line end at its end has a byte less than its lines.
+    text = few.join(total, "file").withColumn("raw_", whole).withColumn("raw_", F.when(F.col("bytes_") > size, F.expr("substring(raw_, 1, octet_length(raw_) - 1)")).otherwise(F.col("raw_")))
+    return text.select(F.col("file").alias("path"), size.alias("length"), F.left(F.sha1(F.expr(f"substring(raw_, -{TAIL_BYTES})")), F.lit(16)).alias("tail_hash"))
 
 
 def lines_of(files: DataFrame, streaming: bool = False) -> DataFrame:

@@ -145,6 +145,7 @@ def test_path_class(spark, path, kind):
 
 @pytest.mark.parametrize(("url", "host", "slug"), [
     ("git@github.com:acme/web.git", "github.com", "acme/web"), ("https://u@git.example.com:8443/acme/web.git/", "git.example.com", "acme/web"), ("https://x.org/only", "x.org", None), ("nonsense", None, None),
+    ("git@github.com:o/my.repo.git", "github.com", "o/my.repo"), ("github.com:o/r", "github.com", "o/r"), ("https://h.org/o/a.b.git", "h.org", "o/a.b"), ("git@h:o/p/q.git", None, None), ("ftp://h.org/o/r", None, None), ("https://h.org//o/r", "h.org", None),
 ])
 def test_remote(spark, url, host, slug):
     r = paths.remote(F.col("u"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import commands, ids, paths, redact, refs, text, tokens
-from ..operators import attribution, history, report, sessions, validate
+from ..operators import attribution, folds, history, report, sessions, validate
 from .views import COMMITS_SQL, EVENTS_SQL, WORK_SQL, commits, events, ms, table, turns, work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,11 +107,21 @@ def w9_segments(spark, sf):
     return sessions.segments(e.select("event_id", "session_id", "ts_ms", "chars"), "session_id", "ts_ms", ["ts_ms", "event_id"], "chars", limits=SEGMENT).select("event_id", "session_id", "segment")
 
 
+#: Overrides as they come: some out of bounds, one unknown, one that is no number.
+OVERRIDES = {"gap_ms": 6 * 3_600_000, "turns": 6, "duration_ms": 10**12, "chars": 60, "topic": 9, "colour": 3, "limit": None}
+
+
+@query(segment_sql(9_000_000, 10, 18_000_000, 1200))
+def w10_calibrated_segments(spark, sf):
+    """Limits from overrides, each kept between a tenth and ten times its default."""
+    e = events(spark, sf).withColumn("chars", F.length("props")).select("event_id", "session_id", "ts_ms", "chars")
+    return sessions.segments(e, "session_id", "ts_ms", ["ts_ms", "event_id"], "chars", limits=sessions.calibrated(OVERRIDES)).select("event_id", "session_id", "segment")
+
+
 @query(f"WITH s AS ({segment_sql(SEGMENT['gap_ms'], SEGMENT['turns'], SEGMENT['duration_ms'], SEGMENT['chars'])}) SELECT session_id, segment, {', '.join(f'sum({c})::BIGINT AS {c}' for c in tokens.CLASSES)}, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count(*) AS turns FROM s JOIN ({EV} SELECT event_id, ts_ms, {', '.join(tokens.CLASSES)} FROM ev) USING (event_id) GROUP BY ALL")
 def a9_segment_totals(spark, sf):
-    e = events(spark, sf)
-    seg = sessions.segments(e.withColumn("chars", F.length("props")).select("event_id", "session_id", "ts_ms", "chars", *tokens.CLASSES), "session_id", "ts_ms", ["ts_ms", "event_id"], "chars", limits=SEGMENT)
-    return seg.groupBy("session_id", "segment").agg(*(F.sum(c).alias(c) for c in tokens.CLASSES), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("turns"))
+    e = events(spark, sf).withColumn("chars", F.length("props")).select("event_id", "session_id", "ts_ms", "chars", *tokens.CLASSES)
+    return folds.segment_totals(sessions.segments(e, "session_id", "ts_ms", ["ts_ms", "event_id"], "chars", limits=SEGMENT))
 
 
 @query("WITH x AS (SELECT conv_id, role, last_value(CASE WHEN role IN ('user', 'assistant') THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM conversations), y AS (SELECT conv_id, sum(CASE WHEN role = 'user' AND b = 'assistant' THEN 1 ELSE 0 END)::BIGINT AS corrections FROM x GROUP BY 1) SELECT conv_id, corrections, round(least(1.0::DOUBLE, corrections / 4), 2) AS frustration FROM y")
@@ -136,10 +146,7 @@ def w16_account_windows(spark, sf):
 
 @query(f"{EV}, x AS (SELECT session_id, repo, max(ts_ms) AS last_ms FROM ev GROUP BY ALL) SELECT repo, session_id, last_ms, row_number() OVER (PARTITION BY repo ORDER BY last_ms DESC, session_id)::INTEGER AS rank FROM x")
 def w17_newest_first(spark, sf):
-    from pyspark.sql import Window
-
-    last = events(spark, sf).groupBy("repo", "session_id").agg(F.max("ts_ms").alias("last_ms"))
-    return last.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("last_ms"), "session_id")))
+    return folds.newest_ranked(events(spark, sf), ["repo"], "session_id", "ts_ms")
 
 
 @query(f"{EV} SELECT event_id, ((row_number() OVER (PARTITION BY device ORDER BY ts_ms, event_id) - 1) // 100)::BIGINT AS batch FROM ev")
@@ -214,10 +221,9 @@ def a2_unattributed(spark, sf):
 @query(f"{WK}, s AS (SELECT pr, count(DISTINCT session_id) AS sessions FROM la GROUP BY 1) SELECT pr.pr, l_suppkey, merged_ms, sessions, an.l_suppkey IS NULL AS ai_assisted FROM pr LEFT JOIN s ON lower(pr.pr) = lower(s.pr) LEFT JOIN (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7) an USING (l_suppkey)")
 def j6_spend_join(spark, sf):
     w, m = matched(spark, sf)
-    spend = m.groupBy(F.lower("pr").alias("key_")).agg(F.count_distinct("session_id").alias("sessions"))
-    human = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_linenumber = 7").select("l_suppkey").distinct().withColumn("human_", F.lit(True))
-    out = w["prs"].join(spend, F.lower("pr") == F.col("key_"), "left").join(human, "l_suppkey", "left")
-    return out.select("pr", "l_suppkey", "merged_ms", "sessions", F.col("human_").isNull().alias("ai_assisted"))
+    human = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_linenumber = 7").select("l_suppkey")
+    spend = m.groupBy("pr").agg(F.count_distinct("session_id").alias("sessions"))
+    return folds.spend_join(w["prs"], spend, human, "l_suppkey").select("pr", "l_suppkey", "merged_ms", "sessions", "ai_assisted")
 
 
 SPLIT_SQL = """WITH x AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_extendedprice AS e, (l_extendedprice * 100)::BIGINT AS w, (o_totalprice * 100)::BIGINT AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -320,17 +326,14 @@ def a14_file_dedupe(spark, sf):
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     source = F.when(F.col("l_returnflag") == "A", "git").when(F.col("l_returnflag") == "N", "tool").otherwise("content")
     rows = li.join(p, li.l_partkey == p.p_partkey).select(F.col("l_suppkey").alias("slug"), file_path().alias("path"), F.col("l_linenumber").alias("n"), source.alias("source"))
-    return rows.groupBy("slug", "path").agg(F.sum("n").alias("lines"), F.max_by("source", tokens.source_rank(F.col("source"))).alias("source"))
+    return folds.file_dedupe(rows, ["slug", "path"])
 
 
 @query(f"WITH x AS (SELECT l_orderkey AS k, array_to_string(string_split({FILE_SQL}, '/')[1:2], '/') AS component, l_linenumber * 1000000 + l_partkey AS pos FROM lineitem JOIN part ON l_partkey = p_partkey), y AS (SELECT k, component, min(pos) AS pos FROM x GROUP BY ALL), z AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos, component)::INTEGER AS rank FROM y) SELECT k AS l_orderkey, component, rank FROM z WHERE rank <= 8")
 def a11_components(spark, sf):
-    from pyspark.sql import Window
-
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    rows = li.join(p, li.l_partkey == p.p_partkey).select("l_orderkey", paths.component(file_path()).alias("component"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("pos"))
-    first = rows.groupBy("l_orderkey", "component").agg(F.min("pos").alias("pos"))
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("pos", "component"))).filter("rank <= 8").select("l_orderkey", "component", "rank")
+    rows = li.join(p, li.l_partkey == p.p_partkey).select("l_orderkey", file_path().alias("path"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("pos"))
+    return folds.components(rows, ["l_orderkey"], "path", "pos")
 
 
 # -- events: maps, shares, accounts, reconciliation ---------------------------------------------------
@@ -338,19 +341,12 @@ def a11_components(spark, sf):
 
 @query(f"{EV}, x AS (SELECT session_id, kind, count(*) AS n FROM ev GROUP BY ALL), y AS (SELECT *, sum(n) OVER (PARTITION BY session_id) AS total, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, kind)::INTEGER AS rank FROM x) SELECT session_id, kind, n, greatest(0.05::DOUBLE, least(1.0::DOUBLE, round(n::DOUBLE / total, 2))) AS confidence, rank FROM y WHERE rank <= 3")
 def a10_tool_shares(spark, sf):
-    from pyspark.sql import Window
-
-    n = events(spark, sf).groupBy("session_id", "kind").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("session_id")
-    share = F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.round(F.col("n") / F.sum("n").over(w), 2)))
-    return n.withColumn("confidence", share).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "kind"))).filter("rank <= 3")
+    return folds.tool_shares(events(spark, sf), ["session_id"], "kind", most=3)
 
 
 @query(f"{EV}, x AS (SELECT session_id, kind, count(*) AS n FROM ev GROUP BY ALL) SELECT session_id, string_agg(kind || '=' || n, ',' ORDER BY kind) AS tools FROM x GROUP BY 1")
 def a12_tool_map(spark, sf):
-    n = events(spark, sf).groupBy("session_id", "kind").agg(F.count("*").alias("n"))
-    m = n.groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("m"))
-    return m.select("session_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("tools"))
+    return folds.tool_map(events(spark, sf), ["session_id"], "kind").select("session_id", folds.as_text(F.col("tools")).alias("tools"))
 
 
 @query(f"{EV} SELECT session_id, arg_min(provider, (ts_ms, event_id)) AS provider, arg_min(model, CASE WHEN kind = 'click' THEN (ts_ms, event_id) END) AS model, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM (SELECT *, ts_ms FROM ev) GROUP BY 1")
@@ -368,7 +364,7 @@ def a16_inventory(spark, sf):
 
 @query(f"{EV} SELECT DISTINCT provider, model FROM ev ORDER BY ALL")
 def a17_distinct_names(spark, sf):
-    return events(spark, sf).select("provider", "model").distinct().orderBy("provider", "model")
+    return folds.distinct_names(events(spark, sf), ["provider", "model"])
 
 
 @query(f"{EV} SELECT kind || '/' || model AS kind, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20")
@@ -441,7 +437,7 @@ def j8_tries(spark, sf):
 
 @query(f"{EV} SELECT day, session_id, device, count(*) AS n FROM ev GROUP BY ALL")
 def a22_local_digest(spark, sf):
-    return events(spark, sf).groupBy("day", "session_id", "device").agg(F.count("*").alias("n"))
+    return folds.local_digest(events(spark, sf), ["day", "session_id", "device"])
 
 
 @query(f"{EV}, g AS (SELECT session_id, 5 AS scan, min(ts_ms) + 86400000 AS a, max(ts_ms) - 86400000 AS b FROM ev GROUP BY 1) SELECT event_id FROM ev JOIN g USING (session_id) WHERE event_id % 9 < scan AND ts_ms BETWEEN a AND b")

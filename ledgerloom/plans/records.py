@@ -171,6 +171,17 @@ def s9_web_frames(spark, sf):
     return out.select("request_id", F.col("pos").cast("bigint").alias("pos"), "role", F.length("text").alias("chars"), "message_id")
 
 
+@query("SELECT CASE c_custkey % 3 WHEN 0 THEN 'installation' WHEN 1 THEN 'identity' ELSE 'handle' END AS kind, CASE WHEN c_custkey % 3 = 0 THEN 'agent-' || c_nationkey END AS agent, CASE WHEN c_custkey % 3 = 0 THEN 'path,bin' END AS via, CASE WHEN c_custkey % 3 = 1 THEN c_name END AS account, CASE WHEN c_custkey % 3 = 2 THEN lower(c_name) END AS handle, c_mktsegment AS seen_at FROM customer WHERE c_custkey % 7 <> 0")
+def s10_inventory(spark, sf):
+    """Reports of three kinds, a line a customer; a seventh of the lines is cut off."""
+    c = table(spark, sf, "customer")
+    kind = F.when(F.col("c_custkey") % 3 == 0, "installation").when(F.col("c_custkey") % 3 == 1, "identity").otherwise("handle")
+    only = lambda k, x: F.when(F.col("c_custkey") % 3 == k, x)
+    value = as_json(kind=kind, agent=only(0, F.concat(F.lit("agent-"), "c_nationkey")), detected_via=only(0, F.array(F.lit("path"), F.lit("bin"))), account=only(1, F.col("c_name")), handle=only(2, F.lower("c_name")), seen_at=F.col("c_mktsegment"), more=F.lit(1))
+    lines = c.select(F.when(F.col("c_custkey") % 7 == 0, F.left(value, F.lit(9))).otherwise(value).alias("value"))
+    return files.inventory_of(lines).select("kind", "agent", F.array_join("detected_via", ",").alias("via"), "account", "handle", "seen_at")
+
+
 @query("WITH f AS (SELECT c_custkey AS path, c_nationkey AS len FROM customer) SELECT path FROM f WHERE path % 3 = 0 OR len % 2 = 1")
 def s11_changed_files(spark, sf):
     """Customers as files; cursors know two of three, with an odd length one too long."""

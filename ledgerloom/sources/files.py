@@ -68,9 +68,15 @@ def extracted(messages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def inventory_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Typed rows of what devices report (installations, identities, handles); a bad line is a row of nulls."""
     return spark.read.schema(schema.INVENTORY).json(path)
 
 
+def inventory_of(lines: DataFrame, value: str = "value") -> DataFrame:
+    """:func:`inventory_reports` of lines that are read already; bad lines are left out."""
+    return lines.select(F.from_json(value, schema.INVENTORY).alias("j")).select("j.*").filter("kind is not null")
+
+
 def changed_files(listing: DataFrame, cursors: DataFrame) -> DataFrame:
     """Files (path, length, tail_hash) whose length or tail hash differs from their cursor's, or that have none."""
     return listing.join(cursors, ["path", "length", "tail_hash"], "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import commands, ids, paths, redact, refs, text, tokens
-from ..operators import attribution, folds, history, report, sessions, validate
+from ..operators import attribution, folds, history, report, search, sessions, validate
 from .views import COMMITS_SQL, EVENTS_SQL, WORK_SQL, commits, events, ms, table, turns, work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -526,6 +526,21 @@ def p11_free_text(spark, sf):
     return turns(spark, sf).filter(validate.matches_text(["text", "role"], "The Th")).select("conv_id", "turn")
 
 
+@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(coalesce(text, '')), 'the th') OR contains(lower(coalesce(role, '')), 'the th')")
+def p11_indexed_text(spark, sf):
+    """The rows of the scan, by way of the trigram index of all turns."""
+    t = turns(spark, sf).withColumn("id", F.struct("conv_id", "turn"))
+    found, _ = search.search(search.trigram_index(t, "id", ["text", "role"]), t, "id", ["text", "role"], "The Th")
+    return found.select("conv_id", "turn")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '#00000001') ORDER BY c_name LIMIT 20")
+def a28_find_people_indexed(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    found, _ = search.search(search.trigram_index(c, "c_custkey", ["c_name"]), c, "c_custkey", ["c_name"], "#00000001")
+    return found.orderBy("c_name").limit(20)
+
+
 @query(f"{EV}, s AS (SELECT session_id, max(ts_ms) AS last_ms FROM ev GROUP BY 1) SELECT session_id, last_ms FROM s WHERE last_ms < 1706500000000 OR (last_ms = 1706500000000 AND session_id < '5') ORDER BY last_ms DESC, session_id DESC LIMIT 25")
 def l4_keyset_page(spark, sf):
     s = events(spark, sf).groupBy("session_id").agg(F.max("ts_ms").alias("last_ms"))

@@ -3,31 +3,18 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import shared_dir
+
 #: Words of the byte-wise contracts: runs of anything but space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in tests, a local folder is made and set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-        if not at:
-            at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-            spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 

@@ -170,7 +170,7 @@ def l5_live_sessions(spark, sf):
 
 def matched(spark, sf):
     w = work(spark, sf)
-    return w, attribution.layered(attribution.overlap(attribution.shortlist(w["sessions"], w["prs"]), w["session_files"], w["pr_files"]), w["mentions"])
+    return w, attribution.layered(attribution.overlap(w["sessions"], w["prs"], w["session_files"], w["pr_files"]), w["mentions"])
 
 
 @query(f"{WK} SELECT session_id, pr, repo, gap_ms FROM sl")
@@ -182,7 +182,7 @@ def j3_shortlist(spark, sf):
 @query(f"{WK} SELECT session_id, pr, inter, round(overlap, 6) AS overlap FROM ov")
 def j4_file_overlap(spark, sf):
     w = work(spark, sf)
-    out = attribution.overlap(attribution.shortlist(w["sessions"], w["prs"]), w["session_files"], w["pr_files"])
+    out = attribution.overlap(w["sessions"], w["prs"], w["session_files"], w["pr_files"])
     return out.select("session_id", "pr", "inter", r6(F.col("overlap")).alias("overlap"))
 
 

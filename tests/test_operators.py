@@ -296,8 +296,9 @@ def test_overlap_of_long_lists(spark):
     rng = __import__("random").Random(1)
     s = spark.createDataFrame([(i, f"p{rng.randint(0, 30)}") for i in range(12) for _ in range(rng.randint(1, 40))], "session_id int, path string")
     p = spark.createDataFrame([(f"r{i}", f"p{rng.randint(0, 30)}") for i in range(9) for _ in range(rng.randint(1, 40))], "pr string, path string")
-    pairs = s.select("session_id").distinct().crossJoin(p.select("pr").distinct()).withColumn("gap_ms", F.lit(0))
-    got = [sorted(map(tuple, attribution.overlap(pairs, s, p, most_listed=n).collect())) for n in (0, 8, 4096)]
+    ss = s.select("session_id").distinct().selectExpr("session_id", "1 repo", "0L start_ms", "session_id * 86400000L end_ms")
+    ps = p.select("pr").distinct().selectExpr("pr", "1 repo", "cast(substring(pr, 2) as bigint) * 86400000L * 2 merged_ms")
+    got = [sorted(map(tuple, attribution.overlap(ss, ps, s, p, most_listed=n).collect())) for n in (0, 8, 4096)]
     assert got[0] == got[1] == got[2] and len(got[0]) > 20
 
 

@@ -28,7 +28,7 @@ def brute_whitening(vectors, k=16):
     return n, deviation, (x - total / n) @ v[:, :k] / np.sqrt(e[:k]), e[:k] / e.sum()
 
 
-def held_against(rows, ids, vectors, k=16):
+def held_against(rows, ids, vectors, k=16, most_error=1e-9):
     n, deviation, white, explained = brute_whitening(vectors, k)
     got = defaultdict(dict)
     for r in rows:
@@ -42,7 +42,7 @@ def held_against(rows, ids, vectors, k=16):
     signs = np.sign((ours * white).sum(0))
     assert np.abs(ours - signs * white).max() < 1e-6
     assert np.allclose([got[ids[0]][c + 1]["explained"] for c in range(white.shape[1])], explained, rtol=1e-9)
-    assert {r["identity_error"] for r in rows} == {rows[0]["identity_error"]} and rows[0]["identity_error"] < 1e-9
+    assert {r["identity_error"] for r in rows} == {rows[0]["identity_error"]} and rows[0]["identity_error"] < most_error
 
 
 def test_whitening_query(spark):
@@ -57,7 +57,7 @@ def test_whitening_of_uneven_variances(spark):
     x = (rng.normal(size=(300, 6)) * [1e4, 1e3, 300, 20, 1, 0.3]) @ np.linalg.qr(rng.normal(size=(6, 6)))[0] + 1e6
     x = np.concatenate([x, np.repeat(x[:1], 200, axis=0)])
     df = spark.createDataFrame([(i, r.tolist(), "c") for i, r in enumerate(x)], "vec_id bigint, embedding array<double>, component string").repartition(5)
-    held_against(whitening.whitened(df).collect(), list(range(len(x))), x)
+    held_against(whitening.whitened(df).collect(), list(range(len(x))), x, most_error=1e-6)
 
 
 def test_whitening_edges(spark):
@@ -180,7 +180,7 @@ def test_spelling_edges(spark, edge, empty):
     assert spelling.spelling_groups(empty).collect() == []
     chain = [(i, " ".join(["abcdefgh"[: 8 - k] + "x" * k] * 3 * 2 ** (7 - k))) for i, k in enumerate(range(4))]
     got = as_found(spelling.spelling_groups(spark.createDataFrame(chain, "doc_id bigint, text string"), mod=1 << 40))
-    assert got["abcdxxxx"][:2] == ("abcdexxx", "abcdefgh") and got["abcdefgh"][:2] == (None, "abcdefgh")
+    assert got["abcdexxx"][:2] == ("abcdefxx", "abcdefgh") and got["abcdefxx"][:2] == ("abcdefgx", "abcdefgh") and got["abcdefgh"][:2] == (None, "abcdefgh")
 
 
 def test_neighbourhood_is_whole():

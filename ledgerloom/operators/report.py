@@ -57,6 +57,11 @@ def explore(events: DataFrame, group_by: str, stack_by: str | None, metric: str,
     sets = rows.groupingSets([[F.col("grp"), F.col("stack")], [F.col("grp")], []], F.col("grp"), F.col("stack")).agg(F.grouping_id().alias("gid_"), value)
     level = F.when(F.col("gid_") == 0, "cell").when(F.col("gid_") == 1, "group").otherwise("all")
     out = sets.withColumn("level", level).drop("gid_")
+    return top_groups(out, metric, top)
+
+
+def top_groups(out: DataFrame, metric: str, top: int) -> DataFrame:
+    """Of rows (level, grp, stack, metric) the ``top`` groups with their cells, and the total of all."""
     ranked = out.filter("level = 'group'").orderBy(F.col(metric).desc_nulls_last(), "grp").limit(top).select(F.col("grp").alias("kept"))
     kept = out.filter("level <> 'all'").join(ranked, F.col("grp").eqNullSafe(F.col("kept")), "left_semi")
     return kept.unionByName(out.filter("level = 'all'")).select("level", "grp", "stack", metric)
@@ -128,6 +133,11 @@ def find_named(rows: DataFrame, name: str, q: str, limit: int) -> DataFrame:
 def ready_first(events: DataFrame, session: str, ts_ms: str, ready: Column, most: int = 1000) -> DataFrame:
     """Rows of ready sessions, the latest session first, until ``most`` rows are taken."""
     per = events.groupBy(session).agg(F.max(ts_ms).alias("last_"), F.count("*").alias("n_")).filter(ready)
+    return rows_of_first(events, per, session, ts_ms, most)
+
+
+def rows_of_first(events: DataFrame, per: DataFrame, session: str, ts_ms: str, most: int) -> DataFrame:
+    """Rows of the sessions of ``per`` (session, last_, n_), the latest first, until ``most`` rows are taken."""
     before = F.coalesce(F.sum("n_").over(Window.orderBy(F.desc("last_"), session).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = per.orderBy(F.desc("last_"), session).limit(most).withColumn("before_", before).filter(F.col("before_") < most)
     rank = F.row_number().over(Window.partitionBy(session).orderBy(ts_ms)) + F.col("before_")

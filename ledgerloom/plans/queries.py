@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import commands, ids, paths, redact, refs, text, tokens
-from ..operators import attribution, folds, history, report, search, sessions, validate
+from ..operators import attribution, cube, folds, history, pages, report, search, sessions, validate
+from ..storage import new_folder
 from .views import COMMITS_SQL, EVENTS_SQL, WORK_SQL, commits, events, ms, table, turns, work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -496,6 +497,32 @@ def a25_explore_hour_device(spark, sf):
     return report.explore(events(spark, sf), "hour", "device", "cost", 24)
 
 
+WEEK = "FROM ev WHERE ts >= TIMESTAMP '2024-01-18 12:00:00' AND ts < TIMESTAMP '2024-01-25 12:00:00')"
+
+
+def week_of_cube(spark, sf):
+    """(sums, sets) of the seven days before NOW from a cube of all events, stored in the shared folder."""
+    e = events(spark, sf)
+    stored = cube.DailyCube(spark, new_folder(spark, "cube"))
+    stored.update(e)
+    return stored.between(e, *(int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1000) for t in report.bounds(NOW, "7d")))
+
+
+@query(SQL["a24_overview"])
+def a24_overview_from_cube(spark, sf):
+    return cube.overview_cube(*week_of_cube(spark, sf))
+
+
+@query(explore_sql("model", "kind", "count(DISTINCT session_id)", "sessions", 4).replace("FROM ev)", WEEK))
+def a25_cube_sessions(spark, sf):
+    return cube.explore_cube(*week_of_cube(spark, sf), "model", "kind", "sessions", 4)
+
+
+@query(explore_sql("day", "provider", "sum(tokens)::BIGINT", "tokens", 5).replace("FROM ev)", WEEK))
+def a25_cube_day_tokens(spark, sf):
+    return cube.explore_cube(*week_of_cube(spark, sf), "day", "provider", "tokens", 5)
+
+
 @query(f"{EV} SELECT repo AS node, sum(cost)::BIGINT AS cost, count(DISTINCT session_id) AS sessions FROM ev WHERE contains(lower(repo), 'r1') GROUP BY 1 ORDER BY 1 LIMIT 50")
 def a26_find_projects(spark, sf):
     rows = events(spark, sf).groupBy(F.col("repo").alias("node")).agg(F.sum("cost").alias("cost"), F.count_distinct("session_id").alias("sessions"))
@@ -552,6 +579,29 @@ def l6_ready_first(spark, sf):
     return report.ready_first(events(spark, sf), "session_id", "ts_ms", F.col("n_") >= 20, 500).select("event_id")
 
 
+def stored_sessions(spark, sf):
+    """The folder of all sessions, stored newest first in small files."""
+    s = events(spark, sf).groupBy("session_id").agg(F.max("ts_ms").alias("last_ms"), F.count("*").alias("events"))
+    path = new_folder(spark, "sessions")
+    pages.write_newest_first(s, path, F.col("events") >= 20, file_rows=256)
+    return path
+
+
+@query(SQL["l4_keyset_page"])
+def l4_stored_page(spark, sf):
+    return pages.stored_page(spark, stored_sessions(spark, sf), 25, (1706500000000, "5")).select("session_id", "last_ms")
+
+
+@query(SQL["l5_live_sessions"])
+def l5_stored_live(spark, sf):
+    return pages.stored_live(spark, stored_sessions(spark, sf), within_ms=86_400_000)
+
+
+@query(SQL["l6_ready_first"])
+def l6_stored_ready(spark, sf):
+    return pages.stored_ready_first(spark, stored_sessions(spark, sf), events(spark, sf), "ts_ms", 500).select("event_id")
+
+
 @query("SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE (n_regionkey IN (0, 1) OR n_nationkey = 7) AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def j17_taxonomy_filter(spark, sf):
     o, c, n, r = (table(spark, sf, x) for x in ("orders", "customer", "nation", "region"))

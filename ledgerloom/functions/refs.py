@@ -23,6 +23,11 @@ PR_CONFIDENCE, ISSUE_CONFIDENCE = 0.9, 0.8
 REF = "array<struct<kind:string,provider:string,host:string,slug:string,key:string,url:string,confidence:double,ambiguous:boolean>>"
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often ``use`` names it: it is a lambda's variable."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _of_pattern(kind: str, provider: str, pattern: str, slug: tuple, key: int, host: str | None):
     def ref(url: Column) -> Column:
         name = F.concat_ws("/", *(F.regexp_extract(url, pattern, i) for i in slug)) if slug else F.lit(None).cast("string")
@@ -155,26 +160,29 @@ def event_references(text: Column, model_text: bool = False) -> Column:
     first of a key stays.  The text is cut to 64,000 UTF-16 units, an astral character counting two.
     """
     astral = F.length(F.regexp_replace(F.left(text, F.lit(MOST_UNITS)), r"[\x{0}-\x{FFFF}]", ""))
-    found = detect(F.left(text, F.lit(MOST_UNITS) - astral), model_text)
     low = lambda r: F.lower(F.coalesce(r["slug"], F.lit("")))
     pr_key = lambda r: F.concat(low(r), F.lit("#"), r["key"])
     issue_key = lambda r: F.concat(r["provider"], F.lit(":"), low(r), F.lit("#"), F.lower(r["key"]))
+    valid = lambda rows: F.filter(rows, lambda r: valid_reference(r["kind"], r["slug"], r["key"].try_cast("bigint"), r["url"], r["host"], r["provider"], r["key"]))
 
     def firsts(rows: Column, key) -> Column:
-        keys = F.transform(rows, key)
-        return F.filter(rows, lambda r, i: F.array_position(keys, key(r)) == i + 1)
+        return _once(F.struct(rows.alias("rows"), F.transform(rows, key).alias("keys")), lambda x: F.filter(x["rows"], lambda r, i: F.array_position(x["keys"], key(r)) == i + 1))
 
-    prs, issues = F.filter(found, lambda r: r["kind"] == "pr"), F.filter(found, lambda r: r["kind"] == "issue")
-    valid = lambda rows: F.filter(rows, lambda r: valid_reference(r["kind"], r["slug"], r["key"].try_cast("bigint"), r["url"], r["host"], r["provider"], r["key"]))
-    prs = valid(firsts(prs, pr_key))
-    pr_keys = F.transform(prs, pr_key)
-    sure = F.transform(F.filter(issues, lambda r: ~r["ambiguous"]), issue_key)
-    issues = F.filter(firsts(issues, issue_key), lambda r: ~((r["provider"] == "github") & F.array_contains(pr_keys, pr_key(r))))
-    issues = F.transform(issues, lambda r: r.withField("ambiguous", r["ambiguous"] & ~F.array_contains(sure, issue_key(r))))
-    repos = F.transform(firsts(F.filter(found, lambda r: r["host"].isNotNull()), low), lambda r: F.struct(r["host"].alias("host"), r["slug"].alias("slug")))
-    repos = F.filter(repos, lambda r: (r["slug"] != "") & (F.length(r["slug"]) <= 200))
-    kept = [F.slice(x, 1, MOST_EACH) for x in (repos, prs, valid(issues))]
-    return F.when(F.size(kept[0]) + F.size(kept[1]) + F.size(kept[2]) > 0, F.struct(*(x.alias(n) for x, n in zip(kept, ("repos", "pull_requests", "issues"), strict=True))))
+    def kept(found: Column) -> Column:
+        first = F.struct(valid(firsts(F.filter(found, lambda r: r["kind"] == "pr"), pr_key)).alias("prs"), F.filter(found, lambda r: r["kind"] == "issue").alias("issues"), found.alias("found"))
+        keyed = lambda x: F.struct(x["prs"].alias("prs"), F.transform(x["prs"], pr_key).alias("pr_keys"), x["issues"].alias("issues"), F.transform(F.filter(x["issues"], lambda r: ~r["ambiguous"]), issue_key).alias("sure"), x["found"].alias("found"))
+
+        def folded(x: Column) -> Column:
+            issues = F.filter(firsts(x["issues"], issue_key), lambda r: ~((r["provider"] == "github") & F.array_contains(x["pr_keys"], pr_key(r))))
+            issues = F.transform(issues, lambda r: r.withField("ambiguous", r["ambiguous"] & ~F.array_contains(x["sure"], issue_key(r))))
+            repos = F.transform(firsts(F.filter(x["found"], lambda r: r["host"].isNotNull()), low), lambda r: F.struct(r["host"].alias("host"), r["slug"].alias("slug")))
+            repos = F.filter(repos, lambda r: (r["slug"] != "") & (F.length(r["slug"]) <= 200))
+            return F.struct(*(F.slice(rows, 1, MOST_EACH).alias(n) for rows, n in ((repos, "repos"), (x["prs"], "pull_requests"), (valid(issues), "issues"))))
+
+        return _once(first, lambda x: _once(keyed(x), folded))
+
+    some = lambda x: F.when(F.size(x["repos"]) + F.size(x["pull_requests"]) + F.size(x["issues"]) > 0, x)
+    return _once(detect(F.left(text, F.lit(MOST_UNITS) - astral), model_text), lambda found: _once(kept(found), some))
 
 
 def repo_of_git(slug: Column, branch: Column, slug_source: Column, remote_url: Column) -> Column:

@@ -10,3 +10,26 @@ def test_references_are_found_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("merge_requests") < 10
     e = df.first()["e"]
     assert ([r["slug"] for r in e["repos"]], [r["key"] for r in e["pull_requests"]], [r["key"] for r in e["issues"]]) == (["a/b"], ["1"], ["2"])
+
+
+def work_tables(spark):
+    day = 86_400_000
+    sessions = spark.createDataFrame([(i, i % 2, (i // 4) * day, (i // 4) * day + day) for i in range(40)], "session_id int, repo int, start_ms long, end_ms long")
+    prs = spark.createDataFrame([(f"p{i}", i % 2, (i // 3) * day) for i in range(60)], "pr string, repo int, merged_ms long")
+    return sessions, prs
+
+
+def rows_of(df):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+def test_matched_sessions(spark):
+    from ledgerloom.operators import attribution
+
+    sessions, prs = work_tables(spark)
+    files = sessions.select("session_id", (F.col("session_id") % 5).alias("path"))
+    pr_files = prs.select("pr", (F.substring("pr", 2, 9).cast("int") % 3).alias("path"))
+    mentions = spark.createDataFrame([(3, "p1", "git"), (99, "p2", "tool")], "session_id int, pr string, source string")
+    want = attribution.layered(attribution.overlap(sessions, prs, files, pr_files), mentions).select("session_id").distinct()
+    got = attribution.matched_sessions(sessions, prs, files, pr_files, mentions)
+    assert rows_of(got.distinct()) == rows_of(want) and 0 < want.count() < 41

@@ -23,6 +23,16 @@ def rows_of(df):
     return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
 
 
+def test_time_sums_meet_once_a_time(spark):
+    from ledgerloom.functions import tokens
+    from ledgerloom.operators import attribution
+
+    sessions, prs = work_tables(spark)
+    pairs = attribution.shortlist(sessions, prs)
+    want = pairs.groupBy("pr").agg(F.count(F.when(F.col("gap_ms") <= 0, 1)).alias("at_once"), F.sum(tokens.time_proximity(F.col("gap_ms"))).alias("proximity"))
+    assert rows_of(attribution.time_sums(sessions, prs)) == rows_of(want)
+
+
 def test_matched_sessions(spark):
     from ledgerloom.operators import attribution
 

@@ -43,3 +43,18 @@ def test_matched_sessions(spark):
     want = attribution.layered(attribution.overlap(sessions, prs, files, pr_files), mentions).select("session_id").distinct()
     got = attribution.matched_sessions(sessions, prs, files, pr_files, mentions)
     assert rows_of(got.distinct()) == rows_of(want) and 0 < want.count() < 41
+
+
+def test_bits_of_files_lose_no_overlap(spark):
+    from ledgerloom.operators import attribution
+
+    day = 86_400_000
+    sets = [[(i * 7 + k * k) % 300 for k in range(2 + i % 9)] for i in range(60)]
+    sessions = spark.createDataFrame([(i, 0, 0, day) for i in range(60)], "session_id int, repo int, start_ms long, end_ms long")
+    prs = spark.createDataFrame([(f"p{i}", 0, day) for i in range(60)], "pr string, repo int, merged_ms long")
+    files = spark.createDataFrame([(i, p) for i, s in enumerate(sets) for p in s], "session_id int, path int")
+    pr_files = files.select(F.concat(F.lit("p"), F.col("session_id").cast("string")).alias("pr"), F.col("path"))
+    out = attribution.overlap(sessions, prs, files, pr_files)
+    want = sorted((i, f"p{j}", len(a & b)) for i, a in enumerate(map(set, sets)) for j, b in enumerate(map(set, sets)) if a & b and len(a & b) / len(a | b) >= 0.15)
+    assert rows_of(out.select("session_id", "pr", "inter")) == want
+    assert "bit_or" in out._jdf.queryExecution().optimizedPlan().toString()

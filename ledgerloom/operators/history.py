@@ -210,14 +210,18 @@ def session_files(sessions: DataFrame, commits: DataFrame, files: DataFrame, aft
     """(session_id, repo, path): files changed in a session's repository from its start until ``after_ms`` past its
     end, or until the next session there starts.
 
-    sessions: (session_id, repo, start_ms, end_ms); commits: (repo, sha, ts_ms); files: (sha, path).
+    sessions: (session_id, repo, start_ms, end_ms); commits: (repo, sha, ts_ms); files: (sha, path).  Sessions of one
+    window see the same files, and commits of one time count as one: windows meet the distinct paths of a time, and the
+    sessions get the distinct paths of their window.
     """
     following = Window.partitionBy("repo").orderBy("start_ms").rangeBetween(1, Window.unboundedFollowing)
     later = sessions.withColumn("next_", F.min("start_ms").over(following)).withColumn("until_", F.least(F.col("end_ms") + after_ms, F.coalesce("next_", F.col("end_ms") + after_ms)))
     day = 86_400_000
-    spread = later.withColumn("day", F.explode(F.sequence(F.expr(f"start_ms div {day}"), F.expr(f"until_ div {day}"))))
-    hit = spread.join(commits.withColumn("day", F.expr(f"ts_ms div {day}")), ["repo", "day"]).filter("ts_ms between start_ms and until_")
-    return hit.select("session_id", "repo", "sha").join(files, "sha").select("session_id", "repo", "path").distinct()
+    window = ["repo", "start_ms", "until_"]
+    changed = commits.select("repo", "sha", "ts_ms").join(files, "sha").select("repo", "ts_ms", "path").distinct().withColumn("day", F.expr(f"ts_ms div {day}"))
+    spread = later.select(*window).distinct().withColumn("day", F.explode(F.sequence(F.expr(f"start_ms div {day}"), F.expr(f"until_ div {day}"))))
+    seen = spread.join(changed, ["repo", "day"]).filter("ts_ms between start_ms and until_").select(*window, "path").distinct()
+    return later.select("session_id", *window).distinct().join(seen, window).select("session_id", "repo", "path").distinct()
 
 
 def session_span(events: DataFrame, segments: DataFrame) -> DataFrame:

@@ -45,6 +45,21 @@ def test_matched_sessions(spark):
     assert rows_of(got.distinct()) == rows_of(want) and 0 < want.count() < 41
 
 
+def test_files_of_a_window_meet_once(spark):
+    from ledgerloom.operators import history
+
+    sessions, prs = work_tables(spark)
+    commits = prs.select("repo", F.col("pr").alias("sha"), F.col("merged_ms").alias("ts_ms"))
+    files = commits.select("sha", F.lit("a").alias("path")).unionByName(commits.select("sha", F.col("sha").alias("path")))
+    got = history.session_files(sessions, commits, files)
+    start, until = {}, {}
+    for s in sessions.collect():
+        later = [x["start_ms"] for x in sessions.collect() if x["repo"] == s["repo"] and x["start_ms"] > s["start_ms"]]
+        start[s["session_id"]], until[s["session_id"]] = s, min([s["end_ms"] + 4 * 3_600_000, *later])
+    want = {(k, s["repo"], p) for k, s in start.items() for c in commits.collect() if c["repo"] == s["repo"] and s["start_ms"] <= c["ts_ms"] <= until[k] for p in ("a", c["sha"])}
+    assert sorted(want) == rows_of(got)
+
+
 def test_bits_of_files_lose_no_overlap(spark):
     from ledgerloom.operators import attribution
 

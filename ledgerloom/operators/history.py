@@ -174,7 +174,7 @@ def repository_of(events: DataFrame, roots: DataFrame) -> DataFrame:
 
     events: (event_id, candidates array in order); roots: (root, repo).
     """
-    each = events.select("event_id", F.posexplode("candidates").alias("rank", "path"))
+    each = events.repartition("event_id").select("event_id", F.posexplode("candidates").alias("rank", "path"))
     parts = F.split("path", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     hits = each.select("event_id", "rank", F.explode(prefixes).alias("root")).join(roots, "root")

@@ -83,3 +83,14 @@ def test_bits_of_files_lose_no_overlap(spark):
     want = sorted((i, f"p{j}", len(a & b)) for i, a in enumerate(map(set, sets)) for j, b in enumerate(map(set, sets)) if a & b and len(a & b) / len(a | b) >= 0.15)
     assert rows_of(out.select("session_id", "pr", "inter")) == want
     assert "bit_or" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_events_are_dealt_before_their_prefixes(spark):
+    from ledgerloom.operators import history
+
+    events = spark.createDataFrame([(1, ["/x/y", "/w/a/b/c"]), (2, ["/w/z"]), (3, ["/q"]), (4, None)], "event_id int, candidates array<string>").coalesce(1)
+    roots = spark.createDataFrame([("/w", "outer"), ("/w/a", "inner")], "root string, repo string")
+    out = history.repository_of(events, roots)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 2 and "RepartitionByExpression [event_id" in plan
+    assert rows_of(out) == [(1, "inner"), (2, "outer")]

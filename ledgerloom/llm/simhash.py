@@ -16,6 +16,11 @@ compares a row with the bucket's first and with the row before it, which joins n
 in linear work.  A second pass compares, in each bucket that still mixes components, every row outside the
 bucket's largest component with all rows of other components, so that no link between components is lost
 while pairs within a component are never made.
+
+Many texts that are near in bits, but not in shingles, would all meet in that pass.  Texts that the first pass
+found near another therefore meet by their rarest shingles instead: with each text's shingles in order of how
+many texts have them, the first one that two texts have in common stands near the beginning of both if their
+similarity reaches the threshold (prefix filtering; exact, whatever their bits).
 """
 
 from __future__ import annotations
@@ -163,9 +168,10 @@ def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch:
     bits decide.  Where the segments guarantee the meeting (max_distance < 2 * segments * size), no link
     between components is lost; beyond it the meeting is likely, not sure.
 
-    overlap takes the nodes (node) that are near another and returns (node, n, shared): the size of each
-    one's set, and how many of its members any other of these nodes has.  The second pass then leaves out
-    pairs whose similarity can't reach ``threshold``: their sets have at most the smaller ``shared`` in common.
+    overlap takes the nodes (node) that are near another and returns (node, n, shared, rare): the size of each
+    one's set, how many of its members any other of these nodes has, and the rarest of those in order.  In the second
+    pass these nodes meet by what they have in ``rare``, and only if it stands so early in both that their similarity
+    can reach ``threshold``; what they have in common by bits only told that they are near another.
     """
     cols = ["node", *(f"f{i}" for i in range(size))]
     indexed = [c for c in nodes.columns if c == "parts"]
@@ -187,11 +193,19 @@ def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch:
         """At most three pairs a node."""
         return best.select(F.col("node").alias("u"), F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("v")).filter("v is not null")
 
+    def others_near(near_nodes: DataFrame) -> DataFrame:
+        """The rest of the nodes that have any node near in a key, which the walk did not compare them with."""
+        known = near_nodes.withColumn("near", F.lit(True))
+        rows = variants(nodes.select(*cols, *indexed).join(known, "node", "left"), size, segments).repartition("key")
+        rows = rows.withColumn("met", F.count("*").over(Window.partitionBy("key"))).filter("met > 1").drop("met")
+        close = distance("x.", "y.", size) <= F.when(F.col("x.key") < 0, part_distance).otherwise(max_distance)
+        return rows.filter("near is null").alias("x").join(rows.alias("y"), F.expr("x.key = y.key and x.node <> y.node") & close, "left_semi").select("node").distinct()
+
     best = walk(nodes, [])
     pairs, sizes = pairs_of(best), None
     if overlap:
-        near_nodes = best.select(F.explode(F.array("node", "a", "b")).alias("node")).filter("node is not null").distinct()
-        sizes = scratch.save(overlap(near_nodes))
+        near_nodes = scratch.save(best.select(F.explode(F.array("node", "a", "b", "c")).alias("node")).filter("node is not null").distinct())
+        sizes = scratch.save(overlap(near_nodes.unionByName(others_near(near_nodes))))
         #: Once more among the near ones, those with the fewest members of their own first: they are the hubs.
         hubs = nodes.join(sizes, "node").withColumn("own", F.coalesce((F.col("n") - F.col("shared")) / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)))
         pairs = pairs.unionByName(pairs_of(walk(hubs, ["own"])))
@@ -199,24 +213,26 @@ def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch:
     first = scratch.save(verify(pairs) if verify else pairs)
     comps = scratch.save(connected_components(first, scratch))
 
-    placed = nodes.select(*cols, *indexed).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    if sizes is not None:
-        placed = placed.join(sizes.select("node", (F.col("n") * (1 << 31) + F.col("shared")).alias("sizes")), "node", "left")
-        cols = [*cols, "sizes"]
-    rows = variants(placed.select(*cols, *indexed, "comp"), size, segments)
-    #: Dealt by key once; each bucket's largest component, and whether it has another.
-    bucket = Window.partitionBy("key")
-    rows = rows.repartition("key").withColumn("n", F.count("*").over(Window.partitionBy("key", "comp")))
-    rows = rows.withColumn("big", F.max(F.struct("n", "comp")).over(bucket)["comp"]).withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket)).filter("low < high").select("key", *cols, "comp", "big")
-    own, other = rows.filter("comp <> big").alias("x"), rows.alias("y")
-    apart = F.expr("x.comp <> y.comp and (y.comp = y.big or x.node < y.node)") & (distance("x.", "y.", size) <= F.when(F.col("x.key") < 0, part_distance).otherwise(max_distance))
-    meeting = first_meeting(size, segments)
-    apart = apart & F.when(F.col("x.key") < 0, meeting.isNull() | (distance("x.", "y.", size) > max_distance)).otherwise(F.shiftright("x.key", 32) == meeting)
-    if overlap:
-        n = F.shiftright("x.sizes", 31) + F.shiftright("y.sizes", 31)
-        common = F.least(F.col("x.sizes").bitwiseAND(F.lit((1 << 31) - 1)), F.col("y.sizes").bitwiseAND(F.lit((1 << 31) - 1)))
-        apart = apart & F.coalesce(common * (1 + threshold) >= n * threshold - 1e-6, F.lit(True))
-    more = own.join(other, (F.col("x.key") == F.col("y.key")) & apart).select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
+    def across(rows: DataFrame, within) -> DataFrame:
+        """Pairs of nodes that meet in a key and are of different components: each key's rows outside its largest with all others."""
+        bucket = Window.partitionBy("key")
+        #: Dealt by key once; each bucket's largest component, and whether it has another.
+        rows = rows.repartition("key").withColumn("members", F.count("*").over(Window.partitionBy("key", "comp")))
+        rows = rows.withColumn("big", F.max(F.struct("members", "comp")).over(bucket)["comp"]).withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket)).filter("low < high").drop("members", "low", "high")
+        apart = F.expr("x.key = y.key and x.comp <> y.comp and (y.comp = y.big or x.node < y.node)") & within
+        return rows.filter("comp <> big").alias("x").join(rows.alias("y"), apart).select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct()
+
+    if sizes is None:
+        placed = nodes.join(comps, "node", "left").select(*cols, *indexed, F.coalesce("comp", "node").alias("comp"))
+        close = distance("x.", "y.", size) <= F.when(F.col("x.key") < 0, part_distance).otherwise(max_distance)
+        meeting = first_meeting(size, segments)
+        close = close & F.when(F.col("x.key") < 0, meeting.isNull() | (distance("x.", "y.", size) > max_distance)).otherwise(F.shiftright("x.key", 32) == meeting)
+        more = across(variants(placed, size, segments), close)
+    else:
+        placed = sizes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        #: rest: how much a set can have in common with another if this is the first that they share.
+        placed = placed.select("node", "comp", "n", "shared", F.posexplode("rare").alias("at", "key")).select("key", "node", "comp", "n", (F.col("shared") - F.col("at")).alias("rest"))
+        more = across(placed, F.least("x.rest", "y.rest") * (1 + threshold) >= (F.col("x.n") + F.col("y.n")) * threshold - 1e-6)
     second = scratch.save(verify(more) if verify else more)
     stars = comps.filter("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
     out = connected_components(stars.unionByName(second.select("u", "v")), scratch)
@@ -270,8 +286,12 @@ def shingle_jaccard(pairs: DataFrame, texts: DataFrame, n: int, threshold: float
     return with_text(with_text(pairs, "u", "v"), "v", "u").select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint")
 
 
-def shingle_overlap(texts: DataFrame, n: int, scratch: Scratch) -> DataFrame:
-    """(node, n, shared) of texts (node, text): distinct n-word shingles, and those that another text has."""
+def shingle_overlap(texts: DataFrame, n: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """(node, n, shared, rare) of texts (node, text): distinct n-word shingles, and those that another text has.
+
+    rare: hashes of shared ones, those of the fewest texts first.  After the ones that no other text has come so many
+    that a text of a similarity of ``threshold`` shares one of them.
+    """
 
     def run(batches):
         for b in batches:
@@ -282,8 +302,12 @@ def shingle_overlap(texts: DataFrame, n: int, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
     kept = scratch.save(texts.select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>"))
-    alone = kept.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    return kept.join(alone, "node", "left").select("node", F.size("hashes").cast("bigint").alias("n"), (F.size("hashes") - F.coalesce("alone", F.lit(0))).cast("bigint").alias("shared"))
+    each = kept.select("node", F.explode("hashes").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    ordered = each.join(often, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("x"))
+    sized = kept.join(ordered, "node", "left").select("node", F.size("hashes").cast("bigint").alias("n"), F.coalesce(F.size("x"), F.lit(0)).cast("bigint").alias("shared"), "x")
+    most = F.floor(F.col("n") * (1 - threshold) + 1e-6) + 1 - (F.col("n") - F.col("shared"))
+    return sized.select("node", "n", "shared", F.coalesce(F.slice(F.col("x")["h"], F.lit(1), F.greatest(most, F.lit(0)).cast("int")), F.array().cast("array<bigint>")).alias("rare"))
 
 
 def simhash_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, segments: int = 3, max_distance: int = 26, cuts: int = 8, part_distance: int = 36, first_distance: int = 30) -> DataFrame:
@@ -311,7 +335,7 @@ def simhash_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
         return shingle_jaccard(pairs, texts_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()), shingle_words, threshold, scratch)
 
     def overlap(near: DataFrame) -> DataFrame:
-        return shingle_overlap(texts_of(near), shingle_words, scratch)
+        return shingle_overlap(texts_of(near), shingle_words, threshold, scratch)
 
     comps = link(nodes, 2, segments, max_distance, scratch, verify, overlap, threshold, part_distance, first_distance)
     labelled = nodes.join(comps, "node", "left").select("node", "label", F.coalesce("comp", "node").alias("comp"))

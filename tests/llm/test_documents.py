@@ -159,6 +159,32 @@ def test_keep_one_finds_similar_shingles(spark):
     assert all(want[i] == want[got[i]] for i in got)  # no false link
 
 
+def test_near_copies_below_the_threshold_are_not_all_compared(spark, monkeypatch):
+    """Variants of one text that are near in bits but not in shingles, without shingles of their own: few meet, no link is lost."""
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    rows = []
+    for i in range(400):
+        near = list(base)
+        for p in rng.sample(range(2, 160, 4), 1 if i < 5 else 7):
+            near[p] = f"x{p}{rng.randrange(40)}"
+        rows.append((i, " ".join(near)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    compared, verify = [], simhash.shingle_jaccard
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "shingle_jaccard", counted)
+    got = dict(map(tuple, simhash.simhash_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    assert got == components(sorted(sets), links)
+    assert compared[-1] <= 4 * len(rows)
+
+
 @pytest.mark.parametrize("kind", ["appended", "cut off", "replaced", "inserted", "scattered"])
 def test_near_copies_just_above_the_threshold_meet(spark, kind):
     """Pairs at a similarity of 0.80 to 0.85, whatever the kind of edit; texts of 60 to 1,500 words."""

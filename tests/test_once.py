@@ -94,3 +94,13 @@ def test_events_are_dealt_before_their_prefixes(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 2 and "RepartitionByExpression [event_id" in plan
     assert rows_of(out) == [(1, "inner"), (2, "outer")]
+
+
+def test_mentions_are_dealt_before_they_are_searched(spark, tmp_path):
+    from ledgerloom.plans import queries
+
+    spark.createDataFrame([(i, i % 2) for i in range(6)], "c_custkey int, c_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "NEW_LAND"), (1, "OLD")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    out = queries.a13_reference_dedupe(spark, str(tmp_path))
+    assert "RepartitionByExpression [c_custkey" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["key"] for r in out.filter("kind = 'pr'").collect()) == ["1", "2", "3", "4", "5"]

@@ -257,13 +257,29 @@ def surface_of(words: list[str]) -> str:
     return "".join(w[2:] if w.startswith("##") else f" {w}" for w in words).strip()
 
 
+def replaced_words(text: str, surface: str, marker: str) -> tuple[str, int]:
+    """The text with the surface replaced wherever neither a letter nor a digit stands beside it, and how often.
+
+    A search for the surface itself: a pattern of its own for each name would be compiled for each row.
+    """
+    parts, done, at = [], 0, text.find(surface)
+    while at >= 0:
+        end = at + len(surface)
+        if text[at - 1 : at].isalnum() or text[end : end + 1].isalnum():
+            at = text.find(surface, at + 1)
+        else:
+            parts += (text[done:at], marker)
+            done, at = end, text.find(surface, end)
+    return ("".join(parts) + text[done:], len(parts) // 2) if parts else (text, 0)
+
+
 def without_surfaces(text: str, spans: list[tuple[str, str]]) -> tuple[str, dict[str, int]]:
     """The text without the (surface, type) that stand in it as whole words, the longest first, and pf_ counts."""
     kinds = dict(reversed([(s, t) for s, t in spans if s]))
     counts: dict[str, int] = {}
     for surface in sorted(dict.fromkeys(s for s, _ in spans if s), key=len, reverse=True):
         marker = f"[REDACTED:{kinds[surface]}]"
-        text, n = re.subn(rf"(?<![^\W_]){re.escape(surface)}(?![^\W_])", lambda _, m=marker: m, text)
+        text, n = replaced_words(text, surface, marker)
         if n:
             name = f"pf_{kinds[surface].lower()}"
             counts[name] = counts.get(name, 0) + n

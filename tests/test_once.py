@@ -104,3 +104,22 @@ def test_mentions_are_dealt_before_they_are_searched(spark, tmp_path):
     out = queries.a13_reference_dedupe(spark, str(tmp_path))
     assert "RepartitionByExpression [c_custkey" in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["key"] for r in out.filter("kind = 'pr'").collect()) == ["1", "2", "3", "4", "5"]
+
+
+def test_names_are_cut_out_without_a_pattern_for_each(monkeypatch):
+    import re
+
+    from ledgerloom.functions import redact
+
+    texts = ["Ann, Anna, ann_Ann (Ann)-Ann", "AnnAnn Ann", "ÄAnn Ann²Ann .Ann", "", "a.b a.b.a.b xa.b"]
+    names = [("Ann", "PER"), ("a.b", "ORG"), ("", "X"), ("Ann", "ORG"), (" (Ann)", "UNIT")]
+
+    def by_pattern(text, counts):
+        for s, kind in ((" (Ann)", "UNIT"), ("Ann", "PER"), ("a.b", "ORG")):
+            text, n = re.subn(rf"(?<![^\W_]){re.escape(s)}(?![^\W_])", lambda _, k=kind: f"[REDACTED:{k}]", text)
+            counts |= {f"pf_{kind.lower()}": n} if n else {}
+        return text, counts
+
+    want = [by_pattern(t, {}) for t in texts]
+    monkeypatch.setattr(redact.re, "subn", None)
+    assert [redact.without_surfaces(t, names) for t in texts] == want

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, free_name
+from .common import Scratch, connected_components, free_name, freed_shuffles
 
 SEED = 42
 
@@ -195,11 +195,12 @@ def link(nodes: DataFrame, size: int, segments: int, max_distance: int, scratch:
 
     def others_near(near_nodes: DataFrame) -> DataFrame:
         """The rest of the nodes that have any node near in a key, which the walk did not compare them with."""
-        known = near_nodes.withColumn("near", F.lit(True))
-        rows = variants(nodes.select(*cols, *indexed).join(known, "node", "left"), size, segments).repartition("key")
+        known = near_nodes.withColumn("near", F.lit(1))
+        rows = variants(nodes.select(*cols, *indexed).join(known, "node", "left").withColumn("near", F.coalesce("near", F.lit(0))), size, segments).repartition("key")
         rows = rows.withColumn("met", F.count("*").over(Window.partitionBy("key"))).filter("met > 1").drop("met")
         close = distance("x.", "y.", size) <= F.when(F.col("x.key") < 0, part_distance).otherwise(max_distance)
-        return rows.filter("near is null").alias("x").join(rows.alias("y"), F.expr("x.key = y.key and x.node <> y.node") & close, "left_semi").select("node").distinct()
+        #: y.near is read, though any will do: with the same columns on both sides the rows are dealt by key once.
+        return rows.filter("near = 0").alias("x").join(rows.alias("y"), F.expr("x.key = y.key and x.node <> y.node and x.near <= y.near") & close, "left_semi").select("node").distinct()
 
     best = walk(nodes, [])
     pairs, sizes = pairs_of(best), None
@@ -323,8 +324,6 @@ def simhash_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
     each other.  Rows that share an id are one document.
     """
     scratch = Scratch(df.sparkSession)
-    rows = scratch.save(with_wide_fingerprints(df.filter(F.col(id_col).isNotNull()), id_col, text_col, 2, cuts))
-    nodes = scratch.save(rows.groupBy(F.col("tid").alias("node")).agg(F.min("id").alias("label"), *(F.first(p).alias(p) for p in ("f0", "f1", "parts"))))
 
     def texts_of(used: DataFrame) -> DataFrame:
         wanted = nodes.join(used, "node").select("node", F.col("label").alias("id"))
@@ -337,11 +336,14 @@ def simhash_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
     def overlap(near: DataFrame) -> DataFrame:
         return shingle_overlap(texts_of(near), shingle_words, threshold, scratch)
 
-    comps = link(nodes, 2, segments, max_distance, scratch, verify, overlap, threshold, part_distance, first_distance)
-    labelled = nodes.join(comps, "node", "left").select("node", "label", F.coalesce("comp", "node").alias("comp"))
-    lowest = labelled.groupBy("comp").agg(F.min("label").alias("component_id"))
-    by_node = labelled.join(lowest, "comp").select(F.col("node").alias("tid"), "component_id")
-    return scratch.save(rows.select("id", "tid").join(by_node, "tid").groupBy(F.col("id").alias(id_col)).agg(F.min("component_id").alias("component_id")))
+    with freed_shuffles(df.sparkSession):
+        rows = scratch.save(with_wide_fingerprints(df.filter(F.col(id_col).isNotNull()), id_col, text_col, 2, cuts))
+        nodes = scratch.save(rows.groupBy(F.col("tid").alias("node")).agg(F.min("id").alias("label"), *(F.first(p).alias(p) for p in ("f0", "f1", "parts"))))
+        comps = link(nodes, 2, segments, max_distance, scratch, verify, overlap, threshold, part_distance, first_distance)
+        labelled = nodes.join(comps, "node", "left").select("node", "label", F.coalesce("comp", "node").alias("comp"))
+        lowest = labelled.groupBy("comp").agg(F.min("label").alias("component_id"))
+        by_node = labelled.join(lowest, "comp").select(F.col("node").alias("tid"), "component_id")
+        return scratch.save(rows.select("id", "tid").join(by_node, "tid").groupBy(F.col("id").alias(id_col)).agg(F.min("component_id").alias("component_id")))
 
 
 def simhash_keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -185,6 +185,28 @@ def test_near_copies_below_the_threshold_are_not_all_compared(spark, monkeypatch
     assert compared[-1] <= 4 * len(rows)
 
 
+def test_near_duplicates_hold_little_disk(spark, monkeypatch):
+    """Shuffle files go with the query that made them, and the rows of the second look at the keys are dealt once."""
+    rows = [(i, " ".join(f"w{i % 50}x{j}" for j in range(60 + i // 50))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plans, overlap = [], simhash.shingle_overlap
+
+    def seen(texts, *rest):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plans.append(texts.select("*")._jdf.queryExecution().executedPlan().toString())
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        return overlap(texts, *rest)
+
+    monkeypatch.setattr(simhash, "shingle_overlap", seen)
+    shuffles = spark._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: {f.name() for b in [shuffles.getAllBlocks()] for f in (b.apply(i) for i in range(b.size())) if f.name().startswith("shuffle_")}
+    before = held()
+    found = simhash.simhash_near_duplicates(df)
+    assert not held() - before
+    assert plans[0].count("Generate explode") == 1
+    assert {r["component_id"] for r in found.collect()} == set(range(50))
+
+
 @pytest.mark.parametrize("kind", ["appended", "cut off", "replaced", "inserted", "scattered"])
 def test_near_copies_just_above_the_threshold_meet(spark, kind):
     """Pairs at a similarity of 0.80 to 0.85, whatever the kind of edit; texts of 60 to 1,500 words."""

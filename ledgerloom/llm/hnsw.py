@@ -1,8 +1,9 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one a shard.
 
 Equal vectors are one node with a number of copies.  Nodes are dealt to shards by a hash; each shard gets a
-graph, built in one task from a bounded number of vectors.  Then every block of nodes queries every shard.
-A search walks the layers from the top with a beam; all queries of a block walk together in numpy.  For each
+graph, built in one task from a bounded number of vectors and kept as rows, one a node.  Then every two shards meet
+once: a task reads one's graph row by row and then the other's nodes, which query it in blocks.
+A search walks the layers from the top with a beam; the queries of a block walk together in numpy.  For each
 block and shard a sample of the block is audited against all vectors of the shard, and the beam is doubled
 until the audit's recall is reached; a query whose whole beam lies above the threshold may have more links
 than the beam holds and is answered from all vectors of the shard.  Found pairs are verified by
@@ -12,23 +13,25 @@ the forests are united by connected components.
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, connected_components
 
 FAR = np.float32(-2)
+#: A layer has every THIN-th node of the one below.
+THIN = 16
+#: Entries of the beams of queries that walk together, and of the similarities that are computed at once.
+BEAM_CELLS, SCAN_CELLS = 1 << 17, 1 << 21
 
 
 class Graph:
     """Layers of neighbour lists over unit vectors; a layer has every ``thin``-th node of the one below."""
 
-    def __init__(self, x: np.ndarray, m: int = 16, beam: int = 48, thin: int = 16, seed: int = 11):
+    def __init__(self, x: np.ndarray, m: int = 16, beam: int = 48, thin: int = THIN, seed: int = 11):
         self.x, self.m, self.beam = np.ascontiguousarray(x, np.float32), m, beam
         order = np.random.default_rng(seed).permutation(len(x))
         self.layers = [order]
@@ -145,6 +148,11 @@ class Graph:
         return ids, sims
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The found ids and similarities of each query, by slices of queries whose beams together stay bounded."""
+        size = max(16, BEAM_CELLS // beam)
+        if len(q) > size:
+            parts = [self.search(q[low : low + size], beam) for low in range(0, len(q), size)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         top = self.layers[-1]
         k = min(8 if len(self.layers) > 1 else beam, len(top))
         sims = q @ self.x[top].T
@@ -156,18 +164,34 @@ class Graph:
             ids, _ = self._walk(j, q, ids, 8)
         return self._walk(0, q, ids, min(beam, len(self.x)))
 
-    def dump(self) -> bytes:
-        f = io.BytesIO()
-        np.savez(f, x=self.x, n=len(self.layers), m=self.m, beam=self.beam, **{f"l{i}": a for i, a in enumerate(self.layers)}, **{f"k{i}": a for i, a in enumerate(self.links) if a is not None})
-        return f.getvalue()
+    # -- the graph as rows, one a node ----------------------------------------------------------------
+
+    def dump(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(vectors, place of each node in the layers' order, how many layers link it, its links in those, lowest first)."""
+        rank = np.empty(len(self.x), np.int32)
+        rank[self.layers[0]] = np.arange(len(self.x))
+        depth = np.zeros(len(self.x), np.int32)
+        for layer in self.layers[:-1]:
+            depth[layer] += 1
+        links = np.empty((int(depth.sum()), 2 * self.m), np.int32)
+        first = np.cumsum(depth) - depth
+        for j, layer in enumerate(self.layers[:-1]):
+            links[first[layer] + j] = self.links[j][layer]
+        return self.x, rank, depth, links
 
     @classmethod
-    def load(cls, raw: bytes) -> Graph:
-        z = np.load(io.BytesIO(raw))
+    def load(cls, raw: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], m: int = 16, beam: int = 48) -> Graph:
         g = cls.__new__(cls)
-        n = int(z["n"])
-        g.x, g.m, g.beam, g.layers = z["x"], int(z["m"]), int(z["beam"]), [z[f"l{i}"] for i in range(n)]
-        g.links = [z[f"k{i}"] if f"k{i}" in z else None for i in range(n)]
+        g.x, rank, depth, links = raw
+        g.m, g.beam, g.links = m, beam, []
+        order, first = np.argsort(rank, kind="stable"), np.cumsum(depth) - depth
+        for j in range(int(depth.max(initial=0))):
+            on = np.flatnonzero(depth > j)
+            g.links.append(np.full((len(g.x), 2 * m), -1, np.int32))
+            g.links[j][on] = links[first[on] + j]
+        g.layers = [order[depth[order] >= j] for j in range(len(g.links))]
+        g.layers.append(g.layers[-1][::THIN] if g.links else order)
+        g.links.append(None)
         return g
 
 
@@ -207,6 +231,7 @@ def neighbours(g: Graph, q: np.ndarray, least: float, beam: int = 64, audit: int
     ``least``, and the beam doubles until that part of them finds its node.
     """
     n = len(g.x)
+    scan = max(1, SCAN_CELLS // max(1, n))
     check, truth = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int)), None
     exact = np.zeros(len(q), bool)
     while True:
@@ -218,7 +243,7 @@ def neighbours(g: Graph, q: np.ndarray, least: float, beam: int = 64, audit: int
         if truth is None:
             some = np.flatnonzero((sims >= least).any(1) & ~exact)
             check = np.union1d(check, some[np.linspace(0, len(some) - 1, min(audit, len(some))).astype(int)])
-            truth = (q[check] @ g.x.T >= least).sum(1)
+            truth = np.concatenate([(q[some] @ g.x.T >= least).sum(1) for some in np.split(check, range(scan, len(check), scan))])
         judged = ~exact[check] & (truth > 0)
         found = (sims[check] >= least).sum(1)
         if (found[judged] / truth[judged]).mean() >= recall if judged.any() else planted_recall(g, least, beam, audit) >= recall:
@@ -230,9 +255,9 @@ def neighbours(g: Graph, q: np.ndarray, least: float, beam: int = 64, audit: int
         rows.append(r)
         nodes.append(ids[r, c])
     left = np.flatnonzero(exact)
-    for low in range(0, len(left), 256):
-        r, c = np.nonzero(q[left[low : low + 256]] @ g.x.T >= least)
-        rows.append(left[low : low + 256][r])
+    for low in range(0, len(left), scan):
+        r, c = np.nonzero(q[left[low : low + scan]] @ g.x.T >= least)
+        rows.append(left[low : low + scan][r])
         nodes.append(c)
     return (np.concatenate(rows), np.concatenate(nodes)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
@@ -256,7 +281,55 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def embedding_near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, min_shards: int = 4, shard_rows: int = 1 << 16, block_rows: int = 2048, task_blocks: int = 4, beam: int = 64, recall: float = 0.98) -> DataFrame:
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def graph_rows(t: pa.Table) -> pa.Table:
+    """(dim, shard, rank, depth, rep, copies, vec, links): the graph over a shard's vectors, a row a node."""
+    t = t.combine_chunks()
+    _, rank, depth, links = Graph(unit(matrix(t["vec"].chunk(0)))).dump()
+    offsets = np.concatenate([[0], np.cumsum(depth * links.shape[1])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(links.reshape(-1)))
+    return t.select(["dim", "shard"]).append_column("node", pa.array(np.arange(len(rank), dtype=np.int32))).append_column("rank", pa.array(rank)).append_column("depth", pa.array(depth)).append_column("rep", t["rep"]).append_column("copies", t["copies"]).append_column("vec", t["vec"]).append_column("links", lists)
+
+
+class Shard:
+    """A shard's graph put together from its rows, and the answers to blocks of queries."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        column = lambda c: np.concatenate([b.column(c).to_numpy() for b in parts])
+        self.reps, self.copies = column("rep"), column("copies")
+        self.vecs = np.concatenate([matrix(b.column("vec")) for b in parts])
+        links = np.concatenate([b.column("links").flatten().to_numpy() for b in parts]).reshape(-1, 32)
+        self.graph = Graph.load((unit(self.vecs), column("rank"), column("depth"), links))
+
+    def links_of(self, q: np.ndarray, threshold: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) positions of the found pairs with a cosine of ``threshold`` or more in double precision."""
+        u, v = neighbours(self.graph, unit(q), threshold - 1e-4, beam, recall=recall)
+        good = np.zeros(len(u), bool)
+        for low in range(0, len(u), 1 << 16):
+            a, c = q[u[low : low + (1 << 16)]].astype(np.float64), self.vecs[v[low : low + (1 << 16)]].astype(np.float64)
+            good[low : low + (1 << 16)] = (a * c).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((c * c).sum(1))) >= threshold
+        return u[good], v[good]
+
+
+def pieces(b: pa.RecordBatch, keys: list[str]):
+    """(key, rows) of a batch's stretches of rows with one key."""
+    at = np.stack([b.column(c).to_numpy() for c in keys])
+    cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        if high > low:
+            yield tuple(at[:, low].tolist()), b.slice(low, high - low)
+
+
+def embedding_near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, min_shards: int = 4, shard_rows: int = 1 << 16, block_rows: int = 2048, min_tasks: int = 48, beam: int = 64, recall: float = 0.98) -> DataFrame:
     """(id, n_links, component_id, kept) for each row of ``df``.
 
     n_links: how many other rows have a cosine of ``threshold`` or more with it; component_id: the smallest
@@ -269,50 +342,69 @@ def embedding_near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: st
     scratch = Scratch(spark)
     finite = F.forall("vec", lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
     length = F.aggregate("vec", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).withColumn("ok", F.coalesce(finite, F.lit(False)) & F.coalesce(length > 0, F.lit(False)))
+    given = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    kind = "array<float>" if given.schema["vec"].dataType == T.ArrayType(T.FloatType(), given.schema["vec"].dataType.containsNull) else "array<double>"
+    rows = given.withColumn("vec", F.col("vec").cast(kind)).withColumn("ok", F.coalesce(finite, F.lit(False)) & F.coalesce(length > 0, F.lit(False)))
     rows = scratch.save(rows)
     reps = rows.filter("ok").groupBy("vec").agg(F.count("*").alias("copies"), F.min("id").alias("label"))
     reps = scratch.save(reps.withColumn("rep", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")))
-    shards = reps.groupBy("dim").agg(F.greatest(F.lit(min_shards), F.ceil(F.count("*") / shard_rows)).cast("bigint").alias("shards"), F.ceil(F.count("*") / block_rows).alias("blocks"))
-    dealt = reps.join(shards, "dim")
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        g = Graph(x / np.linalg.norm(x, axis=1, keepdims=True))
-        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "graph": [g.dump()], "vecs": [x.tobytes()], "reps": [pdf["rep"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()]})
-
-    graphs = dealt.select("dim", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shards")).alias("shard"), "rep", "vec", "copies").groupBy("dim", "shard").applyInPandas(build, "dim int, shard bigint, graph binary, vecs binary, reps binary, copies binary")
+    #: Each pair of shards meets once, the one with the smaller number as the graph; so many tasks share a shard's queries.
+    shards = reps.groupBy("dim").agg(F.greatest(F.lit(min_shards), F.ceil(F.count("*") / shard_rows)).cast("bigint").alias("shards"))
+    shards = shards.withColumn("pairs", F.expr("shards * (shards + 1) div 2")).withColumn("subs", F.ceil(F.lit(min_tasks) / F.col("pairs")).cast("bigint"))
+    shards = F.broadcast(scratch.save(shards))  # else all vectors of a length go to one task
+    made, tasks = (n or 1 for n in shards.agg(F.sum("shards"), F.sum(F.col("pairs") * F.col("subs"))).first())
+    dealt = reps.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shards")))
+    graphs = dealt.select("dim", "shard", "rep", "copies", "vec").repartition(min(2 * made, 10_000), "dim", "shard").groupBy("dim", "shard").applyInArrow(graph_rows, f"dim int, shard bigint, node int, rank int, depth int, rep bigint, copies bigint, vec {kind}, links array<int>")
     graphs = scratch.save(graphs)
-    blocks = dealt.select("dim", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).alias("block"), F.struct("rep", "vec").alias("x")).groupBy("dim", "block").agg(F.collect_list("x").alias("x")).select("dim", "block", F.col("x.rep").alias("q_reps"), F.flatten("x.vec").alias("q_vecs"))
-    #: Every block goes to every shard; a shard's graph goes to one task for each task_blocks of the blocks.
-    sizes = shards.withColumn("parts", F.ceil(F.col("blocks") / task_blocks))
-    asked = blocks.join(sizes, "dim").withColumn("part", F.pmod(F.col("block"), F.col("parts"))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)))
-    copies_of = graphs.join(sizes.select("dim", "parts"), "dim").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    tasks = asked.drop("parts", "shards", "blocks").join(copies_of.drop("parts"), ["dim", "shard", "part"])
+    each = lambda low, high: F.explode(F.sequence(low, high - 1))
+    nodes = graphs.join(shards, "dim").withColumn("home", each(F.col("shard"), F.col("shards"))).withColumn("sub", each(F.lit(0).cast("bigint"), F.col("subs")))
+    asked = dealt.withColumn("home", F.col("shard")).withColumn("sub", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("subs"))).withColumn("shard", each(F.lit(0).cast("bigint"), F.col("home") + 1))
+    meet, none = ["dim", "shard", "home", "sub"], F.lit(None)
+    nodes = nodes.select(*meet, F.lit(0).alias("asks"), "node", "rank", "depth", "rep", "copies", "vec", "links")
+    asked = asked.select(*meet, F.lit(1).alias("asks"), none.cast("int").alias("node"), none.cast("int").alias("rank"), none.cast("int").alias("depth"), "rep", "copies", "vec", none.cast("array<int>").alias("links"))
+    #: A task reads the nodes of its shard and then the queries, row by row: no row is larger than a node.
+    tables = nodes.unionByName(asked).repartition(min(2 * tasks, 10_000), *meet).sortWithinPartitions(*meet, "asks", "node")
+
+    def answers(shard: Shard, queries: list[pa.RecordBatch], key: tuple) -> pa.RecordBatch:
+        q_reps, q_copies = (np.concatenate([b.column(c).to_numpy() for b in queries]) for c in ("rep", "copies"))
+        u, v = shard.links_of(np.concatenate([matrix(b.column("vec")) for b in queries]), threshold, beam, recall)
+        other = q_reps[u] != shard.reps[v]
+        u, v = u[other], v[other]
+        n = np.bincount(u, weights=shard.copies[v], minlength=len(q_reps)).astype(np.int64)
+        has = np.flatnonzero(n)
+        ids, counts = [q_reps[has]], [n[has]]
+        if key[1] != key[2]:  # the other side of the pair asks nowhere else
+            back, at = np.unique(v, return_inverse=True)
+            ids.append(shard.reps[back])
+            counts.append(np.bincount(at, weights=q_copies[u], minlength=len(back)).astype(np.int64))
+        a, c = forest(q_reps[u], shard.reps[v])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*ids, a])), pa.array(np.concatenate([*counts, np.zeros(len(a), np.int64)])), pa.array(np.concatenate([*ids, c]))], names=["u", "n", "v"])
 
     def ask(batches):
+        key, shard, parts, waiting = None, None, [], []
         for b in batches:
-            for i in range(b.num_rows):
-                dim = b.column("dim")[i].as_py()
-                q_reps = b.column("q_reps")[i].values.to_numpy()
-                q = b.column("q_vecs")[i].values.to_numpy().reshape(-1, dim)
-                x = np.frombuffer(b.column("vecs")[i].as_buffer(), np.float64).reshape(-1, dim)
-                reps_, copies = (np.frombuffer(b.column(c)[i].as_buffer(), np.int64) for c in ("reps", "copies"))
-                unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
-                g = Graph.load(b.column("graph")[i].as_buffer().to_pybytes())
-                u, v = neighbours(g, unit(q).astype(np.float32), threshold - 1e-4, beam, recall=recall)
-                good = np.zeros(len(u), bool)
-                for low in range(0, len(u), 1 << 16):
-                    a, c = q[u[low : low + (1 << 16)]], x[v[low : low + (1 << 16)]]
-                    good[low : low + (1 << 16)] = (a * c).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((c * c).sum(1))) >= threshold
-                good &= q_reps[u] != reps_[v]
-                u, v = u[good], v[good]
-                n = np.bincount(u, weights=copies[v], minlength=len(q)).astype(np.int64)
-                has = np.flatnonzero(n)
-                a, c = forest(q_reps[u], reps_[v])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([q_reps[has], a])), pa.array(np.concatenate([n[has], np.zeros(len(a), np.int64)])), pa.array(np.concatenate([q_reps[has], c]))], names=["u", "n", "v"])
-
-    found = scratch.save(tasks.select("dim", "q_reps", "q_vecs", "graph", "vecs", "reps", "copies").mapInArrow(ask, "u bigint, n bigint, v bigint"))
+            for (*at, asks), rows_ in pieces(b, [*meet, "asks"]):
+                if at != key:
+                    if waiting:
+                        yield answers(shard, waiting, key)
+                    key, shard, parts, waiting = at, None, [], []
+                if not asks:
+                    parts.append(rows_)
+                    continue
+                if shard is None and not parts:
+                    continue  # no vector was dealt to that shard
+                if shard is None:
+                    shard, parts = Shard(parts), []
+                while rows_.num_rows:
+                    waiting.append(rows_.slice(0, block_rows - sum(w.num_rows for w in waiting)))
+                    rows_ = rows_.slice(waiting[-1].num_rows)
+                    if sum(w.num_rows for w in waiting) == block_rows:
+                        yield answers(shard, waiting, key)
+                        waiting = []
+        if waiting:
+            yield answers(shard, waiting, key)
+
+    found = scratch.save(tables.mapInArrow(ask, "u bigint, n bigint, v bigint"))
     comps = connected_components(found.filter("u <> v").select("u", "v"), scratch)
     links = found.filter("u = v").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     full = reps.join(comps, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "rep")).join(links, "rep", "left")

@@ -3,6 +3,7 @@
 import gzip
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,30 @@ def test_graph_search_recall():
     assert np.mean([b in row for b, row in zip(best, ids, strict=True)]) > 0.95
 
 
+def test_wide_beams_walk_in_slices(monkeypatch):
+    """Beams that had to double many times are held for some queries at a time, not for a whole block."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 8)).astype(np.float32)
+    g, walked, walk = hnsw.Graph(x / np.linalg.norm(x, axis=1, keepdims=True)), [], hnsw.Graph._walk
+    monkeypatch.setattr(hnsw.Graph, "_walk", lambda self, j, q, entry, beam, step=4: walked.append(len(q) * beam) or walk(self, j, q, entry, beam, step))
+    ids, sims = g.search(g.x[:1500], 512)
+    assert max(walked) <= 1 << 18 and ids.shape == sims.shape == (1500, 512)
+    assert (ids == np.arange(1500)[:, None]).any(1).mean() > 0.98
+
+
+def test_graphs_travel_a_row_a_node():
+    """No row holds a shard: its graph is put together from rows, in pieces of any size."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1200, 8)).astype(np.float32)
+    ids = np.arange(1200)
+    t = pa.table({"dim": pa.array(ids * 0 + 8, pa.int32()), "shard": ids * 0, "rep": ids + 7, "copies": ids * 0 + 1, "vec": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 8).cast(pa.list_(pa.float32()))})
+    rows = hnsw.graph_rows(t)
+    assert rows.num_rows == 1200 and max(len(r) for r in rows["links"].to_pylist()) <= 64
+    shard, whole = hnsw.Shard(rows.to_batches(max_chunksize=500)), hnsw.Graph(hnsw.unit(x))
+    assert [len(a) for a in shard.graph.layers] == [len(a) for a in whole.layers] and (shard.reps == ids + 7).all()
+    assert all((a == b).all() for a, b in zip(shard.graph.search(whole.x[:50], 64), whole.search(whole.x[:50], 64), strict=True))
+
+
 def test_empty_vectors(spark):
     none = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert hnsw.embedding_near_duplicates(none).count() == 0 and topk.exact_top_k(none).count() == 0

@@ -9,6 +9,9 @@ Neighbourhoods are keys of a polynomial hash, all made at once from prefix sums,
 bitmap of fixed size over the keys of the reduced vocabulary, sent to every task, leaves out those that no word has
 before anything is shuffled; a vocabulary that outgrows it is let through more often, never less.
 
+Spark takes the size of a neighbourhood for that of the stored words it is made of, and that of words for their compressed
+files; so joins are by sort and merge on purpose, and no table of words or keys is ever sent to the driver.
+
 Words of ``LONG`` code points or more meet by halves instead: of two such words one edit apart, either the first half
 of the shorter or its last half stands unchanged in both, so four keys a word are enough at any length.
 """
@@ -194,7 +197,7 @@ def near_words(words: DataFrame, scratch: Scratch, bits: int = 27) -> DataFrame:
     long = long_rows(words)
 
     def verified(left: DataFrame, right: DataFrame, which: str) -> DataFrame:
-        found = left.alias("x").join(right.alias("y"), F.expr(f"x.key = y.key AND x.word <> y.word AND ({which}) AND levenshtein(x.word, y.word, 1) = 1"))
+        found = left.alias("x").hint("merge").join(right.alias("y"), F.expr(f"x.key = y.key AND x.word <> y.word AND ({which}) AND levenshtein(x.word, y.word, 1) = 1"))
         return found.select(F.col("x.word").alias("word"), F.col("y.word").alias("near"), F.col("y.n").alias("near_n"))
 
     short = verified(asked_rows(words, seen, bits), index, f"least(length(x.word), length(y.word)) < {LONG}")
@@ -219,9 +222,9 @@ def spelling_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words = scratch.save(word_counts(df, id_col, text_col, mod, least_length, least_count))
     near = near_words(words, scratch)
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best"))
-    full = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(-F.col("best.less") >= ratio * F.col("n"), F.struct(F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))).alias("to"))
+    full = words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(-F.col("best.less") >= ratio * F.col("n"), F.struct(F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))).alias("to"))
     full = scratch.save(full.select("word", "to.form", "n", "n_near", "to.form_n"))
-    return full.join(roots(full.filter("form is not null").select("word", F.col("form").alias("root")), scratch), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return full.join(roots(full.filter("form is not null").select("word", F.col("form").alias("root")), scratch).hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def roots(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -232,7 +235,7 @@ def roots(links: DataFrame, scratch: Scratch) -> DataFrame:
     links, moved = scratch.save(links), True
     while moved:
         further = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        new = scratch.save(links.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        new = scratch.save(links.join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         scratch.drop(links)
         moved, links = not new.filter("moved").isEmpty(), new
     return links.select("word", "root")

@@ -174,6 +174,15 @@ def test_spelling_does_not_need_its_bitmap(spark):
     assert pairs[0] == pairs[1] and len(pairs[0]) > 100
 
 
+def test_spelling_sends_no_table_to_the_driver(spark):
+    """However small its files are: neighbourhoods have many times the rows of the words they are sized by."""
+    words = spark.createDataFrame([("abcde", 5), ("abcd", 3), ("x" * 70, 3)], "word string, n bigint")
+    df = spark.createDataFrame([(1, "abcde abcde abcdf " * 3)], "doc_id bigint, text string")
+    for found in (spelling.near_words(words, Scratch(spark)), spelling.spelling_groups(df)):
+        found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_spelling_edges(spark, edge, empty):
     rows = [(r["doc_id"], r["text"]) for r in edge.collect()]
     assert as_found(spelling.spelling_groups(edge, least_count=1)) == brute_spelling(rows, least_count=1)

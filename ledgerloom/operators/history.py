@@ -212,16 +212,21 @@ def session_files(sessions: DataFrame, commits: DataFrame, files: DataFrame, aft
 
     sessions: (session_id, repo, start_ms, end_ms); commits: (repo, sha, ts_ms); files: (sha, path).  Sessions of one
     window see the same files, and commits of one time count as one: windows meet the distinct paths of a time, and the
-    sessions get the distinct paths of their window.
+    sessions get the distinct paths of their window.  The next start is looked up among the distinct starts of a repository.
     """
-    following = Window.partitionBy("repo").orderBy("start_ms").rangeBetween(1, Window.unboundedFollowing)
-    later = sessions.withColumn("next_", F.min("start_ms").over(following)).withColumn("until_", F.least(F.col("end_ms") + after_ms, F.coalesce("next_", F.col("end_ms") + after_ms)))
+    following = Window.partitionBy("repo").orderBy("start_ms")
+    starts = sessions.select("repo", "start_ms").distinct().withColumn("next_", F.lead("start_ms").over(following))
+    later = sessions.join(starts, ["repo", "start_ms"]).withColumn("until_", F.least(F.col("end_ms") + after_ms, F.coalesce("next_", F.col("end_ms") + after_ms)))
     day = 86_400_000
     window = ["repo", "start_ms", "until_"]
     changed = commits.select("repo", "sha", "ts_ms").join(files, "sha").select("repo", "ts_ms", "path").distinct().withColumn("day", F.expr(f"ts_ms div {day}"))
     spread = later.select(*window).distinct().withColumn("day", F.explode(F.sequence(F.expr(f"start_ms div {day}"), F.expr(f"until_ div {day}"))))
     seen = spread.join(changed, ["repo", "day"]).filter("ts_ms between start_ms and until_").select(*window, "path").distinct()
-    return later.select("session_id", *window).distinct().join(seen, window).select("session_id", "repo", "path").distinct()
+    own = later.groupBy("session_id", "repo").agg(F.collect_set(F.struct("start_ms", "until_")).alias("windows"))
+    own = own.select("session_id", "repo", F.size("windows").alias("n_"), F.explode("windows").alias("x")).select("session_id", "repo", "n_", "x.*").join(seen, window)
+    #: Rows of a session with one window are distinct as they are.
+    once, often = own.filter("n_ = 1"), own.filter("n_ > 1")
+    return once.select("session_id", "repo", "path").unionByName(often.select("session_id", "repo", "path").distinct())
 
 
 def session_span(events: DataFrame, segments: DataFrame) -> DataFrame:

@@ -310,3 +310,17 @@ def test_split_arrays_are_those_of_the_windows(spark):
     lists = df.groupBy("k", "t", "u").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("x")).withColumn("w", F.col("x.w"))
     got = tokens.split_arrays(lists, ["t", "u"], "w", {"t": "a", "u": "b"}).select("k", F.explode(F.arrays_zip(F.col("x.i").alias("i"), "a", "b")).alias("x")).select("k", "x.*")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("k", "i", "a", "b").collect()))
+
+
+def test_session_files_of_repeated_sessions(spark):
+    """A next start is the next distinct one; a session with two windows gets a path once."""
+    day = 86_400_000
+    rows = [(1, 0, 0, 10), (2, 0, 0, 10), (3, 0, 2, 3), (3, 0, 5, 6), (4, 1, 0, 1), (5, None, 0, 9), (6, 0, None, 9)]
+    sessions = spark.createDataFrame([(i, r, None if a is None else a * day, b * day) for i, r, a, b in rows], "session_id int, repo int, start_ms bigint, end_ms bigint")
+    commits = spark.createDataFrame([(0, "a", 1 * day), (0, "b", 3 * day), (0, "c", 6 * day), (1, "d", 0)], "repo int, sha string, ts_ms bigint")
+    files = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y"), ("c", "z"), ("d", "x")], "sha string, path string")
+    df = history.session_files(sessions, commits, files)
+    got = sorted(map(tuple, df.collect()))
+    assert got == [(1, 0, "x"), (2, 0, "x"), (3, 0, "y"), (3, 0, "z"), (4, 1, "x")]
+    #: A frame without an end is read anew for each row, the square of a repository's sessions.
+    assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
